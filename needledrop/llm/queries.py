@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from needledrop.llm import mixing, token_counts
+from needledrop.llm import bpe, mixing, token_counts, wavelet
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,12 +17,21 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.archive(_docs(spark, sf_dir))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_docs(spark, sf_dir))
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_docs(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix_sources": op1_mix_sources, "op6_token_counts": op6_token_counts}
+    made = [op1_mix_sources, op3_wavelet_shards, op6_token_counts, op10_bpe]
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
