@@ -31,7 +31,7 @@ class PairIndexBpe:
     meanwhile is passed over. Words keep their ids in a bounded store.
     """
 
-    def __init__(self, vocabulary: str, most: int = 400_000):
+    def __init__(self, vocabulary: str, most: int = 1_000_000):
         from tokenizers import pre_tokenizers
 
         with open(vocabulary_file(vocabulary), encoding="utf-8") as file:
@@ -121,14 +121,12 @@ class PairIndexBpe:
 
     def encode(self, parts: list[str]) -> list[bytes]:
         """The ids of each chunk as little-endian 32-bit integers."""
-        for _ in range(2):
-            try:
-                return list(map(self.known.__getitem__, parts))
-            except KeyError:
-                self.learn([*set(parts).difference(self.known)])
-        # The store was emptied: all chunks of this call are new, and now in it.
-        self.learn([*set(parts).difference(self.known)])
-        return list(map(self.known.__getitem__, parts))
+        found = list(map(self.known.get, parts))
+        if None in found:
+            self.learn([*{c for c, v in zip(parts, found, strict=True) if v is None}])
+            known = self.known
+            found = [known[c] if v is None else v for c, v in zip(parts, found, strict=True)]
+        return found
 
 
 def encode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", batch_bytes: int = 2 << 20, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -7,14 +7,17 @@ tokens of the chunks, one after another, are the tokens of the text. Chunks met
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+
+import numpy as np
 
 from needledrop.llm.common import vocabulary_file
 
 #: A space or line feed with white space at its side: the plain cut isn't safe everywhere in such a text.
-NEAR = re.compile(r"\s[ \n]|[ \n]\s")
+NEAR = re.compile(r"[ \n](?:\s|(?<=\s[ \n]))")
 SPACE = re.compile(r"(?<=\S) (?=\S)")
 LINE = re.compile(r"(?<=\S)\n(?=\S)")
 MARKS = "\x01\x02\x03\x04\x05\x06"
@@ -45,34 +48,67 @@ def pieces(text: str, most: int) -> Iterator[str]:
 
 
 class ChunkEncoder:
-    """The library's ids of each chunk, as `value` makes them; holds at most `most` chunks."""
+    """The library's tokens of each chunk: how many (kind None), or their ids as bytes of an integer kind.
+
+    Chunks met before come from a store of at most `most`. New ones go to the library some hundreds together, one in a
+    line, as a line feed between them is a token of its own; a chunk with white space inside goes alone. Vocabularies that
+    are not byte-level without a prefix space, or that normalise, get whole texts instead of chunks.
+    """
 
-    def __init__(self, vocabulary: str, value: Callable, most: int = 400_000):
+    def __init__(self, vocabulary: str, kind: str | None = None, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(vocabulary_file(vocabulary))
+        path = vocabulary_file(vocabulary)
+        self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.value, self.most, self.known = value, most, {"": value([])}
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        before = spec.get("pre_tokenizer") or {}
+        self.cuts = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not spec.get("normalizer")
+        line = self.library.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if self.cuts and len(line) == 1 else None
+        self.kind, self.most, self.known = kind, most, {}
+
+    def chunks(self, text: str) -> list[str]:
+        return chunks(text) if self.cuts else [text]
+
+    def pieces(self, text: str, most: int) -> Iterator[str]:
+        return pieces(text, most) if self.cuts else iter([text])
+
+    def value(self, ids) -> int | bytes:
+        return len(ids) if self.kind is None else np.asarray(ids, dtype=self.kind).tobytes()
 
     def learn(self, new: list[str]) -> None:
         if len(self.known) + len(new) > self.most:
             self.known.clear()
-            self.known[""] = self.value([])
-        value = self.value
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            self.known.update((c, value(e.ids)) for c, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True))
+        known, encode = self.known, self.library.encode_batch_fast
+        plain, others = [], []
+        for c in new:
+            words = c.split()
+            (plain if self.line is not None and len(words) == 1 and len(c) - len(words[0]) == (c[0] == " ") else others).append(c)
+        for at in range(0, len(plain), 25_600):
+            groups = [plain[i : i + 256] for i in range(at, min(at + 25_600, len(plain)), 256)]
+            for group, e in zip(groups, encode(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, dtype=self.kind or "<u4")
+                ends = np.append(np.flatnonzero(ids == self.line), len(ids))
+                if len(ends) != len(group):
+                    others += group
+                elif self.kind is None:
+                    known.update(zip(group, np.diff(ends, prepend=-1).__sub__(1).tolist(), strict=True))
+                else:
+                    width, data = ids.itemsize, ids.tobytes()
+                    stops = (ends * width).tolist()
+                    known.update((c, data[a:b]) for c, a, b in zip(group, [0, *(x + width for x in stops[:-1])], stops, strict=True))
+        for at in range(0, len(others), 5_000):
+            some = others[at : at + 5_000]
+            known.update((c, self.value(e.ids)) for c, e in zip(some, encode(some, add_special_tokens=False), strict=True))
 
     def values(self, parts: list[str]) -> list:
-        try:
-            return list(map(self.known.__getitem__, parts))
-        except KeyError:
-            pass
-        self.learn([*set(parts).difference(self.known)])
-        try:
-            return list(map(self.known.__getitem__, parts))
-        except KeyError:  # the store was emptied meanwhile
-            self.learn([*set(parts).difference(self.known)])
-            return list(map(self.known.__getitem__, parts))
+        found = list(map(self.known.get, parts))
+        if None in found:
+            self.learn([*{c for c, v in zip(parts, found, strict=True) if v is None}])
+            known = self.known
+            found = [known[c] if v is None else v for c, v in zip(parts, found, strict=True)]
+        return found

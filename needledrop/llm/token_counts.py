@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from needledrop.llm.common import column_of, held, slices, texts_of, vocabulary_file, with_ids
-from needledrop.llm.encoding import ChunkEncoder, chunks, pieces
+from needledrop.llm.encoding import ChunkEncoder
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -22,14 +22,14 @@ def _sentencepiece(vocabulary: str):
 
 
 def _byte_level(vocabulary: str, batch_bytes: int):
-    encoder = ChunkEncoder(vocabulary, len)
+    encoder = ChunkEncoder(vocabulary)
 
     def count(texts: list[str]) -> list[int]:
         """Lengths only. The chunks of all texts of the batch go to the library together, each distinct one once."""
         rows, row_of = [], []
         for i, text in enumerate(texts):
-            for part in pieces(text, batch_bytes):
-                rows.append(chunks(part))
+            for part in encoder.pieces(text, batch_bytes):
+                rows.append(encoder.chunks(part))
                 row_of.append(i)
         counts = np.array(encoder.values([c for row in rows for c in row]), dtype=np.int64)
         ends = np.cumsum([len(row) for row in rows])

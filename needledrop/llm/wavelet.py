@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from needledrop.llm.common import column_of, held, partitions_for, shared_folder, slices, texts_of, with_ids
-from needledrop.llm.encoding import ChunkEncoder, chunks, pieces
+from needledrop.llm.encoding import ChunkEncoder
 
 MAGIC = b"WVMX0001"
 #: Bits for each entry of a rank directory.
@@ -156,14 +156,13 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.jso
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        def make() -> tuple[ChunkEncoder, str]:
-            encoder = ChunkEncoder(vocabulary, len)
-            kind = "<u2" if max(encoder.library.get_vocab_size(), end_id + 1) <= 65536 else "<u4"
-            encoder.value = lambda ids: np.array(ids, dtype=kind).tobytes()
-            encoder.known[""] = b""
-            return encoder, kind
+        def make() -> ChunkEncoder:
+            encoder = ChunkEncoder(vocabulary)
+            encoder.kind = "<u2" if max(encoder.library.get_vocab_size(), end_id + 1) <= 65536 else "<u4"
+            return encoder
 
-        encoder, kind = held(("ids", vocabulary, end_id), make)
+        encoder = held(("ids", vocabulary, end_id), make)
+        kind = encoder.kind
         width, end = np.dtype(kind).itemsize, np.array([end_id], dtype=kind).tobytes()
         part, shard = TaskContext.get().partitionId(), 0
         held_docs: list[tuple] = []
@@ -185,9 +184,9 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.jso
             sizes = np.array(pa.compute.binary_length(column_of(batch, "text")), dtype=np.int64)
             for a, b in slices(sizes, batch_bytes):
                 if b - a == 1 and sizes[a] > batch_bytes:
-                    rows = [b"".join(x for p in pieces(texts[a], batch_bytes) for x in encoder.values(chunks(p)))]
+                    rows = [b"".join(x for p in encoder.pieces(texts[a], batch_bytes) for x in encoder.values(encoder.chunks(p)))]
                 else:
-                    cut = [chunks(t) for t in texts[a:b]]
+                    cut = [encoder.chunks(t) for t in texts[a:b]]
                     flat, ends, rows, at = encoder.values([c for row in cut for c in row]), np.cumsum([len(row) for row in cut]).tolist(), [], 0
                     for stop in ends:
                         rows.append(b"".join(flat[at:stop]))
