@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from needledrop.llm import bpe, fertility, mixing, simhash, token_counts, wavelet
+from needledrop.llm import bpe, fertility, mixing, simhash, substring, token_counts, wavelet
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_docs(spark, sf_dir))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(_docs(spark, sf_dir))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(_docs(spark, sf_dir)).select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
@@ -39,7 +43,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_mix_sources, op3_wavelet_shards, op5_fertility, op6_token_counts, op9_simhash, op10_bpe]
+    made = [op1_mix_sources, op3_wavelet_shards, op5_fertility, op6_token_counts, op8_substring_dedup, op9_simhash, op10_bpe]
     return {f.__name__: f for f in made}
 
 
