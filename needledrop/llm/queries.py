@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from needledrop.llm import bpe, fertility, mixing, simhash, substring, token_counts, wavelet
+from needledrop.llm import bpe, fertility, mixing, simhash, substring, token_counts, warc, wavelet
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_docs(spark, sf_dir))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("url")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(_docs(spark, sf_dir))
 
@@ -43,9 +47,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_mix_sources, op3_wavelet_shards, op5_fertility, op6_token_counts, op8_substring_dedup, op9_simhash, op10_bpe]
+    made = [op1_mix_sources, op3_wavelet_shards, op5_fertility, op6_token_counts, op7_warc, op8_substring_dedup, op9_simhash, op10_bpe]
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.SQL}
+    return {"op1_mix_sources": mixing.SQL, "op7_warc": warc.SQL}
