@@ -100,24 +100,22 @@ def mix(h: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of words, kept for words met before; the store is emptied at a fixed number of entries."""
 
-    def __init__(self, seed: int, most: int = 600_000):
+    def __init__(self, seed: int, most: int = 400_000):
         import xxhash
 
         self.hash, self.seed, self.most, self.known = xxhash.xxh3_64_intdigest, seed, most, {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        try:
-            return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-        except KeyError:
-            pass
-        new = set(words).difference(known)
-        if len(known) + len(new) > self.most:
-            known.clear()
-            new = set(words)
-        h, seed = self.hash, self.seed
-        known.update((w, h(w, seed)) for w in new)
-        return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+        found = list(map(self.known.get, words))
+        if None in found:
+            new = {w for w, v in zip(words, found, strict=True) if v is None}
+            if len(self.known) + len(new) > self.most:
+                self.known.clear()
+            h, seed = self.hash, self.seed
+            self.known.update((w, h(w, seed)) for w in new)
+            known = self.known
+            found = [known[w] if v is None else v for w, v in zip(words, found, strict=True)]
+        return np.array(found, dtype=np.uint64)
 
 
 def vocabulary_file(name: str) -> str:

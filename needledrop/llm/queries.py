@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from needledrop.llm import bpe, fertility, mixing, simhash, substring, token_counts, warc, wavelet
+from needledrop.llm import bpe, embedding_dedup, fertility, mixing, simhash, substring, token_counts, warc, wavelet
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_copies(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op3_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.archive(_docs(spark, sf_dir))
 
@@ -47,7 +51,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_mix_sources, op3_wavelet_shards, op5_fertility, op6_token_counts, op7_warc, op8_substring_dedup, op9_simhash, op10_bpe]
+    made = [op1_mix_sources, op2_embedding_dedup, op3_wavelet_shards, op5_fertility, op6_token_counts, op7_warc, op8_substring_dedup, op9_simhash, op10_bpe]
     return {f.__name__: f for f in made}
 
 
