@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from needledrop.llm import bpe, embedding_dedup, fertility, mixing, simhash, substring, token_counts, warc, wavelet
+from needledrop.llm import bpe, embedding_dedup, fertility, lm, mixing, simhash, substring, token_counts, warc, wavelet
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.archive(_docs(spark, sf_dir))
 
 
+def op4_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_docs(spark, sf_dir))
+
+
 def op5_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.measure(_docs(spark, sf_dir))
 
@@ -51,7 +55,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_mix_sources, op2_embedding_dedup, op3_wavelet_shards, op5_fertility, op6_token_counts, op7_warc, op8_substring_dedup, op9_simhash, op10_bpe]
+    made = [op1_mix_sources, op2_embedding_dedup, op3_wavelet_shards, op4_context_mixing, op5_fertility, op6_token_counts, op7_warc, op8_substring_dedup, op9_simhash, op10_bpe]
     return {f.__name__: f for f in made}
 
 
