@@ -31,7 +31,7 @@ class PairIndexBpe:
     meanwhile is passed over. Words keep their ids in a bounded store.
     """
 
-    def __init__(self, vocabulary: str, most: int = 1_000_000):
+    def __init__(self, vocabulary: str, most: int = 400_000):
         from tokenizers import pre_tokenizers
 
         with open(vocabulary_file(vocabulary), encoding="utf-8") as file:
@@ -43,10 +43,6 @@ class PairIndexBpe:
         self.rank = {(a << 20) | b: r for r, (a, b, _) in reversed([*enumerate(self.merges)])}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.words_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
-        to_byte = {c: b for b, c in enumerate(byte_alphabet())}
-        plain = {i: bytes(to_byte[c] for c in t) for t, i in ids.items() if i not in self.special.values()}
-        plain |= {i: t.encode() for t, i in self.special.items()}
-        self.spelled = [plain.get(i, b"") for i in range(max(plain) + 1)]
         self.most, self.known = most, {"": b""}
 
     def merge(self, words: list[str]) -> list[list[int]]:
@@ -112,8 +108,8 @@ class PairIndexBpe:
         if len(self.known) + len(new) > self.most:
             self.known.clear()
             self.known[""] = b""
-        for at in range(0, len(new), 50_000):
-            some = new[at : at + 50_000]
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
             parts = [self.split(c) for c in some]
             words = [*{w for p in parts for w in p if isinstance(w, str)}]
             ids = dict(zip(words, self.merge(words), strict=True))
@@ -129,6 +125,18 @@ class PairIndexBpe:
         return found
 
 
+def spelling(vocabulary: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all ids one after another, where each id's begin, and how many they are."""
+    with open(vocabulary_file(vocabulary), encoding="utf-8") as file:
+        spec = json.load(file)
+    to_byte = {c: b for b, c in enumerate(byte_alphabet())}
+    special = {t["id"]: t["content"].encode() for t in spec.get("added_tokens", [])}
+    plain = {i: bytes(to_byte[c] for c in t) for t, i in spec["model"]["vocab"].items() if i not in special} | special
+    spelled = [plain.get(i, b"") for i in range(max(plain) + 1)]
+    size = np.array([len(b) for b in spelled], dtype=np.int64)
+    return np.frombuffer(b"".join(spelled), dtype=np.uint8), np.cumsum(size) - size, size
+
+
 def encode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", batch_bytes: int = 2 << 20, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, ids array<int> for every row of docs, without a shuffle.
 
@@ -172,23 +180,20 @@ def decode(encoded: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFra
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelled = held(("bpe", vocabulary), lambda: PairIndexBpe(vocabulary)).spelled
-        size = np.array([len(b) for b in spelled], dtype=np.int64)
-        start = np.cumsum(size) - size
-        spelling = np.frombuffer(b"".join(spelled), dtype=np.uint8)
+        letters, start, size = held(("spelling", vocabulary), lambda: spelling(vocabulary))
         for batch in batches:
             lists = column_of(batch, "ids")
             n_tokens = pa.compute.list_value_length(lists)
             lengths = np.array(pa.compute.fill_null(n_tokens, 0), dtype=np.int64)
             texts = []
-            for a, b in slices(lengths, 500_000):
+            for a, b in slices(lengths, 200_000):
                 some = lists.slice(a, b - a)
                 ids = np.array(some.flatten(), dtype=np.int64)
                 known = (ids >= 0) & (ids < len(size))
                 ids = np.where(known, ids, 0)
                 n = np.where(known, size[ids], 0)
                 ends = np.cumsum(n)
-                whole = spelling[np.repeat(start[ids] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+                whole = letters[np.repeat(start[ids] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
                 at = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(lengths[a:b])))]
                 texts += [whole[x:y].decode("utf-8", "replace") for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             texts = pa.array(texts, pa.string(), mask=np.array(lists.is_null()))

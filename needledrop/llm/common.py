@@ -44,9 +44,20 @@ def partitions_for(df: DataFrame, per_core: int = 1) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), per_core * spark.sparkContext.defaultParallelism)
 
 
+#: Bytes of an Arrow batch on its way to Python: a batch goes by rows otherwise, whatever their length.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df; from now on the session's Arrow batches have at most BATCH_BYTES bytes, or one row."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def with_ids(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id and text alone, so that extra columns can't clash; null text is the empty text."""
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return bounded_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
 def pack(values: np.ndarray) -> bytes:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from needledrop.llm.common import column_of, held, slices, texts_of, vocabulary_file
+from needledrop.llm.common import bounded_batches, column_of, held, slices, texts_of, vocabulary_file
 
 # Rejection bands. For a language: least and most characters per byte-level token, most share of byte
 # fallback among pieces. Any other language goes by script: mostly Latin letters (below U+0250), or not.
@@ -144,7 +144,7 @@ def measure(docs: DataFrame, byte_level: str = "byte_bpe_50k.json", pieces: str
 
     import pyarrow.compute  # noqa: F401
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.lower(F.col("lang").cast("string")).alias("lang"))
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.lower(F.col("lang").cast("string")).alias("lang"))
     return rows.mapInArrow(run, SCHEMA)
 
 
@@ -188,4 +188,4 @@ def keep_good(docs: DataFrame) -> DataFrame:
                     at += len(row)
             yield batch.filter(pa.array(keep))
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return bounded_batches(docs).select(*names).mapInArrow(run, schema)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from needledrop.llm.common import WordHashes, column_of, held, mix, pack, pack_sorted, partitions_for, texts_of, unpack, unpack_sorted, written
+from needledrop.llm.common import WordHashes, bounded_batches, column_of, held, mix, pack, pack_sorted, partitions_for, texts_of, unpack, unpack_sorted, written
 
 #: Contexts of 0 to 4 preceding bytes, and of the word so far; each with the bits of the next byte that are already known.
 ORDERS = 6
@@ -329,7 +329,7 @@ def score(docs: DataFrame, folds: int = 10, bits: int = 22) -> DataFrame:
     """
     groups = buckets = partitions_for(docs)
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (F.crc32(name.cast("binary")) % folds == 0).alias("held_out"))
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (F.crc32(name.cast("binary")) % folds == 0).alias("held_out"))
     model = train(rows.where("not held_out"), bits)
     grouped = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
 

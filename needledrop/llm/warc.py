@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from needledrop.llm.common import column_of, shared_folder
+from needledrop.llm.common import bounded_batches, column_of, shared_folder
 
 CHUNKS = "archive int, record long, chunk int, chunks int, data binary"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -58,7 +58,7 @@ def write_archives(pages: DataFrame, path: str, chunk_bytes: int = 1 << 20, leas
     gives no record. Other columns are ignored.
     """
     payload = F.coalesce("html", F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
+    rows = bounded_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"digest": F.unhex(F.sha1("payload")), "size": F.octet_length("payload").cast("long")})
     seen = rows.where(F.col("size") >= least_bytes).groupBy(F.col("digest").alias("d"), F.col("size").alias("s")).agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     twice = seen.where("n > 1 and first is not null").drop("n")
