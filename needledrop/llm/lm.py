@@ -6,13 +6,14 @@ import math
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from needledrop.llm.common import WordHashes, bounded_batches, column_of, held, mix, pack, pack_sorted, partitions_for, texts_of, unpack, unpack_sorted, written
+from needledrop.llm.common import WordHashes, bounded_batches, column_of, held, mix, pack, pack_sorted, partitions_for, slices, texts_of, unpack, unpack_sorted, written
 
 #: Contexts of 0 to 4 preceding bytes, and of the word so far; each with the bits of the next byte that are already known.
 ORDERS = 6
@@ -30,9 +31,15 @@ def model_text(text: str) -> bytes:
     return b" ".join(text.encode().lower().split()) + END
 
 
-def grams(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def grams(streams: list[bytes], block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all bytes of the texts (see _grams), and each text's length."""
+    lengths = np.array([len(s) for s in streams], dtype=np.int64)
+    return np.concatenate([_grams(streams[a:b]) for a, b in slices(lengths, block)]), lengths
+
+
+def _grams(streams: list[bytes]) -> np.ndarray:
     """A 64-bit number for every byte: 24 bits of a hash of the word before it, the four bytes before it (ends before the
-    start), and the byte; and each text's length."""
+    start), and the byte."""
     lengths = np.array([len(s) for s in streams], dtype=np.int64)
     raw = np.frombuffer(b"".join(END * 4 + s for s in streams), dtype=np.uint8)
     keys = raw.astype(np.uint64)
@@ -51,7 +58,7 @@ def grams(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     starts = np.cumsum(lengths + 4) - lengths - 4
     for k in range(4):
         inside[starts + k] = False
-    return keys[inside], lengths
+    return keys[inside]
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,100 +71,131 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return kept["up"], kept["down"]
 
 
-def slots(keys: np.ndarray, order: int, bits: int) -> np.ndarray:
-    """For each gram the eight places in the table of an order, one for each bit of its byte."""
-    byte = keys & np.uint64(255)
+class Code:
+    """A prefix code of bytes: frequent ones take few binary decisions. Every inner node of its tree is a context of its own."""
+
+    def __init__(self, counts: np.ndarray):
+        heap = [(int(n) + 1, byte, byte) for byte, n in enumerate(counts)]
+        heapify(heap)
+        children: dict[int, tuple[int, int]] = {}
+        for node in range(256, 511):
+            (a, _, x), (b, _, y) = heappop(heap), heappop(heap)
+            children[node] = (x, y)
+            heappush(heap, (a + b, node, node))
+        paths: dict[int, list[tuple[int, int]]] = {510: []}
+        for node in range(510, 255, -1):
+            for bit, child in enumerate(children[node]):
+                paths[child] = [*paths[node], (510 - node, bit)]
+        self.length = np.array([len(paths[b]) for b in range(256)])
+        self.start = np.cumsum(self.length) - self.length
+        self.nodes = np.array([n for b in range(256) for n, _ in paths[b]])
+        self.bits = np.array([x for b in range(256) for _, x in paths[b]])
+
+    def decisions(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each binary decision of each gram: the gram's place in keys, the node, the bit."""
+        byte = (keys & np.uint64(255)).astype(np.int64)
+        n = self.length[byte]
+        of = np.repeat(np.arange(len(keys)), n)
+        at = np.arange(len(of)) + np.repeat(self.start[byte] - np.cumsum(n) + n, n)
+        return of, self.nodes[at], self.bits[at]
+
+
+def slots(keys: np.ndarray, of: np.ndarray, nodes: np.ndarray, order: int, bits: int) -> np.ndarray:
+    """The place of each decision in the table of an order."""
     context = keys >> np.uint64(40) if order == ORDERS - 1 else (keys >> np.uint64(8)) & np.uint64((1 << 8 * order) - 1)
     base = mix(context * np.uint64(ORDERS) + np.uint64(order + 1))
-    nodes = np.stack([np.uint64(1 << k) | (byte >> np.uint64(8 - k)) for k in range(8)], axis=1)
-    return (mix(base[:, None] + nodes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def bits_of(keys: np.ndarray) -> np.ndarray:
-    return ((keys[:, None] & np.uint64(255)) >> np.arange(7, -1, -1).astype(np.uint64) & np.uint64(1)).astype(np.int64)
-
-
-def stretch(p: np.ndarray) -> np.ndarray:
-    return np.log(p / (1 - p))
+    h = (base[of] + nodes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD1342543DE82EF95)
+    return ((h ^ (h >> np.uint64(29))) * np.uint64(0xAF251AF3B0F025B5) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def evidence(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretched probability of a one after such counts (0 after none), and how sure it is in six levels."""
+    total = zeros + ones
+    x = np.log((ones + np.float32(0.02)) / (zeros + np.float32(0.02)))
+    return np.clip(x, -8, 8).astype(np.float32), np.searchsorted(np.array([0.5, 1.5, 3.5, 15.5, 127.5], dtype=np.float32), total).astype(np.uint8)
+
+
 class Mixer:
-    """Count tables of all orders, gated weights, and the refinement; predicts the bits of grams."""
+    """Count tables of all orders, gated weights, and the refinement; predicts the decisions of grams."""
 
-    def __init__(self, tables: list[np.ndarray], bits: int, weights: np.ndarray | None = None, refinement: np.ndarray | None = None):
-        self.tables, self.bits = tables, bits
+    def __init__(self, tables: list[np.ndarray], bits: int, code: Code, weights: np.ndarray | None = None, refinement: np.ndarray | None = None, frozen: bool = False):
+        self.tables, self.bits, self.code = tables, bits, code
+        self.frozen = frozen
+        if frozen:  # what the tables say, worked out once
+            self.tables = [evidence(t[:, 0].astype(np.float32), t[:, 1].astype(np.float32)) for t in tables]
         self.weights = np.full((GATES, ORDERS + 1), 0.3) if weights is None else weights
         if weights is None:
             self.weights[:, -1] = 0
-        line = squash(np.linspace(-8, 8, STEPS))
-        self.refinement = np.tile(line, (256, 1)) if refinement is None else refinement
+        self.refinement = np.tile(squash(np.linspace(-8, 8, STEPS)), (255, 1)) if refinement is None else refinement
 
-    def inputs(self, keys: np.ndarray, without_own: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Stretched predictions (bit, order), gate, known bits of the byte, and the bit, a row for each bit.
+    def inputs(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each decision: the gram, stretched predictions by order, the gate, the node, the bit.
 
-        without_own takes the gram's own occurrence out of its counts, so that training sees what a new text would see.
+        While learning, the gram's own occurrence is left out of its counts, so that weights see what a new text would see.
         """
-        bit = bits_of(keys)
-        x = np.zeros((*bit.shape, ORDERS + 1))
-        x[:, :, -1] = 0.3
+        of, nodes, bit = self.code.decisions(keys)
+        x = np.empty((ORDERS + 1, len(of)), dtype=np.float32)
+        x[-1] = 0.3
         level = []
         for order in range(ORDERS):
-            n = self.tables[order][slots(keys, order, self.bits)].astype(np.float64)
-            if without_own:
-                n -= np.stack((bit == 0, bit == 1), axis=-1)
-                np.maximum(n, 0, out=n)
-            total = n.sum(axis=-1)
-            p = (n[:, :, 1] + 0.02) / (total + 0.04)
-            x[:, :, order] = np.where(total > 0, np.clip(stretch(p), -8, 8), 0)
-            level.append(np.searchsorted([0.5, 1.5, 3.5, 15.5, 127.5], total))
-        gate = level[5] * 4 + np.minimum(level[4], 3)
-        byte = keys & np.uint64(255)
-        known = np.stack([np.uint64(1 << k) | (byte >> np.uint64(8 - k)) for k in range(8)], axis=1).astype(np.int64)
-        return x.reshape(-1, ORDERS + 1), gate.ravel(), known.ravel(), bit.ravel()
-
-    def refine(self, s: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at = (np.clip(s, -7.999, 7.999) + 8) * (STEPS - 1) / 16
+            at = slots(keys, of, nodes, order, self.bits)
+            if self.frozen:
+                value, sure = self.tables[order]
+                x[order] = value[at]
+                sure = sure[at] if order >= ORDERS - 2 else None
+            else:
+                n = self.tables[order][at].astype(np.float32)
+                x[order], sure = evidence(np.maximum(n[:, 0] - (bit == 0), 0), np.maximum(n[:, 1] - (bit == 1), 0))
+            level.append(sure)
+        gate = level[-1].astype(np.int64) * 4 + np.minimum(level[-2], 3)
+        return of, x, gate, nodes, bit
+
+    def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        weights = self.weights.astype(np.float32)
+        out = x[0] * weights[gate, 0]
+        for k in range(1, len(x)):
+            out += x[k] * weights[gate, k]
+        return out
+
+    def refine(self, s: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = (np.clip(s, -7.999, 7.999) + 8) * ((STEPS - 1) / 16)
         low = at.astype(np.int64)
         share = at - low
-        return low, share, self.refinement[known, low] * (1 - share) + self.refinement[known, low + 1] * share
-
-    def predict(self, x: np.ndarray, gate: np.ndarray, known: np.ndarray) -> np.ndarray:
-        s = np.einsum("ij,ij->i", x, self.weights[gate])
-        return np.clip(0.5 * squash(s) + 0.5 * self.refine(s, known)[2], 1e-6, 1 - 1e-6)
+        flat, cell = self.refinement.ravel(), nodes * STEPS + low
+        return cell, share, flat[cell] * (1 - share) + flat[cell + 1] * share
 
-    def learn(self, keys: np.ndarray, counts: np.ndarray, rounds: int = 6, batch: int = 2048) -> float:
+    def learn(self, keys: np.ndarray, counts: np.ndarray, batch: int = 2048) -> None:
         """Online: batch by batch a step of the weights of each gate (scaled by past gradients), and of the refinement."""
-        squares, lost = np.full(self.weights.shape, 1e-6), 0.0
-        for _ in range(rounds):
-            for at in range(0, len(keys), batch):
-                x, gate, known, bit = self.inputs(keys[at : at + batch], True)
-                c = np.repeat(np.minimum(counts[at : at + batch], 1 << 20), 8).astype(np.float64)
-                s = np.einsum("ij,ij->i", x, self.weights[gate])
-                wrong = (bit - squash(s)) * c
-                seen = np.bincount(gate, weights=c, minlength=GATES)
-                step = np.stack([np.bincount(gate, weights=wrong * x[:, k], minlength=GATES) for k in range(x.shape[1])], axis=1) / np.maximum(seen, 1)[:, None]
-                squares += step * step
-                self.weights += 0.05 * step / np.sqrt(squares)
-                low, share, _ = self.refine(s, known)
-                cell = known * STEPS + low + (share > 0.5)
-                n = np.bincount(cell, weights=c, minlength=256 * STEPS).reshape(256, STEPS)
-                ones = np.bincount(cell, weights=c * bit, minlength=256 * STEPS).reshape(256, STEPS)
-                rate = n / (n + 200)
-                self.refinement += 0.1 * rate * (ones / np.maximum(n, 1e-9) - self.refinement) * (n > 0)
-                lost -= float((c * np.log2(np.where(bit == 1, squash(s), 1 - squash(s)))).sum())
-        return lost
+        squares = np.full(self.weights.shape, 1e-6)
+        for start in range(0, len(keys), batch):
+            of, x, gate, nodes, bit = self.inputs(keys[start : start + batch])
+            c = np.minimum(counts[start : start + batch], 1 << 20).astype(np.float64)[of]
+            s = self.mixed(x, gate)
+            wrong = (bit - squash(s)) * c
+            seen = np.maximum(np.bincount(gate, weights=c, minlength=GATES), 1)
+            step = np.stack([np.bincount(gate, weights=wrong * row, minlength=GATES) for row in x], axis=1) / seen[:, None]
+            squares += step * step
+            self.weights += 0.05 * step / np.sqrt(squares)
+            cell, share, _ = self.refine(s, nodes)
+            cell = cell + (share > 0.5)
+            n = np.bincount(cell, weights=c, minlength=255 * STEPS).reshape(255, STEPS)
+            ones = np.bincount(cell, weights=c * bit, minlength=255 * STEPS).reshape(255, STEPS)
+            self.refinement += 0.1 * n / (n + 200) * (ones / np.maximum(n, 1e-9) - self.refinement)
 
     def log10(self, keys: np.ndarray, block: int = 20_000) -> np.ndarray:
-        """log10 of each gram's byte given the four before it."""
+        """log10 of each gram's byte given what is before it."""
         out = np.zeros(len(keys))
-        for at in range(0, len(keys), block):
-            x, gate, known, bit = self.inputs(keys[at : at + block], False)
-            p = self.predict(x, gate, known)
-            out[at : at + block] = np.log10(np.where(bit == 1, p, 1 - p)).reshape(-1, 8).sum(axis=1)
+        for start in range(0, len(keys), block):
+            some = keys[start : start + block]
+            of, x, gate, nodes, bit = self.inputs(some)
+            s = self.mixed(x, gate)
+            p = np.clip(0.5 * squash(s) + 0.5 * self.refine(s, nodes)[2], 1e-6, 1 - 1e-6)
+            n = self.code.length[(some & np.uint64(255)).astype(np.int64)]
+            out[start : start + block] = np.add.reduceat(np.log10(np.where(bit == 1, p, 1 - p)), np.cumsum(n) - n)
         return out
 
 
@@ -200,10 +238,11 @@ def histogram(texts: DataFrame, buckets: int) -> DataFrame:
 
 
 def _summed(parts: list) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    counts = np.zeros(len(keys), dtype="<u8")
-    np.add.at(counts, at, np.concatenate([c for _, c in parts]))
-    return keys, counts
+    keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, dtype=np.int64)
+    return keys[first], np.add.reduceat(counts, first).astype("<u8") if len(first) else counts
 
 
 def _packed(keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
@@ -215,31 +254,24 @@ def _packed(keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array(b[cuts[:-1]], pa.int32()), pa.array([pack_sorted(keys[x:y]) for x, y in runs], pa.binary()), pa.array([pack(counts[x:y]) for x, y in runs], pa.binary())], names=["bucket", "keys", "counts"])
 
 
-def count_tables(grams_: DataFrame, bits: int, parts: int = 16) -> DataFrame:
+def count_tables(grams_: DataFrame, bits: int, code: Code, parts: int = 16) -> DataFrame:
     """order, part, table: the counts of zeros and ones of an order's places, in 16 bits each, summed over all grams."""
     width = (1 << bits) // parts
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: list[list] = [[] for _ in range(ORDERS)]
-        for batch in batches:
-            for k, c in zip(*(column_of(batch, n).to_pylist() for n in ("keys", "counts")), strict=True):
-                keys, counts = unpack_sorted(k), unpack(c, "<u8")
-                for at in range(0, len(keys), 100_000):
-                    some, weight = keys[at : at + 100_000], np.repeat(counts[at : at + 100_000], 8)
-                    bit = bits_of(some).ravel()
-                    for order in range(ORDERS):
-                        place = (2 * slots(some, order, bits).ravel() + bit).astype(np.uint64)
-                        sums[order].append(_summed([(place, weight)]))
-                        if len(sums[order]) >= 16:
-                            sums[order] = [_summed(sums[order])]
-        for order in range(ORDERS):
-            if sums[order]:
-                place, count = _summed(sums[order])
-                cuts = np.searchsorted(place, np.arange(parts + 1, dtype=np.uint64) * np.uint64(2 * width))
-                for part, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-                    if x < y:
-                        at = place[x:y] - np.uint64(2 * width * part)
-                        yield pa.RecordBatch.from_arrays([pa.array([order], pa.int32()), pa.array([part], pa.int32()), pa.array([pack_sorted(at)], pa.binary()), pa.array([pack(count[x:y])], pa.binary())], names=["order", "part", "places", "counts"])
+        parts_ = [(unpack_sorted(k), unpack(c, "<u8")) for batch in batches for k, c in zip(*(column_of(batch, n).to_pylist() for n in ("keys", "counts")), strict=True)]
+        for order in range(ORDERS) if parts_ else ():
+            total = np.zeros(2 << bits, dtype=np.float64)  # one order at a time
+            for keys, counts in parts_:
+                for at in range(0, len(keys), 50_000):
+                    some = keys[at : at + 50_000]
+                    of, nodes, bit = code.decisions(some)
+                    np.add.at(total, 2 * slots(some, of, nodes, order, bits) + bit, counts[at : at + 50_000].astype(np.float64)[of])
+            for part in range(parts):
+                some = total[2 * width * part : 2 * width * (part + 1)]
+                at = np.flatnonzero(some)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array([order], pa.int32()), pa.array([part], pa.int32()), pa.array([pack_sorted(at.astype("<u8"))], pa.binary()), pa.array([pack(some[at].astype("<u8"))], pa.binary())], names=["order", "part", "places", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[int, int], np.ndarray] = {}
@@ -262,15 +294,16 @@ class Model:
 
     tables: list[tuple[int, int, bytes]]
     bits: int
+    code: Code
     weights: np.ndarray | None = None
     refinement: np.ndarray | None = None
 
-    def mixer(self) -> Mixer:
+    def mixer(self, frozen: bool) -> Mixer:
         tables = [np.zeros((1 << self.bits, 2), dtype="<u2") for _ in range(ORDERS)]
         for order, part, data in self.tables:
             some = unpack(data, "<u2").reshape(-1, 2)
             tables[order][part * len(some) : (part + 1) * len(some)] = some
-        return Mixer(tables, self.bits, self.weights, self.refinement)
+        return Mixer(tables, self.bits, self.code, self.weights, self.refinement, frozen)
 
 
 def train(texts: DataFrame, bits: int = 22) -> Model:
@@ -283,14 +316,26 @@ def train(texts: DataFrame, bits: int = 22) -> Model:
     """
     spark = texts.sparkSession
     counted = written(histogram(texts, partitions_for(texts)), "grams")
-    model = Model([(r["order"], r["part"], bytes(r["table"])) for r in count_tables(counted, bits).toLocalIterator()], bits)
+
+    def bytes_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(256)
+        for batch in batches:
+            for k, c in zip(*(column_of(batch, n).to_pylist() for n in ("keys", "counts")), strict=True):
+                total += np.bincount((unpack_sorted(k) & np.uint64(255)).astype(np.int64), weights=unpack(c, "<u8"), minlength=256)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total.astype(np.int64))], names=["byte", "n"])
+
+    frequency = np.zeros(256, dtype=np.int64)
+    for r in counted.mapInArrow(bytes_in, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
+        frequency[r["byte"]] = r["n"]
+    code = Code(frequency)
+    model = Model([(r["order"], r["part"], bytes(r["table"])) for r in count_tables(counted, bits, code).toLocalIterator()], bits, code)
     shared = spark.sparkContext.broadcast(model)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixer, seen = None, 0
         for batch in batches:
             for k, c in zip(*(column_of(batch, n).to_pylist() for n in ("keys", "counts")), strict=True):
-                mixer = mixer or shared.value.mixer()
+                mixer = mixer or shared.value.mixer(False)
                 keys, counts = unpack_sorted(k), unpack(c, "<u8")
                 order = np.argsort(mix(keys))
                 mixer.learn(keys[order], counts[order])
@@ -301,13 +346,13 @@ def train(texts: DataFrame, bits: int = 22) -> Model:
 
     parts = counted.mapInArrow(learn, "seen long, values array<double>")
     mean = parts.select("seen", F.posexplode("values").alias("at", "value")).groupBy("at").agg((F.sum(F.col("value") * F.col("seen")) / F.sum("seen")).alias("value"))
-    values = np.zeros(GATES * (ORDERS + 1) + 256 * STEPS)
+    values = np.zeros(GATES * (ORDERS + 1) + 255 * STEPS)
     rows = mean.collect()  # as many rows as the model has weights
     if not rows:
         return model
     values[[r["at"] for r in rows]] = [r["value"] for r in rows]
     cut = GATES * (ORDERS + 1)
-    return Model(model.tables, bits, values[:cut].reshape(GATES, ORDERS + 1), values[cut:].reshape(256, STEPS))
+    return Model(model.tables, bits, code, values[:cut].reshape(GATES, ORDERS + 1), values[cut:].reshape(255, STEPS))
 
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
@@ -381,7 +426,7 @@ def score(docs: DataFrame, folds: int = 10, bits: int = 22) -> DataFrame:
         mixer = held(("mixer",), dict)
         if name not in mixer:
             mixer.clear()
-            mixer[name] = shared.value.mixer()
+            mixer[name] = shared.value.mixer(True)
         mixer = mixer[name]
         rows, one, at = words_of(left)
         c = np.zeros(len(one))
@@ -394,19 +439,11 @@ def score(docs: DataFrame, folds: int = 10, bits: int = 22) -> DataFrame:
         base = np.add.reduceat(price[at], starts)
         known = np.add.reduceat((c[at] > 0).astype(np.int64), starts)
         texts = left.column("text").to_pylist()
-        scores, sizes, run, size = [], [], [], 0
-        for i, t in enumerate(texts):
-            run.append(model_text(t))
-            size += len(run[-1])
-            if size >= 8 << 20 or i == len(texts) - 1:
-                keys, n = grams(run)
-                codes, kinds_ = pd.factorize(keys)
-                value = mixer.log10(kinds_)[codes]
-                scores.append(np.add.reduceat(value, np.cumsum(n) - n))
-                sizes += [len(t.encode()) + 1 for t in texts[len(sizes) : i + 1]]
-                run, size = [], 0
-        s = np.concatenate(scores)
-        columns = [left.column("doc_id"), left.column("held_out"), lengths, known, np.full(len(rows), tokens), base, s, np.array(sizes), -s * math.log2(10) / np.array(sizes)]
+        keys, n = grams([model_text(t) for t in texts])
+        codes, some = pd.factorize(keys)
+        s = np.add.reduceat(mixer.log10(some)[codes], np.cumsum(n) - n)
+        sizes = np.array([len(t.encode()) + 1 for t in texts])
+        columns = [left.column("doc_id"), left.column("held_out"), lengths, known, np.full(len(rows), tokens), base, s, sizes, -s * math.log2(10) / sizes]
         return pa.table({c.split()[0]: pa.array(x, k) if isinstance(x, np.ndarray) else x for c, x, k in zip(SCHEMA.split(", "), columns, KINDS, strict=True)})
 
     return grouped.groupBy("g").cogroup(replies.where("g >= 0").select("g", "b", "counts").groupBy("g")).applyInArrow(judge, SCHEMA)
