@@ -109,6 +109,25 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int =
     return out.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
+def emit_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, seed: int = 17) -> DataFrame:
+    """The rows of docs, all columns, each as often as mix_sources says; rows without a copy go.
+
+    Rows equal in id, source and size share their copies as evenly as they go.
+    """
+    names = docs.columns
+    mixed = mix_sources(docs, weights, most, seed).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_n"))
+    mixed = mixed.where("_copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_of"), "_copies", "_n")
+    sized = docs.withColumn("_size", word_count(F.col("text")))
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_of"))
+    found = sized.join(mixed, on)
+    # A number is needed for the few rows that share their key alone.
+    many = found.where("_n > 1").withColumn("_row", F.row_number().over(Window.partitionBy("_id", "_source", "_of").orderBy("_copies")))
+    one = found.where("_n = 1").withColumn("_row", F.lit(1))
+    rows = one.unionByName(many)
+    times = (F.floor(F.col("_copies") / F.col("_n")) + F.when(F.col("_row") <= F.col("_copies") % F.col("_n"), 1).otherwise(0)).cast("int")
+    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))).select(*names)
+
+
 #: What op1_mix_sources gives, for DuckDB.
 SQL = r"""
 WITH d AS (
