@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -15,6 +16,14 @@ from needledrop.llm.common import column_of, held, slices, texts_of, vocabulary_
 from needledrop.llm.encoding import chunks, pieces
 
 
+#: Fixed value: the public pattern of byte-level pre-tokens.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+#: Latin letters and signs but the one that begins special tokens, after one space at most.
+PLAIN = re.compile("(?: ?[!-;=-~\u00a1-\u024f]+)")
+
+
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte: itself if it is one, else the next from U+0100 on."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -25,76 +34,129 @@ def byte_alphabet() -> list[str]:
 class PairIndexBpe:
     """A byte-level BPE vocabulary whose merges run over a whole batch of words at once.
 
-    The distinct new words of a batch lie one after another in one list of symbols. Each pair that has a rank maps to all
+    The distinct new words of a batch lie one after another in one array of symbols. Each pair that has a rank maps to all
     its positions; active ranks come from a heap in ascending order, all positions of a rank are merged from left to
     right, and the two pairs that a merge makes at its sides join their lists. A position whose pair has gone
-    meanwhile is passed over. Words keep their ids in a bounded store.
+    meanwhile is passed over. Ranks with many positions are merged as arrays, the others one position at a time.
+    Chunks keep their ids in a bounded store.
     """
 
-    def __init__(self, vocabulary: str, most: int = 400_000):
+    #: From so many positions a rank is merged as arrays.
+    MANY = 24
+
+    def __init__(self, vocabulary: str, most: int = 700_000):
+        import regex
         from tokenizers import pre_tokenizers
 
         with open(vocabulary_file(vocabulary), encoding="utf-8") as file:
             spec = json.load(file)
         ids = spec["model"]["vocab"]
-        self.first = {c: ids[c] for c in byte_alphabet()}
+        self.first = np.zeros(0x200, dtype=np.int64)
+        for c in byte_alphabet():
+            self.first[ord(c)] = ids[c]
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.merges = [(ids[a], ids[b], ids[a + b]) for a, b in merges]
         self.rank = {(a << 20) | b: r for r, (a, b, _) in reversed([*enumerate(self.merges)])}
+        self.keys = np.array(sorted(self.rank), dtype=np.int64)
+        self.ranks = np.array([self.rank[k] for k in self.keys.tolist()], dtype=np.int64)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        self.easy = all(t[0] == "<" for t in self.special)
+        self.pattern = regex.compile(PATTERN)
+        self.letters = {i: c for i, c in enumerate(byte_alphabet())}
         self.words_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
         self.most, self.known = most, {"": b""}
 
-    def merge(self, words: list[str]) -> list[list[int]]:
-        """The ids of each word, a string over the byte alphabet."""
-        first, rank, merges = self.first, self.rank, self.merges
-        symbols = [first[c] for w in words for c in w]
-        n = len(symbols)
-        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
-        ends = np.cumsum([len(w) for w in words]).tolist()
-        at = 0
-        for end in ends:
-            if at < end:
-                before[at], after[end - 1] = -1, -1
-            at = end
-        places: dict[int, list[int]] = {}
-        for i, j in enumerate(after):
-            if j >= 0 and (r := rank.get((symbols[i] << 20) | symbols[j])) is not None:
-                if r in places:
-                    places[r].append(i)
-                else:
-                    places[r] = [i]
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, or -1."""
+        key = (left << 20) | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], -1)
+
+    def merge(self, words: list[str]) -> list[bytes]:
+        """The ids of each word (a string over the byte alphabet) as little-endian 32-bit integers."""
+        text = "".join(words)
+        n = len(text)
+        if not n:
+            return [b""] * len(words)
+        symbols = self.first[np.frombuffer(text.encode("utf-16-le"), dtype="<u2")]
+        ends = np.cumsum([len(w) for w in words])
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[ends - 1] = -1
+        before[np.concatenate(([0], ends[:-1]))[np.diff(ends, prepend=0) > 0]] = -1
+        pairs = np.flatnonzero(after >= 0)
+        ranks = self.ranks_of(symbols[pairs], symbols[pairs + 1])
+        pairs, ranks = pairs[ranks >= 0], ranks[ranks >= 0]
+        order = np.argsort(ranks, kind="stable")
+        pairs, ranks = pairs[order], ranks[order]
+        cuts = [*np.flatnonzero(np.concatenate(([True], ranks[1:] != ranks[:-1]))).tolist(), len(ranks)] if len(ranks) else [0]
+        #: rank: its positions, as arrays and as a list of single ones.
+        places = {int(ranks[x]): ([pairs[x:y]], []) for x, y in zip(cuts[:-1], cuts[1:], strict=True)}
         active = [*places]
         heapify(active)
+        s, a_, b_ = memoryview(symbols), memoryview(after), memoryview(before)
+        rank_of, merges = self.rank, self.merges
+
+        def one(rank: int, at: int) -> None:
+            found = places.get(rank)
+            if found is None:
+                places[rank] = ([], [at])
+                heappush(active, rank)
+            else:
+                found[1].append(at)
+
+        def many(rank: np.ndarray, at: np.ndarray) -> None:
+            good = rank >= 0
+            rank, at = rank[good], at[good]
+            if len(rank) <= self.MANY:
+                for r, i in zip(rank.tolist(), at.tolist(), strict=True):
+                    one(r, i)
+                return
+            order = np.argsort(rank, kind="stable")
+            rank, at = rank[order], at[order]
+            cuts = [*np.flatnonzero(np.concatenate(([True], rank[1:] != rank[:-1]))).tolist(), len(rank)]
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                r = int(rank[x])
+                if r not in places:
+                    places[r] = ([], [])
+                    heappush(active, r)
+                places[r][0].append(at[x:y])
+
         while active:
             r = heappop(active)
-            a, b, new = merges[r]
-            for i in sorted(places.pop(r)):
+            left, right, new = merges[r]
+            arrays, single = places.pop(r)
+            size = sum(map(len, arrays)) + len(single)
+            if size > self.MANY and left != right:
+                i = np.unique(np.concatenate([*arrays, np.array(single, dtype=np.int64)]))
                 j = after[i]
-                if symbols[i] != a or j < 0 or symbols[j] != b:
-                    continue
-                symbols[i], symbols[j] = new, -1
+                good = (symbols[i] == left) & (j >= 0)
+                good[good] = symbols[j[good]] == right
+                i, j = i[good], j[good]
                 k, h = after[j], before[i]
-                after[i] = k
+                symbols[i], symbols[j], after[i] = new, -1, k
+                has = k >= 0
+                before[k[has]] = i[has]
+                many(self.ranks_of(np.full(int(has.sum()), new), symbols[k[has]]), i[has])
+                # The left neighbour may have merged in this step as well: its symbol is read now.
+                has = h >= 0
+                many(self.ranks_of(symbols[h[has]], np.full(int(has.sum()), new)), h[has])
+                continue
+            for i in sorted([x for some in arrays for x in some.tolist()] + single):
+                j = a_[i]
+                if s[i] != left or j < 0 or s[j] != right:
+                    continue
+                k, h = a_[j], b_[i]
+                s[i], s[j], a_[i] = new, -1, k
                 if k >= 0:
-                    before[k] = i
-                    if (s := rank.get((new << 20) | symbols[k])) is not None:
-                        if s in places:
-                            places[s].append(i)
-                        else:
-                            places[s] = [i]
-                            heappush(active, s)
-                if h >= 0 and (s := rank.get((symbols[h] << 20) | new)) is not None:
-                    if s in places:
-                        places[s].append(h)
-                    else:
-                        places[s] = [h]
-                        heappush(active, s)
-        out, at = [], 0
-        for end in ends:
-            out.append([s for s in symbols[at:end] if s >= 0])
-            at = end
-        return out
+                    b_[k] = i
+                    if (x := rank_of.get((new << 20) | s[k])) is not None:
+                        one(x, i)
+                if h >= 0 and (x := rank_of.get((s[h] << 20) | new)) is not None:
+                    one(x, h)
+        left_over = symbols >= 0
+        data = symbols[left_over].astype("<i4").tobytes()
+        stops = (4 * np.concatenate(([0], np.cumsum(left_over)[ends - 1]))).tolist() if len(words) else [0]
+        return [data[x:y] for x, y in zip(stops[:-1], stops[1:], strict=True)]
 
     def split(self, chunk: str) -> list[str | int]:
         """The pre-tokens of a chunk; special tokens, which come first as in the library, as ids."""
@@ -108,12 +170,34 @@ class PairIndexBpe:
         if len(self.known) + len(new) > self.most:
             self.known.clear()
             self.known[""] = b""
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            parts = [self.split(c) for c in some]
+        for at in range(0, len(new), 100_000):
+            some = new[at : at + 100_000]
+            plain = [c for c in some if PLAIN.fullmatch(c)] if self.easy else []
+            others = [c for c in some if not PLAIN.fullmatch(c)] if len(plain) < len(some) else []
+            self._learn_plain(plain)
+            parts = [self.split(c) for c in others]
             words = [*{w for p in parts for w in p if isinstance(w, str)}]
-            ids = dict(zip(words, self.merge(words), strict=True))
-            self.known.update((c, np.array([i for w in p for i in ([w] if isinstance(w, int) else ids[w])], dtype="<i4").tobytes()) for c, p in zip(some, parts, strict=True))
+            ids: dict[str | int, bytes] = dict(zip(words, self.merge(words), strict=True))
+            ids |= {n: np.array([n], dtype="<i4").tobytes() for n in self.special.values()}
+            self.known.update((c, b"".join([ids[w] for w in p])) for c, p in zip(others, parts, strict=True))
+
+    def _learn_plain(self, new: list[str]) -> None:
+        """Chunks of Latin letters and signs, without white space inside: cut by one pass of the public pattern over all of
+        them, one in a line, as a line feed is a pre-token of its own there."""
+        if not new:
+            return
+        tokens = self.pattern.findall("\n".join(new))
+        words = [*{*tokens} - {"\n"}]
+        spelled = "\n".join(words).encode().decode("latin-1").translate(self.letters).split(self.letters[10])
+        ids = dict(zip(words, self.merge(spelled), strict=True))
+        # Chunks of one word are most of them.
+        ids["\n"] = b""
+        flat = list(map(ids.__getitem__, tokens))
+        start, rows = 0, []
+        for end in [*(i for i, t in enumerate(tokens) if t == "\n"), len(tokens)]:
+            rows.append(flat[start] if end - start == 1 else b"".join(flat[start:end]))
+            start = end + 1
+        self.known.update(zip(new, rows, strict=True))
 
     def encode(self, parts: list[str]) -> list[bytes]:
         """The ids of each chunk as little-endian 32-bit integers."""
@@ -137,7 +221,7 @@ def spelling(vocabulary: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(spelled), dtype=np.uint8), np.cumsum(size) - size, size
 
 
-def encode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", batch_bytes: int = 2 << 20, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", batch_bytes: int = 4 << 20, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, ids array<int> for every row of docs, without a shuffle.
 
     The ids are those of the tokenizers library for a byte-level BPE file, without added special tokens; the merges run
