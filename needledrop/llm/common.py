@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A null document id counts as larger than every other id.
@@ -60,6 +60,11 @@ def with_ids(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     return bounded_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
+def whole_rows(df: DataFrame) -> Column:
+    """All columns of df as one struct column, so that a column of any name can stand beside it; select("row.*") undoes it."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+
+
 def pack(values: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())
 

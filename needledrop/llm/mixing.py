@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from needledrop.llm.common import column_of, partitions_for, written
+from needledrop.llm.common import column_of, partitions_for, whole_rows, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -114,18 +114,14 @@ def emit_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3,
 
     Rows equal in id, source and size share their copies as evenly as they go.
     """
-    names = docs.columns
-    mixed = mix_sources(docs, weights, most, seed).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_n"))
-    mixed = mixed.where("_copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_of"), "_copies", "_n")
-    sized = docs.withColumn("_size", word_count(F.col("text")))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_of"))
-    found = sized.join(mixed, on)
-    # A number is needed for the few rows that share their key alone.
-    many = found.where("_n > 1").withColumn("_row", F.row_number().over(Window.partitionBy("_id", "_source", "_of").orderBy("_copies")))
-    one = found.where("_n = 1").withColumn("_row", F.lit(1))
-    rows = one.unionByName(many)
-    times = (F.floor(F.col("_copies") / F.col("_n")) + F.when(F.col("_row") <= F.col("_copies") % F.col("_n"), 1).otherwise(0)).cast("int")
-    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))).select(*names)
+    mixed = mix_sources(docs, weights, most, seed).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("n")).where("copies > 0")
+    rows = docs.select(whole_rows(docs), F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("of"), word_count(F.col("text")).alias("words"))
+    found = rows.join(mixed, F.col("id").eqNullSafe(F.col("doc_id")) & F.col("of").eqNullSafe(F.col("source")) & (F.col("words") == F.col("size")))
+    # Only the few rows that share their key need a number.
+    many = found.where("n > 1").withColumn("at", F.row_number().over(Window.partitionBy("id", "of", "words").orderBy("copies")))
+    numbered = found.where("n = 1").withColumn("at", F.lit(1)).unionByName(many)
+    times = (F.floor(F.col("copies") / F.col("n")) + F.when(F.col("at") <= F.col("copies") % F.col("n"), 1).otherwise(0)).cast("int")
+    return numbered.select("row", F.explode(F.array_repeat(F.lit(1), times))).select("row.*")
 
 
 #: What op1_mix_sources gives, for DuckDB.

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from needledrop.llm.common import column_of, partitions_for, texts_of, with_ids, written
+from needledrop.llm.common import column_of, partitions_for, texts_of, whole_rows, with_ids, written
 from needledrop.llm.components import connected_components
 
 #: Shingles whose bits are counted at a time.
@@ -151,21 +151,19 @@ def keep_one(docs: DataFrame, radius: int = 4) -> DataFrame:
 
     Of rows with equal id and fingerprint one stays. Of a group without any id, one row for each fingerprint stays.
     """
-    marks = near_copies(docs, radius)
-    kept = marks.where("component_id <=> doc_id").select(F.col("doc_id").alias("_kept_id"), F.col("fp").alias("_kept_fp")).distinct()
-    # Most rows stay, so their ids alone meet the texts; repeated ids are told apart by their fingerprint.
-    twice = kept.groupBy("_kept_id").count().where("count > 1 or _kept_id is null").select("_kept_id")
-    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("_kept_id"))
-    odd = written(twice.union(repeated).distinct(), "repeated-ids")
-    single = docs.join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi")
+    kept = near_copies(docs, radius).where("component_id <=> doc_id").select(F.col("doc_id").alias("kept_id"), F.col("fp").alias("kept_fp")).distinct()
+    rows = docs.select(whole_rows(docs), F.col("doc_id").cast("long").alias("id"))
+    # Ids alone meet the texts. Those that aren't unique are told apart by their fingerprint.
+    repeated = rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null").select(F.col("id").alias("odd_id"))
+    odd = written(repeated, "repeated-ids")
+    single = rows.join(kept, F.col("id") == F.col("kept_id"), "left_semi")
     if odd.isEmpty():
-        return single
-    plain = single.join(odd, F.col("doc_id") == F.col("_kept_id"), "left_anti")
-    some = docs.join(odd, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+        return single.select("row.*")
+    plain = single.join(odd, F.col("id") == F.col("odd_id"), "left_anti")
     bits = F.udf(lambda t: int(np.uint64(fingerprint(t or "")).view(np.int64)), "long")
-    some = some.withColumn("_fp", bits("text"))
-    some = some.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_fp") == F.col("_kept_fp")), "left_semi")
-    return plain.unionByName(some.dropDuplicates(["doc_id", "_fp"]).drop("_fp"))
+    some = rows.join(odd, F.col("id").eqNullSafe(F.col("odd_id")), "left_semi").withColumn("fp", bits("row.text"))
+    some = some.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("fp") == F.col("kept_fp")), "left_semi").dropDuplicates(["id", "fp"])
+    return plain.select("row.*").unionByName(some.select("row.*"))
 
 
 def hex_digits(fp: Column) -> Column:
