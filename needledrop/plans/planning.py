@@ -164,12 +164,50 @@ def band_class(cutoff: Column, top: Column) -> Column:
     )
 
 
+#: Cutoffs in kHz and the profiles that they speak for.
+TIERS = ((22.05, "44100/16"), (24.0, "48000/24"), (44.1, "88200/24"), (48.0, "96000/24"), (88.2, "176400/24"), (96.0, "192000/24"))
+
+
+def promoted() -> Column:
+    """A texture above a CD's cutoff on a 48 kHz axis speaks for 96 kHz."""
+    return ~F.col("brickwall") & F.col("transition") & F.col("top").between(44, 52) & F.col("cutoff").between(21, 26) & (F.col("span") >= 28) & (F.col("ratio") >= 0.55)
+
+
+def likely_profile(x: DataFrame) -> DataFrame:
+    """x with likely_profile (the nearest tier, unless texture or an axis filled to its top decide) and profile_confidence."""
+    cutoff = F.greatest(F.lit(0.0), F.least(F.col("cutoff"), F.col("top")))
+    nearest = F.array_min(F.array(*[F.struct(F.abs(cutoff - k).alias("far"), F.lit(i).alias("i"), F.lit(p).alias("profile")) for i, (k, p) in enumerate(TIERS)]))
+    rows = x.withColumn("nearest", nearest)
+    far, top = F.col("nearest.far"), F.col("top")
+    points = F.when(~F.col("transition"), 0).when(far <= 1.5, 2).when(far <= 4, 1).otherwise(0)
+    points = F.when(~F.col("stats") & (points > 0), points - 1).otherwise(points)
+    aligned = F.col("transition") & (cutoff >= 0.88 * top)
+    by_axis = F.when(top >= 90, "192000/24").when(top >= 44, "96000/24").when(top > 22.5, "48000/24").otherwise("44100/16")
+    points = F.when(aligned | promoted(), F.greatest(points, F.lit(1))).otherwise(points)
+    profile = F.when(aligned, by_axis).when(promoted(), "96000/24").otherwise(F.col("nearest.profile"))
+    return rows.withColumns({"likely_profile": profile, "profile_confidence": F.when(points == 2, "HIGH").when(points == 1, "MEDIUM").otherwise("LOW")}).drop("nearest")
+
+
+def verdict(x: DataFrame) -> DataFrame:
+    """id, label, band, score, class and profile_confidence: the score card under what speaks for lossy sources."""
+    wide = ~F.col("brickwall") & (F.col("top") >= 90)
+    strong = wide & (F.col("cutoff") <= 50) & (F.col("ratio") <= 0.25)
+    middle = wide & (F.col("cutoff") <= 45) & (F.col("ratio") <= 0.7) & (F.col("span") <= 20)
+    own = likely_profile(x).select(F.col("id").alias("own"), "likely_profile", "profile_confidence", strong.alias("strong"), middle.alias("middle"), F.col("brickwall").alias("wall"), F.col("top").alias("axis"))
+    rows = score_card(x).join(own, F.col("id") == F.col("own"))
+    down = F.col("middle") & F.col("class").isin("S", "A", "B")
+    s = F.when(down, F.greatest(F.col("score") - 12, F.lit(0))).otherwise(F.col("score"))
+    again = F.when((s >= 95) & F.col("band").isin("hires-96-class", "hires-192-class"), "S").when(s >= 86, "A").when(s >= 70, "B").when(s >= 54, "C").when(s >= 38, "D").otherwise("F")
+    label = F.when(F.col("wall") & (F.col("axis") > 24.5), "lossy-upsampled").when(F.col("wall") | F.col("strong") | F.col("middle"), "lossy-compressed").otherwise(F.col("likely_profile"))
+    return rows.select("id", label.alias("label"), "band", s.alias("score"), F.when(down, again).otherwise(F.col("class")).alias("class"), "profile_confidence")
+
+
 def score_card(x: DataFrame) -> DataFrame:
     """id, band, score (0 to 100), class and confidence of a spectrogram's figures.
 
     x: id, cutoff, top, transition, stats, peak, dr, span, ratio, brickwall. Signed parts are added to 62.
     """
-    rows = x.withColumn("band", band_class(F.col("cutoff"), F.col("top")))
+    rows = x.withColumn("band", F.when(promoted(), "hires-96-class").otherwise(band_class(F.col("cutoff"), F.col("top"))))
     peak, dr, band = F.col("peak"), F.col("dr"), F.col("band")
     hires = band.isin("hires-96-class", "hires-192-class")
     cd_true = ~F.col("brickwall") & (band == "cd-or-48k") & (F.col("cutoff") >= 0.75 * F.col("top"))

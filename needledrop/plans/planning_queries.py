@@ -159,23 +159,38 @@ def _figures(spark: SparkSession, d: str) -> DataFrame:
     ).withColumn("ratio", F.col("r20") / 10)
 
 
-add(
-    "score_card",
-    lambda spark, d: planning.score_card(_figures(spark, d)),
-    f"""WITH {TRACKS_SQL}, f AS (SELECT album_id * 100 + position AS id, list_extract([22.0::DOUBLE, 24.0::DOUBLE, 48.0::DOUBLE, 96.0::DOUBLE], CAST(album_id % 4 + 1 AS BIGINT)) AS top, cutoff_hz AS k, dr AS d FROM tracks),
-  x AS (SELECT id, top, least(top, CAST(k % 97 AS DOUBLE)) AS cutoff, k % 3 <> 0 AS transition, k % 4 <> 0 AS stats, CASE WHEN k % 4 <> 0 THEN CAST(k % 50 - 40 AS DOUBLE) / 10 END AS peak, CASE WHEN k % 5 <> 0 THEN CAST(d AS DOUBLE) END AS dr, CAST(k % 40 AS DOUBLE) AS span, CAST(k % 20 AS DOUBLE) / 10 AS ratio, k % 6 = 0 AS brick FROM f),
-  b AS (SELECT *, CASE WHEN top <= 24.5 THEN CASE WHEN cutoff / top < 0.55::DOUBLE THEN 'low-bandwidth' ELSE 'cd-or-48k' END WHEN top <= 50 THEN CASE WHEN cutoff < 16 THEN 'low-bandwidth' WHEN cutoff < 30 THEN 'cd-or-48k' ELSE 'hires-96-class' END
-    WHEN cutoff < 18 THEN 'low-bandwidth' WHEN cutoff < 26 THEN 'cd-or-48k' WHEN cutoff < 52 THEN 'hires-96-class' ELSE 'hires-192-class' END AS band FROM x),
+_CARD = f"""{TRACKS_SQL}, f AS (SELECT album_id * 100 + position AS id, list_extract([22.0::DOUBLE, 24.0::DOUBLE, 48.0::DOUBLE, 96.0::DOUBLE], CAST(album_id % 4 + 1 AS BIGINT)) AS top, cutoff_hz AS k, dr AS d FROM tracks),
+  x AS (SELECT id, top, least(top, CAST(k % 97 AS DOUBLE)) AS cutoff, k % 3 <> 0 AS transition, k % 4 <> 0 AS stats, CASE WHEN k % 4 <> 0 THEN CAST(k % 50 - 40 AS DOUBLE) / 10 END AS peak, CASE WHEN k % 5 <> 0 THEN CAST(d AS DOUBLE) END AS dr, CAST(k % 40 AS DOUBLE) AS span, CAST(k % 20 AS DOUBLE) / 10 AS ratio, k % 6 = 0 AS brick FROM f), pr AS (SELECT *, NOT brick AND transition AND top BETWEEN 44 AND 52 AND cutoff BETWEEN 21 AND 26 AND span >= 28 AND ratio >= 0.55::DOUBLE AS promoted FROM x),
+  b AS (SELECT *, CASE WHEN promoted THEN 'hires-96-class' WHEN top <= 24.5 THEN CASE WHEN cutoff / top < 0.55::DOUBLE THEN 'low-bandwidth' ELSE 'cd-or-48k' END WHEN top <= 50 THEN CASE WHEN cutoff < 16 THEN 'low-bandwidth' WHEN cutoff < 30 THEN 'cd-or-48k' ELSE 'hires-96-class' END
+    WHEN cutoff < 18 THEN 'low-bandwidth' WHEN cutoff < 26 THEN 'cd-or-48k' WHEN cutoff < 52 THEN 'hires-96-class' ELSE 'hires-192-class' END AS band FROM pr),
   r AS (SELECT *, band IN ('hires-96-class', 'hires-192-class') AS hires, 62 + CASE band WHEN 'low-bandwidth' THEN -20 WHEN 'hires-96-class' THEN 8 WHEN 'hires-192-class' THEN 10 ELSE 0 END
     + CASE WHEN transition THEN 6 ELSE -4 END + CASE WHEN stats THEN 3 ELSE -2 END + CASE WHEN peak IS NULL THEN -2 WHEN peak > 0.2::DOUBLE THEN -25 WHEN peak >= -0.2::DOUBLE THEN -10 WHEN peak <= -2 THEN 10 ELSE 3 END
     + CASE WHEN dr IS NULL THEN -5 WHEN dr >= 14 THEN 20 WHEN dr >= 10 THEN 10 WHEN dr >= 7 THEN -5 ELSE -20 END + CASE WHEN peak IS NULL AND dr IS NULL THEN -2 ELSE 0 END
     + CASE WHEN NOT brick AND band = 'cd-or-48k' AND cutoff >= 0.75::DOUBLE * top THEN 35 ELSE 0 END
     + CASE WHEN brick THEN -35 WHEN band IN ('hires-96-class', 'hires-192-class') THEN CASE WHEN top >= 90 AND cutoff >= 50 THEN 10 WHEN top >= 44 AND cutoff >= 0.88::DOUBLE * top THEN 8 ELSE 0 END + CASE WHEN span >= 30 THEN 8 ELSE 0 END + CASE WHEN ratio BETWEEN 0.25::DOUBLE AND 1.4::DOUBLE THEN 4 ELSE 0 END
       WHEN band = 'cd-or-48k' AND top >= 90 AND cutoff >= 18 THEN 14 ELSE 0 END AS raw FROM b),
-  s AS (SELECT *, greatest(0, least(100, CASE WHEN peak IS NULL AND dr IS NULL AND band = 'cd-or-48k' THEN least(raw, 69) WHEN peak IS NULL AND dr IS NULL AND hires THEN least(raw, 85) ELSE raw END)) AS score FROM r)
-  SELECT id, band, CAST(score AS INTEGER) AS score, CASE WHEN hires AND NOT brick AND (score >= 95 OR (score >= 93 AND cutoff >= 50 AND span >= 30 AND ratio <= 0.6::DOUBLE) OR coalesce(score >= 90 AND dr >= 20, false)) THEN 'S'
+  s AS (SELECT *, greatest(0, least(100, CASE WHEN peak IS NULL AND dr IS NULL AND band = 'cd-or-48k' THEN least(raw, 69) WHEN peak IS NULL AND dr IS NULL AND hires THEN least(raw, 85) ELSE raw END)) AS score FROM r),
+  card AS (SELECT * EXCLUDE (score), CAST(score AS INTEGER) AS score, CASE WHEN hires AND NOT brick AND (score >= 95 OR (score >= 93 AND cutoff >= 50 AND span >= 30 AND ratio <= 0.6::DOUBLE) OR coalesce(score >= 90 AND dr >= 20, false)) THEN 'S'
     WHEN score >= 86 THEN 'A' WHEN score >= 70 THEN 'B' WHEN score >= 54 THEN 'C' WHEN score >= 38 THEN 'D' ELSE 'F' END AS class,
-    CASE WHEN CAST(transition AS INT) + CAST(stats AS INT) + CAST(peak IS NOT NULL AS INT) + 2 * CAST(dr IS NOT NULL AS INT) >= 4 THEN 'HIGH' WHEN CAST(transition AS INT) + CAST(stats AS INT) + CAST(peak IS NOT NULL AS INT) + 2 * CAST(dr IS NOT NULL AS INT) >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM s""",
+    CASE WHEN CAST(transition AS INT) + CAST(stats AS INT) + CAST(peak IS NOT NULL AS INT) + 2 * CAST(dr IS NOT NULL AS INT) >= 4 THEN 'HIGH' WHEN CAST(transition AS INT) + CAST(stats AS INT) + CAST(peak IS NOT NULL AS INT) + 2 * CAST(dr IS NOT NULL AS INT) >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM s)"""
+add(
+    "score_card",
+    lambda spark, d: planning.score_card(_figures(spark, d)),
+    f"WITH {_CARD} SELECT id, band, score, class, confidence FROM card",
+)
+add(
+    "verdict",
+    lambda spark, d: planning.verdict(_figures(spark, d)),
+    f"""WITH {_CARD}, near AS (SELECT *, greatest(0, least(cutoff, top)) AS c FROM card), tier AS (
+  SELECT *, abs(c - k) AS far, profile, row_number() OVER (PARTITION BY near.id ORDER BY abs(c - k), i) AS n FROM near, (VALUES {", ".join(f"({i}, {k}::DOUBLE, '{x}')" for i, (k, x) in enumerate(planning.TIERS))}) t(i, k, profile)
+), pts AS (SELECT *, CASE WHEN NOT transition THEN 0 WHEN far <= 1.5 THEN 2 WHEN far <= 4 THEN 1 ELSE 0 END AS raw_points, transition AND c >= 0.88::DOUBLE * top AS aligned FROM tier WHERE n = 1
+), q AS (SELECT *, greatest(raw_points - CASE WHEN NOT stats AND raw_points > 0 THEN 1 ELSE 0 END, CASE WHEN aligned OR promoted THEN 1 ELSE 0 END) AS points,
+  CASE WHEN aligned THEN CASE WHEN top >= 90 THEN '192000/24' WHEN top >= 44 THEN '96000/24' WHEN top > 22.5 THEN '48000/24' ELSE '44100/16' END WHEN promoted THEN '96000/24' ELSE profile END AS likely,
+  NOT brick AND top >= 90 AND cutoff <= 50 AND ratio <= 0.25::DOUBLE AS strong, NOT brick AND top >= 90 AND cutoff <= 45 AND ratio <= 0.7::DOUBLE AND span <= 20 AS middle FROM pts
+), z AS (SELECT *, middle AND class IN ('S', 'A', 'B') AS down, CASE WHEN middle AND class IN ('S', 'A', 'B') THEN greatest(score - 12, 0) ELSE score END AS s2 FROM q)
+  SELECT id, CASE WHEN brick AND top > 24.5 THEN 'lossy-upsampled' WHEN brick OR strong OR middle THEN 'lossy-compressed' ELSE likely END AS label, band, CAST(s2 AS INTEGER) AS score,
+  CASE WHEN NOT down THEN class WHEN s2 >= 95 AND hires THEN 'S' WHEN s2 >= 86 THEN 'A' WHEN s2 >= 70 THEN 'B' WHEN s2 >= 54 THEN 'C' WHEN s2 >= 38 THEN 'D' ELSE 'F' END AS class,
+  CASE points WHEN 2 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS profile_confidence FROM z""",
 )
 add(
     "size_labels",

@@ -97,3 +97,21 @@ def test_empty_catalog(spark, sf_dir):
     assert [tuple(r) for r in catalog.inventory(none, "codec_norm").collect()] == [("__all__", 0)]
     assert catalog.stats(none, none).first()["total"] == 0
     assert catalog.page(none).count() == 0
+
+
+def test_calibrated_verdicts(spark):
+    schema = "id int, cutoff double, top double, transition boolean, stats boolean, peak double, dr double, span double, ratio double, brickwall boolean"
+    cases = [
+        ((96.0, 96.0, True, True, -3.0, 15.0, 34.0, 0.5, False), ("192000/24", "S", "HIGH", "hires-192-class")),
+        ((21.8, 96.0, True, False, None, None, 18.0, 0.18, True), ("lossy-upsampled", "F", "MEDIUM", "cd-or-48k")),
+        ((19.4, 22.0, True, False, None, None, 18.0, 0.82, False), ("44100/16", "C", "MEDIUM", "cd-or-48k")),
+        ((20.3, 22.05, True, False, None, None, 24.0, 0.0, False), ("44100/16", "C", "MEDIUM", "cd-or-48k")),
+        ((22.1, 24.0, True, False, None, None, 24.0, 0.0, False), ("48000/24", "C", "MEDIUM", "cd-or-48k")),
+        ((44.18, 48.0, True, False, None, None, 22.37, 1.4, False), ("96000/24", "B", "MEDIUM", "hires-96-class")),
+        ((16.5, 96.0, True, True, -0.3, 6.0, 15.0, 0.12, False), ("lossy-compressed", "F", "LOW", "low-bandwidth")),
+        ((22.4, 48.0, True, False, None, None, 34.0, 0.9, False), ("96000/24", "B", "MEDIUM", "hires-96-class")),
+        ((22.4, 48.0, True, False, None, None, 18.0, 0.2, False), ("44100/16", "C", "MEDIUM", "cd-or-48k")),
+    ]
+    df = spark.createDataFrame([(i, *c) for i, (c, _) in enumerate(cases)], schema)
+    found = {r["id"]: (r["label"], r["class"], r["profile_confidence"], r["band"]) for r in planning.verdict(df).collect()}
+    assert found == {i: want for i, (_, want) in enumerate(cases)}
