@@ -27,7 +27,7 @@ def directions(dim: int, n: int, seed: int) -> np.ndarray:
         p = np.random.default_rng(seed).normal(size=(dim, n))
         return (p / np.linalg.norm(p, axis=0)).astype(np.float32)
 
-    return held(("directions", dim, n, seed), make)
+    return held(("embeddings", dim, n, seed), make)
 
 
 def unit_rows(data: list[bytes], kind: str) -> np.ndarray:
@@ -247,3 +247,15 @@ def near_copies(vectors: DataFrame, least: float = 0.93, n_lists: int | None = N
 
 
 LISTS_NAMES = [c.split()[0] for c in LISTS.split(", ")]
+
+#: What op2_embedding_dedup gives, for DuckDB (all pairs of a label: for small tables).
+SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (
+  SELECT vec_id, vec_id AS other FROM v UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a
+), c AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id)
+SELECT c.vec_id, (SELECT count(*) FROM links WHERE a = c.vec_id) AS n_links, component_id, c.vec_id = component_id AS kept FROM c
+"""

@@ -60,4 +60,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.SQL, "op7_warc": warc.SQL}
+    return {"op1_mix_sources": mixing.SQL, "op2_embedding_dedup": embedding_dedup.SQL, "op7_warc": warc.SQL, "op8_substring_dedup": substring.SQL}
