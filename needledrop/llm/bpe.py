@@ -232,7 +232,7 @@ def encode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", batch_bytes:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held(("bpe", vocabulary), lambda: PairIndexBpe(vocabulary))
+        model = held(("bpe", "model", vocabulary), lambda: PairIndexBpe(vocabulary))
         for batch in batches:
             texts = texts_of(batch)
             sizes = np.array(pa.compute.binary_length(column_of(batch, "text")), dtype=np.int64)
@@ -264,7 +264,7 @@ def decode(encoded: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFra
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, start, size = held(("spelling", vocabulary), lambda: spelling(vocabulary))
+        letters, start, size = held(("bpe", "spelling", vocabulary), lambda: spelling(vocabulary))
         for batch in batches:
             lists = column_of(batch, "ids")
             n_tokens = pa.compute.list_value_length(lists)

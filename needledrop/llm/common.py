@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -116,7 +119,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of words, kept for words met before; the store is emptied at a fixed number of entries."""
 
-    def __init__(self, seed: int, most: int = 400_000):
+    def __init__(self, seed: int, most: int = 200_000):
         import xxhash
 
         self.hash, self.seed, self.most, self.known = xxhash.xxh3_64_intdigest, seed, most, {}
@@ -143,11 +146,29 @@ def vocabulary_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-_held: dict = {}
+_held: dict[str, dict] = {}
 
 
 def held(key: tuple, make):
-    """One object for each Python worker process; Spark reuses the process for further tasks."""
-    if key not in _held:
-        _held[key] = make()
-    return _held[key]
+    """One object for each Python worker process; Spark reuses the process for further tasks.
+
+    key: the operator, then what it is. What other operators held goes, so that a process which serves one stage after
+    another has the stores of one at a time.
+    """
+    mine = _held.get(key[0])
+    if mine is None:
+        if _held:
+            _held.clear()
+            give_back()
+        mine = _held[key[0]] = {}
+    if key not in mine:
+        mine[key] = make()
+    return mine[key]
+
+
+def give_back() -> None:
+    """Free memory of this process goes back to the machine: a worker lives on, and others need it meanwhile."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -35,7 +35,7 @@ SPACES = " \t\n\x0b\x0c\r"
 class Fertility:
     """What each word costs in both vocabularies, kept for words met before; emptied at a fixed number of words."""
 
-    def __init__(self, byte_level: str, pieces: str, most: int = 400_000):
+    def __init__(self, byte_level: str, pieces: str, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from needledrop.llm.common import WordHashes, bounded_batches, column_of, held, mix, pack, pack_sorted, partitions_for, slices, texts_of, unpack, unpack_sorted, written
 
-#: Contexts of 0 to 4 preceding bytes, and of the word so far; each with the bits of the next byte that are already known.
-ORDERS = 6
+#: Contexts of 1 to 4 preceding bytes, and of the word so far; each with the bits of the next byte that are already known.
+ORDERS = 5
 #: Odd multiplier of the rolling sum over the bytes of a word, and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C1D
 INVERSE = pow(BASE, -1, 2**64)
@@ -31,7 +31,7 @@ def model_text(text: str) -> bytes:
     return b" ".join(text.encode().lower().split()) + END
 
 
-def grams(streams: list[bytes], block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def grams(streams: list[bytes], block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """The keys of all bytes of the texts (see _grams), and each text's length."""
     lengths = np.array([len(s) for s in streams], dtype=np.int64)
     return np.concatenate([_grams(streams[a:b]) for a, b in slices(lengths, block)]), lengths
@@ -62,7 +62,7 @@ def _grams(streams: list[bytes]) -> np.ndarray:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    kept = held(("powers of bytes",), dict)
+    kept = held(("lm", "powers"), dict)
     if len(kept.get("up", ())) < n:
         for name, base in (("up", BASE), ("down", INVERSE)):
             steps = np.full(max(n, 1 << 16), base, dtype=np.uint64)
@@ -102,7 +102,7 @@ class Code:
 
 def slots(keys: np.ndarray, of: np.ndarray, nodes: np.ndarray, order: int, bits: int) -> np.ndarray:
     """The place of each decision in the table of an order."""
-    context = keys >> np.uint64(40) if order == ORDERS - 1 else (keys >> np.uint64(8)) & np.uint64((1 << 8 * order) - 1)
+    context = keys >> np.uint64(40) if order == ORDERS - 1 else (keys >> np.uint64(8)) & np.uint64((1 << 8 * (order + 1)) - 1)
     base = mix(context * np.uint64(ORDERS) + np.uint64(order + 1))
     h = (base[of] + nodes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD1342543DE82EF95)
     return ((h ^ (h >> np.uint64(29))) * np.uint64(0xAF251AF3B0F025B5) >> np.uint64(64 - bits)).astype(np.int64)
@@ -122,11 +122,10 @@ def evidence(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Mixer:
     """Count tables of all orders, gated weights, and the refinement; predicts the decisions of grams."""
 
-    def __init__(self, tables: list[np.ndarray], bits: int, code: Code, weights: np.ndarray | None = None, refinement: np.ndarray | None = None, frozen: bool = False):
-        self.tables, self.bits, self.code = tables, bits, code
-        self.frozen = frozen
-        if frozen:  # what the tables say, worked out once
-            self.tables = [evidence(t[:, 0].astype(np.float32), t[:, 1].astype(np.float32)) for t in tables]
+    def __init__(self, tables: Iterator[np.ndarray], bits: int, code: Code, weights: np.ndarray | None = None, refinement: np.ndarray | None = None, frozen: bool = False):
+        self.bits, self.code, self.frozen = bits, code, frozen
+        # Frozen: what the tables say, worked out once.
+        self.tables = [evidence(t[:, 0].astype(np.float32), t[:, 1].astype(np.float32)) if frozen else t for t in tables]
         self.weights = np.full((GATES, ORDERS + 1), 0.3) if weights is None else weights
         if weights is None:
             self.weights[:, -1] = 0
@@ -216,11 +215,16 @@ def histogram(texts: DataFrame, buckets: int) -> DataFrame:
     """keys, counts (packed arrays, a row for each bucket): how often each gram is in the texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pandas as pd
-
-        for rows in _streams(batches):
-            codes, keys = pd.factorize(grams(rows)[0])
-            yield _packed(keys, np.bincount(codes), buckets)
+        parts = []
+        for rows in _streams(batches, 2 << 20):
+            keys = np.sort(grams(rows)[0])
+            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            parts.append((keys[first], np.diff(np.append(first, len(keys))).astype("<u8")))
+            if len(parts) == 8:
+                yield _packed(*_summed(parts), buckets)
+                parts = []
+        if parts:
+            yield _packed(*_summed(parts), buckets)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, list] = {}
@@ -247,7 +251,7 @@ def _summed(parts: list) -> tuple[np.ndarray, np.ndarray]:
 
 def _packed(keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
     b = (mix(keys) % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((keys, b))
+    order = np.argsort(b, kind="stable")  # keys are in order already
     keys, counts, b = keys[order], counts[order].astype("<u8"), b[order]
     cuts = [*np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))).tolist(), len(b)]
     runs = [*zip(cuts[:-1], cuts[1:], strict=True)]
@@ -263,10 +267,10 @@ def count_tables(grams_: DataFrame, bits: int, code: Code, parts: int = 16) -> D
         for order in range(ORDERS) if parts_ else ():
             total = np.zeros(2 << bits, dtype=np.float64)  # one order at a time
             for keys, counts in parts_:
-                for at in range(0, len(keys), 50_000):
-                    some = keys[at : at + 50_000]
+                for at in range(0, len(keys), 400_000):
+                    some = keys[at : at + 400_000]
                     of, nodes, bit = code.decisions(some)
-                    np.add.at(total, 2 * slots(some, of, nodes, order, bits) + bit, counts[at : at + 50_000].astype(np.float64)[of])
+                    total += np.bincount(2 * slots(some, of, nodes, order, bits) + bit, weights=counts[at : at + 400_000].astype(np.float64)[of], minlength=2 << bits)
             for part in range(parts):
                 some = total[2 * width * part : 2 * width * (part + 1)]
                 at = np.flatnonzero(some)
@@ -299,14 +303,18 @@ class Model:
     refinement: np.ndarray | None = None
 
     def mixer(self, frozen: bool) -> Mixer:
-        tables = [np.zeros((1 << self.bits, 2), dtype="<u2") for _ in range(ORDERS)]
-        for order, part, data in self.tables:
-            some = unpack(data, "<u2").reshape(-1, 2)
-            tables[order][part * len(some) : (part + 1) * len(some)] = some
-        return Mixer(tables, self.bits, self.code, self.weights, self.refinement, frozen)
+        def table(wanted: int) -> np.ndarray:
+            out = np.zeros((1 << self.bits, 2), dtype="<u2")
+            for order, part, data in self.tables:
+                if order == wanted:
+                    some = unpack(data, "<u2").reshape(-1, 2)
+                    out[part * len(some) : (part + 1) * len(some)] = some
+            return out
+
+        return Mixer(map(table, range(ORDERS)), self.bits, self.code, self.weights, self.refinement, frozen)
 
 
-def train(texts: DataFrame, bits: int = 22) -> Model:
+def train(texts: DataFrame, bits: int = 21) -> Model:
     """A model of the texts (a column text): counts over all of them, then weights and refinement over all grams.
 
     The grams of all texts are counted in tasks and added up by a shuffle; their bits are added up in the tables of each
@@ -358,7 +366,7 @@ def train(texts: DataFrame, bits: int = 22) -> Model:
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
 
 
-def score(docs: DataFrame, folds: int = 10, bits: int = 22) -> DataFrame:
+def score(docs: DataFrame, folds: int = 10, bits: int = 21) -> DataFrame:
     """One row for each row of docs (doc_id, text), by a model of the documents with crc32(doc_id) mod folds not 0.
 
     held_out: the remainder is 0. Tokens are words in lower case and one end. base_score: log10 of the unigram
@@ -372,21 +380,36 @@ def score(docs: DataFrame, folds: int = 10, bits: int = 22) -> DataFrame:
     Null text: empty, the end alone. A null id counts as the empty text: held out. Repeated rows each give a row (and count
     twice in training). Without training documents all counts are 0. An empty table gives no row.
     """
-    groups = buckets = partitions_for(docs)
+    buckets = partitions_for(docs)
+    groups = 2 * buckets
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (F.crc32(name.cast("binary")) % folds == 0).alias("held_out"))
     model = train(rows.where("not held_out"), bits)
     grouped = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
 
-    def words_of(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        hashes = held(("words", 4), lambda: WordHashes(4))
-        rows = [hashes([*t.encode().lower().split(), END]) for t in table.column("text").to_pylist()]
-        one, at = np.unique(np.concatenate(rows), return_inverse=True)
-        return rows, one, at
+    def words_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How many tokens each row has, the distinct words' hashes in order, and which of them each token is."""
+        import pandas as pd
+
+        hashes = held(("lm", "words"), lambda: WordHashes(4, 400_000))
+        lengths, parts, run = [], [], []
+        for t in table.column("text").to_pylist():
+            words = t.encode().lower().split()
+            words.append(END)
+            lengths.append(len(words))
+            run += words
+            if len(run) > 200_000:
+                parts.append(hashes(run))
+                run = []
+        codes, found = pd.factorize(np.concatenate([*parts, hashes(run)]) if run else np.concatenate(parts))
+        order = np.argsort(found)
+        place = np.empty(len(found), dtype=np.int64)
+        place[order] = np.arange(len(found))
+        return np.array(lengths), found[order], place[codes]
 
     def distinct(table: pa.Table) -> pa.Table:
-        rows, one, at = words_of(table)
-        training = np.repeat(~np.array(table.column("held_out")), [len(r) for r in rows])
+        lengths, one, at = words_of(table)
+        training = np.repeat(~np.array(table.column("held_out")), lengths)
         counts = np.bincount(at, weights=training, minlength=len(one)).astype("<u4")
         b = (one % np.uint64(buckets)).astype(np.int64)
         where = [np.flatnonzero(b == k) for k in range(buckets)] if buckets < 64 else np.split(np.argsort(b, kind="stable"), np.searchsorted(np.sort(b), np.arange(1, buckets)))
@@ -423,27 +446,29 @@ def score(docs: DataFrame, folds: int = 10, bits: int = 22) -> DataFrame:
 
         if not left.num_rows:
             return pa.table({c.split()[0]: pa.array([], k) for c, k in zip(SCHEMA.split(", "), KINDS, strict=True)})
-        mixer = held(("mixer",), dict)
+        mixer = held(("lm", "mixer"), dict)
         if name not in mixer:
             mixer.clear()
             mixer[name] = shared.value.mixer(True)
         mixer = mixer[name]
-        rows, one, at = words_of(left)
+        lengths, one, at = words_of(left)
         c = np.zeros(len(one))
         b = (one % np.uint64(buckets)).astype(np.int64)
         for k, data in zip(right.column("b").to_pylist(), right.column("counts").to_pylist(), strict=True):
             c[b == k] = unpack(data, "<u8")
         price = np.log10((c + 0.1) / (tokens + 0.1 * (kinds + 1)))
-        lengths = np.array([len(r) for r in rows])
         starts = np.cumsum(lengths) - lengths
         base = np.add.reduceat(price[at], starts)
         known = np.add.reduceat((c[at] > 0).astype(np.int64), starts)
         texts = left.column("text").to_pylist()
-        keys, n = grams([model_text(t) for t in texts])
-        codes, some = pd.factorize(keys)
-        s = np.add.reduceat(mixer.log10(some)[codes], np.cumsum(n) - n)
         sizes = np.array([len(t.encode()) + 1 for t in texts])
-        columns = [left.column("doc_id"), left.column("held_out"), lengths, known, np.full(len(rows), tokens), base, s, sizes, -s * math.log2(10) / sizes]
+        scores = []
+        for x, y in slices(sizes, 8 << 20):
+            keys, n = grams([model_text(t) for t in texts[x:y]])
+            codes, some = pd.factorize(keys)
+            scores.append(np.add.reduceat(mixer.log10(some)[codes], np.cumsum(n) - n))
+        s = np.concatenate(scores)
+        columns = [left.column("doc_id"), left.column("held_out"), lengths, known, np.full(len(lengths), tokens), base, s, sizes, -s * math.log2(10) / sizes]
         return pa.table({c.split()[0]: pa.array(x, k) if isinstance(x, np.ndarray) else x for c, x, k in zip(SCHEMA.split(", "), columns, KINDS, strict=True)})
 
     return grouped.groupBy("g").cogroup(replies.where("g >= 0").select("g", "b", "counts").groupBy("g")).applyInArrow(judge, SCHEMA)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from needledrop.llm.common import column_of, partitions_for, texts_of, whole_rows, with_ids, written
+from needledrop.llm.common import column_of, held, partitions_for, texts_of, whole_rows, with_ids, written
 from needledrop.llm.components import connected_components
 
 #: Shingles whose bits are counted at a time.
@@ -41,6 +41,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, text: str =
     """doc_id, fp (the 64 bits as a signed long) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(("simhash",), dict)  # what other operators held goes
         for batch in batches:
             fps = np.array([fingerprint(t, shingle, seed) for t in texts_of(batch)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([column_of(batch, "doc_id"), pa.array(fps)], names=["doc_id", "fp"])
@@ -90,6 +91,7 @@ def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
     by_rest = [flips(tail, half - k) for k in range(half + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(("simhash",), dict)
         mask = np.uint64((1 << tail) - 1)
 
         def pairs(lead_value: int, group: np.ndarray) -> pa.RecordBatch | None:

@@ -51,7 +51,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = held(("counts", vocabulary, batch_bytes), lambda: _sentencepiece(vocabulary) if vocabulary.endswith(".model") else _byte_level(vocabulary, batch_bytes))
+        count = held(("token counts", vocabulary, batch_bytes), lambda: _sentencepiece(vocabulary) if vocabulary.endswith(".model") else _byte_level(vocabulary, batch_bytes))
         for batch in batches:
             texts = texts_of(batch)
             sizes = np.array(pa.compute.binary_length(column_of(batch, "text")), dtype=np.int64)

@@ -161,7 +161,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.jso
             encoder.kind = "<u2" if max(encoder.library.get_vocab_size(), end_id + 1) <= 65536 else "<u4"
             return encoder
 
-        encoder = held(("ids", vocabulary, end_id), make)
+        encoder = held(("wavelet", vocabulary, end_id), make)
         kind = encoder.kind
         width, end = np.dtype(kind).itemsize, np.array([end_id], dtype=kind).tobytes()
         part, shard = TaskContext.get().partitionId(), 0
