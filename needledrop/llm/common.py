@@ -122,19 +122,20 @@ class WordHashes:
     def __init__(self, seed: int, most: int = 200_000):
         import xxhash
 
-        self.hash, self.seed, self.most, self.known = xxhash.xxh3_64_intdigest, seed, most, {}
+        self.hash, self.seed, self.most, self.known = xxhash.xxh3_64_digest, seed, most, {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         found = list(map(self.known.get, words))
-        if None in found:
+        try:
+            data = b"".join(found)
+        except TypeError:  # a word without a hash
             new = {w for w, v in zip(words, found, strict=True) if v is None}
             if len(self.known) + len(new) > self.most:
                 self.known.clear()
-            h, seed = self.hash, self.seed
-            self.known.update((w, h(w, seed)) for w in new)
-            known = self.known
-            found = [known[w] if v is None else v for w, v in zip(words, found, strict=True)]
-        return np.array(found, dtype=np.uint64)
+            h, seed, known = self.hash, self.seed, self.known
+            known.update([(w, h(w, seed)) for w in new])
+            data = b"".join([known[w] if v is None else v for w, v in zip(words, found, strict=True)])
+        return np.frombuffer(data, dtype="<u8")
 
 
 def vocabulary_file(name: str) -> str:
