@@ -44,7 +44,7 @@ class PairIndexBpe:
     #: From so many positions a rank is merged as arrays.
     MANY = 24
 
-    def __init__(self, vocabulary: str, most: int = 700_000):
+    def __init__(self, vocabulary: str, most: int = 450_000):
         import regex
         from tokenizers import pre_tokenizers
 
@@ -221,7 +221,7 @@ def spelling(vocabulary: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(spelled), dtype=np.uint8), np.cumsum(size) - size, size
 
 
-def encode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", batch_bytes: int = 4 << 20, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", batch_bytes: int = 3 << 20, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, ids array<int> for every row of docs, without a shuffle.
 
     The ids are those of the tokenizers library for a byte-level BPE file, without added special tokens; the merges run
