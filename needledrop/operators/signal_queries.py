@@ -80,10 +80,11 @@ add(
 
 def _advice(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("id")
-    source = text.canonical_profile(F.col("current_quality"))
     target = choose(("44100/16", "48000/24", "96000/24", "bad", "88200/32f"), k)
     prior = choose(("", "192000/24", "44100/16"), k)
-    return albums(spark, d).select("id", decision.recode_advice(source, target, k % 29 == 0, prior).alias("a")).select("id", "a.text", "a.flag")
+    # The profiles are columns of their own first: worked out once, not once for each use.
+    rows = albums(spark, d).select("id", text.canonical_profile(F.col("current_quality")).alias("source"), target.alias("target"), prior.alias("prior"))
+    return rows.select("id", decision.recode_advice(F.col("source"), F.col("target"), k % 29 == 0, F.col("prior")).alias("a")).select("id", "a.text", "a.flag")
 
 
 add(
