@@ -104,3 +104,20 @@ def vote(segments: DataFrame) -> DataFrame:
     required = F.greatest(F.lit(2), F.ceil(F.greatest("n", F.col("cutoff_limited") + F.col("full_band")) * 0.6).cast("int"))
     sums = sums.select("track_id", "full_band", "cutoff_limited", required.alias("required"), near.alias("share_near"))
     return sums.join(best.select(F.col("track_id").alias("t"), F.col("b.target_sr").alias("majority_target"), F.col("b.votes").alias("votes")), F.col("track_id") == F.col("t"), "left").drop("t")
+
+
+def strongest_channel(results: DataFrame) -> DataFrame:
+    """One row of results for each track_id: that of the channel whose measurement is surest.
+
+    results: track_id, channel (mono, left, right), decision_confidence, confidence, windows_used, cutoff_hz. Surest is the
+    higher decision confidence (confidence where it is null), then confidence, windows, cutoff; ties go to mono, then
+    left. Rows without a cutoff don't compete; a track with no other row has its mono row. The maximum is taken map-side.
+    """
+    rank = lambda c: F.when(c == "high", 2).when(c == "medium", 1).otherwise(0)
+    there = F.col("cutoff_hz").isNotNull()
+    of_there = lambda c: F.when(there, c)
+    place = F.when(F.col("channel") == "mono", 0).when(F.col("channel") == "left", 1).otherwise(2)
+    key = F.struct(there, of_there(rank(F.coalesce("decision_confidence", "confidence"))), of_there(rank(F.col("confidence"))), of_there(F.coalesce("windows_used", F.lit(0))), of_there(F.col("cutoff_hz")), -place)
+    names = [c for c in results.columns if c != "track_id"]
+    best = results.groupBy("track_id").agg(F.max_by(F.struct(*names), key).alias("best"))
+    return best.select("track_id", "best.*")

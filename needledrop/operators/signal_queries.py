@@ -163,3 +163,25 @@ add(
   round(avg(CASE WHEN abs(cutoff_hz - middle) <= 2500 THEN 1.0::DOUBLE ELSE 0 END), 9) AS share_near FROM k JOIN m USING (track_id) GROUP BY 1)
   SELECT s.track_id, full_band, cutoff_limited, CAST(greatest(2, ceil(greatest(n, full_band + cutoff_limited) * 0.6::DOUBLE)) AS INTEGER) AS required, share_near, best.target_sr AS majority_target, best.votes FROM s LEFT JOIN best ON s.track_id = best.track_id AND best.r = 1""",
 )
+
+
+def _channels(spark: SparkSession, d: str) -> DataFrame:
+    """Three channels of each track, some of them without a cutoff."""
+    levels, k = ("high", "low", "medium"), F.col("album_id") + F.col("position")
+    one = lambda name, i: F.struct(
+        F.lit(name).alias("channel"), F.when((k + i) % 4 != 0, choose(levels, k + i)).alias("decision_confidence"), choose(levels, k * 2 + i).alias("confidence"),
+        (F.col("seconds") % (7 + i)).alias("windows_used"), F.when(~((k + i) % 5).isin(0, 1, 2), F.col("cutoff_hz") - i * (k % 3)).alias("cutoff_hz"),
+    )
+    return tracks(spark, d).select(F.concat_ws("/", "album_id", "position").alias("track_id"), F.explode(F.array(one("mono", 0), one("left", 1), one("right", 2))).alias("c")).select("track_id", "c.*")
+
+
+add(
+    "strongest_channel",
+    lambda spark, d: signal.strongest_channel(_channels(spark, d)),
+    f"""WITH {TRACKS_SQL}, c AS (SELECT album_id || '/' || position AS track_id, album_id + position AS k, cutoff_hz AS f, seconds, unnest([0, 1, 2]) AS i FROM tracks),
+  r AS (SELECT track_id, i, list_extract(['mono', 'left', 'right'], i + 1) AS channel, CASE WHEN (k + i) % 4 <> 0 THEN list_extract(['high', 'low', 'medium'], (k + i) % 3 + 1) END AS decision_confidence,
+    list_extract(['high', 'low', 'medium'], (k * 2 + i) % 3 + 1) AS confidence, seconds % (7 + i) AS windows_used, CASE WHEN (k + i) % 5 NOT IN (0, 1, 2) THEN f - i * (k % 3) END AS cutoff_hz FROM c),
+  o AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY cutoff_hz IS NULL, CASE WHEN cutoff_hz IS NOT NULL THEN list_position(['low', 'medium', 'high'], coalesce(decision_confidence, confidence)) END DESC NULLS LAST,
+    CASE WHEN cutoff_hz IS NOT NULL THEN list_position(['low', 'medium', 'high'], confidence) END DESC NULLS LAST, CASE WHEN cutoff_hz IS NOT NULL THEN windows_used END DESC NULLS LAST, cutoff_hz DESC NULLS LAST, i) AS n FROM r)
+  SELECT track_id, channel, decision_confidence, confidence, windows_used, cutoff_hz FROM o WHERE n = 1""",
+)
