@@ -249,3 +249,33 @@ def size_labels(bytes_: Column) -> Column:
         text_ = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(name))
         out = F.when(bytes_ >= unit, text_).otherwise(out)
     return out
+
+
+#: The remarks on a spectrogram's figures. %s is the cutoff in kHz.
+LOW_PASS, CEILING, WIDE_BAND = "Strong low-pass signature; likely lossy or low-rate source.", "Bandwidth is near CD/48k ceiling.", "Bandwidth supports a high-resolution source class."
+WALL_HIGH = "Brickwall-like cutoff around %s kHz with weak ultrasonic content; likely upsampled/fake hi-res."
+WALL_LOW = "Brickwall-like cutoff around %s kHz with weak upper-band content; likely strong lossy/band-limited source."
+REDBOOK = "Cutoff is near Nyquist for this scale; consistent with authentic Redbook/CD bandwidth."
+PEAK_OVER, PEAK_NEAR = "Peak above 0 dB detected by OCR; possible clipping or OCR misread.", "Peak is near 0 dB; mastering likely loud/hot."
+PEAK_FREE, PEAK_NONE = "Peak headroom is preserved; less aggressive limiting.", "Peak metric unavailable from OCR; quality class is downgraded conservatively."
+RANGE_WIDE, RANGE_GOOD = "Dynamic range appears wide.", "Dynamic range appears healthy."
+RANGE_SOME, RANGE_LOW = "Dynamic range appears moderately compressed.", "Dynamic range appears heavily compressed."
+RANGE_NONE = "Dynamic-range metric unavailable from OCR; quality class is downgraded conservatively."
+
+
+def insights(x: DataFrame) -> DataFrame:
+    """id, insights: the remarks that a spectrogram's figures call for, on bandwidth, wall or ceiling, peak and range.
+
+    x as in score_card. A null peak or range has its own remark; a peak between -2 and -0.2 dB has none.
+    """
+    cutoff, top, peak, dr = F.col("cutoff"), F.col("top"), F.col("peak"), F.col("dr")
+    khz = F.format_string("%.1f", cutoff)
+    wall = F.when(top > 24.5, F.lit(WALL_HIGH)).otherwise(WALL_LOW)
+    at_ceiling = (F.when(promoted(), "hires-96-class").otherwise(band_class(cutoff, top)) == "cd-or-48k") & (cutoff >= 0.75 * top)
+    remarks = F.array(
+        F.when(cutoff < 18, LOW_PASS).when(cutoff < 26, CEILING).when(cutoff >= 44, WIDE_BAND),
+        F.when(F.col("brickwall"), F.replace(wall, F.lit("%s"), khz)).when(at_ceiling, REDBOOK),
+        F.when(peak.isNull(), PEAK_NONE).when(peak > 0.2, PEAK_OVER).when(peak >= -0.2, PEAK_NEAR).when(peak <= -2, PEAK_FREE),
+        F.when(dr.isNull(), RANGE_NONE).when(dr >= 14, RANGE_WIDE).when(dr >= 10, RANGE_GOOD).when(dr >= 7, RANGE_SOME).otherwise(RANGE_LOW),
+    )
+    return x.select("id", F.array_compact(remarks).alias("insights"))
