@@ -261,6 +261,7 @@ PEAK_FREE, PEAK_NONE = "Peak headroom is preserved; less aggressive limiting.",
 RANGE_WIDE, RANGE_GOOD = "Dynamic range appears wide.", "Dynamic range appears healthy."
 RANGE_SOME, RANGE_LOW = "Dynamic range appears moderately compressed.", "Dynamic range appears heavily compressed."
 RANGE_NONE = "Dynamic-range metric unavailable from OCR; quality class is downgraded conservatively."
+TEXTURE = "Hi-res frame retains plausible ultrasonic texture beyond a simple CD-width ceiling."
 
 
 def insights(x: DataFrame) -> DataFrame:
@@ -277,5 +278,6 @@ def insights(x: DataFrame) -> DataFrame:
         F.when(F.col("brickwall"), F.replace(wall, F.lit("%s"), khz)).when(at_ceiling, REDBOOK),
         F.when(peak.isNull(), PEAK_NONE).when(peak > 0.2, PEAK_OVER).when(peak >= -0.2, PEAK_NEAR).when(peak <= -2, PEAK_FREE),
         F.when(dr.isNull(), RANGE_NONE).when(dr >= 14, RANGE_WIDE).when(dr >= 10, RANGE_GOOD).when(dr >= 7, RANGE_SOME).otherwise(RANGE_LOW),
+        F.when(promoted(), TEXTURE),
     )
     return x.select("id", F.array_compact(remarks).alias("insights"))

@@ -230,7 +230,7 @@ add(
     CASE WHEN cutoff < 18 THEN '{planning.LOW_PASS}' WHEN cutoff < 26 THEN '{planning.CEILING}' WHEN cutoff >= 44 THEN '{planning.WIDE_BAND}' END,
     CASE WHEN brick THEN replace(CASE WHEN top > 24.5 THEN '{planning.WALL_HIGH}' ELSE '{planning.WALL_LOW}' END, '%s', format('{{:.1f}}', cutoff)) WHEN band = 'cd-or-48k' AND cutoff >= 0.75::DOUBLE * top THEN '{planning.REDBOOK}' END,
     CASE WHEN peak IS NULL THEN '{planning.PEAK_NONE}' WHEN peak > 0.2::DOUBLE THEN '{planning.PEAK_OVER}' WHEN peak >= -0.2::DOUBLE THEN '{planning.PEAK_NEAR}' WHEN peak <= -2 THEN '{planning.PEAK_FREE}' END,
-    CASE WHEN dr IS NULL THEN '{planning.RANGE_NONE}' WHEN dr >= 14 THEN '{planning.RANGE_WIDE}' WHEN dr >= 10 THEN '{planning.RANGE_GOOD}' WHEN dr >= 7 THEN '{planning.RANGE_SOME}' ELSE '{planning.RANGE_LOW}' END] AS remarks FROM card),
+    CASE WHEN dr IS NULL THEN '{planning.RANGE_NONE}' WHEN dr >= 14 THEN '{planning.RANGE_WIDE}' WHEN dr >= 10 THEN '{planning.RANGE_GOOD}' WHEN dr >= 7 THEN '{planning.RANGE_SOME}' ELSE '{planning.RANGE_LOW}' END, CASE WHEN promoted THEN '{planning.TEXTURE}' END] AS remarks FROM card),
   m AS (SELECT id, list_filter(remarks, lambda r: r IS NOT NULL) AS kept FROM n)
   SELECT id, CAST(len(kept) AS BIGINT) AS n, array_to_string(kept, '|') AS insights FROM m""",
 )
