@@ -128,7 +128,8 @@ def anchors(docs: DataFrame, block: int, buckets: int) -> DataFrame:
     Index: the blocks at every multiple of `block` words. Probes: every rolling window. Both go to the bucket of their
     hash; what meets there from two documents, at least one of them as a block, is a hit of all that hold it. Windows that
     several documents of one task share are hits at once, and two of them stand for all in the shuffle: a passage that
-    a third of all documents hold sends two entries for each task, not one for each document.
+    a third of all documents hold sends two entries for each task, not one for each document. A window that one document
+    of a stream holds several times is sent at its first place in each row: candidates() finds its other places again.
     """
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +154,10 @@ def anchors(docs: DataFrame, block: int, buckets: int) -> DataFrame:
             second = second[_groups(group[second])]
             aligned = np.zeros(len(first), dtype=bool)
             aligned[group[place[order] % block == 0]] = True
-            send = np.concatenate((first, second))
+            # Rows of equal id have their places in common, but each its own: the first of every further row goes too.
+            row = doc[order]
+            further = np.flatnonzero(np.concatenate(([False], (s[1:] == s[:-1]) & (row[1:] != row[:-1]))) & ~local)
+            send = np.concatenate((first, second, further))
             keep = np.sort(order[send])
             sent_group = np.empty(len(h), dtype=np.int64)
             sent_group[order] = group
@@ -274,16 +278,22 @@ def confirmed(marked: DataFrame, window: int, block: int, buckets: int) -> DataF
 
 
 def candidates(words: list[np.ndarray], hits: list[bytes | None], window: int, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The windows that hold a hit: hash, number of the document, place in it."""
+    """The windows that hold a hit or the words of one: hash, number of the document, place in it.
+
+    A hit stands for every place of its block-long window in the document, as only the first may have been sent.
+    """
     lengths = np.array([len(w) for w in words], dtype=np.int64)
     starts = np.cumsum(lengths) - lengths
     mark = np.zeros(int(lengths.sum()) + 1, dtype=np.int64)
     reach = window - block
-    for start, n, blob in zip(starts.tolist(), lengths.tolist(), hits, strict=True):
+    for start, n, blob, mine in zip(starts.tolist(), lengths.tolist(), hits, words, strict=True):
         if n < window or blob is None:
             continue
         p = unpack(blob, "<u4").astype(np.int64)
         p = p[p <= n - block]
+        if len(p) <= n - block:
+            blocks = window_hashes(mine, block)
+            p = np.flatnonzero(np.isin(blocks, blocks[p]))
         low, high = np.maximum(p - reach, 0), np.minimum(p, n - window) + 1
         np.add.at(mark, start + low[low < high], 1)
         np.add.at(mark, start + high[low < high], -1)

@@ -176,6 +176,24 @@ def test_substrings(spark, monkeypatch, words):
     assert substring.digest(df.limit(0)).count() == 0
 
 
+def test_passages_that_a_document_holds_twice(spark):
+    """One document for each task: the earlier one's words are met in another task, at every place of the later one."""
+    passage = " ".join(f"p{i}" for i in range(70))
+    fill = lambda k: " ".join(f"f{k}x{i}" for i in range(37))
+    lines = " ".join(["a"] * 200)
+    rows = [(1, f"{fill(1)} {passage}"), (2, f"{passage} {fill(2)} {passage} {fill(3)} {passage}"), (3, lines), (4, f"{fill(4)} {lines} {fill(5)} {lines}"), (5, " ".join(["x y z"] * 90)), (6, " ".join(["x y z"] * 60) + " " + fill(6))]
+    parts = spark.sparkContext.parallelize(rows, len(rows))
+    df = spark.createDataFrame(parts, "doc_id long, text string")
+    assert df.rdd.glom().map(len).collect() == [1] * len(rows)
+    found = {r["doc_id"]: tuple(r)[1:] for r in substring.digest(df).collect()}
+    assert found == brute_cut(rows)
+    # Rows of one id in a task, the passage at different places of them.
+    rows = [(1, passage), (2, f"{passage} {fill(7)}"), (2, f"{fill(8)} {passage}")]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3).coalesce(1), "doc_id long, text string")
+    df = df.where("doc_id = 1").repartition(1).union(df.where("doc_id = 2"))
+    assert sorted((r["doc_id"], r["n_removed"]) for r in substring.remove_repeats(df).collect()) == [(1, 0), (2, 70), (2, 70)]
+
+
 def test_cut_keeps_other_columns(spark):
     long = " ".join(f"w{i}" for i in range(80))
     df = spark.createDataFrame([(1, long, "a", 5), (2, "start  " + long + " end", "b", 6), (3, long, "c", 7), (4, None, "d", 0)], "doc_id long, text string, kept string, n_chars long")
