@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from needledrop.llm import bpe, fertility, mixing, simhash, substring
+from needledrop.llm import bpe, fertility, minhash, mixing, substring
 from needledrop.llm.common import written
 
 
@@ -17,8 +17,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near copies: the one of smallest id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies (5-word shingles, Jaccard similarity 0.8 and more): the one of smallest id."""
+    return minhash.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

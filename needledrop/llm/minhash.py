@@ -1,0 +1,151 @@
+"""Near copies by the Jaccard similarity of word shingles: candidates by MinHash bands, each verified exactly."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from needledrop.llm.common import NULL_ID, WordHashes, bounded_batches, column_of, held, mix, texts_of, whole_rows, written
+from needledrop.llm.components import connected_components
+from needledrop.llm.substring import window_hashes
+
+#: Bands of so many minima each: at a similarity of 0.8 a pair shares a band with 1 - (1 - 0.8**5)**16 = 0.998.
+BANDS, ROWS = 16, 5
+#: Neighbours that a member of a band's group is held against, besides the group's first.
+NEIGHBOURS = 8
+#: Odd multipliers, one for each minimum.
+FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def shingles(text: str, size: int = 5) -> np.ndarray:
+    """The distinct 64-bit hashes of the runs of `size` words (A-Z in lower case), in order; a shorter text is one run."""
+    # Under the name of window_hashes' own stores, as those of another operator would go at every text.
+    words = held(("substring", "shingle words"), lambda: WordHashes(6))(text.encode().lower().split())
+    return np.unique(window_hashes(words, min(size, len(words)))) if len(words) else np.zeros(0, dtype=np.uint64)
+
+
+def of_set(s: np.ndarray) -> int:
+    """A signed 64-bit hash of a set of shingles."""
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes(), 5)).view(np.int64))
+
+
+def band_hashes(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of BANDS hashes for each set; sets must not be empty."""
+    flat = np.concatenate(sets)
+    lengths = np.array([len(s) for s in sets])
+    starts = np.cumsum(lengths) - lengths
+    out = np.empty((BANDS, len(sets)), dtype=np.uint64)
+    for band in range(BANDS):
+        total = np.full(len(sets), np.uint64(band))
+        for factor in FACTORS[band * ROWS : (band + 1) * ROWS]:
+            total = mix(total ^ np.minimum.reduceat(mix(flat * factor), starts))
+        out[band] = total
+    return out.T
+
+
+def _blocks(sets: list[np.ndarray], most: int = 1 << 16) -> Iterator[tuple[int, int]]:
+    start, total = 0, 0
+    for i, s in enumerate(sets):
+        total += len(s)
+        if total >= most:
+            yield start, i + 1
+            start, total = i + 1, 0
+    if start < len(sets):
+        yield start, len(sets)
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, cls (hash of the set), bands."""
+    for batch in batches:
+        sets = [shingles(t) for t in texts_of(batch)]
+        cls = pa.array([of_set(s) for s in sets], pa.int64())
+        bands = np.zeros((len(sets), BANDS), dtype=np.uint64)  # without words: one class anyway
+        full = [i for i, s in enumerate(sets) if len(s)]
+        some = [sets[i] for i in full]
+        for x, y in _blocks(some):
+            bands[full[x:y]] = band_hashes(some[x:y])
+        values = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel().view(np.int64)))
+        yield pa.RecordBatch.from_arrays([column_of(batch, "id"), cls, values], names=["id", "cls", "bands"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingles(t) for t in texts_of(batch)]
+        yield pa.RecordBatch.from_arrays([pa.array([of_set(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
+
+
+def candidates(classes: DataFrame) -> DataFrame:
+    """Distinct pairs a < b of classes (cls, bands) that share a band.
+
+    A group's members stand in the order of their next band. Each is paired with the first and with the NEIGHBOURS before
+    it: all pairs of groups of up to NEIGHBOURS + 2, and as many as members times a constant of larger ones.
+    """
+    rows = classes.select("cls", F.posexplode("bands").alias("band", "h"), "bands").select("cls", "band", "h", F.col("bands")[(F.col("band") + 1) % BANDS].alias("next"))
+    group = Window.partitionBy("band", "h").orderBy("next", "cls")
+    others = F.array(F.first("cls").over(group), *(F.lag("cls", k).over(group) for k in range(1, NEIGHBOURS + 1)))
+    pairs = rows.select("cls", others.alias("others")).where(F.size(F.array_distinct("others")) > 1)
+    pairs = pairs.select("cls", F.explode("others").alias("o")).where("o is not null and o <> cls")
+    return pairs.select(F.least("cls", "o").alias("a"), F.greatest("cls", "o").alias("b")).distinct()
+
+
+def near_copies(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """id (NULL_ID for null), cls, component_id (smallest id reachable over links) for every row of docs.
+
+    Two texts are linked if the sets of their runs of 5 words have a Jaccard similarity of `least` or more. Rows of equal
+    sets are one class from the start, so copies cost one row in the search. Candidates share one of 16 bands of 5 minima
+    (see candidates); each is verified on the sets themselves, which are made anew for candidates only.
+
+    Null or empty text, or one of white space only: the empty set, one class. Null ids count as larger than every other.
+    """
+    rows = bounded_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    signed = written(rows.mapInArrow(_signed, "id long, cls long, bands array<long>"), "bands")
+    classes = written(signed.groupBy("cls").agg(F.min("id").alias("least"), F.min("bands").alias("bands")), "classes")
+    pairs = written(candidates(classes), "pairs")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = classes.join(nodes, F.col("cls") == F.col("node"), "left_semi").select(F.col("least").alias("wanted")).distinct()
+    found = rows.join(wanted, F.col("id") == F.col("wanted"), "left_semi").select("text").mapInArrow(_sets, "node long, shingles binary")
+    sets = written(found.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(column_of(batch, "one").to_pylist(), column_of(batch, "two").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= least * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    one = sets.select(F.col("node").alias("m"), F.col("shingles").alias("one"))
+    two = sets.select(F.col("node").alias("n"), F.col("shingles").alias("two"))
+    met = pairs.join(one, F.col("a") == F.col("m")).join(two, F.col("b") == F.col("n")).select("a", "b", "one", "two")
+    groups = connected_components(met.mapInArrow(verify, "a long, b long"))
+    joined = classes.join(groups, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("component", "cls").alias("root"))
+    roots = joined.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
+    of_class = joined.join(roots, F.col("root") == F.col("r")).select(F.col("cls").alias("c"), "component_id")
+    return signed.join(of_class, F.col("cls") == F.col("c")).select("id", "cls", "component_id")
+
+
+def keep_one(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """The rows of docs, all columns, less all but one of each group of near copies: the one of smallest doc_id stays.
+
+    Of rows with equal id and set of shingles one stays. Of a group without any id, one row for each set stays.
+    """
+    kept = near_copies(docs, least).where("component_id = id").select(F.col("id").alias("kept_id"), F.col("cls").alias("kept_cls")).distinct()
+    kept = written(kept, "kept")
+    rows = docs.select(whole_rows(docs), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"))
+    # Ids alone meet the texts. Those that aren't unique are told apart by their sets.
+    odd = written(rows.groupBy("id").agg(F.count("*").alias("n")).where(f"n > 1 or id = {NULL_ID}").select(F.col("id").alias("odd_id")), "repeated-ids")
+    single = rows.join(kept, F.col("id") == F.col("kept_id"), "left_semi")
+    if odd.isEmpty():
+        return single.select("row.*")
+    plain = single.join(odd, F.col("id") == F.col("odd_id"), "left_anti")
+    cls = F.udf(lambda t: of_set(shingles(t or "")), "long")
+    some = rows.join(odd, F.col("id") == F.col("odd_id"), "left_semi").withColumn("cls", cls("row.text"))
+    some = some.join(kept, (F.col("id") == F.col("kept_id")) & (F.col("cls") == F.col("kept_cls")), "left_semi").dropDuplicates(["id", "cls"])
+    return plain.select("row.*").unionByName(some.select("row.*"))
