@@ -96,14 +96,15 @@ def missing(albums: DataFrame, listing: DataFrame) -> DataFrame:
 
 def lyrics_lookup(wanted: DataFrame, cache: DataFrame, tolerance: int = 2) -> DataFrame:
     """For each wanted song the newest cache row of its artist and title within the tolerance of its seconds."""
-    c = cache.select(F.col("artist_lc").alias("_artist"), F.col("title_lc").alias("_title"), F.col("duration_int").alias("_seconds"), F.col("updated_at").alias("_at"), F.col("cache_id"), F.col("status"))
+    # The newest of each artist, title and length first: a song then meets as many rows as its title has lengths.
+    c = cache.groupBy(F.col("artist_lc").alias("_artist"), F.col("title_lc").alias("_title"), F.col("duration_int").alias("_seconds")).agg(F.max(F.struct(F.col("updated_at").alias("_at"), "cache_id", "status")).alias("newest"))
     near = F.col("_seconds").between(F.greatest(F.col("duration_int") - tolerance, F.lit(0)), F.col("duration_int") + tolerance)
     found = wanted.join(c, (F.col("artist_lc") == F.col("_artist")) & (F.col("title_lc") == F.col("_title")) & near)
-    return found.groupBy("song_id").agg(F.max(F.struct("_at", "cache_id", "status")).alias("m")).select("song_id", F.col("m.cache_id").alias("cache_id"), F.col("m.status").alias("status"), F.col("m._at").alias("updated_at"))
+    return found.groupBy("song_id").agg(F.max("newest").alias("m")).select("song_id", F.col("m.cache_id").alias("cache_id"), F.col("m.status").alias("status"), F.col("m._at").alias("updated_at"))
 
 
 def lyrics_upsert(cache: DataFrame, found: DataFrame, tolerance: int = 2) -> DataFrame:
     """The cache without rows within the tolerance of a found song, and the found songs."""
-    f = found.select(F.col("artist_lc").alias("_artist"), F.col("title_lc").alias("_title"), F.col("duration_int").alias("_seconds"))
+    f = found.select(F.col("artist_lc").alias("_artist"), F.col("title_lc").alias("_title"), F.col("duration_int").alias("_seconds")).distinct()
     near = (F.col("artist_lc") == F.col("_artist")) & (F.col("title_lc") == F.col("_title")) & F.col("duration_int").between(F.greatest(F.col("_seconds") - tolerance, F.lit(0)), F.col("_seconds") + tolerance)
     return cache.join(f, near, "left_anti").unionByName(found)

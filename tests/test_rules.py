@@ -115,3 +115,23 @@ def test_calibrated_verdicts(spark):
     df = spark.createDataFrame([(i, *c) for i, (c, _) in enumerate(cases)], schema)
     found = {r["id"]: (r["label"], r["class"], r["profile_confidence"], r["band"]) for r in planning.verdict(df).collect()}
     assert found == {i: want for i, (_, want) in enumerate(cases)}
+
+
+def test_lyrics_of_every_song_outside_the_cache(spark, sf_dir):
+    """Against brute force: all tracks that aren't in the cache are looked up and upserted, not first tracks alone."""
+    from needledrop.operators import maintenance_queries as m
+
+    wanted, cache = (x.collect() for x in m._songs(spark, sf_dir, True))
+    ids = {r["song_id"] for r in wanted}
+    assert len(ids) + len(cache) == m.tracks(spark, sf_dir).count()
+    assert not ids & {r["cache_id"] for r in cache} and len({i % 100 for i in ids}) > 1
+    by: dict = {}
+    for c in cache:
+        by.setdefault((c["artist_lc"], c["title_lc"]), []).append(c)
+    best = {}
+    for w in wanted:
+        near = [(c["updated_at"], c["cache_id"], c["status"]) for c in by.get((w["artist_lc"], w["title_lc"]), []) if max(w["duration_int"] - 2, 0) <= c["duration_int"] <= w["duration_int"] + 2]
+        if near:
+            best[w["song_id"]] = max(near)
+    assert {r["song_id"]: (r["updated_at"], r["cache_id"], r["status"]) for r in m.QUERIES["lyrics_asof_all"](spark, sf_dir).collect()} == best
+    assert ids <= {r["cache_id"] for r in m.QUERIES["lyrics_window_upsert_all"](spark, sf_dir).collect()}
