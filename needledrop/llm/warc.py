@@ -43,6 +43,17 @@ def parse(start: bytes) -> tuple[dict[str, str], int, int]:
     return fields, int(http["Content-Length"]), body + 4
 
 
+def heads(piece: memoryview) -> bytes:
+    """A beginning of a record's first chunk that holds both heads, however long they are."""
+    n = 1 << 16
+    while True:
+        start = bytes(piece[:n])
+        end = start.find(b"\r\n\r\n")
+        if n >= len(piece) or (end >= 0 and start.find(b"\r\n\r\n", end + 4) >= 0):
+            return start
+        n *= 4
+
+
 def write_archives(pages: DataFrame, path: str, chunk_bytes: int = 1 << 20, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
     """Writes a record for each row of pages (page_id, url, html) to the chunk table at path.
 
@@ -114,7 +125,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             for i, (chunk, chunks) in enumerate(zip(column_of(batch, "chunk").to_pylist(), column_of(batch, "chunks").to_pylist(), strict=True)):
                 piece = memoryview(data[i].as_buffer())
                 if chunk == 0:
-                    fields, size, at = parse(bytes(piece[:65_536]))
+                    fields, size, at = parse(heads(piece))
                     state = (fields, size, hashlib.sha1(usedforsecurity=False))
                     piece, read = piece[at:], 0
                 last = chunk == chunks - 1

@@ -234,6 +234,13 @@ def test_warc(spark, tmp_path):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_heads_of_any_length(spark):
+    urls = ["u" * n for n in (65_000, 65_300, 65_400, 65_536, 70_000, 1_200_000)]
+    rows = [(i, url, html) for i, (url, html) in enumerate((u, h) for u in urls for h in (f"body of {len(u)}", "same", "x" * 3000 + f"{len(u)}"))]
+    found = {r["page_id"]: (r["url"], r["payload_bytes"]) for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string"), chunk_bytes=1000).collect()}
+    assert found == {i: (url, len(html)) for i, url, html in rows}
+
+
 def test_warc_notices_damage(spark, tmp_path):
     from pyspark.sql import functions as F
 
