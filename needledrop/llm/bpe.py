@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -10,9 +11,8 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from needledrop.llm.common import column_of, held, slices, texts_of, vocabulary_file, with_ids
+from needledrop.llm.common import Store, column_of, held, slices, texts_of, vocabulary_file, with_ids
 from needledrop.llm.encoding import chunks, pieces
 
 
@@ -38,13 +38,13 @@ class PairIndexBpe:
     its positions; active ranks come from a heap in ascending order, all positions of a rank are merged from left to
     right, and the two pairs that a merge makes at its sides join their lists. A position whose pair has gone
     meanwhile is passed over. Ranks with many positions are merged as arrays, the others one position at a time.
-    Chunks keep their ids in a bounded store.
+    Chunks keep their ids in a store of at most most_bytes bytes.
     """
 
     #: From so many positions a rank is merged as arrays.
     MANY = 24
 
-    def __init__(self, vocabulary: str, most: int = 450_000):
+    def __init__(self, vocabulary: str, most_bytes: int = 96 << 20):
         import regex
         from tokenizers import pre_tokenizers
 
@@ -64,7 +64,7 @@ class PairIndexBpe:
         self.pattern = regex.compile(PATTERN)
         self.letters = {i: c for i, c in enumerate(byte_alphabet())}
         self.words_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
-        self.most, self.known = most, {"": b""}
+        self.store = Store(most_bytes)
 
     def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, or -1."""
@@ -166,26 +166,26 @@ class PairIndexBpe:
                 return [*(self.split(left) if left else []), number, *(self.split(right) if right else [])]
         return [w for w, _ in self.words_of(chunk)]
 
-    def learn(self, new: list[str]) -> None:
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            self.known[""] = b""
-        for at in range(0, len(new), 100_000):
-            some = new[at : at + 100_000]
+    def learn(self, new: list[str]) -> dict[str, bytes]:
+        """The ids of each chunk, some hundred kilobytes of chunks at a time."""
+        known = {"": b""}
+        for a, b in slices(np.array([len(c) for c in new], dtype=np.int64), 1 << 18):
+            some = new[a:b]
             plain = [c for c in some if PLAIN.fullmatch(c)] if self.easy else []
-            others = [c for c in some if not PLAIN.fullmatch(c)] if len(plain) < len(some) else []
-            self._learn_plain(plain)
+            others = [c for c in some if c and not PLAIN.fullmatch(c)] if self.easy else some
+            known |= self._learn_plain(plain)
             parts = [self.split(c) for c in others]
             words = [*{w for p in parts for w in p if isinstance(w, str)}]
             ids: dict[str | int, bytes] = dict(zip(words, self.merge(words), strict=True))
             ids |= {n: np.array([n], dtype="<i4").tobytes() for n in self.special.values()}
-            self.known.update((c, b"".join([ids[w] for w in p])) for c, p in zip(others, parts, strict=True))
+            known.update((c, b"".join([ids[w] for w in p])) for c, p in zip(others, parts, strict=True))
+        return known
 
-    def _learn_plain(self, new: list[str]) -> None:
+    def _learn_plain(self, new: list[str]) -> dict[str, bytes]:
         """Chunks of Latin letters and signs, without white space inside: cut by one pass of the public pattern over all of
         them, one in a line, as a line feed is a pre-token of its own there."""
         if not new:
-            return
+            return {}
         tokens = self.pattern.findall("\n".join(new))
         words = [*{*tokens} - {"\n"}]
         spelled = "\n".join(words).encode().decode("latin-1").translate(self.letters).split(self.letters[10])
@@ -197,28 +197,64 @@ class PairIndexBpe:
         for end in [*(i for i, t in enumerate(tokens) if t == "\n"), len(tokens)]:
             rows.append(flat[start] if end - start == 1 else b"".join(flat[start:end]))
             start = end + 1
-        self.known.update(zip(new, rows, strict=True))
+        return dict(zip(new, rows, strict=True))
 
     def encode(self, parts: list[str]) -> list[bytes]:
         """The ids of each chunk as little-endian 32-bit integers."""
-        found = list(map(self.known.get, parts))
-        if None in found:
-            self.learn([*{c for c, v in zip(parts, found, strict=True) if v is None}])
-            known = self.known
-            found = [known[c] if v is None else v for c, v in zip(parts, found, strict=True)]
-        return found
-
-
-def spelling(vocabulary: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes of all ids one after another, where each id's begin, and how many they are."""
+        return self.store.values(parts, self.learn)
+
+    def texts(self, texts: list[str], most: int) -> list[bytes]:
+        """The ids of each text: the chunks of all together, those of a text over `most` characters part by part."""
+        long = {i: b"".join(x for part in pieces(t, most) for x in self.encode(chunks(part))) for i, t in enumerate(texts) if len(t) > most}
+        rows = [[] if i in long else chunks(t) for i, t in enumerate(texts)]
+        flat = self.encode([c for row in rows for c in row])
+        out, at = [], 0
+        for i, row in enumerate(rows):
+            out.append(long[i] if i in long else b"".join(flat[at : at + len(row)]))
+            at += len(row)
+        return out
+
+
+class Spelling:
+    """Short strings by number, one after another in one array, so that those of many numbers are one gather."""
+
+    def __init__(self, spelled: list[bytes]):
+        self.size = np.array([len(b) for b in spelled], dtype=np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.letters = np.frombuffer(b"".join(spelled), dtype=np.uint8)
+
+    def __call__(self, ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+        """What neighbouring runs of ids spell, run by run; ids outside the table spell nothing."""
+        out = []
+        starts = np.cumsum(lengths) - lengths
+        for a, b in slices(lengths, 100_000):
+            some = ids[starts[a] : starts[a] + lengths[a:b].sum()]
+            known = (some >= 0) & (some < len(self.size))
+            some = np.where(known, some, 0)
+            n = np.where(known, self.size[some], 0)
+            ends = np.cumsum(n)
+            whole = self.letters[np.repeat(self.start[some] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+            at = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(lengths[a:b])))].tolist()
+            out += [whole[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+        return out
+
+
+def spelling(vocabulary: str) -> Spelling:
+    """The bytes of every id of a byte-level BPE file."""
     with open(vocabulary_file(vocabulary), encoding="utf-8") as file:
         spec = json.load(file)
     to_byte = {c: b for b, c in enumerate(byte_alphabet())}
     special = {t["id"]: t["content"].encode() for t in spec.get("added_tokens", [])}
     plain = {i: bytes(to_byte[c] for c in t) for t, i in spec["model"]["vocab"].items() if i not in special} | special
-    spelled = [plain.get(i, b"") for i in range(max(plain) + 1)]
-    size = np.array([len(b) for b in spelled], dtype=np.int64)
-    return np.frombuffer(b"".join(spelled), dtype=np.uint8), np.cumsum(size) - size, size
+    return Spelling([plain.get(i, b"") for i in range(max(plain) + 1)])
+
+
+def _encoded(model: PairIndexBpe, batches: Iterator[pa.RecordBatch], batch_bytes: int) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    """doc_ids and the ids of their texts, some of each batch at a time."""
+    for batch in batches:
+        texts, ids = texts_of(batch), column_of(batch, "doc_id")
+        for a, b in slices(np.array([len(t) for t in texts], dtype=np.int64), batch_bytes):
+            yield ids.slice(a, b - a), model.texts(texts[a:b], batch_bytes)
 
 
 def encode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", batch_bytes: int = 3 << 20, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -233,26 +269,10 @@ def encode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", batch_bytes:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held(("bpe", "model", vocabulary), lambda: PairIndexBpe(vocabulary))
-        for batch in batches:
-            texts = texts_of(batch)
-            sizes = np.array(pa.compute.binary_length(column_of(batch, "text")), dtype=np.int64)
-            ids = column_of(batch, "doc_id")
-            for a, b in slices(sizes, batch_bytes):
-                lists = []
-                for t in texts[a:b]:
-                    if len(t) > batch_bytes:
-                        lists.append(b"".join(x for part in pieces(t, batch_bytes) for x in model.encode(chunks(part))))
-                    else:
-                        lists.append(None)
-                short = [chunks(t) for t, done in zip(texts[a:b], lists, strict=True) if done is None]
-                flat = iter(model.encode([c for row in short for c in row]))
-                rows = iter(short)
-                lists = [b"".join([next(flat) for _ in next(rows)]) if x is None else x for x in lists]
-                ends = np.cumsum([0, *(len(x) // 4 for x in lists)])
-                values = pa.array(np.frombuffer(b"".join(lists), dtype="<i4"))
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=["doc_id", "ids"])
-
-    import pyarrow.compute  # noqa: F401
+        for ids, lists in _encoded(model, batches, batch_bytes):
+            ends = np.cumsum([0, *(len(x) // 4 for x in lists)])
+            values = pa.array(np.frombuffer(b"".join(lists), dtype="<i4"))
+            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=["doc_id", "ids"])
 
     return with_ids(docs, text, doc_id).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -264,22 +284,12 @@ def decode(encoded: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFra
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, start, size = held(("bpe", "spelling", vocabulary), lambda: spelling(vocabulary))
+        spell = held(("bpe", "spelling", vocabulary), lambda: spelling(vocabulary))
         for batch in batches:
             lists = column_of(batch, "ids")
             n_tokens = pa.compute.list_value_length(lists)
             lengths = np.array(pa.compute.fill_null(n_tokens, 0), dtype=np.int64)
-            texts = []
-            for a, b in slices(lengths, 200_000):
-                some = lists.slice(a, b - a)
-                ids = np.array(some.flatten(), dtype=np.int64)
-                known = (ids >= 0) & (ids < len(size))
-                ids = np.where(known, ids, 0)
-                n = np.where(known, size[ids], 0)
-                ends = np.cumsum(n)
-                whole = letters[np.repeat(start[ids] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
-                at = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(lengths[a:b])))]
-                texts += [whole[x:y].decode("utf-8", "replace") for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            texts = [x.decode("utf-8", "replace") for x in spell(np.array(lists.flatten(), dtype=np.int64), lengths)]
             texts = pa.array(texts, pa.string(), mask=np.array(lists.is_null()))
             yield pa.RecordBatch.from_arrays([column_of(batch, "doc_id"), n_tokens.cast(pa.int64()), lists, texts], names=["doc_id", "n_tokens", "ids", "text"])
 
@@ -288,12 +298,25 @@ def decode(encoded: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFra
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, text string")
 
 
-def round_trip(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256 (UTF-8 of the decoded text)."""
-    both = decode(encode(docs, vocabulary), vocabulary)
-    return both.select(
-        "doc_id",
-        "n_tokens",
-        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
-    )
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def round_trip(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", batch_bytes: int = 3 << 20) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256 (UTF-8 of the decoded text).
+
+    The ids of encode() and the texts of decode(), in one pass: neither leaves the task. Rows as in encode().
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held(("bpe", "model", vocabulary), lambda: PairIndexBpe(vocabulary))
+        spell = held(("bpe", "spelling", vocabulary), lambda: spelling(vocabulary))
+        decimal = held(("bpe", "decimals", len(spell.size)), lambda: Spelling([b"%d," % i for i in range(len(spell.size))]))
+        digest = lambda data: hashlib.sha256(data).hexdigest()
+        for ids, lists in _encoded(model, batches, batch_bytes):
+            lengths = np.array([len(x) // 4 for x in lists], dtype=np.int64)
+            flat = np.frombuffer(b"".join(lists), dtype="<i4")
+            of_ids = [digest(x[:-1]) for x in decimal(flat, lengths)]
+            decoded = [digest(x.decode("utf-8", "replace").encode()) for x in spell(flat, lengths)]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(lengths), pa.array(of_ids, pa.string()), pa.array(decoded, pa.string())], names=[c.split()[0] for c in DIGESTS.split(", ")])
+
+    return with_ids(docs).mapInArrow(run, DIGESTS)

@@ -8,7 +8,8 @@ import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -21,16 +22,34 @@ NULL_ID = 2**63 - 1
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that the cluster shares; sets a local one only where none is set."""
+    """A new folder in the one that the cluster shares (spark.checkpoint.dir); it goes when the session's JVM ends.
+
+    Where that is unset, a session on one machine gets a local folder; on a cluster it is an error, as what an executor
+    writes to its own disk is missing for the others.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if base is None and current is not None:
         base = current
     if base is None:
+        if not spark.sparkContext.master.startswith(("local[", "local ")) and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         base = "file://" + tempfile.mkdtemp(prefix="needledrop-")
     if current is None:
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    files, where = _files(spark, path)
+    files.deleteOnExit(where)
+    return path
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+#: Where the tables of written() that are still there lie, by the DataFrame that reads them.
+_paths: WeakKeyDictionary = WeakKeyDictionary()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -38,13 +57,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def remove(df: DataFrame) -> None:
+    """Deletes the table of written() that df reads; nothing may read it any more."""
+    path = _paths.pop(df, None)
+    if path is not None:
+        files, where = _files(df.sparkSession, path)
+        files.delete(where, True)
+
+
+#: Bytes of input for each shuffle partition at most.
+PARTITION_BYTES = 64 << 20
 
 
 def partitions_for(df: DataFrame, per_core: int = 1) -> int:
-    """Shuffle partitions that the session asks for, at least one for every core."""
+    """Shuffle partitions: what the session asks for, one for every core, and one for each PARTITION_BYTES of the input, at least."""
     spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), per_core * spark.sparkContext.defaultParallelism)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    by_size = -(-size // PARTITION_BYTES) if size < 1 << 60 else 1  # beyond: Spark doesn't know
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), per_core * spark.sparkContext.defaultParallelism, by_size)
 
 
 #: Bytes of an Arrow batch on its way to Python: a batch goes by rows otherwise, whatever their length.
@@ -116,25 +151,55 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+#: What an entry of a store takes besides the bytes of its key and value: two objects and a place in the table.
+ENTRY_BYTES = 200
+#: A longer key isn't kept: it is rarely met again.
+LONGEST_KEY = 256
+
+
+class Store:
+    """Values by key for keys met before, emptied before keys and values together pass most_bytes."""
+
+    def __init__(self, most_bytes: int):
+        self.most, self.size, self.known = most_bytes, 0, {}
+
+    def values(self, keys: list, learn: Callable[[list], dict]) -> list:
+        """The value of each key; those not met before from learn(keys), which gives a dictionary."""
+        found = list(map(self.known.get, keys))
+        if None in found:
+            fresh = learn([*{k for k, v in zip(keys, found, strict=True) if v is None}])
+            found = [fresh[k] if v is None else v for k, v in zip(keys, found, strict=True)]
+            self.keep(fresh)
+        return found
+
+    def keep(self, fresh: dict) -> None:
+        some = {k: v for k, v in fresh.items() if len(k) <= LONGEST_KEY}
+        size = sum(map(len, some)) + sum(len(v) for v in some.values() if isinstance(v, bytes)) + ENTRY_BYTES * len(some)
+        if self.size + size > self.most:
+            self.known.clear()
+            self.size = 0
+        if size <= self.most:
+            self.known.update(some)
+            self.size += size
+
+
 class WordHashes:
-    """64-bit hashes of words, kept for words met before; the store is emptied at a fixed number of entries."""
+    """64-bit hashes of words, kept for words met before in a store bounded by bytes."""
 
-    def __init__(self, seed: int, most: int = 200_000):
+    def __init__(self, seed: int, most_bytes: int = 45 << 20):
         import xxhash
 
-        self.hash, self.seed, self.most, self.known = xxhash.xxh3_64_digest, seed, most, {}
+        self.hash, self.seed, self.store = xxhash.xxh3_64_digest, seed, Store(most_bytes)
+
+    def learn(self, new: list[bytes]) -> dict[bytes, bytes]:
+        h, seed = self.hash, self.seed
+        return {w: h(w, seed) for w in new}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        found = list(map(self.known.get, words))
         try:
-            data = b"".join(found)
+            data = b"".join(map(self.store.known.get, words))
         except TypeError:  # a word without a hash
-            new = {w for w, v in zip(words, found, strict=True) if v is None}
-            if len(self.known) + len(new) > self.most:
-                self.known.clear()
-            h, seed, known = self.hash, self.seed, self.known
-            known.update([(w, h(w, seed)) for w in new])
-            data = b"".join([known[w] if v is None else v for w, v in zip(words, found, strict=True)])
+            data = b"".join(self.store.values(words, self.learn))
         return np.frombuffer(data, dtype="<u8")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from needledrop.llm.common import written
+from needledrop.llm.common import remove, written
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -32,5 +32,6 @@ def connected_components(links: DataFrame) -> DataFrame:
         # Small star: over smaller neighbours, and the node itself.
         low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
         moved = large.join(low, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        edges = written(moved.union(low.select("k", "m")).distinct(), "links")
+        old, edges = edges, written(moved.union(low.select("k", "m")).distinct(), "links")
+        remove(old)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

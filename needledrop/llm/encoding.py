@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from needledrop.llm.common import vocabulary_file
+from needledrop.llm.common import Store, vocabulary_file
 
 #: A space or line feed with white space at its side: the plain cut isn't safe everywhere in such a text.
 NEAR = re.compile(r"[ \n](?:\s|(?<=\s[ \n]))")
@@ -50,12 +50,12 @@ def pieces(text: str, most: int) -> Iterator[str]:
 class ChunkEncoder:
     """The library's tokens of each chunk: how many (kind None), or their ids as bytes of an integer kind.
 
-    Chunks met before come from a store of at most `most`. New ones go to the library some hundreds together, one in a
+    Chunks met before come from a store of at most most_bytes bytes. New ones go to the library some hundreds together, one in a
     line, as a line feed between them is a token of its own; a chunk with white space inside goes alone. Vocabularies that
     are not byte-level without a prefix space, or that normalise, get whole texts instead of chunks.
     """
 
-    def __init__(self, vocabulary: str, kind: str | None = None, most: int = 1_000_000):
+    def __init__(self, vocabulary: str, kind: str | None = None, most_bytes: int = 180 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -69,7 +69,7 @@ class ChunkEncoder:
         self.cuts = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not spec.get("normalizer")
         line = self.library.encode("\n", add_special_tokens=False).ids
         self.line = line[0] if self.cuts and len(line) == 1 else None
-        self.kind, self.most, self.known = kind, most, {}
+        self.kind, self.store = kind, Store(most_bytes)
 
     def chunks(self, text: str) -> list[str]:
         return chunks(text) if self.cuts else [text]
@@ -80,10 +80,8 @@ class ChunkEncoder:
     def value(self, ids) -> int | bytes:
         return len(ids) if self.kind is None else np.asarray(ids, dtype=self.kind).tobytes()
 
-    def learn(self, new: list[str]) -> None:
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-        known, encode = self.known, self.library.encode_batch_fast
+    def learn(self, new: list[str]) -> dict[str, int | bytes]:
+        known, encode = {}, self.library.encode_batch_fast
         plain, others = [], []
         for c in new:
             words = c.split()
@@ -104,11 +102,7 @@ class ChunkEncoder:
         for at in range(0, len(others), 5_000):
             some = others[at : at + 5_000]
             known.update((c, self.value(e.ids)) for c, e in zip(some, encode(some, add_special_tokens=False), strict=True))
+        return known
 
     def values(self, parts: list[str]) -> list:
-        found = list(map(self.known.get, parts))
-        if None in found:
-            self.learn([*{c for c, v in zip(parts, found, strict=True) if v is None}])
-            known = self.known
-            found = [known[c] if v is None else v for c, v in zip(parts, found, strict=True)]
-        return found
+        return self.store.values(parts, self.learn)

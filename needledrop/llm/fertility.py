@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from needledrop.llm.common import bounded_batches, column_of, held, slices, texts_of, vocabulary_file
+from needledrop.llm.common import ENTRY_BYTES, bounded_batches, column_of, held, slices, texts_of, vocabulary_file
 
 # Rejection bands. For a language: least and most characters per byte-level token, most share of byte
 # fallback among pieces. Any other language goes by script: mostly Latin letters (below U+0250), or not.
@@ -33,9 +33,9 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 class Fertility:
-    """What each word costs in both vocabularies, kept for words met before; emptied at a fixed number of words."""
+    """What each word costs in both vocabularies, kept for words met before; emptied before words and pieces pass most_bytes, but for those of one batch."""
 
-    def __init__(self, byte_level: str, pieces: str, most: int = 250_000):
+    def __init__(self, byte_level: str, pieces: str, most_bytes: int = 56 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
@@ -43,20 +43,22 @@ class Fertility:
         self.byte_level = Tokenizer.from_file(vocabulary_file(byte_level))
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=vocabulary_file(pieces))
         self.fallback = np.array([self.pieces.is_byte(i) for i in range(self.pieces.get_piece_size())])
-        self.most = most
+        self.most = most_bytes
+        self.kind = np.uint16 if len(self.fallback) <= 1 << 16 else np.uint32
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.size = 0
         self.tokens = self.sizes = self.bytes_in = np.zeros(0, dtype=np.int64)
-        self.starts, self.flat = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint16)
+        self.starts, self.flat = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=self.kind)
 
     def learn(self, new: list[bytes]) -> None:
         words = [w.decode("utf-8", "replace") for w in new]
         tokens = [len(e.ids) for e in self.byte_level.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
         ids = self.pieces.encode(words, num_threads=1)
         sizes = np.array([len(i) for i in ids], dtype=np.int64)
-        flat = np.array([i for some in ids for i in some], dtype=np.uint16)
+        flat = np.array([i for some in ids for i in some], dtype=self.kind)
         ends = np.cumsum(sizes)
         in_bytes = np.diff(np.concatenate(([0], np.cumsum(self.fallback[flat])))[np.concatenate(([0], ends))])
         self.known.update((w, i) for i, w in enumerate(new, len(self.known)))
@@ -65,13 +67,19 @@ class Fertility:
         self.starts = np.concatenate((self.starts, ends - sizes + len(self.flat)))
         self.flat = np.concatenate((self.flat, flat))
 
+    @staticmethod
+    def cost(words: set[bytes]) -> int:
+        """Bytes of words with their pieces (at most one a byte), and of what stands beside each."""
+        return 5 * sum(map(len, words)) + ENTRY_BYTES * len(words)
+
     def numbers(self, words: list[bytes]) -> np.ndarray:
         known = self.known
         new = set(words).difference(known)
         if new:
-            if len(known) + len(new) > self.most:
+            if self.size + self.cost(new) > self.most:
                 self.clear()
                 known, new = self.known, set(words)
+            self.size += self.cost(new)
             self.learn([*new])
         return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
 
@@ -92,9 +100,14 @@ def repeat_words(numbers: np.ndarray, window: int = 3) -> int:
     """Words that lie in a window of that many words which is found twice or more in the text."""
     if len(numbers) <= window:
         return 0
-    keys = numbers[: len(numbers) - window + 1].astype(np.uint64)
+    keys = numbers.astype(np.uint64)
+    size = most = int(numbers.max()) + 1
     for k in range(1, window):
-        keys = keys * np.uint64(1 << 21) + numbers[k : len(numbers) - window + 1 + k].astype(np.uint64)
+        if most * size >= 1 << 64:  # numbered anew, the window so far has fewer values than the text has words
+            keys = np.unique(keys, return_inverse=True)[1].astype(np.uint64)
+            most = int(keys.max()) + 1
+        keys = keys[:-1] * np.uint64(size) + numbers[k:].astype(np.uint64)
+        most *= size
     order = np.argsort(keys, kind="stable")
     s = keys[order]
     same = s[1:] == s[:-1]

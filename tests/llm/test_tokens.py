@@ -148,3 +148,41 @@ def test_fertility_follows_labels(spark, sf_dir):
     bad = [r["kept"] for r in marks if r["quality"] == 0]
     assert sum(good) >= 0.98 * len(good)
     assert not bad or sum(bad) <= 0.4 * len(bad)
+
+
+def test_stores_are_bounded_by_bytes():
+    """Megabytes of text without spaces: long chunks aren't kept, and what is kept stays within the bound."""
+
+    from needledrop.llm.bpe import PairIndexBpe
+    from needledrop.llm.common import Store, WordHashes
+    from needledrop.llm.encoding import ChunkEncoder
+
+    random.seed(8)
+    long = ["".join(chr(0x4E00 + random.randrange(3000)) for _ in range(60_000)) for _ in range(6)]
+    short = [f" w{random.randrange(10**9)}" for _ in range(30_000)]
+    for model in (PairIndexBpe("byte_bpe_50k.json", most_bytes=1 << 20), ChunkEncoder("byte_bpe_50k.json", "<i4", most_bytes=1 << 20)):
+        call = model.encode if hasattr(model, "encode") else model.values
+        want = [call([c])[0] for c in (*long, *short[:50])]
+        for at in range(0, len(short), 1000):
+            call(short[at : at + 1000])
+            assert model.store.size <= 1 << 20
+            assert max(map(len, model.store.known), default=0) <= 256
+        assert call([*long, *short[:50]]) == want
+    hashes = WordHashes(1, most_bytes=1 << 16)
+    words = [w.encode() for w in (*long, *short)]
+    assert (hashes(words) == hashes(words)).all() and hashes.store.size <= 1 << 16
+    store = Store(0)
+    assert store.values([b"a", b"b", b"a"], lambda new: {k: k * 2 for k in new}) == [b"aa", b"bb", b"aa"] and not store.known
+
+
+def test_repeat_words_against_brute_force():
+    from needledrop.llm.fertility import repeat_words
+
+    assert repeat_words(np.array([5, 2**21 + 7, 9, 1, 6, 7, 9])) == 0
+    rng = np.random.default_rng(3)
+    for top in (3, 6, 2**21 + 9, 2**40):
+        for n in (1, 2, 3, 4, 30, 200):
+            words = rng.choice(np.array([0, 1, 2, top - 1, top, top + 5, top * 2]), n).tolist()
+            windows = [tuple(words[i : i + 3]) for i in range(n - 2)]
+            covered = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(3)}
+            assert repeat_words(np.array(words)) == len(covered)
