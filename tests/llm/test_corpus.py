@@ -114,14 +114,14 @@ def test_pipeline(spark, sf_dir):
     from tokenizers import Tokenizer
 
     from needledrop.llm import fertility
-    from test_copies import brute_components, plain_fingerprint
+    from test_near_copies import brute_groups
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near copies", "repeated passages", "mixture", "tokens"]
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
     good = {r["doc_id"] for r in fertility.measure(table).where("kept").collect()}
     docs = {r["doc_id"]: r for r in table.collect() if r["doc_id"] in good}
     ids = sorted(docs)
-    component = brute_components(ids, [plain_fingerprint(docs[i]["text"]) for i in ids])
+    component = brute_groups({i: docs[i]["text"] for i in ids})
     ids = [i for i in ids if component[i] == i]
     first: dict = {}
     for i in ids:

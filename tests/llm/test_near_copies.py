@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 
-from needledrop.llm import minhash
+import numpy as np
+
+from needledrop.llm import simhash
 
 
 def plain_set(text):
@@ -50,7 +52,7 @@ def test_recall_on_planted_copies(spark):
         rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
         if similarity(plain_set(rows[-2][1]), plain_set(rows[-1][1])) >= 0.8:
             pairs.append(2 * i + 1)
-    kept = {r["doc_id"] for r in minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     gone = {i for i, _ in rows} - kept
     assert len(pairs) > 200
     assert gone <= {*pairs}
@@ -66,6 +68,47 @@ def test_large_group_and_odd_rows(spark):
         copy[random.randrange(200)] = f"x{i}"
         rows.append((i, " ".join(copy), "r"))
     rows += [(1000, None, "n"), (1001, "", "n"), (1002, "one two", "s"), (1003, "One  two", "s"), (1004, "b", "t"), (1004, "c", "t"), (1004, "c", "t"), (None, "without an id", "u")]
-    kept = minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, cls string")).collect()
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, cls string")).collect()
     assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in kept if r["cls"] != "n") == sorted([(0, rows[0][1]), (1002, "one two"), (1004, "b"), (1004, "c"), (-1, "without an id")])
     assert [r["doc_id"] for r in kept if r["cls"] == "n"] == [1000]
+
+
+def test_no_pair_with_a_common_variant_is_missed(spark, monkeypatch):
+    """Families whose members are just below and above the similarity: the first owner of a variant often isn't the partner."""
+    monkeypatch.setattr(simhash, "VARIANTS", 1 << 12)
+    monkeypatch.setattr(simhash, "HOT", 40)
+    random.seed(12)
+    rows = []
+    for family in range(6):
+        base = [f"f{family}w{i}" for i in range(120)]
+        for _ in range(40):
+            copy = list(base)
+            for at in random.sample(range(120), random.randint(0, 3)):
+                copy[at] = random.choice(["x", "y", "z"]) + str(at)
+            rows.append((len(rows), " ".join(copy)))
+    sets = [simhash.shingle_set(t) for _, t in rows]
+    fps = simhash.set_fingerprints(sets, 24, 48)
+    low = {i: i for i, _ in rows}
+    linked = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(np.intersect1d(a, sets[j]))
+            if both >= 0.8 * (len(a) + len(sets[j]) - both) and np.bitwise_count(fps[i] ^ fps[j]).min() <= 4:
+                linked += 1
+                old, new = max(low[i], low[j]), min(low[i], low[j])
+                low = {k: new if v == old else v for k, v in low.items()}
+    found = {r["id"]: r["component_id"] for r in simhash.similar_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert linked > 500
+    assert found == low
+
+
+def test_fingerprints_of_sets():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (1, 2, 3, 254, 255, 256, 600, 40_000)] + [np.zeros(0, dtype=np.uint64)]
+    for s, row in zip(sets, simhash.set_fingerprints(sets, 3, 48).tolist(), strict=True):
+        bits = []
+        for w in range(3):
+            h = simhash.mix((s + np.uint64(w + 1)) * simhash.ODD)
+            # Within a word the bits of its bytes, lowest first.
+            bits += [2 * int((h >> np.uint64(b) & np.uint64(1)).sum()) > len(s) for b in range(64)]
+        assert row == [sum(x << i for i, x in enumerate(bits[48 * t : 48 * t + 48])) for t in range(3)]
