@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import math
-import uuid
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -13,52 +11,84 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from needledrop.llm.common import WordHashes, bounded_batches, column_of, held, mix, pack, pack_sorted, partitions_for, slices, texts_of, unpack, unpack_sorted, written
+from needledrop.llm.common import WordHashes, bounded_batches, column_of, give_back, held, mix, pack, pack_sorted, slices, unpack, unpack_sorted, written
 
-#: Contexts of 1 to 4 preceding bytes, and of the word so far; each with the bits of the next byte that are already known.
+#: Contexts of a byte within its word: the 1 to 4 bytes before it, and all of the word before it.
 ORDERS = 5
 #: Odd multiplier of the rolling sum over the bytes of a word, and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C1D
 INVERSE = pow(BASE, -1, 2**64)
 END = b"\n"
-#: Sets of mixing weights: by how often the word so far, and the four bytes before, were seen with these bits.
+#: Sets of mixing weights for bytes: by how often the word so far, and the four bytes before, were seen with these bits.
 GATES = 24
 STEPS = 33  # of the adaptive refinement, over stretched probabilities from -8 to 8
-
-
-def model_text(text: str) -> bytes:
-    """What is scored: words in lower case (A-Z) with one space between, and the end."""
-    return b" ".join(text.encode().lower().split()) + END
-
-
-def grams(streams: list[bytes], block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of all bytes of the texts (see _grams), and each text's length."""
-    lengths = np.array([len(s) for s in streams], dtype=np.int64)
-    return np.concatenate([_grams(streams[a:b]) for a, b in slices(lengths, block)]), lengths
-
-
-def _grams(streams: list[bytes]) -> np.ndarray:
-    """A 64-bit number for every byte: 24 bits of a hash of the word before it, the four bytes before it (ends before the
-    start), and the byte."""
-    lengths = np.array([len(s) for s in streams], dtype=np.int64)
-    raw = np.frombuffer(b"".join(END * 4 + s for s in streams), dtype=np.uint8)
+#: Bytes of text for each bucket of words, and for each group of documents.
+BUCKET_BYTES, GROUP_BYTES = 16 << 20, 8 << 20
+
+
+# Words, their bytes and the contexts of these.
+
+
+def tokens_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Tokens of each text (words in lower case A-Z, then an end): how many, the distinct ones' hashes in order, which of
+    them each token is, and the distinct ones themselves (the end as b"")."""
+    import pandas as pd
+
+    hashes = held(("lm", "words"), lambda: WordHashes(4, 80 << 20))
+    lengths, parts, words, start = [], [], [], 0
+    for t in texts:
+        some = t.encode().lower().split()
+        lengths.append(len(some) + 1)
+        words += some
+        words.append(b"")
+        if len(words) - start > 200_000:
+            parts.append(hashes(words[start:]))
+            start = len(words)
+    if start < len(words):
+        parts.append(hashes(words[start:]))
+    codes, found = pd.factorize(np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64))
+    first = np.empty(len(found), dtype=np.int64)
+    first[codes[::-1]] = np.arange(len(codes))[::-1]
+    order = np.argsort(found)
+    place = np.empty(len(found), dtype=np.int64)
+    place[order] = np.arange(len(found))
+    return np.array(lengths, dtype=np.int64), found[order], place[codes], [words[i] for i in first[order].tolist()]
+
+
+def end_hash() -> np.uint64:
+    return held(("lm", "words"), lambda: WordHashes(4, 80 << 20))([b""])[0]
+
+
+def pair_keys(hashes: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each token the place in hashes of the token before it (the end before a text), and the key of both."""
+    before = np.empty(len(at), dtype=np.int64)
+    before[1:] = at[:-1]
+    before[np.cumsum(lengths) - lengths] = np.searchsorted(hashes, end_hash())
+    return before, mix(mix(hashes)[before] + hashes[at])
+
+
+def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of words, each with a space after it (the end is one line feed), and how many each has."""
+    lengths = np.array([len(w) + 1 for w in words], dtype=np.int64)
+    raw = np.frombuffer(b" ".join(words) + b" ", dtype=np.uint8).copy()
+    raw[(np.cumsum(lengths) - lengths)[lengths == 1]] = END[0]
+    return raw, lengths
+
+
+def context_keys(raw: np.ndarray, lengths: np.ndarray, order: int) -> np.ndarray:
+    """For each byte 56 bits of a hash of its context of an order, and the byte."""
+    starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
+    inside = np.arange(len(raw)) - starts
     keys = raw.astype(np.uint64)
-    n = len(keys)
-    up, down = _powers(n)
-    sums = np.concatenate(([np.uint64(0)], np.cumsum((keys + np.uint64(1)) * up[:n], dtype=np.uint64)))[:-1]
-    first = np.zeros(n, dtype=np.int64)
-    first[1:] = np.where((raw[:-1] == 32) | (raw[:-1] == END[0]), np.arange(1, n), 0)
-    np.maximum.accumulate(first, out=first)
-    word = mix((sums - sums[first]) * down[first]) >> np.uint64(40)
-    flat = keys.copy()
-    for k in range(1, 5):
-        keys[k:] |= flat[:-k] << np.uint64(8 * k)
-    keys |= word << np.uint64(40)
-    inside = np.ones(n, dtype=bool)
-    starts = np.cumsum(lengths + 4) - lengths - 4
-    for k in range(4):
-        inside[starts + k] = False
-    return keys[inside]
+    if order == ORDERS - 1:
+        up, down = _powers(len(raw) + 1)
+        sums = np.concatenate(([np.uint64(0)], np.cumsum((keys + np.uint64(1)) * up[: len(raw)], dtype=np.uint64)))
+        context = (sums[:-1] - sums[starts]) * down[starts]
+    else:
+        context = np.zeros(len(raw), dtype=np.uint64)
+        for k in range(1, order + 2):
+            context[k:] |= np.where(inside[k:] >= k, keys[:-k] + np.uint64(1), np.uint64(0)) << np.uint64(9 * (k - 1))
+    return mix(mix(context + np.uint64(order)) + np.uint64(order)) & ~np.uint64(255) | keys
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +122,7 @@ class Code:
         self.bits = np.array([x for b in range(256) for _, x in paths[b]])
 
     def decisions(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each binary decision of each gram: the gram's place in keys, the node, the bit."""
+        """For each binary decision of the lowest byte of each key: the key's place, the node, the bit."""
         byte = (keys & np.uint64(255)).astype(np.int64)
         n = self.length[byte]
         of = np.repeat(np.arange(len(keys)), n)
@@ -100,12 +130,25 @@ class Code:
         return of, self.nodes[at], self.bits[at]
 
 
-def slots(keys: np.ndarray, of: np.ndarray, nodes: np.ndarray, order: int, bits: int) -> np.ndarray:
-    """The place of each decision in the table of an order."""
-    context = keys >> np.uint64(40) if order == ORDERS - 1 else (keys >> np.uint64(8)) & np.uint64((1 << 8 * (order + 1)) - 1)
-    base = mix(context * np.uint64(ORDERS) + np.uint64(order + 1))
-    h = (base[of] + nodes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD1342543DE82EF95)
-    return ((h ^ (h >> np.uint64(29))) * np.uint64(0xAF251AF3B0F025B5) >> np.uint64(64 - bits)).astype(np.int64)
+def node_counts(keys: np.ndarray, counts: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray]:
+    """Zeros and ones in the context and node of each decision of distinct sorted keys with their counts."""
+    of, nodes, bit = code.decisions(keys)
+    context = np.cumsum(np.concatenate(([0], keys[1:] >> np.uint64(8) != keys[:-1] >> np.uint64(8)))) if len(keys) else np.zeros(0, dtype=np.int64)
+    _, slot = np.unique(context[of] * 256 + nodes, return_inverse=True)
+    c = counts.astype(np.float64)[of]
+    return np.bincount(slot, weights=c * (bit == 0))[slot], np.bincount(slot, weights=c * (bit == 1))[slot]
+
+
+def squeeze(n: np.ndarray) -> np.ndarray:
+    """Counts in one byte: exact up to 8, then five steps for each doubling."""
+    return np.round(5 * np.log2(1 + n)).astype(np.uint8)
+
+
+def unsqueeze(code: np.ndarray) -> np.ndarray:
+    return np.round(np.exp2(np.arange(256) / 5) - 1).astype(np.float32)[code]
+
+
+# Mixing.
 
 
 def squash(x: np.ndarray) -> np.ndarray:
@@ -114,49 +157,30 @@ def squash(x: np.ndarray) -> np.ndarray:
 
 def evidence(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The stretched probability of a one after such counts (0 after none), and how sure it is in six levels."""
-    total = zeros + ones
     x = np.log((ones + np.float32(0.02)) / (zeros + np.float32(0.02)))
-    return np.clip(x, -8, 8).astype(np.float32), np.searchsorted(np.array([0.5, 1.5, 3.5, 15.5, 127.5], dtype=np.float32), total).astype(np.uint8)
+    return np.clip(x, -8, 8).astype(np.float32), np.searchsorted(np.array([0.5, 1.5, 3.5, 15.5, 127.5], dtype=np.float32), zeros + ones).astype(np.uint8)
 
 
 class Mixer:
-    """Count tables of all orders, gated weights, and the refinement; predicts the decisions of grams."""
-
-    def __init__(self, tables: Iterator[np.ndarray], bits: int, code: Code, weights: np.ndarray | None = None, refinement: np.ndarray | None = None, frozen: bool = False):
-        self.bits, self.code, self.frozen = bits, code, frozen
-        # Frozen: what the tables say, worked out once.
-        self.tables = [evidence(t[:, 0].astype(np.float32), t[:, 1].astype(np.float32)) if frozen else t for t in tables]
-        self.weights = np.full((GATES, ORDERS + 1), 0.3) if weights is None else weights
-        if weights is None:
+    """Weights for each gate over stretched predictions, and a refinement of the result for each node; both learned online."""
+
+    def __init__(self, inputs: int, gates: int, nodes: int, values: np.ndarray | None = None):
+        cut = gates * (inputs + 1)
+        self.shape = (inputs, gates, nodes)
+        if values is None:
+            self.weights = np.full((gates, inputs + 1), 1.5 / inputs)
             self.weights[:, -1] = 0
-        self.refinement = np.tile(squash(np.linspace(-8, 8, STEPS)), (255, 1)) if refinement is None else refinement
+            self.refinement = np.tile(squash(np.linspace(-8, 8, STEPS)), (nodes, 1))
+        else:
+            self.weights, self.refinement = values[:cut].reshape(gates, inputs + 1), values[cut:].reshape(nodes, STEPS)
 
-    def inputs(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of each decision: the gram, stretched predictions by order, the gate, the node, the bit.
-
-        While learning, the gram's own occurrence is left out of its counts, so that weights see what a new text would see.
-        """
-        of, nodes, bit = self.code.decisions(keys)
-        x = np.empty((ORDERS + 1, len(of)), dtype=np.float32)
-        x[-1] = 0.3
-        level = []
-        for order in range(ORDERS):
-            at = slots(keys, of, nodes, order, self.bits)
-            if self.frozen:
-                value, sure = self.tables[order]
-                x[order] = value[at]
-                sure = sure[at] if order >= ORDERS - 2 else None
-            else:
-                n = self.tables[order][at].astype(np.float32)
-                x[order], sure = evidence(np.maximum(n[:, 0] - (bit == 0), 0), np.maximum(n[:, 1] - (bit == 1), 0))
-            level.append(sure)
-        gate = level[-1].astype(np.int64) * 4 + np.minimum(level[-2], 3)
-        return of, x, gate, nodes, bit
+    def values(self) -> np.ndarray:
+        return np.concatenate((self.weights.ravel(), self.refinement.ravel()))
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         weights = self.weights.astype(np.float32)
-        out = x[0] * weights[gate, 0]
-        for k in range(1, len(x)):
+        out = 0.3 * weights[gate, -1]
+        for k in range(len(x)):
             out += x[k] * weights[gate, k]
         return out
 
@@ -167,311 +191,438 @@ class Mixer:
         flat, cell = self.refinement.ravel(), nodes * STEPS + low
         return cell, share, flat[cell] * (1 - share) + flat[cell + 1] * share
 
-    def learn(self, keys: np.ndarray, counts: np.ndarray, batch: int = 2048) -> None:
+    def learn(self, x: np.ndarray, gate: np.ndarray, nodes: np.ndarray, bit: np.ndarray, weight: np.ndarray, batch: int = 10_000) -> None:
         """Online: batch by batch a step of the weights of each gate (scaled by past gradients), and of the refinement."""
+        inputs, gates, n_nodes = self.shape
         squares = np.full(self.weights.shape, 1e-6)
-        for start in range(0, len(keys), batch):
-            of, x, gate, nodes, bit = self.inputs(keys[start : start + batch])
-            c = np.minimum(counts[start : start + batch], 1 << 20).astype(np.float64)[of]
-            s = self.mixed(x, gate)
-            wrong = (bit - squash(s)) * c
-            seen = np.maximum(np.bincount(gate, weights=c, minlength=GATES), 1)
-            step = np.stack([np.bincount(gate, weights=wrong * row, minlength=GATES) for row in x], axis=1) / seen[:, None]
+        for start in range(0, len(bit), batch):
+            own = slice(start, start + batch)
+            g, c = gate[own], weight[own]
+            s = self.mixed(x[:, own], g)
+            wrong = (bit[own] - squash(s)) * c
+            seen = np.maximum(np.bincount(g, weights=c, minlength=gates), 1e-9)
+            rows = [*x[:, own], np.float32(0.3)]
+            step = np.stack([np.bincount(g, weights=wrong * row, minlength=gates) for row in rows], axis=1) / seen[:, None]
             squares += step * step
-            self.weights += 0.05 * step / np.sqrt(squares)
-            cell, share, _ = self.refine(s, nodes)
+            self.weights = self.weights + 0.05 * step / np.sqrt(squares)
+            cell, share, _ = self.refine(s, nodes[own])
             cell = cell + (share > 0.5)
-            n = np.bincount(cell, weights=c, minlength=255 * STEPS).reshape(255, STEPS)
-            ones = np.bincount(cell, weights=c * bit, minlength=255 * STEPS).reshape(255, STEPS)
-            self.refinement += 0.1 * n / (n + 200) * (ones / np.maximum(n, 1e-9) - self.refinement)
-
-    def log10(self, keys: np.ndarray, block: int = 20_000) -> np.ndarray:
-        """log10 of each gram's byte given what is before it."""
-        out = np.zeros(len(keys))
-        for start in range(0, len(keys), block):
-            some = keys[start : start + block]
-            of, x, gate, nodes, bit = self.inputs(some)
-            s = self.mixed(x, gate)
-            p = np.clip(0.5 * squash(s) + 0.5 * self.refine(s, nodes)[2], 1e-6, 1 - 1e-6)
-            n = self.code.length[(some & np.uint64(255)).astype(np.int64)]
-            out[start : start + block] = np.add.reduceat(np.log10(np.where(bit == 1, p, 1 - p)), np.cumsum(n) - n)
-        return out
+            n = np.bincount(cell, weights=c, minlength=n_nodes * STEPS).reshape(n_nodes, STEPS)
+            ones = np.bincount(cell, weights=c * bit[own], minlength=n_nodes * STEPS).reshape(n_nodes, STEPS)
+            self.refinement = self.refinement + 0.1 * n / (n + 200) * (ones / np.maximum(n, 1e-9) - self.refinement)
+
+    def log10(self, x: np.ndarray, gate: np.ndarray, nodes: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each bit."""
+        s = self.mixed(x, gate)
+        p = np.clip(0.5 * squash(s) + 0.5 * self.refine(s, nodes)[2], 1e-6, 1 - 1e-6)
+        return np.log10(np.where(bit == 1, p, 1 - p))
 
 
-def _streams(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[list[bytes]]:
-    rows, size = [], 0
+def averaged(parts: DataFrame, size: int) -> np.ndarray | None:
+    """The mean of the learners' values (seen long, values array<double>) by what they saw; None without a learner.
+
+    Summed as whole numbers, so the order of the learners doesn't matter.
+    """
+    scaled = F.round(F.col("value") * 2.0**40).cast("decimal(20,0)") * F.col("seen").cast("decimal(18,0)")
+    rows = parts.select("seen", F.posexplode("values").alias("at", "value")).groupBy("at").agg(F.sum(scaled).alias("total"), F.sum("seen").alias("seen"))
+    rows = rows.collect()  # as many rows as the model has values
+    if not rows:
+        return None
+    out = np.zeros(size)
+    for r in rows:
+        out[r["at"]] = int(r["total"]) / r["seen"] / 2.0**40
+    return out
+
+
+# Bytes of words: counts of contexts meet words by buckets of contexts, as words meet documents by buckets of words.
+
+
+def _cut(keys: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
+    """Each bucket with the places of its keys."""
+    b = (mix(keys) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(b, kind="stable")
+    cuts = np.flatnonzero(np.diff(b[order], prepend=-1))
+    return [(int(b[own[0]]), own) for own in np.split(order, cuts[1:])] if len(keys) else []
+
+
+def _by(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], key: int = 1) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Runs of rows that are equal in the first `key` columns."""
+    last, rows = None, []
     for batch in batches:
-        for text in texts_of(batch):
-            rows.append(model_text(text))
-            size += len(rows[-1])
-            if size >= most:
-                yield rows
-                rows, size = [], 0
+        for row in zip(*(column_of(batch, c).to_pylist() for c in columns), strict=True):
+            if row[:key] != last and rows:
+                yield last, rows
+                rows = []
+            last = row[:key]
+            rows.append(row[key:])
     if rows:
-        yield rows
-
+        yield last, rows
 
-def histogram(texts: DataFrame, buckets: int) -> DataFrame:
-    """keys, counts (packed arrays, a row for each bucket): how often each gram is in the texts."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
-        for rows in _streams(batches, 2 << 20):
-            keys = np.sort(grams(rows)[0])
-            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            parts.append((keys[first], np.diff(np.append(first, len(keys))).astype("<u8")))
-            if len(parts) == 8:
-                yield _packed(*_summed(parts), buckets)
-                parts = []
-        if parts:
-            yield _packed(*_summed(parts), buckets)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, list] = {}
-        for batch in batches:
-            for b, k, c in zip(*(column_of(batch, n).to_pylist() for n in ("bucket", "keys", "counts")), strict=True):
-                found.setdefault(b, []).append((unpack_sorted(k), unpack(c, "<u8")))
-                if len(found[b]) > 64:
-                    found[b] = [_summed(found[b])]
-        for b in [*found]:
-            keys, counts = _summed(found.pop(b))
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([pack_sorted(keys)], pa.binary()), pa.array([pack(counts)], pa.binary())], names=["bucket", "keys", "counts"])
+def _rows(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
 
-    schema = "bucket int, keys binary, counts binary"
-    return texts.select("text").mapInArrow(count, schema).repartition(buckets, "bucket").mapInArrow(add, schema)
 
+ASKED = "to int, b int, order int, keys binary, counts binary"
+TOLD = "b int, order int, to int, data binary"
 
-def _summed(parts: list) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, dtype=np.int64)
-    return keys[first], np.add.reduceat(counts, first).astype("<u8") if len(first) else counts
 
+def contexts(vocabulary: DataFrame, code: Code, buckets: int) -> DataFrame:
+    """b, order, to, data: for the words of bucket b the counts of their contexts (see node_counts) over all words.
 
-def _packed(keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
-    b = (mix(keys) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(b, kind="stable")  # keys are in order already
-    keys, counts, b = keys[order], counts[order].astype("<u8"), b[order]
-    cuts = [*np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))).tolist(), len(b)]
-    runs = [*zip(cuts[:-1], cuts[1:], strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(b[cuts[:-1]], pa.int32()), pa.array([pack_sorted(keys[x:y]) for x, y in runs], pa.binary()), pa.array([pack(counts[x:y]) for x, y in runs], pa.binary())], names=["bucket", "keys", "counts"])
-
-
-def count_tables(grams_: DataFrame, bits: int, code: Code, parts: int = 16) -> DataFrame:
-    """order, part, table: the counts of zeros and ones of an order's places, in 16 bits each, summed over all grams."""
-    width = (1 << bits) // parts
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts_ = [(unpack_sorted(k), unpack(c, "<u8")) for batch in batches for k, c in zip(*(column_of(batch, n).to_pylist() for n in ("keys", "counts")), strict=True)]
-        for order in range(ORDERS) if parts_ else ():
-            total = np.zeros(2 << bits, dtype=np.float64)  # one order at a time
-            for keys, counts in parts_:
-                for at in range(0, len(keys), 400_000):
-                    some = keys[at : at + 400_000]
-                    of, nodes, bit = code.decisions(some)
-                    total += np.bincount(2 * slots(some, of, nodes, order, bits) + bit, weights=counts[at : at + 400_000].astype(np.float64)[of], minlength=2 << bits)
-            for part in range(parts):
-                some = total[2 * width * part : 2 * width * (part + 1)]
-                at = np.flatnonzero(some)
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array([order], pa.int32()), pa.array([part], pa.int32()), pa.array([pack_sorted(at.astype("<u8"))], pa.binary()), pa.array([pack(some[at].astype("<u8"))], pa.binary())], names=["order", "part", "places", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            for o, p, at, c in zip(*(column_of(batch, n).to_pylist() for n in ("order", "part", "places", "counts")), strict=True):
-                table = found.setdefault((o, p), np.zeros(2 * width, dtype=np.uint64))
-                table[unpack_sorted(at).astype(np.int64)] += unpack(c, "<u8")
-        for (o, p), table in found.items():
-            pairs = table.reshape(-1, 2).astype(np.float64)
-            pairs /= np.maximum(pairs.max(axis=1, keepdims=True) / 65535, 1)
-            yield pa.RecordBatch.from_arrays([pa.array([o], pa.int32()), pa.array([p], pa.int32()), pa.array([pack(np.ceil(pairs).astype("<u2"))], pa.binary())], names=["order", "part", "table"])
-
-    sparse = grams_.mapInArrow(spread, "order int, part int, places binary, counts binary")
-    return sparse.repartition(ORDERS * parts, "order", "part").mapInArrow(add, "order int, part int, table binary")
-
-
-@dataclass
-class Model:
-    """A trained mixer as it is sent to the tasks: ORDERS * 2**bits * 4 bytes before compression at most, and two small tables."""
-
-    tables: list[tuple[int, int, bytes]]
-    bits: int
-    code: Code
-    weights: np.ndarray | None = None
-    refinement: np.ndarray | None = None
-
-    def mixer(self, frozen: bool) -> Mixer:
-        def table(wanted: int) -> np.ndarray:
-            out = np.zeros((1 << self.bits, 2), dtype="<u2")
-            for order, part, data in self.tables:
-                if order == wanted:
-                    some = unpack(data, "<u2").reshape(-1, 2)
-                    out[part * len(some) : (part + 1) * len(some)] = some
-            return out
-
-        return Mixer(map(table, range(ORDERS)), self.bits, self.code, self.weights, self.refinement, frozen)
-
-
-def train(texts: DataFrame, bits: int = 21) -> Model:
-    """A model of the texts (a column text): counts over all of them, then weights and refinement over all grams.
-
-    The grams of all texts are counted in tasks and added up by a shuffle; their bits are added up in the tables of each
-    order, which have a fixed size (2**bits places an order), so the driver holds a bounded model whatever the input.
-    Every task then learns weights online over its share of the grams, without the occurrence at hand in the counts; the
-    tasks' weights are averaged by the bits that they saw.
+    Every bucket of words sends its distinct contexts and bytes of each order, with the counts of training tokens, to the
+    buckets of the contexts, and gets zeros and ones back for each, so no table of contexts is ever in one place.
     """
-    spark = texts.sparkSession
-    counted = written(histogram(texts, partitions_for(texts)), "grams")
 
-    def bytes_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256)
-        for batch in batches:
-            for k, c in zip(*(column_of(batch, n).to_pylist() for n in ("keys", "counts")), strict=True):
-                total += np.bincount((unpack_sorted(k) & np.uint64(255)).astype(np.int64), weights=unpack(c, "<u8"), minlength=256)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total.astype(np.int64))], names=["byte", "n"])
-
-    frequency = np.zeros(256, dtype=np.int64)
-    for r in counted.mapInArrow(bytes_in, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
-        frequency[r["byte"]] = r["n"]
-    code = Code(frequency)
-    model = Model([(r["order"], r["part"], bytes(r["table"])) for r in count_tables(counted, bits, code).toLocalIterator()], bits, code)
-    shared = spark.sparkContext.broadcast(model)
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (b,), rows in _by(batches, ("b", "counts", "words")):
+            for data, blob in rows:
+                raw, lengths = spelled(unpack(blob, "u1").tobytes().split(b"\n"))
+                c = np.repeat(unpack(data, "<u8"), lengths).astype(np.float64)
+                for order in range(ORDERS):
+                    keys, at = np.unique(context_keys(raw, lengths, order), return_inverse=True)
+                    sums = np.bincount(at, weights=c).astype("<u8")
+                    yield _rows(ASKED, [(to, b, order, pack_sorted(keys[own]), pack(sums[own])) for to, own in _cut(keys >> np.uint64(8), buckets)])
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        for (to, order), rows in _by(batches, ("to", "order", "b", "keys", "counts"), 2):
+            sent = [unpack_sorted(k) for _, k, _ in rows]
+            keys, at = np.unique(np.concatenate(sent), return_inverse=True)
+            sums = np.bincount(at, weights=np.concatenate([unpack(c, "<u8") for *_, c in rows]).astype(np.float64))
+            zeros, ones = map(squeeze, node_counts(keys, sums, code))
+            n = code.length[(keys & np.uint64(255)).astype(np.int64)]
+            starts = np.cumsum(n) - n
+            cuts = np.cumsum([0, *map(len, sent)])
+            for (b, *_), x, y in zip(rows, cuts[:-1], cuts[1:], strict=True):
+                own = at[x:y]
+                places = np.repeat(starts[own] - np.cumsum(n[own]) + n[own], n[own]) + np.arange(n[own].sum())
+                yield _rows(TOLD, [(b, order, to, pack(np.concatenate((zeros[places], ones[places]))))])
+
+    asked = vocabulary.select("b", "counts", "words").mapInArrow(ask, ASKED)
+    return asked.repartition(buckets, "to").sortWithinPartitions("to", "order").mapInArrow(tell, TOLD)
+
+
+class Bytes:
+    """The decisions of all bytes of a bucket's words, with the counts that were told for them."""
+
+    def __init__(self, words: list[bytes], counts: np.ndarray, code: Code, told: list[tuple[int, int, bytes]], buckets: int):
+        raw, lengths = spelled(words)
+        of, self.nodes, self.bit = code.decisions(raw.astype(np.uint64))
+        n = code.length[raw]
+        within = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        self.word = np.repeat(np.arange(len(words)), lengths)[of]
+        self.counts = counts
+        self.seen: list[tuple[np.ndarray, np.ndarray]] = []
+        for order in range(ORDERS):
+            keys, at = np.unique(context_keys(raw, lengths, order), return_inverse=True)
+            own = code.length[(keys & np.uint64(255)).astype(np.int64)]
+            starts = np.cumsum(own) - own
+            both = np.zeros((2, own.sum()), dtype=np.uint8)
+            mine = dict(_cut(keys >> np.uint64(8), buckets))
+            for _, to, data in (r for r in told if r[0] == order):
+                k = mine[to]
+                places = np.repeat(starts[k] - np.cumsum(own[k]) + own[k], own[k]) + np.arange(own[k].sum())
+                both[:, places] = unpack(data, "u1").reshape(2, -1)
+            places = starts[at[of]] + within
+            self.seen.append((both[0][places], both[1][places]))
+
+    def inputs(self, own: slice, without: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Stretched predictions by order, and the gate, of some decisions; without: occurrences of each left out of its counts."""
+        x, sure = [], []
+        for zeros, ones in self.seen:
+            bit = self.bit[own]
+            a, b = evidence(np.maximum(unsqueeze(zeros[own]) - (bit == 0) * without, 0), np.maximum(unsqueeze(ones[own]) - (bit == 1) * without, 0))
+            x.append(a)
+            sure.append(b)
+        return np.stack(x), sure[-1].astype(np.int64) * 4 + np.minimum(sure[-2], 3)
+
+    def blocks(self, most: int = 200_000) -> Iterator[slice]:
+        for start in range(0, len(self.bit), most):
+            yield slice(start, min(start + most, len(self.bit)))
+
+    def learn(self) -> tuple[int, np.ndarray]:
+        """What a mixer learns from all training tokens of these words, each left out of its own counts."""
+        mixer = Mixer(ORDERS, GATES, 255)
+        for own in self.blocks():
+            c = self.counts[self.word[own]].astype(np.float64)
+            x, gate = self.inputs(own, np.float32(1))
+            some = c > 0
+            mixer.learn(x[:, some], gate[some], self.nodes[own][some], self.bit[own][some], c[some])
+        return int(self.counts.sum()), mixer.values()
+
+    def log10(self, mixer: Mixer) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of each word's probability: to a training text, without one occurrence of the word, and to another."""
+        out = np.zeros((2, len(self.counts)))
+        for own in self.blocks():
+            word = self.word[own]
+            for k, without in enumerate(((self.counts[word] > 0).astype(np.float32), np.float32(0))):
+                x, gate = self.inputs(own, without)
+                out[k] += np.bincount(word, weights=mixer.log10(x, gate, self.nodes[own], self.bit[own]), minlength=len(self.counts))
+        return out[0], out[1]
+
+
+# Pairs of words: does a word follow the one before it as it did elsewhere?
+
+#: Contexts of that decision: how often the word before was seen and the last three decisions; the last 12; how often the
+#: two words before were seen; how many of the last 16 were yes, and the last. Gates: how many of the last eight were yes.
+PAIR_SIZES = (64 * 8, 1 << 12, 64 * 64, 34)
+PAIR_GATES = 9
+
+
+def pair_contexts(bit: np.ndarray, level: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The four contexts (rows) and the gate of each token's decision, from the decisions and levels before it in its text."""
+    inside = np.arange(len(bit)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    past = np.zeros(len(bit), dtype=np.int64)
+    for k in range(1, 17):
+        past[k:] |= np.where(inside[k:] >= k, bit[:-k], 0).astype(np.int64) << (k - 1)
+    before = np.zeros(len(bit), dtype=np.int64)
+    before[1:] = np.where(inside[1:] >= 1, level[:-1], 0)
+    some = np.bitwise_count(past.astype(np.uint64)).astype(np.int64)
+    return np.stack((level * 8 + (past & 7), past & 4095, level * 64 + before, some * 2 + (past & 1))), np.bitwise_count((past & 255).astype(np.uint64)).astype(np.int64)
+
+
+def pair_inputs(tables: list[np.ndarray], at: np.ndarray, bit: np.ndarray, without: np.ndarray) -> np.ndarray:
+    """Stretched predictions of each context's counts, less `without` occurrences of the decision itself."""
+    rows = []
+    for table, place in zip(tables, at, strict=True):
+        n = table[place].astype(np.float32)
+        rows.append(evidence(np.maximum(n[:, 0] - (bit == 0) * without, 0), np.maximum(n[:, 1] - (bit == 1) * without, 0))[0])
+    return np.stack(rows)
+
+
+def _decisions(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Decisions, levels of the word before, and tokens of each row."""
+    data = [unpack(x, "u1") for x in (batch.column("pairs") if isinstance(batch, pa.Table) else column_of(batch, "pairs")).to_pylist()]
+    flat = np.concatenate(data).astype(np.int64)
+    return flat & 1, flat >> 1, np.array([len(x) for x in data], dtype=np.int64)
+
+
+def pair_model(features: DataFrame, n_tokens: int) -> tuple[list[np.ndarray], Mixer]:
+    """Counts of all contexts over the training rows of features, and a mixer that learned from all of them."""
+    sizes = [2 * n for n in PAIR_SIZES]
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, seen = None, 0
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(sum(sizes), dtype=np.int64)
         for batch in batches:
-            for k, c in zip(*(column_of(batch, n).to_pylist() for n in ("keys", "counts")), strict=True):
-                mixer = mixer or shared.value.mixer(False)
-                keys, counts = unpack_sorted(k), unpack(c, "<u8")
-                order = np.argsort(mix(keys))
-                mixer.learn(keys[order], counts[order])
-                seen += int(counts.sum())
-        if mixer:
-            flat = np.concatenate((mixer.weights.ravel(), mixer.refinement.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([flat.tolist()], pa.list_(pa.float64()))], names=["seen", "values"])
-
-    parts = counted.mapInArrow(learn, "seen long, values array<double>")
-    mean = parts.select("seen", F.posexplode("values").alias("at", "value")).groupBy("at").agg((F.sum(F.col("value") * F.col("seen")) / F.sum("seen")).alias("value"))
-    values = np.zeros(GATES * (ORDERS + 1) + 255 * STEPS)
-    rows = mean.collect()  # as many rows as the model has weights
-    if not rows:
-        return model
-    values[[r["at"] for r in rows]] = [r["value"] for r in rows]
-    cut = GATES * (ORDERS + 1)
-    return Model(model.tables, bits, code, values[:cut].reshape(GATES, ORDERS + 1), values[cut:].reshape(255, STEPS))
-
+            if len(batch):
+                bit, level, lengths = _decisions(batch)
+                at, _ = pair_contexts(bit, level, lengths)
+                total += np.concatenate([np.bincount(2 * row + bit, minlength=n) for row, n in zip(at, sizes, strict=True)])
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["at", "n"])
+
+    training = features.where("not held_out").select("doc_id", "pairs")
+    flat = np.zeros(sum(sizes), dtype=np.int64)
+    for r in training.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # a fixed number of places
+        flat[r["at"]] = r["n"]
+    tables = [t.reshape(-1, 2) for t in np.split(flat, np.cumsum(sizes)[:-1])]
+    fresh = lambda values=None: Mixer(len(PAIR_SIZES), PAIR_GATES, PAIR_GATES, values)
+
+    def learn(table: pa.Table) -> pa.Table:
+        mixer = fresh()
+        for row in sorted(zip(table.column("order").to_pylist(), table.column("pairs").to_pylist(), strict=True)):
+            bit, level, lengths = _decisions(pa.table({"pairs": [row[1]]}))
+            at, gate = pair_contexts(bit, level, lengths)
+            mixer.learn(pair_inputs(tables, at, bit, np.float32(1)), gate, gate, bit, np.ones(len(bit)))
+        n = sum(len(unpack(x, "u1")) for x in table.column("pairs").to_pylist())
+        return pa.table({"seen": pa.array([n], pa.int64()), "values": pa.array([mixer.values().tolist()], pa.list_(pa.float64()))})
+
+    # The learners' number, and who learns what in which order, depend on the texts alone.
+    learners = max(1, n_tokens >> 21)
+    order = F.xxhash64("doc_id", "pairs")
+    parts = training.withColumn("order", order).groupBy(F.pmod(order, F.lit(learners)).alias("learner")).applyInArrow(learn, "seen long, values array<double>")
+    return tables, fresh(averaged(parts, len(fresh().values())))
+
+
+# The scores.
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
+MET = "kind int, b int, g int, keys binary, counts binary, words binary"
+FEATURES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, rest double, n_bytes long, pairs binary"
 
 
-def score(docs: DataFrame, folds: int = 10, bits: int = 21) -> DataFrame:
+def score(docs: DataFrame, folds: int = 10, bucket_bytes: int = BUCKET_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """One row for each row of docs (doc_id, text), by a model of the documents with crc32(doc_id) mod folds not 0.
 
-    held_out: the remainder is 0. Tokens are words in lower case and one end. base_score: log10 of the unigram
+    held_out: the remainder is 0. Tokens are words in lower case (A-Z) and one end. base_score: log10 of the unigram
     probability of the tokens, (c + 0.1) / (N + 0.1 (V + 1)), with n_known of them seen in training (c > 0) and train_tokens
     = N. score: log10 of the probability that the model gives the words, one space between, and the end.
     bits_per_byte: the same over n_bytes, the UTF-8 bytes of the text with its end.
 
-    Word counts meet documents by buckets of word hashes: each group of documents sends its distinct words once and gets
-    their counts back, so no table of all words is ever in one place. Rows stand in groups by hash.
+    The model decides each token in bits. First: did the word follow the word before it elsewhere in training? If so, it
+    costs its share of what followed; if not, it is spelled, each byte as decisions of a prefix code. Every decision mixes
+    the counts of several hashed contexts (earlier decisions and word counts; 1 to 4 bytes before and the word so far)
+    by weights of its gate, refined adaptively. Weights learn online over all training tokens, and a training document is
+    scored, with its own occurrence left out of the counts; so texts that occur twice stand out.
+
+    All counts (words, pairs of words, contexts) are exact and grow with the corpus. They lie in tables sharded by hash,
+    bucket_bytes of text for each bucket: each group of documents (group_bytes of text, or one document) sends its
+    distinct words and pairs once and gets their counts back. Rows between groups and buckets are never more than the words
+    and pairs sent. The driver sees weights and counts of a fixed number of levels only. Results depend on neither
+    partitions nor cores.
 
     Null text: empty, the end alone. A null id counts as the empty text: held out. Repeated rows each give a row (and count
     twice in training). Without training documents all counts are 0. An empty table gives no row.
     """
-    buckets = partitions_for(docs)
-    groups = 2 * buckets
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (F.crc32(name.cast("binary")) % folds == 0).alias("held_out"))
-    model = train(rows.where("not held_out"), bits)
+    size = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    buckets, groups = -(-size // bucket_bytes) or 1, -(-size // group_bytes) or 1
     grouped = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
 
-    def words_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """How many tokens each row has, the distinct words' hashes in order, and which of them each token is."""
-        import pandas as pd
-
-        hashes = held(("lm", "words"), lambda: WordHashes(4, 400_000))
-        lengths, parts, run = [], [], []
-        for t in table.column("text").to_pylist():
-            words = t.encode().lower().split()
-            words.append(END)
-            lengths.append(len(words))
-            run += words
-            if len(run) > 200_000:
-                parts.append(hashes(run))
-                run = []
-        codes, found = pd.factorize(np.concatenate([*parts, hashes(run)]) if run else np.concatenate(parts))
-        order = np.argsort(found)
-        place = np.empty(len(found), dtype=np.int64)
-        place[order] = np.arange(len(found))
-        return np.array(lengths), found[order], place[codes]
-
-    def distinct(table: pa.Table) -> pa.Table:
-        lengths, one, at = words_of(table)
+    def ask(table: pa.Table) -> pa.Table:
+        lengths, hashes, at, words = tokens_of(table.column("text").to_pylist())
         training = np.repeat(~np.array(table.column("held_out")), lengths)
-        counts = np.bincount(at, weights=training, minlength=len(one)).astype("<u4")
-        b = (one % np.uint64(buckets)).astype(np.int64)
-        where = [np.flatnonzero(b == k) for k in range(buckets)] if buckets < 64 else np.split(np.argsort(b, kind="stable"), np.searchsorted(np.sort(b), np.arange(1, buckets)))
         g = table.column("g")[0].as_py()
-        full = [k for k in range(buckets) if len(where[k])]
-        return pa.table({"b": pa.array(full, pa.int32()), "g": pa.array([g] * len(full), pa.int32()), "words": pa.array([pack_sorted(one[where[k]]) for k in full], pa.binary()), "counts": pa.array([pack(counts[where[k]]) for k in full], pa.binary())})
+        counts = np.bincount(at, weights=training, minlength=len(hashes)).astype("<u4")
+        out = [(0, b, g, pack_sorted(hashes[own]), pack(counts[own]), pack(np.frombuffer(b"\n".join([words[i] for i in own.tolist()]), dtype=np.uint8))) for b, own in _cut(hashes, buckets)]
+        keys, at = _distinct(pair_keys(hashes, at, lengths)[1])
+        counts = np.bincount(at, weights=training, minlength=len(keys)).astype("<u4")
+        out += [(1, b, g, pack_sorted(keys[own]), pack(counts[own]), None) for b, own in _cut(keys, buckets)]
+        return pa.Table.from_batches([_rows(MET, out)])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A bucket's totals back to each group; of words, which of the bucket's words they are, and the bucket's words as group -1."""
+        give_back()
+        for (kind, b), rows in _by(batches, ("kind", "b", "g", "keys", "counts", "words"), 2):
+            sent = [unpack_sorted(k) for _, k, _, _ in rows]
+            keys, first, at = np.unique(np.concatenate(sent), return_index=True, return_inverse=True)
+            sums = np.bincount(at, weights=np.concatenate([unpack(c, "<u4") for _, _, c, _ in rows])).astype("<u8")
+            if kind == 0:
+                words = [w for *_, blob in rows for w in unpack(blob, "u1").tobytes().split(b"\n")]
+                words = b"\n".join([words[i] for i in first.tolist()])
+                yield _rows(MET, [(kind, b, -1, None, pack(sums), pack(np.frombuffer(words, dtype=np.uint8)))])
+            cuts = np.cumsum([0, *map(len, sent)])
+            for (g, *_), x, y in zip(rows, cuts[:-1], cuts[1:], strict=True):
+                own = at[x:y]
+                yield _rows(MET, [(kind, b, g, pack_sorted(own.astype("<u8")) if kind == 0 else None, pack(sums[own]), None)])
+
+    sent = grouped.groupBy("g").applyInArrow(ask, MET)
+    met = written(sent.repartition(2 * buckets, "kind", "b").sortWithinPartitions("kind", "b").mapInArrow(meet, MET), "words")
+    vocabulary = met.where("kind = 0 and g = -1")
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(258, dtype=np.int64)  # bytes, then kinds and tokens
+        for batch in batches:
+            for data, blob in zip(column_of(batch, "counts").to_pylist(), column_of(batch, "words").to_pylist(), strict=True):
+                raw, lengths = spelled(unpack(blob, "u1").tobytes().split(b"\n"))
+                c = unpack(data, "<u8")
+                found[:256] += np.bincount(raw, weights=np.repeat(c, lengths), minlength=256).astype(np.int64)
+                found[256:] += np.array([(c > 0).sum(), c.sum()], dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(258)), pa.array(found)], names=["at", "n"])
+
+    found = np.zeros(258, dtype=np.int64)
+    for r in vocabulary.mapInArrow(totals, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        found[r["at"]] = r["n"]
+    code, kinds, tokens = Code(found[:256]), int(found[256]), int(found[257])
+    told = written(contexts(vocabulary, code, buckets), "contexts")
+
+    #: A bucket's words (step -1), the counts of their contexts (by order), and the groups that have some of its words (ORDERS).
+    fields = "b int, step int, to int, data binary, words binary"
+    none = F.lit(None).cast("binary")
+    own_words = vocabulary.select("b", F.lit(-1).alias("step"), F.lit(0).alias("to"), F.col("counts").alias("data"), "words")
+    of_contexts = told.select("b", F.col("order").alias("step"), "to", "data", none.alias("words"))
+    of_groups = met.where("kind = 0 and g >= 0").select("b", F.lit(ORDERS).alias("step"), F.col("g").alias("to"), F.col("keys").alias("data"), none.alias("words"))
+
+    def bucketed(parts: DataFrame, run: Callable, schema: str) -> DataFrame:
+        return parts.repartition(buckets, "b").sortWithinPartitions("b", "step").mapInArrow(run, schema)
+
+    def read(rows: list[tuple]) -> Bytes:
+        (_, _, data, blob), *others = rows
+        return Bytes(unpack(blob, "u1").tobytes().split(b"\n"), unpack(data, "<u8"), code, [r[:3] for r in others if r[0] < ORDERS], buckets)
+
+    names = tuple(f.split()[0] for f in fields.split(", "))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by(batches, names):
+            seen, values = read(rows).learn()
+            if seen:
+                yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([values.tolist()], pa.list_(pa.float64()))], names=["seen", "values"])
+
+    fresh = lambda values=None: Mixer(ORDERS, GATES, 255, values)
+    learned = averaged(bucketed(own_words.union(of_contexts), learn, "seen long, values array<double>"), len(fresh().values()))
+
+    replies_schema = "g int, kind int, b int, counts binary, prices binary"
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, list] = {}
-        for batch in batches:
-            for b, *rest in zip(*(column_of(batch, n).to_pylist() for n in ("b", "g", "words", "counts")), strict=True):
-                found.setdefault(b, []).append(rest)
-        for b in [*found]:
-            parts = found.pop(b)
-            words = [unpack_sorted(w) for _, w, _ in parts]
-            one, at = np.unique(np.concatenate(words), return_inverse=True)
-            sums = np.bincount(at, weights=np.concatenate([unpack(c, "<u4") for *_, c in parts])).astype("<u8")
-            cuts = np.cumsum([0, *map(len, words)])
-            data = [pack(sums[at[x:y]]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-            n = len(parts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([-1, *(g for g, *_ in parts)], pa.int32()), pa.array([b] * (n + 1), pa.int32()), pa.array([b"", *data], pa.binary()), pa.array([int((sums > 0).sum())] + [0] * n, pa.int64()), pa.array([int(sums.sum())] + [0] * n, pa.int64())],
-                names=["g", "b", "counts", "kinds", "tokens"],
-            )
-
-    sent = grouped.groupBy("g").applyInArrow(distinct, "b int, g int, words binary, counts binary")
-    replies = written(sent.repartition(buckets, "b").mapInArrow(answer, "g int, b int, counts binary, kinds long, tokens long"), "word-counts")
-    kinds, tokens = replies.where("g = -1").agg(F.coalesce(F.sum("kinds"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    name = uuid.uuid4().hex
+        mixer = fresh(learned)
+        for (b,), rows in _by(batches, names):
+            some = read(rows)
+            prices = np.stack(some.log10(mixer)).astype("<f4")
+            for step, g, data, _ in rows:
+                if step == ORDERS:
+                    at = unpack_sorted(data).astype(np.int64)
+                    yield _rows(replies_schema, [(g, 0, b, pack(some.counts[at]), pack(prices[:, at]))])
+
+    of_words = bucketed(own_words.union(of_contexts).union(of_groups), answer, replies_schema)
+    of_pairs = met.where("kind = 1").select("g", "kind", "b", "counts", none.alias("prices"))
+    replies = of_words.union(of_pairs)
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
-        import pandas as pd
-
         if not left.num_rows:
-            return pa.table({c.split()[0]: pa.array([], k) for c, k in zip(SCHEMA.split(", "), KINDS, strict=True)})
-        mixer = held(("lm", "mixer"), dict)
-        if name not in mixer:
-            mixer.clear()
-            mixer[name] = shared.value.mixer(True)
-        mixer = mixer[name]
-        lengths, one, at = words_of(left)
-        c = np.zeros(len(one))
-        b = (one % np.uint64(buckets)).astype(np.int64)
-        for k, data in zip(right.column("b").to_pylist(), right.column("counts").to_pylist(), strict=True):
-            c[b == k] = unpack(data, "<u8")
-        price = np.log10((c + 0.1) / (tokens + 0.1 * (kinds + 1)))
-        starts = np.cumsum(lengths) - lengths
-        base = np.add.reduceat(price[at], starts)
-        known = np.add.reduceat((c[at] > 0).astype(np.int64), starts)
+            return pa.table([pa.array([], k) for k in FEATURE_KINDS], names=[c.split()[0] for c in FEATURES.split(", ")])
         texts = left.column("text").to_pylist()
+        lengths, hashes, at, _ = tokens_of(texts)
+        before, keys = pair_keys(hashes, at, lengths)
+        keys, pair = _distinct(keys)
+        c, prices, c2 = np.zeros(len(hashes)), np.zeros((2, len(hashes))), np.zeros(len(keys))
+        mine = {(kind, b): own for kind, k in ((0, hashes), (1, keys)) for b, own in _cut(k, buckets)}
+        for kind, b, data, lp in zip(*(right.column(n).to_pylist() for n in ("kind", "b", "counts", "prices")), strict=True):
+            own = mine[kind, b]
+            if kind == 0:
+                c[own] = unpack(data, "<u8")
+                prices[:, own] = unpack(lp, "<f4").reshape(2, -1)
+            else:
+                c2[own] = unpack(data, "<u8")
+        held_out = np.repeat(np.array(left.column("held_out")), lengths)
+        followed, followers = c2[pair] - ~held_out, np.maximum(c[before] - ~held_out, 0)
+        yes = followed > 0
+        rest = np.where(yes, np.log10(np.maximum(followed, 1) / np.maximum(followers, 1)), np.where(held_out, prices[1][at], prices[0][at]))
+        level = np.ceil(np.log2(followers + 1)).astype(np.int64)
+        flat = (level << 1 | yes).astype(np.uint8)
+        starts = np.cumsum(lengths) - lengths
+        base = np.log10((c + 0.1) / (tokens + 0.1 * (kinds + 1)))
         sizes = np.array([len(t.encode()) + 1 for t in texts])
-        scores = []
-        for x, y in slices(sizes, 8 << 20):
-            keys, n = grams([model_text(t) for t in texts[x:y]])
-            codes, some = pd.factorize(keys)
-            scores.append(np.add.reduceat(mixer.log10(some)[codes], np.cumsum(n) - n))
-        s = np.concatenate(scores)
-        columns = [left.column("doc_id"), left.column("held_out"), lengths, known, np.full(len(lengths), tokens), base, s, sizes, -s * math.log2(10) / sizes]
-        return pa.table({c.split()[0]: pa.array(x, k) if isinstance(x, np.ndarray) else x for c, x, k in zip(SCHEMA.split(", "), columns, KINDS, strict=True)})
-
-    return grouped.groupBy("g").cogroup(replies.where("g >= 0").select("g", "b", "counts").groupBy("g")).applyInArrow(judge, SCHEMA)
+        blobs = [pack(flat[x : x + n]) for x, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
+        columns = [left.column("doc_id"), left.column("held_out"), lengths, np.add.reduceat((c[at] > 0).astype(np.int64), starts), np.add.reduceat(base[at], starts), np.add.reduceat(rest, starts), sizes, blobs]
+        return pa.table([x if isinstance(x, pa.ChunkedArray) else pa.array(x, k) for x, k in zip(columns, FEATURE_KINDS, strict=True)], names=[c.split()[0] for c in FEATURES.split(", ")])
 
+    features = written(grouped.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(judge, FEATURES), "features")
+    tables, pair_mixer = pair_model(features, tokens)
 
-KINDS = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64())
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            n = np.array(column_of(batch, "n_tokens"))
+            scores = np.array(column_of(batch, "rest"))
+            for x, y in slices(n, 1 << 20):
+                bit, level, lengths = _decisions(batch.slice(x, y - x))
+                at, gate = pair_contexts(bit, level, lengths)
+                without = np.repeat(~np.array(column_of(batch, "held_out"))[x:y], lengths).astype(np.float32)
+                price = pair_mixer.log10(pair_inputs(tables, at, bit, without), gate, gate, bit)
+                scores[x:y] += np.add.reduceat(price, np.cumsum(lengths) - lengths)
+            sizes = np.array(column_of(batch, "n_bytes"))
+            names = ("doc_id", "held_out", "n_tokens", "n_known", "base_score")
+            d, h, t, k, s = (column_of(batch, c) for c in names)
+            columns = [d, h, t, k, pa.array(np.full(len(n), tokens)), s, pa.array(scores), column_of(batch, "n_bytes"), pa.array(-scores * math.log2(10) / sizes)]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in SCHEMA.split(", ")])
+
+    return features.mapInArrow(finish, SCHEMA)
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and which of them each key is."""
+    import pandas as pd
+
+    codes, found = pd.factorize(keys)
+    order = np.argsort(found)
+    place = np.empty(len(found), dtype=np.int64)
+    place[order] = np.arange(len(found))
+    return found[order], place[codes]
+
+
+FEATURE_KINDS = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.binary())
