@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from needledrop.llm.common import WordHashes, bounded_batches, column_of, give_back, held, mix, pack, pack_sorted, slices, unpack, unpack_sorted, written
+from needledrop.llm.common import bounded_batches, column_of, give_back, held, mix, pack, pack_sorted, slices, unpack, unpack_sorted, written
 
 #: Contexts of a byte within its word: the 1 to 4 bytes before it, and all of the word before it.
 ORDERS = 5
@@ -23,47 +25,45 @@ END = b"\n"
 GATES = 24
 STEPS = 33  # of the adaptive refinement, over stretched probabilities from -8 to 8
 #: Bytes of text for each bucket of words, and for each group of documents.
-BUCKET_BYTES, GROUP_BYTES = 16 << 20, 8 << 20
+BUCKET_BYTES, GROUP_BYTES = 8 << 20, 8 << 20
 
 
 # Words, their bytes and the contexts of these.
 
 
-def tokens_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    import xxhash
+
+    digest = xxhash.xxh3_64_digest
+    return np.frombuffer(b"".join([digest(w, 4) for w in words]), dtype="<u8")
+
+
+def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
     """Tokens of each text (words in lower case A-Z, then an end): how many, the distinct ones' hashes in order, which of
     them each token is, and the distinct ones themselves (the end as b"")."""
-    import pandas as pd
-
-    hashes = held(("lm", "words"), lambda: WordHashes(4, 80 << 20))
-    lengths, parts, words, start = [], [], [], 0
-    for t in texts:
-        some = t.encode().lower().split()
-        lengths.append(len(some) + 1)
-        words += some
-        words.append(b"")
-        if len(words) - start > 200_000:
-            parts.append(hashes(words[start:]))
-            start = len(words)
-    if start < len(words):
-        parts.append(hashes(words[start:]))
-    codes, found = pd.factorize(np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64))
-    first = np.empty(len(found), dtype=np.int64)
-    first[codes[::-1]] = np.arange(len(codes))[::-1]
-    order = np.argsort(found)
-    place = np.empty(len(found), dtype=np.int64)
-    place[order] = np.arange(len(found))
-    return np.array(lengths, dtype=np.int64), found[order], place[codes], [words[i] for i in first[order].tolist()]
-
-
-def end_hash() -> np.uint64:
-    return held(("lm", "words"), lambda: WordHashes(4, 80 << 20))([b""])[0]
+    clean = pc.ascii_trim_whitespace(pc.ascii_lower(texts))
+    split = pc.ascii_split_whitespace(clean)
+    n = np.where(np.array(pc.binary_length(clean)) > 0, np.array(pc.list_value_length(split)), 0).astype(np.int64)
+    flat = split.flatten().cast(pa.binary())
+    flat = flat.filter(pc.greater(pc.binary_length(flat), 0)).dictionary_encode()
+    words = [*flat.dictionary.to_pylist(), b""]
+    hashes = hashes_of(words)
+    order = np.argsort(hashes)
+    place = np.empty(len(words), dtype=np.int32)
+    place[order] = np.arange(len(words))
+    lengths = n + 1
+    at = np.full(lengths.sum(), place[-1], dtype=np.int32)
+    inside = np.ones(len(at), dtype=bool)
+    inside[np.cumsum(lengths) - 1] = False
+    at[inside] = place[np.array(flat.indices)]
+    return lengths, hashes[order], at, [words[i] for i in order.tolist()]
 
 
 def pair_keys(hashes: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each token the place in hashes of the token before it (the end before a text), and the key of both."""
-    before = np.empty(len(at), dtype=np.int64)
+    before = np.empty(len(at), dtype=at.dtype)
     before[1:] = at[:-1]
-    before[np.cumsum(lengths) - lengths] = np.searchsorted(hashes, end_hash())
+    before[np.cumsum(lengths) - lengths] = np.searchsorted(hashes, hashes_of([b""])[0])
     return before, mix(mix(hashes)[before] + hashes[at])
 
 
@@ -161,6 +161,14 @@ def evidence(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.clip(x, -8, 8).astype(np.float32), np.searchsorted(np.array([0.5, 1.5, 3.5, 15.5, 127.5], dtype=np.float32), zeros + ones).astype(np.uint8)
 
 
+@cache
+def evidence_table() -> tuple[np.ndarray, np.ndarray]:
+    """evidence() for all pairs of counts in a byte: as they are, with a zero less, with a one less."""
+    n = unsqueeze(np.arange(256))
+    rows = [evidence(np.maximum(n[:, None] - a, 0).repeat(256, axis=1).ravel(), np.tile(np.maximum(n - b, 0), 256)) for a, b in ((0, 0), (1, 0), (0, 1))]
+    return np.concatenate([x for x, _ in rows]), np.concatenate([s for _, s in rows])
+
+
 class Mixer:
     """Weights for each gate over stretched predictions, and a refinement of the result for each node; both learned online."""
 
@@ -310,34 +318,37 @@ class Bytes:
 
     def __init__(self, words: list[bytes], counts: np.ndarray, code: Code, told: list[tuple[int, int, bytes]], buckets: int):
         raw, lengths = spelled(words)
-        of, self.nodes, self.bit = code.decisions(raw.astype(np.uint64))
         n = code.length[raw]
-        within = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-        self.word = np.repeat(np.arange(len(words)), lengths)[of]
+        of, nodes, bit = code.decisions(raw.astype(np.uint64))
+        of, self.nodes, self.bit = of.astype(np.int32), nodes.astype(np.uint8), bit.astype(np.uint8)
+        within = (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+        self.word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)[of]
         self.counts = counts
-        self.seen: list[tuple[np.ndarray, np.ndarray]] = []
+        #: By order: zeros and ones of each decision in one number.
+        self.seen: list[np.ndarray] = []
         for order in range(ORDERS):
             keys, at = np.unique(context_keys(raw, lengths, order), return_inverse=True)
             own = code.length[(keys & np.uint64(255)).astype(np.int64)]
             starts = np.cumsum(own) - own
-            both = np.zeros((2, own.sum()), dtype=np.uint8)
+            both = np.zeros(own.sum(), dtype=np.uint16)
             mine = dict(_cut(keys >> np.uint64(8), buckets))
             for _, to, data in (r for r in told if r[0] == order):
                 k = mine[to]
                 places = np.repeat(starts[k] - np.cumsum(own[k]) + own[k], own[k]) + np.arange(own[k].sum())
-                both[:, places] = unpack(data, "u1").reshape(2, -1)
-            places = starts[at[of]] + within
-            self.seen.append((both[0][places], both[1][places]))
-
-    def inputs(self, own: slice, without: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Stretched predictions by order, and the gate, of some decisions; without: occurrences of each left out of its counts."""
-        x, sure = [], []
-        for zeros, ones in self.seen:
-            bit = self.bit[own]
-            a, b = evidence(np.maximum(unsqueeze(zeros[own]) - (bit == 0) * without, 0), np.maximum(unsqueeze(ones[own]) - (bit == 1) * without, 0))
-            x.append(a)
-            sure.append(b)
-        return np.stack(x), sure[-1].astype(np.int64) * 4 + np.minimum(sure[-2], 3)
+                zeros, ones = unpack(data, "u1").reshape(2, -1)
+                both[places] = zeros.astype(np.uint16) << 8 | ones
+            self.seen.append(both[starts[at].astype(np.int32)[of] + within])
+
+    def inputs(self, own: slice, without: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+        """Stretched predictions by order, and the gate, of some decisions; without: occurrences (0 or 1) of each left out of its counts."""
+        stretched, sure = evidence_table()
+        shift = (without * (self.bit[own].astype(np.int32) + 1)) << 16
+        x, level = np.empty((ORDERS, own.stop - own.start), dtype=np.float32), []
+        for order, both in enumerate(self.seen):
+            at = both[own] + shift
+            x[order] = stretched[at]
+            level.append(sure[at])
+        return x, level[-1].astype(np.int64) * 4 + np.minimum(level[-2], 3)
 
     def blocks(self, most: int = 200_000) -> Iterator[slice]:
         for start in range(0, len(self.bit), most):
@@ -348,9 +359,9 @@ class Bytes:
         mixer = Mixer(ORDERS, GATES, 255)
         for own in self.blocks():
             c = self.counts[self.word[own]].astype(np.float64)
-            x, gate = self.inputs(own, np.float32(1))
+            x, gate = self.inputs(own, 1)
             some = c > 0
-            mixer.learn(x[:, some], gate[some], self.nodes[own][some], self.bit[own][some], c[some])
+            mixer.learn(x[:, some], gate[some], self.nodes[own][some].astype(np.int64), self.bit[own][some], c[some])
         return int(self.counts.sum()), mixer.values()
 
     def log10(self, mixer: Mixer) -> tuple[np.ndarray, np.ndarray]:
@@ -358,9 +369,11 @@ class Bytes:
         out = np.zeros((2, len(self.counts)))
         for own in self.blocks():
             word = self.word[own]
-            for k, without in enumerate(((self.counts[word] > 0).astype(np.float32), np.float32(0))):
+            nodes, first = self.nodes[own].astype(np.int64), int(word[0])
+            for k, without in enumerate(((self.counts[word] > 0).astype(np.int32), 0)):
                 x, gate = self.inputs(own, without)
-                out[k] += np.bincount(word, weights=mixer.log10(x, gate, self.nodes[own], self.bit[own]), minlength=len(self.counts))
+                prices = np.bincount(word - first, weights=mixer.log10(x, gate, nodes, self.bit[own]))
+                out[k, first : first + len(prices)] += prices
         return out[0], out[1]
 
 
@@ -474,14 +487,14 @@ def score(docs: DataFrame, folds: int = 10, bucket_bytes: int = BUCKET_BYTES, gr
     grouped = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
 
     def ask(table: pa.Table) -> pa.Table:
-        lengths, hashes, at, words = tokens_of(table.column("text").to_pylist())
+        lengths, hashes, at, words = tokens_of(table.column("text").combine_chunks())
         training = np.repeat(~np.array(table.column("held_out")), lengths)
         g = table.column("g")[0].as_py()
         counts = np.bincount(at, weights=training, minlength=len(hashes)).astype("<u4")
         out = [(0, b, g, pack_sorted(hashes[own]), pack(counts[own]), pack(np.frombuffer(b"\n".join([words[i] for i in own.tolist()]), dtype=np.uint8))) for b, own in _cut(hashes, buckets)]
         keys, at = _distinct(pair_keys(hashes, at, lengths)[1])
         counts = np.bincount(at, weights=training, minlength=len(keys)).astype("<u4")
-        out += [(1, b, g, pack_sorted(keys[own]), pack(counts[own]), None) for b, own in _cut(keys, buckets)]
+        out += [(1, b, g, pack_sorted(keys[own] & PAIR_BITS), pack(counts[own]), None) for b, own in _pairs_cut(keys, buckets)]
         return pa.Table.from_batches([_rows(MET, out)])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -564,12 +577,12 @@ def score(docs: DataFrame, folds: int = 10, bucket_bytes: int = BUCKET_BYTES, gr
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table([pa.array([], k) for k in FEATURE_KINDS], names=[c.split()[0] for c in FEATURES.split(", ")])
-        texts = left.column("text").to_pylist()
+        texts = left.column("text").combine_chunks()
         lengths, hashes, at, _ = tokens_of(texts)
         before, keys = pair_keys(hashes, at, lengths)
         keys, pair = _distinct(keys)
         c, prices, c2 = np.zeros(len(hashes)), np.zeros((2, len(hashes))), np.zeros(len(keys))
-        mine = {(kind, b): own for kind, k in ((0, hashes), (1, keys)) for b, own in _cut(k, buckets)}
+        mine = {(0, b): own for b, own in _cut(hashes, buckets)} | {(1, b): own for b, own in _pairs_cut(keys, buckets)}
         for kind, b, data, lp in zip(*(right.column(n).to_pylist() for n in ("kind", "b", "counts", "prices")), strict=True):
             own = mine[kind, b]
             if kind == 0:
@@ -585,7 +598,7 @@ def score(docs: DataFrame, folds: int = 10, bucket_bytes: int = BUCKET_BYTES, gr
         flat = (level << 1 | yes).astype(np.uint8)
         starts = np.cumsum(lengths) - lengths
         base = np.log10((c + 0.1) / (tokens + 0.1 * (kinds + 1)))
-        sizes = np.array([len(t.encode()) + 1 for t in texts])
+        sizes = np.array(pc.binary_length(texts)).astype(np.int64) + 1
         blobs = [pack(flat[x : x + n]) for x, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
         columns = [left.column("doc_id"), left.column("held_out"), lengths, np.add.reduceat((c[at] > 0).astype(np.int64), starts), np.add.reduceat(base[at], starts), np.add.reduceat(rest, starts), sizes, blobs]
         return pa.table([x if isinstance(x, pa.ChunkedArray) else pa.array(x, k) for x, k in zip(columns, FEATURE_KINDS, strict=True)], names=[c.split()[0] for c in FEATURES.split(", ")])
@@ -614,15 +627,25 @@ def score(docs: DataFrame, folds: int = 10, bucket_bytes: int = BUCKET_BYTES, gr
     return features.mapInArrow(finish, SCHEMA)
 
 
+#: What of the key of a pair of words is sent to its bucket. Of the pairs of a bucket, which are of the order of 2**20
+#: whatever the corpus, about one in a million so shares its count with another.
+PAIR_BITS = np.uint64((1 << 40) - 1)
+
+
+def _pairs_cut(keys: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
+    """As _cut, each bucket's in the order of the bits that are sent."""
+    b = ((keys >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(b << 40 | (keys & PAIR_BITS).astype(np.int64))
+    cuts = np.flatnonzero(np.diff(b[order], prepend=-1))
+    return [(int(b[own[0]]), own) for own in np.split(order, cuts[1:])] if len(keys) else []
+
+
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys in order, and which of them each key is."""
+    """The distinct keys, and which of them each key is."""
     import pandas as pd
 
     codes, found = pd.factorize(keys)
-    order = np.argsort(found)
-    place = np.empty(len(found), dtype=np.int64)
-    place[order] = np.arange(len(found))
-    return found[order], place[codes]
+    return found, codes
 
 
 FEATURE_KINDS = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.binary())

@@ -133,8 +133,7 @@ def brute_scores(rows, held):
                 bits.append(bit)
         return np.array(x, dtype=np.float32).T, np.array(gates), np.array(nodes), np.array(bits)
 
-    hashes = lm.WordHashes(4)
-    ordered = sorted(every, key=lambda w: int(hashes([b"" if w == b"\n" else w])[0]))
+    ordered = sorted(every, key=lambda w: int(lm.hashes_of([b"" if w == b"\n" else w])[0]))
     mixer = lm.Mixer(lm.ORDERS, lm.GATES, 255)
     taught = [(of_word(w, np.float32(1)), words[w]) for w in ordered if words[w]]
     x, gates, nodes, bits = (np.concatenate([t[k] for t, _ in taught], axis=-1) for k in range(4))
