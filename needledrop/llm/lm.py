@@ -290,7 +290,7 @@ def contexts(vocabulary: DataFrame, code: Code, buckets: int) -> DataFrame:
                 raw, lengths = spelled(unpack(blob, "u1").tobytes().split(b"\n"))
                 c = np.repeat(unpack(data, "<u8"), lengths).astype(np.float64)
                 for order in range(ORDERS):
-                    keys, at = np.unique(context_keys(raw, lengths, order), return_inverse=True)
+                    keys, at = _sorted_distinct(context_keys(raw, lengths, order))
                     sums = np.bincount(at, weights=c).astype("<u8")
                     yield _rows(ASKED, [(to, b, order, pack_sorted(keys[own]), pack(sums[own])) for to, own in _cut(keys >> np.uint64(8), buckets)])
 
@@ -298,7 +298,7 @@ def contexts(vocabulary: DataFrame, code: Code, buckets: int) -> DataFrame:
         give_back()
         for (to, order), rows in _by(batches, ("to", "order", "b", "keys", "counts"), 2):
             sent = [unpack_sorted(k) for _, k, _ in rows]
-            keys, at = np.unique(np.concatenate(sent), return_inverse=True)
+            keys, at = _sorted_distinct(np.concatenate(sent))
             sums = np.bincount(at, weights=np.concatenate([unpack(c, "<u8") for *_, c in rows]).astype(np.float64))
             zeros, ones = map(squeeze, node_counts(keys, sums, code))
             n = code.length[(keys & np.uint64(255)).astype(np.int64)]
@@ -327,7 +327,7 @@ class Bytes:
         #: By order: zeros and ones of each decision in one number.
         self.seen: list[np.ndarray] = []
         for order in range(ORDERS):
-            keys, at = np.unique(context_keys(raw, lengths, order), return_inverse=True)
+            keys, at = _sorted_distinct(context_keys(raw, lengths, order))
             own = code.length[(keys & np.uint64(255)).astype(np.int64)]
             starts = np.cumsum(own) - own
             both = np.zeros(own.sum(), dtype=np.uint16)
@@ -339,13 +339,14 @@ class Bytes:
                 both[places] = zeros.astype(np.uint16) << 8 | ones
             self.seen.append(both[starts[at].astype(np.int32)[of] + within])
 
-    def inputs(self, own: slice, without: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
-        """Stretched predictions by order, and the gate, of some decisions; without: occurrences (0 or 1) of each left out of its counts."""
+    def inputs(self, own: slice, without: int, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Stretched predictions by order, and the gate, of some of the decisions of a slice; without: 1 leaves one occurrence of
+        each out of its counts."""
         stretched, sure = evidence_table()
-        shift = (without * (self.bit[own].astype(np.int32) + 1)) << 16
-        x, level = np.empty((ORDERS, own.stop - own.start), dtype=np.float32), []
+        shift = (without * (self.bit[own][some].astype(np.int32) + 1)) << 16
+        x, level = np.empty((ORDERS, len(shift)), dtype=np.float32), []
         for order, both in enumerate(self.seen):
-            at = both[own] + shift
+            at = both[own][some] + shift
             x[order] = stretched[at]
             level.append(sure[at])
         return x, level[-1].astype(np.int64) * 4 + np.minimum(level[-2], 3)
@@ -359,22 +360,25 @@ class Bytes:
         mixer = Mixer(ORDERS, GATES, 255)
         for own in self.blocks():
             c = self.counts[self.word[own]].astype(np.float64)
-            x, gate = self.inputs(own, 1)
             some = c > 0
-            mixer.learn(x[:, some], gate[some], self.nodes[own][some].astype(np.int64), self.bit[own][some], c[some])
+            x, gate = self.inputs(own, 1, some)
+            mixer.learn(x, gate, self.nodes[own][some].astype(np.int64), self.bit[own][some], c[some])
         return int(self.counts.sum()), mixer.values()
 
-    def log10(self, mixer: Mixer) -> tuple[np.ndarray, np.ndarray]:
-        """log10 of each word's probability: to a training text, without one occurrence of the word, and to another."""
+    def log10(self, mixer: Mixer, held_out: np.ndarray) -> np.ndarray:
+        """log10 of each word's probability: to a training text, without one occurrence of the word, and to another (of words
+        marked held_out alone)."""
         out = np.zeros((2, len(self.counts)))
         for own in self.blocks():
             word = self.word[own]
-            nodes, first = self.nodes[own].astype(np.int64), int(word[0])
-            for k, without in enumerate(((self.counts[word] > 0).astype(np.int32), 0)):
-                x, gate = self.inputs(own, without)
-                prices = np.bincount(word - first, weights=mixer.log10(x, gate, nodes, self.bit[own]))
+            first = int(word[0])
+            for k, wanted in enumerate((self.counts > 0, held_out)):
+                some = wanted[word]
+                x, gate = self.inputs(own, 1 - k, some)
+                prices = mixer.log10(x, gate, self.nodes[own][some].astype(np.int64), self.bit[own][some])
+                prices = np.bincount(word[some] - first, weights=prices)
                 out[k, first : first + len(prices)] += prices
-        return out[0], out[1]
+        return out
 
 
 # Pairs of words: does a word follow the one before it as it did elsewhere?
@@ -406,11 +410,10 @@ def pair_inputs(tables: list[np.ndarray], at: np.ndarray, bit: np.ndarray, witho
     return np.stack(rows)
 
 
-def _decisions(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _decisions(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Decisions, levels of the word before, and tokens of each row."""
-    data = [unpack(x, "u1") for x in (batch.column("pairs") if isinstance(batch, pa.Table) else column_of(batch, "pairs")).to_pylist()]
-    flat = np.concatenate(data).astype(np.int64)
-    return flat & 1, flat >> 1, np.array([len(x) for x in data], dtype=np.int64)
+    flat = np.frombuffer(b"".join(blobs), dtype=np.uint8).astype(np.int64)
+    return flat & 1, flat >> 1, np.array([len(x) for x in blobs], dtype=np.int64)
 
 
 def pair_model(features: DataFrame, n_tokens: int) -> tuple[list[np.ndarray], Mixer]:
@@ -421,7 +424,7 @@ def pair_model(features: DataFrame, n_tokens: int) -> tuple[list[np.ndarray], Mi
         total = np.zeros(sum(sizes), dtype=np.int64)
         for batch in batches:
             if len(batch):
-                bit, level, lengths = _decisions(batch)
+                bit, level, lengths = _decisions(column_of(batch, "pairs").to_pylist())
                 at, _ = pair_contexts(bit, level, lengths)
                 total += np.concatenate([np.bincount(2 * row + bit, minlength=n) for row, n in zip(at, sizes, strict=True)])
         some = np.flatnonzero(total)
@@ -436,12 +439,14 @@ def pair_model(features: DataFrame, n_tokens: int) -> tuple[list[np.ndarray], Mi
 
     def learn(table: pa.Table) -> pa.Table:
         mixer = fresh()
-        for row in sorted(zip(table.column("order").to_pylist(), table.column("pairs").to_pylist(), strict=True)):
-            bit, level, lengths = _decisions(pa.table({"pairs": [row[1]]}))
+        rows = sorted(zip(table.column("order").to_pylist(), table.column("pairs").to_pylist(), strict=True))
+        blobs = [x for _, x in rows]
+        n = np.array([len(x) for x in blobs], dtype=np.int64)
+        for x, y in slices(n, 1 << 19):
+            bit, level, lengths = _decisions(blobs[x:y])
             at, gate = pair_contexts(bit, level, lengths)
             mixer.learn(pair_inputs(tables, at, bit, np.float32(1)), gate, gate, bit, np.ones(len(bit)))
-        n = sum(len(unpack(x, "u1")) for x in table.column("pairs").to_pylist())
-        return pa.table({"seen": pa.array([n], pa.int64()), "values": pa.array([mixer.values().tolist()], pa.list_(pa.float64()))})
+        return pa.table({"seen": pa.array([n.sum()], pa.int64()), "values": pa.array([mixer.values().tolist()], pa.list_(pa.float64()))})
 
     # The learners' number, and who learns what in which order, depend on the texts alone.
     learners = max(1, n_tokens >> 21)
@@ -491,6 +496,7 @@ def score(docs: DataFrame, folds: int = 10, bucket_bytes: int = BUCKET_BYTES, gr
         training = np.repeat(~np.array(table.column("held_out")), lengths)
         g = table.column("g")[0].as_py()
         counts = np.bincount(at, weights=training, minlength=len(hashes)).astype("<u4")
+        counts = counts << 1 | (np.bincount(at, weights=~training, minlength=len(hashes)) > 0)  # the lowest bit: held-out texts have it
         out = [(0, b, g, pack_sorted(hashes[own]), pack(counts[own]), pack(np.frombuffer(b"\n".join([words[i] for i in own.tolist()]), dtype=np.uint8))) for b, own in _cut(hashes, buckets)]
         keys, at = _distinct(pair_keys(hashes, at, lengths)[1])
         counts = np.bincount(at, weights=training, minlength=len(keys)).astype("<u4")
@@ -502,16 +508,20 @@ def score(docs: DataFrame, folds: int = 10, bucket_bytes: int = BUCKET_BYTES, gr
         give_back()
         for (kind, b), rows in _by(batches, ("kind", "b", "g", "keys", "counts", "words"), 2):
             sent = [unpack_sorted(k) for _, k, _, _ in rows]
-            keys, first, at = np.unique(np.concatenate(sent), return_index=True, return_inverse=True)
-            sums = np.bincount(at, weights=np.concatenate([unpack(c, "<u4") for _, _, c, _ in rows])).astype("<u8")
+            keys, at = _sorted_distinct(np.concatenate(sent))
+            counts = np.concatenate([unpack(c, "<u4") for _, _, c, _ in rows])
+            sums = np.bincount(at, weights=counts >> 1 if kind == 0 else counts).astype("<u8")
             if kind == 0:
                 words = [w for *_, blob in rows for w in unpack(blob, "u1").tobytes().split(b"\n")]
+                first = np.empty(len(keys), dtype=np.int64)
+                first[at[::-1]] = np.arange(len(at))[::-1]
                 words = b"\n".join([words[i] for i in first.tolist()])
                 yield _rows(MET, [(kind, b, -1, None, pack(sums), pack(np.frombuffer(words, dtype=np.uint8)))])
             cuts = np.cumsum([0, *map(len, sent)])
             for (g, *_), x, y in zip(rows, cuts[:-1], cuts[1:], strict=True):
                 own = at[x:y]
-                yield _rows(MET, [(kind, b, g, pack_sorted(own.astype("<u8")) if kind == 0 else None, pack(sums[own]), None)])
+                places = pack_sorted((own << 1 | counts[x:y] & 1).astype("<u8")) if kind == 0 else None
+                yield _rows(MET, [(kind, b, g, places, pack(sums[own]), None)])
 
     sent = grouped.groupBy("g").applyInArrow(ask, MET)
     met = written(sent.repartition(2 * buckets, "kind", "b").sortWithinPartitions("kind", "b").mapInArrow(meet, MET), "words")
@@ -564,11 +574,14 @@ def score(docs: DataFrame, folds: int = 10, bucket_bytes: int = BUCKET_BYTES, gr
         mixer = fresh(learned)
         for (b,), rows in _by(batches, names):
             some = read(rows)
-            prices = np.stack(some.log10(mixer)).astype("<f4")
-            for step, g, data, _ in rows:
-                if step == ORDERS:
-                    at = unpack_sorted(data).astype(np.int64)
-                    yield _rows(replies_schema, [(g, 0, b, pack(some.counts[at]), pack(prices[:, at]))])
+            asked = [(g, unpack_sorted(data).astype(np.int64)) for step, g, data, _ in rows if step == ORDERS]
+            held_out = np.zeros(len(some.counts), dtype=bool)
+            for _, at in asked:
+                held_out[at[at & 1 == 1] >> 1] = True
+            prices = some.log10(mixer, held_out).astype("<f4")
+            for g, at in asked:
+                at = at >> 1
+                yield _rows(replies_schema, [(g, 0, b, pack(some.counts[at]), pack(prices[:, at]))])
 
     of_words = bucketed(own_words.union(of_contexts).union(of_groups), answer, replies_schema)
     of_pairs = met.where("kind = 1").select("g", "kind", "b", "counts", none.alias("prices"))
@@ -599,7 +612,7 @@ def score(docs: DataFrame, folds: int = 10, bucket_bytes: int = BUCKET_BYTES, gr
         starts = np.cumsum(lengths) - lengths
         base = np.log10((c + 0.1) / (tokens + 0.1 * (kinds + 1)))
         sizes = np.array(pc.binary_length(texts)).astype(np.int64) + 1
-        blobs = [pack(flat[x : x + n]) for x, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
+        blobs = [flat[x : x + n].tobytes() for x, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
         columns = [left.column("doc_id"), left.column("held_out"), lengths, np.add.reduceat((c[at] > 0).astype(np.int64), starts), np.add.reduceat(base[at], starts), np.add.reduceat(rest, starts), sizes, blobs]
         return pa.table([x if isinstance(x, pa.ChunkedArray) else pa.array(x, k) for x, k in zip(columns, FEATURE_KINDS, strict=True)], names=[c.split()[0] for c in FEATURES.split(", ")])
 
@@ -613,7 +626,7 @@ def score(docs: DataFrame, folds: int = 10, bucket_bytes: int = BUCKET_BYTES, gr
             n = np.array(column_of(batch, "n_tokens"))
             scores = np.array(column_of(batch, "rest"))
             for x, y in slices(n, 1 << 20):
-                bit, level, lengths = _decisions(batch.slice(x, y - x))
+                bit, level, lengths = _decisions(column_of(batch, "pairs").slice(x, y - x).to_pylist())
                 at, gate = pair_contexts(bit, level, lengths)
                 without = np.repeat(~np.array(column_of(batch, "held_out"))[x:y], lengths).astype(np.float32)
                 price = pair_mixer.log10(pair_inputs(tables, at, bit, without), gate, gate, bit)
@@ -648,4 +661,12 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found, codes
 
 
+def _sorted_distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found, codes = _distinct(keys)
+    order = np.argsort(found)
+    place = np.empty(len(found), dtype=np.int64)
+    place[order] = np.arange(len(found))
+    return found[order], place[codes]
+
+
 FEATURE_KINDS = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.binary())

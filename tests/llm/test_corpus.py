@@ -191,7 +191,7 @@ def test_scores_against_brute_force(spark):
     assert (made == at).all() and gate.tolist() == [g for m in seen for _, g, _ in m]
     assert all(t.sum() == sum(n for n, own in zip(lengths.tolist(), held, strict=True) if not own) for t in flat)
     # With the tables counted here and the model's own mixer, the scores are the model's.
-    spread = spark.createDataFrame([(i, bool(own), lm.pack(np.array([lv << 1 | b for b, lv in features], dtype=np.uint8))) for (i, _), own, (_, features) in zip(rows, held, want, strict=True)], "doc_id long, held_out boolean, pairs binary")
+    spread = spark.createDataFrame([(i, bool(own), bytes(lv << 1 | b for b, lv in features)) for (i, _), own, (_, features) in zip(rows, held, want, strict=True)], "doc_id long, held_out boolean, pairs binary")
     tables, mixer = lm.pair_model(spread, 1)
     assert all((a == b).all() for a, b in zip(tables, flat, strict=True))
     without = np.repeat(~np.array(held), lengths).astype(np.float32)
