@@ -20,14 +20,32 @@ BLOCK = 2048
 BROADCAST_ROWS = 100_000
 
 
-def directions(dim: int, n: int, seed: int) -> np.ndarray:
-    """n random unit vectors as columns."""
-
-    def make() -> np.ndarray:
-        p = np.random.default_rng(seed).normal(size=(dim, n))
-        return (p / np.linalg.norm(p, axis=0)).astype(np.float32)
-
-    return held(("embeddings", dim, n, seed), make)
+#: Directions that a task projects on at a time, and products that it holds.
+DIRECTIONS, PRODUCTS = 1024, 1 << 22
+
+
+def directions(dim: int, part: int, n: int, seed: int) -> np.ndarray:
+    """n random unit vectors as columns, the part-th such lot of a seed; the process keeps one lot."""
+    kept = held(("embeddings",), dict)
+    key = (dim, part, n, seed)
+    if key not in kept:
+        kept.clear()
+        p = np.random.default_rng((seed, part)).normal(size=(dim, n))
+        kept[key] = (p / np.linalg.norm(p, axis=0)).astype(np.float32)
+    return kept[key]
+
+
+def farthest(x: np.ndarray, n_lists: int, per_vector: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The per_vector directions (ascending) on which each row's projection is largest, and these projections, lot after lot."""
+    best, top = np.full((len(x), 0), 0, np.float32), np.zeros((len(x), 0), np.int64)
+    for part in range(-(-n_lists // DIRECTIONS)):
+        n = min(DIRECTIONS, n_lists - part * DIRECTIONS)
+        values = np.concatenate((best, x @ directions(x.shape[1], part, n, seed)), axis=1)
+        numbers = np.concatenate((top, np.broadcast_to(np.arange(n) + part * DIRECTIONS, (len(x), n))), axis=1)
+        keep = np.argpartition(-values, min(per_vector, values.shape[1]) - 1, axis=1)[:, :per_vector]
+        best, top = np.take_along_axis(values, keep, axis=1), np.take_along_axis(numbers, keep, axis=1)
+    order = np.argsort(top, axis=1)
+    return np.take_along_axis(top, order, axis=1), np.take_along_axis(best, order, axis=1)
 
 
 def unit_rows(data: list[bytes], kind: str) -> np.ndarray:
@@ -61,7 +79,7 @@ def _classes(vectors: DataFrame) -> tuple[DataFrame, str]:
     return rows.mapInArrow(run, "vec_id long, node long, label string, data binary"), kind
 
 
-LISTS = "label string, dim int, list int, node long, copies long, value float, lists binary, data binary"
+LISTS = "label string, dim int, list int, node long, copies long, value float, lists binary, values binary, data binary"
 
 
 def sorted_lists(classes: DataFrame, kind: str, n_lists: int, per_vector: int, seed: int) -> DataFrame:
@@ -74,39 +92,58 @@ def sorted_lists(classes: DataFrame, kind: str, n_lists: int, per_vector: int, s
             for size in np.unique(sizes).tolist():
                 at = np.flatnonzero(sizes == size)
                 dim = size // np.dtype(kind).itemsize
-                for some in np.array_split(at, -(-len(at) // 4096)):
-                    values = unit_rows([data[i] for i in some], kind).astype(np.float32) @ directions(dim, n_lists, seed)
-                    top = np.sort(np.argpartition(-values, per_vector - 1, axis=1)[:, :per_vector], axis=1).astype("<i4")
-                    take = pa.array(np.repeat(some, per_vector))
+                for some in np.array_split(at, -(-len(at) * DIRECTIONS // PRODUCTS)):
+                    top, values = farthest(unit_rows([data[i] for i in some], kind).astype(np.float32), n_lists, per_vector, seed)
+                    top, k = top.astype("<i4"), top.shape[1]
+                    take = pa.array(np.repeat(some, k))
                     own = batch.take(take)
-                    names = pa.array([t.tobytes() for t in top], pa.binary()).take(pa.array(np.repeat(np.arange(len(some)), per_vector)))
+                    row = pa.array(np.repeat(np.arange(len(some)), k))
+                    names, heights = (pa.array([t.tobytes() for t in rows], pa.binary()).take(row) for rows in (top, values.astype("<f4")))
                     yield pa.RecordBatch.from_arrays(
-                        [column_of(own, "label"), pa.array(np.full(len(take), dim, np.int32)), pa.array(top.ravel()), column_of(own, "node"), column_of(own, "copies"), pa.array(np.take_along_axis(values, top, axis=1).ravel()), names, column_of(own, "data")],
+                        [column_of(own, "label"), pa.array(np.full(len(take), dim, np.int32)), pa.array(top.ravel()), column_of(own, "node"), column_of(own, "copies"), pa.array(values.ravel()), names, heights, column_of(own, "data")],
                         names=[c.split()[0] for c in LISTS.split(", ")],
                     )
 
     return classes.mapInArrow(run, LISTS)
 
 
-def _bits(lists: list[bytes], n_lists: int) -> np.ndarray:
-    """The lists of each vector as a set of bits, 64 in a word."""
-    at = np.stack([np.frombuffer(x, "<i4") for x in lists]).astype(np.int64)
-    out = np.zeros((len(at), -(-n_lists // 64)), dtype=np.uint64)
+#: Words of 64 bits for the set of a vector's lists; with more lists than bits several share one.
+SET_WORDS = 16
+
+
+def _bits(lists: np.ndarray) -> np.ndarray:
+    """The lists of each vector as a set of bits."""
+    at = lists % (64 * SET_WORDS)
+    out = np.zeros((len(at), SET_WORDS), dtype=np.uint64)
     for k in range(at.shape[1]):
         out[np.arange(len(at)), at[:, k] >> 6] |= np.uint64(1) << (at[:, k] & 63).astype(np.uint64)
     return out
 
 
+def window_collisions(left: dict, i: np.ndarray, right: dict, j: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs of rows: in how many lists one stands in the other's window, and the first such list (-1: none)."""
+    n, first = np.zeros(len(i), dtype=np.int64), np.full(len(i), -1, dtype=np.int64)
+    for k in reversed(range(left["lists"].shape[1])):  # ascending lists: the last one set is the first
+        own = left["lists"][i, k]
+        same = right["lists"][j] == own[:, None]
+        hit = same.any(axis=1)
+        other = right["values"][j, same.argmax(axis=1)]
+        hit &= np.abs(left["values"][i, k] - other) <= reach
+        n += hit
+        first[hit] = own[hit]
+    return n, first
+
+
 def block_links(number: int, left: dict, right: dict | None, least: float, collisions: int) -> tuple[np.ndarray, np.ndarray]:
     """Links between two blocks of a list (or within one) as places in left and right.
 
-    For each query the window of its projection gives the others; lists in which both stand are counted; pairs with enough
-    collisions are verified in double precision. A pair is looked at only in the first list that both are in.
+    For each query the window of its projection gives the others. Pairs that share enough lists (by sets of bits, which
+    may count too many) are counted exactly: a collision is a list in which one stands in the window of the other.
+    Pairs with enough collisions are verified in double precision, in the first list in which they collide.
     """
     own = right is None
     right = left if own else right
     reach = np.sqrt(max(0.0, 2 - 2 * least)) * (1 + 1e-5) + 1e-6
-    word, low = number >> 6, (np.uint64(1) << np.uint64(number & 63)) - np.uint64(1)
     order_l, order_r = np.argsort(left["value"], kind="stable"), np.argsort(right["value"], kind="stable")
     values = right["value"][order_r]
     found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -115,25 +152,22 @@ def block_links(number: int, left: dict, right: dict | None, least: float, colli
         start, stop = np.searchsorted(values, left["value"][q[0]] - reach), np.searchsorted(values, left["value"][q[-1]] + reach, side="right")
         c = order_r[start:stop]
         both = np.zeros((len(q), len(c)), dtype=np.uint8)
-        before = np.zeros((len(q), len(c)), dtype=bool)
-        for w in range(left["bits"].shape[1]):
+        for w in range(SET_WORDS):
             a, b = left["bits"][q, w], right["bits"][c, w]
             i, j = np.flatnonzero(a), np.flatnonzero(b)
-            if not len(i) or not len(j):
-                continue
-            x = a[i][:, None] & b[j][None, :]
-            both[np.ix_(i, j)] += np.bitwise_count(x)
-            if w < word:
-                before[np.ix_(i, j)] |= x != 0
-            elif w == word:
-                before[np.ix_(i, j)] |= (x & low) != 0
-        near = (both >= collisions) & ~before & (np.abs(left["value"][q][:, None] - right["value"][c][None, :]) <= reach)
+            if len(i) and len(j):
+                both[np.ix_(i, j)] += np.bitwise_count(a[i][:, None] & b[j][None, :])
+        near = (both >= min(collisions, left["lists"].shape[1])) & (np.abs(left["value"][q][:, None] - right["value"][c][None, :]) <= reach)
         if own:
             near &= q[:, None] < c[None, :]
-        if near.any():
-            near &= left["unit"][q] @ right["unit"][c].T >= least
-            i, j = np.nonzero(near)
-            found.append((q[i], c[j]))
+        i, j = np.nonzero(near)
+        for k in range(0, len(i), 100_000):
+            x, y = q[i[k : k + 100_000]], c[j[k : k + 100_000]]
+            n, first = window_collisions(left, x, right, y, reach)
+            some = (n >= collisions) & (first == number)
+            x, y = x[some], y[some]
+            some = np.einsum("ij,ij->i", left["unit"][x], right["unit"][y]) >= least
+            found.append((x[some], y[some]))
     if not found:
         none = np.zeros(0, dtype=np.int64)
         return none, none
@@ -164,10 +198,11 @@ def near_copies(vectors: DataFrame, least: float = 0.93, n_lists: int | None = N
 
     Equal vectors of a label are one class from the start. Many random directions each have a list of the vectors,
     sorted by projection; a vector stands in the lists of the directions on which it is farthest out, for elsewhere
-    a window tells nothing. Pairs within a query's window (as wide as linked vectors can be apart) collide; pairs with
-    `collisions` or more are verified. With 1,024 lists and 12 for each vector two unit vectors of 64 dimensions at
-    cosine 0.93 collide at least twice in all of 4,000 trials, and about 1 % of unrelated pairs do. Lists grow in
-    number with the largest label, so that their length stays. A list over BLOCK vectors is cut into blocks, and each
+    a window tells nothing. Two vectors collide in a list when one stands in the other's window there (as wide as linked
+    vectors can be apart); pairs with `collisions` or more are verified. With 1,024 lists and 12 for each vector two
+    unit vectors of 64 dimensions at cosine 0.93 collide at least twice in all of 4,000 trials, and about 1 % of unrelated
+    pairs do. Lists grow in number with the largest label (from 100,000 vectors on; 16 for each vector then), so that
+    their length stays; a task projects on 1,024 at a time. A list over BLOCK vectors is cut into blocks, and each
     pair of blocks is a task's group of its own. Tasks return a sum for each vector and links that join the same
     vectors, never one row for each link.
 
@@ -201,7 +236,9 @@ def near_copies(vectors: DataFrame, least: float = 0.93, n_lists: int | None = N
 
             def block(which: int) -> dict:
                 t = table.filter(pa.array(side == which))
-                return {"value": np.array(t.column("value"), dtype=np.float64), "bits": _bits(t.column("lists").to_pylist(), n_lists), "unit": unit_rows(t.column("data").to_pylist(), kind), "node": np.array(t.column("node")), "copies": np.array(t.column("copies"))}
+                lists = np.stack([np.frombuffer(x, "<i4") for x in t.column("lists").to_pylist()])
+                values = np.stack([np.frombuffer(x, "<f4") for x in t.column("values").to_pylist()]).astype(np.float64)
+                return {"value": np.array(t.column("value"), dtype=np.float64), "lists": lists, "values": values, "bits": _bits(lists), "unit": unit_rows(t.column("data").to_pylist(), kind), "node": np.array(t.column("node")), "copies": np.array(t.column("copies"))}
 
             if not (side == i).any() or not (side == j).any():
                 return None

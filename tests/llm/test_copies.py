@@ -138,6 +138,44 @@ def test_embeddings(spark, monkeypatch, block):
     assert found == want
 
 
+@pytest.mark.parametrize(("dim", "n_lists", "per_vector"), [(64, 1024, 12), (64, 2048, 16), (64, 5000, 16), (256, 1024, 12), (768, 2048, 16)])
+def test_recall_at_the_bound(dim, n_lists, per_vector):
+    """Pairs at cosine 0.93: how many collide twice or more, and how many unrelated ones do."""
+    rng = np.random.default_rng(dim + n_lists)
+    a, b = rng.normal(size=(2, 1500, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    b = 0.93 * a + np.sqrt(1 - 0.93**2) * b
+    one, two = ({k: v for k, v in zip(("lists", "values"), embedding_dedup.farthest(x.astype(np.float32), n_lists, per_vector, 3), strict=True)} for x in (a, b))
+    assert (np.diff(one["lists"], axis=1) > 0).all() and one["lists"].max() < n_lists
+    at, reach = np.arange(1500), np.sqrt(0.14) + 1e-4
+    assert (embedding_dedup.window_collisions(one, at, two, at, reach)[0] >= 2).mean() >= 0.995
+    assert (embedding_dedup.window_collisions(one, at, two, np.roll(at, 1), reach)[0] >= 2).mean() < 0.05
+
+
+def test_window_collisions_against_brute_force():
+    rng = np.random.default_rng(4)
+    some = lambda: {"lists": np.sort(np.stack([rng.choice(20, 6, replace=False) for _ in range(40)]), axis=1), "values": rng.random((40, 6))}
+    one, two = some(), some()
+    i, j = rng.integers(0, 40, (2, 200))
+    n, first = embedding_dedup.window_collisions(one, i, two, j, 0.3)
+    for k, (a, b) in enumerate(zip(i, j, strict=True)):
+        x, y = (dict(zip(s["lists"][r].tolist(), s["values"][r].tolist(), strict=True)) for s, r in ((one, a), (two, b)))
+        hits = sorted(m for m in x if m in y and abs(x[m] - y[m]) <= 0.3)
+        assert (n[k], first[k]) == (len(hits), hits[0] if hits else -1)
+
+
+def test_many_lists(spark):
+    """More lists than bits in a set: some are counted together there, none in the result."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(20, 32))
+    rows = [(i, 1, [float(np.float32(x)) for x in centres[i % 20] + rng.normal(size=32) * 0.25]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_copies(df, n_lists=3000, per_vector=16).collect()}
+    assert found == brute_links(rows)
+
+
 def brute_cut(rows, w=50):
     seen = {}
     for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
