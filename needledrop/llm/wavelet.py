@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from needledrop.llm.common import column_of, held, partitions_for, shared_folder, slices, texts_of, with_ids
 from needledrop.llm.encoding import ChunkEncoder
 
-MAGIC = b"WVMX0001"
-#: Bits for each entry of a rank directory.
-BLOCK = 512
-HEAD = struct.Struct("<8sIIQQ")
+MAGIC = b"WVMX0002"
+#: Bits for each entry of a rank directory, and of a chunk that is compressed for itself.
+BLOCK, CHUNK = 512, 1 << 16
+HEAD = struct.Struct("<8sIQQQ")
 
 
 def build(tokens: np.ndarray, levels: int) -> list[tuple[int, np.ndarray]]:
@@ -32,73 +32,128 @@ def build(tokens: np.ndarray, levels: int) -> list[tuple[int, np.ndarray]]:
     return out
 
 
+def level_bytes(zeros: int, bits: np.ndarray) -> bytes:
+    """A level: its zeros, for each chunk the ones before it and where its data ends (u64), then the chunks.
+
+    A chunk, compressed for itself, is a rank directory (the ones in the chunk before each block, u16) and the chunk's bits.
+    """
+    n = -(-len(bits) // (CHUNK // 8))
+    padded = np.pad(bits, (0, n * CHUNK // 8 - len(bits))).reshape(n, CHUNK // BLOCK, BLOCK // 8)
+    ones = np.bitwise_count(padded).sum(axis=2, dtype=np.int64)
+    before = np.cumsum(ones.sum(axis=1)) - ones.sum(axis=1)
+    directory = (np.cumsum(ones, axis=1) - ones).astype("<u2")
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    chunks = [squeeze(directory[k].tobytes() + padded[k].tobytes()) for k in range(n)]
+    ends = np.cumsum([len(c) for c in chunks], dtype=np.uint64)
+    return struct.pack("<QQ", zeros, n) + before.astype("<u8").tobytes() + ends.astype("<u8").tobytes() + b"".join(chunks)
+
+
 def file_bytes(tokens: np.ndarray, doc_ids: np.ndarray, nulls: np.ndarray, lengths: np.ndarray) -> bytes:
-    """The file of a shard: head, compressed document table, then each level with its rank directory.
+    """The file of a shard: head, the ends of its sections (u64), the compressed document table, then the levels.
 
-    Head: magic, levels, sections' number, tokens, documents. Every section is length (u64) and zstd data.
+    Head: magic, levels, tokens, documents, bytes of the document table.
     """
     levels = max(1, int(tokens.max(initial=0)).bit_length())
-    squeeze = zstandard.ZstdCompressor(level=1).compress
-    sections = [doc_ids.astype("<i8").tobytes() + nulls.astype("u1").tobytes() + lengths.astype("<u8").tobytes()]
-    for zeros, bits in build(tokens, levels):
-        # The directory (ones before each block) comes from the bits at reading; the file needn't hold it.
-        sections.append(struct.pack("<Q", zeros) + bits.tobytes())
-    body = b"".join(struct.pack("<Q", len(z)) + z for z in map(squeeze, sections))
-    return HEAD.pack(MAGIC, levels, len(sections), len(tokens), len(doc_ids)) + body
+    table = doc_ids.astype("<i8").tobytes() + nulls.astype("u1").tobytes() + lengths.astype("<u8").tobytes()
+    table = zstandard.ZstdCompressor(level=1).compress(table)
+    sections = [level_bytes(zeros, bits) for zeros, bits in build(tokens, levels)]
+    ends = np.cumsum([len(x) for x in sections], dtype=np.uint64)
+    return HEAD.pack(MAGIC, levels, len(tokens), len(doc_ids), len(table)) + ends.astype("<u8").tobytes() + table + b"".join(sections)
 
 
 class Shard:
-    """A file of file_bytes: token access, counts and occurrences by rank and select on the compressed levels."""
+    """A file of file_bytes: token access, counts and occurrences by rank and select.
+
+    Opening reads the head; a question inflates the chunks that it touches, of which the last KEPT stay.
+    """
+
+    KEPT = 256
 
     def __init__(self, data: bytes):
-        magic, self.levels, parts, self.n, docs = HEAD.unpack_from(data)
+        magic, self.levels, self.n, self.docs, size = HEAD.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a wavelet matrix file")
-        at, sections = HEAD.size, []
-        for _ in range(parts):
-            (size,) = struct.unpack_from("<Q", data, at)
-            sections.append(zstandard.ZstdDecompressor().decompress(data[at + 8 : at + 8 + size]))
-            at += 8 + size
-        table = sections[0]
-        self.doc_ids = np.frombuffer(table, "<i8", docs)
-        self.nulls = np.frombuffer(table, "u1", docs, 8 * docs).astype(bool)
-        self.lengths = np.frombuffer(table, "<u8", docs, 9 * docs).astype(np.int64)
-        self.zeros = [struct.unpack_from("<Q", s)[0] for s in sections[1:]]
-        self.bits = [np.frombuffer(s, "u1", offset=8) for s in sections[1:]]
-        self.before: list[np.ndarray] = []
-
-    def _directory(self) -> None:
-        if not self.before:
-            for bits in self.bits:
-                ones = np.bitwise_count(bits).astype(np.int64)
-                padded = np.pad(ones, (0, -len(ones) % (BLOCK // 8))).reshape(-1, BLOCK // 8).sum(axis=1)
-                self.before.append(np.concatenate(([0], np.cumsum(padded))))
+        self.data, at = memoryview(data), HEAD.size
+        ends = np.frombuffer(data, "<u8", self.levels, at)
+        self._table = at + 8 * self.levels, size
+        base = at + 8 * self.levels + size
+        self.zeros, self.before, self._ends, self._base = [], [], [], []
+        for start in [base, *(base + int(e) for e in ends[:-1])]:
+            zeros, n = struct.unpack_from("<QQ", data, start)
+            self.zeros.append(zeros)
+            self.before.append(np.frombuffer(data, "<u8", n, start + 16))
+            self._ends.append(np.frombuffer(data, "<u8", n, start + 16 + 8 * n))
+            self._base.append(start + 16 + 16 * n)
+        self._inflate = zstandard.ZstdDecompressor().decompress
+        self._kept: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        self._documents: tuple | None = None
+
+    def _documents_table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if self._documents is None:
+            at, size = self._table
+            table, docs = self._inflate(self.data[at : at + size]), self.docs
+            self._documents = np.frombuffer(table, "<i8", docs), np.frombuffer(table, "u1", docs, 8 * docs).astype(bool), np.frombuffer(table, "<u8", docs, 9 * docs).astype(np.int64)
+        return self._documents
+
+    @property
+    def doc_ids(self) -> np.ndarray:
+        return self._documents_table()[0]
+
+    @property
+    def nulls(self) -> np.ndarray:
+        return self._documents_table()[1]
+
+    @property
+    def lengths(self) -> np.ndarray:
+        return self._documents_table()[2]
+
+    def _read(self, level: int, chunk: int) -> tuple[np.ndarray, np.ndarray]:
+        ends, base = self._ends[level], self._base[level]
+        data = self._inflate(self.data[base + (int(ends[chunk - 1]) if chunk else 0) : base + int(ends[chunk])])
+        n = CHUNK // BLOCK
+        return np.frombuffer(data, "<u2", n), np.frombuffer(data, "u1", offset=2 * n)
+
+    def _chunk(self, level: int, chunk: int) -> tuple[np.ndarray, np.ndarray]:
+        """The rank directory and the bits of a chunk."""
+        found = self._kept.pop((level, chunk), None) or self._read(level, chunk)
+        self._kept[level, chunk] = found  # the last used come last
+        if len(self._kept) > self.KEPT:
+            del self._kept[next(iter(self._kept))]
+        return found
 
     def _rank1(self, level: int, i: int) -> int:
         """Ones before place i."""
-        self._directory()
+        chunk, i = divmod(i, CHUNK)
+        if chunk == len(self.before[level]):  # the very end, at a chunk's border
+            return self.n - self.zeros[level]
+        directory, bits = self._chunk(level, chunk)
         block = i // BLOCK
-        start, bits = block * (BLOCK // 8), self.bits[level]
-        whole = int(np.bitwise_count(bits[start : i // 8]).sum())
+        whole = int(np.bitwise_count(bits[block * (BLOCK // 8) : i // 8]).sum())
         rest = int(bits[i // 8] >> (8 - i % 8)).bit_count() if i % 8 else 0
-        return int(self.before[level][block]) + whole + rest
+        return int(self.before[level][chunk]) + int(directory[block]) + whole + rest
 
     def _select(self, level: int, bit: int, k: int) -> int:
-        """The place of the k-th (from 0) such bit, by bisection over ranks."""
-        low, high = 0, self.n
-        while low < high:
-            middle = (low + high) // 2
-            ones = self._rank1(level, middle + 1)
-            if (ones if bit else middle + 1 - ones) > k:
-                high = middle
-            else:
-                low = middle + 1
-        return low
+        """The place of the k-th (from 0) such bit: its chunk by the ones before chunks, its block by the directory, then the bit."""
+        before = self.before[level].astype(np.int64)
+        before = before if bit else np.arange(len(before)) * CHUNK - before
+        chunk = int(np.searchsorted(before, k, side="right")) - 1
+        k -= int(before[chunk])
+        directory, bits = self._chunk(level, chunk)
+        inside = directory.astype(np.int64)
+        inside = inside if bit else np.arange(len(inside)) * BLOCK - inside
+        block = int(np.searchsorted(inside, k, side="right")) - 1
+        k -= int(inside[block])
+        some = np.unpackbits(bits[block * (BLOCK // 8) : (block + 1) * (BLOCK // 8)])
+        return chunk * CHUNK + block * BLOCK + int(np.flatnonzero(some == bit)[k])
+
+    def _bit(self, level: int, i: int) -> int:
+        chunk, i = divmod(i, CHUNK)
+        return int(self._chunk(level, chunk)[1][i // 8] >> (7 - i % 8)) & 1
 
     def access(self, i: int) -> int:
         value = 0
         for level in range(self.levels):
-            bit = int(self.bits[level][i // 8] >> (7 - i % 8)) & 1
+            bit = self._bit(level, i)
             ones = self._rank1(level, i)
             value = value << 1 | bit
             i = self.zeros[level] + ones if bit else i - ones
@@ -137,7 +192,8 @@ class Shard:
         """All tokens in order: the levels undone from the lowest."""
         values = np.zeros(self.n, dtype=np.uint16 if self.levels <= 16 else np.uint32)
         for level in reversed(range(self.levels)):
-            ones = np.unpackbits(self.bits[level], count=self.n).view(bool)
+            bits = [self._read(level, chunk)[1] for chunk in range(len(self.before[level]))]
+            ones = np.unpackbits(np.concatenate(bits), count=self.n).view(bool) if bits else np.zeros(0, dtype=bool)
             zeros, up = self.zeros[level], np.empty_like(values)
             up[~ones] = values[:zeros]
             up[ones] = values[zeros:] | values.dtype.type(1 << (self.levels - 1 - level))

@@ -186,3 +186,28 @@ def test_repeat_words_against_brute_force():
             windows = [tuple(words[i : i + 3]) for i in range(n - 2)]
             covered = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(3)}
             assert repeat_words(np.array(words)) == len(covered)
+
+
+def test_wavelet_file_is_read_piece_by_piece():
+    """Several chunks: answers as from the tokens, and a question inflates some chunks, not the file."""
+    rng = np.random.default_rng(5)
+    tokens = np.concatenate((rng.integers(0, 50_000, 150_000), np.full(65_536, 7), rng.zipf(1.5, 50_000) % 40_000)).astype("<u2")
+    data = wavelet.file_bytes(tokens, np.array([3, 9]), np.array([False, True]), np.array([100_000, len(tokens) - 100_000]))
+    shard = wavelet.Shard(data)
+    assert (shard.n, shard.doc_ids.tolist(), shard.nulls.tolist(), shard.lengths.tolist()) == (len(tokens), [3, 9], [False, True], [100_000, 165_536])
+    assert shard.access(123_456) == tokens[123_456]
+    assert len(shard._kept) <= shard.levels * 2
+    for i in [0, 65_535, 65_536, 131_072, len(tokens) - 1, *rng.integers(0, len(tokens), 50).tolist()]:
+        assert shard.access(i) == tokens[i]
+    for token in (7, 0, 1, int(tokens[5]), 49_999, 60_000, -1, 1 << 20):
+        places = np.flatnonzero(tokens == token)
+        assert shard.count(token) == len(places)
+        assert shard.count(token, 1000, 200_000) == ((places >= 1000) & (places < 200_000)).sum()
+        for k in {0, len(places) // 2, len(places) - 1} if len(places) else {0}:
+            assert shard.occurrence(token, k) == (places[k] if len(places) else -1)
+        assert shard.occurrence(token, len(places)) == -1
+    assert (shard.tokens() == tokens).all()
+    assert len(shard._kept) <= shard.KEPT
+    for n in (0, 1, 65_536):
+        some = wavelet.Shard(wavelet.file_bytes(tokens[:n], np.array([1]), np.array([False]), np.array([n])))
+        assert (some.tokens() == tokens[:n]).all() and some.count(7) == (tokens[:n] == 7).sum()
