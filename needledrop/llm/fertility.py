@@ -14,15 +14,42 @@ from pyspark.sql import functions as F
 from needledrop.llm.common import ENTRY_BYTES, bounded_batches, column_of, held, slices, texts_of, vocabulary_file
 
 # Rejection bands. For a language: least and most characters per byte-level token, most share of byte
-# fallback among pieces. Any other language goes by script: mostly Latin letters (below U+0250), or not.
+# fallback among pieces. Any other language goes by the script of most of its letters; a script without a band is "other".
 BANDS = {
     "de": (1.45, 8.0, 0.10),
     "en": (1.45, 8.0, 0.10),
     "es": (1.35, 8.0, 0.10),
     "fr": (1.35, 8.0, 0.10),
     "latin": (1.10, 8.0, 0.20),
+    "greek": (0.35, 8.0, 0.90),
+    "cyrillic": (0.40, 8.0, 0.60),
+    "hebrew": (0.35, 8.0, 0.90),
+    "arabic": (0.35, 8.0, 0.90),
+    "indic": (0.20, 8.0, 0.95),
+    "kana": (0.30, 8.0, 0.90),
+    "hangul": (0.25, 8.0, 0.95),
+    "han": (0.25, 8.0, 0.95),
     "other": (0.20, 8.0, 0.90),
 }
+SCRIPTS = ("latin", "greek", "cyrillic", "hebrew", "arabic", "indic", "kana", "hangul", "han", "other")
+# From which code point on letters belong to which script, in Unicode's order of blocks.
+BLOCKS = (
+    (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "other"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0780, "other"), (0x0900, "indic"),
+    (0x0E00, "other"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x2E80, "han"), (0x3040, "kana"),
+    (0x3100, "han"), (0x3130, "hangul"), (0x3190, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD800, "other"), (0xF900, "han"), (0xFB00, "latin"),
+    (0xFB07, "other"), (0xFB50, "arabic"), (0xFE00, "other"), (0x20000, "han"), (0x32000, "other"),
+)
+
+
+def script_of(text: str) -> str:
+    """The script of most letters of the text; a tie goes to the first of SCRIPTS, a text without letters is latin."""
+    if text.isascii():
+        return "latin"
+    points = np.frombuffer("".join(filter(str.isalpha, text)).encode("utf-32-le"), dtype="<u4")
+    block = np.searchsorted(np.array([a for a, _ in BLOCKS]), points, side="right") - 1
+    return SCRIPTS[np.bincount(np.array([SCRIPTS.index(n) for _, n in BLOCKS])[block], minlength=len(SCRIPTS)).argmax()]
+
+
 # The least token entropy (bits) of running prose, at these logarithms (base 2) of the number of pieces.
 # Between two of them the line; texts of fewer pieces than the first aren't judged by entropy.
 ENTROPY_AT = (4.0, 5.0, 6.0, 7.0, 8.0, 9.0, 10.0, 11.0)
@@ -130,7 +157,7 @@ def measure(docs: DataFrame, byte_level: str = "byte_bpe_50k.json", pieces: str
     Words are runs of anything but ASCII white space. n_tokens: tokens of the words, each with a space before it, in the
     byte-level vocabulary; n_pieces: pieces of the words in the vocabulary with byte fallback; fallback_share: byte
     pieces among these; token_entropy: of the pieces of this text. A text is rejected when characters per token or the
-    fallback share leave the band of its language or script, or the entropy is below that of prose of as many pieces
+    fallback share leave the band of its language or script (see BANDS, script_of), or, in Latin letters, the entropy is below that of prose of as many pieces
     (repetition, lists and signs between words have less); and when the base rules fail (under 50 words, or over
     half of the words in repeated three-word windows).
 
@@ -172,12 +199,11 @@ def judge(store: Fertility, text: str, lang: str | None, numbers: np.ndarray) ->
     n_pieces, entropy = store.entropy(numbers)
     fallback = float(store.bytes_in[numbers].sum()) / n_pieces if n_pieces else 0.0
     per_token = chars / tokens if tokens else 0.0
-    if lang not in BANDS or lang in ("latin", "other"):
-        plain = sum(c < "ɐ" for c in text) if not text.isascii() else len(text)
-        lang = "latin" if 2 * plain >= len(text) else "other"
+    if lang not in BANDS or lang in SCRIPTS:
+        lang = script_of(text)
     low, high, most = BANDS[lang]
     good = low <= per_token <= high and fallback <= most
-    if n_pieces >= 2 ** ENTROPY_AT[0] and lang != "other":
+    if n_pieces >= 2 ** ENTROPY_AT[0] and (lang == "latin" or lang not in SCRIPTS):
         good = good and entropy >= float(np.interp(math.log2(n_pieces), ENTROPY_AT, ENTROPY_LEAST))
     return n, chars, symbols, len(lines) - len(set(lines)), repeats, failed, bool(good and not failed), tokens, n_pieces, per_token, fallback, entropy
 

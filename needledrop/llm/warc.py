@@ -11,12 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from needledrop.llm.common import bounded_batches, column_of, shared_folder
+from needledrop.llm.common import bounded_batches, column_of, shared_folder, written
 
 CHUNKS = "archive int, record long, chunk int, chunks int, data binary"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
+#: Largest table of repeated payloads that is broadcast, in rows of a digest and two numbers.
+BROADCAST_ROWS = 200_000
+
+
 def header(page_id: int | None, url: str, kind: str, size: int, digest: str, refers_to: int | None, date: str) -> bytes:
     """Everything of a record before its payload: the WARC fields and the HTTP head."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
@@ -62,7 +66,8 @@ def write_archives(pages: DataFrame, path: str, chunk_bytes: int = 1 << 20, leas
 
     Of records with equal payloads (SHA-1 and size) of at least least_bytes bytes the one with the smallest page_id is the
     response, the others revisit it and have no payload; the rest are responses. Which payloads repeat is an aggregate of
-    digests; the texts only meet the repeated ones of these.
+    digests, a written table of the repeated ones. Up to BROADCAST_ROWS of these go to every task, and no payload is
+    shuffled; more meet the payloads by a join on the digest.
 
     Null html: the empty payload. Null url: no target field. Null page_id: never referred to unless all equal payloads
     have none; then all of these are responses. Rows of the same smallest page_id are all responses. An empty table
@@ -72,8 +77,9 @@ def write_archives(pages: DataFrame, path: str, chunk_bytes: int = 1 << 20, leas
     rows = bounded_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"digest": F.unhex(F.sha1("payload")), "size": F.octet_length("payload").cast("long")})
     seen = rows.where(F.col("size") >= least_bytes).groupBy(F.col("digest").alias("d"), F.col("size").alias("s")).agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    twice = seen.where("n > 1 and first is not null").drop("n")
-    marked = rows.join(twice, (F.col("digest") == F.col("d")) & (F.col("size") == F.col("s")), "left")
+    twice = written(seen.where("n > 1 and first is not null").drop("n"), "repeated-payloads")
+    few = twice.count() <= BROADCAST_ROWS
+    marked = rows.join(F.broadcast(twice) if few else twice, (F.col("digest") == F.col("d")) & (F.col("size") == F.col("s")), "left")
     marked = marked.select("page_id", "url", "payload", "digest", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

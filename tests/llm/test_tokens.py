@@ -211,3 +211,68 @@ def test_wavelet_file_is_read_piece_by_piece():
     for n in (0, 1, 65_536):
         some = wavelet.Shard(wavelet.file_bytes(tokens[:n], np.array([1]), np.array([False]), np.array([n])))
         assert (some.tokens() == tokens[:n]).all() and some.count(7) == (tokens[:n] == 7).sum()
+
+
+def test_long_texts_of_sentencepiece_are_split(spark):
+    import public_tokenizers
+    import sentencepiece
+
+    texts = ["some words and 12 numbers. " * 400, "x" * 3000, "  two  spaces " * 200 + "end", "äö ü " * 500, ""]
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(df, "piece_bpe_32k.model", batch_bytes=500).collect()}
+    assert found == {i: len(model.encode(t)) for i, t in enumerate(texts)}
+
+
+def plain_measures(text, lang, byte_level, pieces):
+    """The columns of fertility.measure for one text, word by word."""
+    import math
+    import re
+    from collections import Counter
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    n = len(words)
+    windows = Counter(tuple(words[i : i + 3]) for i in range(n - 2))
+    repeats = sum(any(0 <= k <= n - 3 and windows[tuple(words[k : k + 3])] > 1 for k in range(i - 2, i + 1)) for i in range(n))
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    failed = n < 50 or 100 * repeats > 50 * n
+    tokens = sum(len(byte_level.encode(" " + w, add_special_tokens=False).ids) for w in words)
+    ids = [i for w in words for i in pieces.encode(w)]
+    counts = Counter(ids)
+    entropy = -sum(c / len(ids) * math.log2(c / len(ids)) for c in counts.values()) if ids else 0.0
+    fallback = sum(map(pieces.is_byte, ids)) / len(ids) if ids else 0.0
+    per_token = sum(map(len, words)) / tokens if tokens else 0.0
+    kind = (lang or "").lower()
+    if kind not in ("de", "en", "es", "fr"):
+        kind = fertility.script_of(text or "")
+    low, high, most = fertility.BANDS[kind]
+    good = low <= per_token <= high and fallback <= most
+    if len(ids) >= 16 and kind in ("de", "en", "es", "fr", "latin"):
+        x = min(math.log2(len(ids)), 11.0)
+        k = min(int(x) - 4, 6)
+        y = fertility.ENTROPY_LEAST
+        good = good and entropy >= y[k] + (y[k + 1] - y[k]) * (x - 4 - k)
+    return n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len({*lines}), repeats, failed, good and not failed, tokens, len(ids), per_token, fallback, entropy
+
+
+def test_fertility_against_brute_force(spark, sf_dir):
+    """Every column, the verdict too, on the small table and on rows of other scripts, empty ones and very long ones."""
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    long = " ".join(f"w{i % 997} v{i * 7 % 1009}" for i in range(30_000))
+    extra = [(9000, None, None), (9001, "", "en"), (9002, "слово за словом и ещё раз " * 20, "ru"), (9003, "言葉" * 200, None), (9004, "λόγος και " * 60, "EL"), (9005, long, "EN"), (9006, "||| ### " * 90, "xx"), (9007, "a b c d " * 80, "latin")]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").union(spark.createDataFrame(extra, "doc_id long, text string, lang string"))
+    byte_level = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    found = {r["doc_id"]: tuple(r)[1:] for r in fertility.measure(docs.selectExpr("*", "1 as kept", "2 as n_words")).collect()}
+    rows = docs.collect()
+    assert len(found) == len(rows)
+    for r in rows:
+        want, got = plain_measures(r["text"], r["lang"], byte_level, pieces), found[r["doc_id"]]
+        assert got[:9] == want[:9], r["doc_id"]
+        assert np.allclose(got[9:], want[9:], rtol=1e-9, atol=1e-9)
+    kept = {r["doc_id"] for r in fertility.keep_good(docs).collect()}
+    assert kept == {i for i, r in found.items() if r[6]}
+    assert {fertility.script_of(t) for t in ("", "abc", "слово a", "言葉漢字", "ひらがな", "한국어", "שלום", "हिन्दी")} == {"latin", "cyrillic", "han", "kana", "hangul", "hebrew", "indic"}
