@@ -326,16 +326,16 @@ def remove_repeats(docs: DataFrame, window: int = 50, text: str = "text", doc_id
     block = window // 2
     buckets = partitions_for(docs)
     own = [f"_{i}" for i in range(len(carry))]
-    rows = bounded_batches(docs).select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *(F.col(c).alias(n) for n, c in zip(own, carry, strict=True)))
+    rows = bounded_batches(docs).select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(doc_id).cast("long").alias("_id"), *(F.col(c).alias(n) for n, c in zip(own, carry, strict=True)))
     hits = anchors(rows.select("doc_id", "text").where("text <> ''"), block, buckets)
     # The texts are dealt by id once, with all columns: both uses of the join read that exchange.
-    marked = rows.join(hits, rows["doc_id"] == hits["hit_id"], "left").select("doc_id", "text", "hits", *own)
+    marked = rows.join(hits, rows["doc_id"] == hits["hit_id"], "left").select("doc_id", "text", "hits", "_id", *own)
     repeats = confirmed(marked.where("hits is not null"), window, block, buckets).withColumnRenamed("hits", "repeats")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for i, t, hits, known in zip(*(column_of(batch, c).to_pylist() for c in ("doc_id", "text", "hits", "repeats")), strict=True):
+            for i, t, hits, known in zip(*(column_of(batch, c).to_pylist() for c in ("_id", "text", "hits", "repeats")), strict=True):
                 words = t.encode().split()
                 n = len(words)
                 gone = 0
@@ -349,12 +349,12 @@ def remove_repeats(docs: DataFrame, window: int = 50, text: str = "text", doc_id
                     gone = int(drop.sum())
                     words = [w for w, x in zip(words, drop.tolist(), strict=True) if not x]
                 kept = t if verbatim and not gone else b" ".join(words).decode()
-                out.append((None if i == NULL_ID else i, n, gone, kept))
+                out.append((i, n, gone, kept))
             columns = [*zip(*out, strict=True)] or [()] * 4
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield _batch(["doc_id", "n_words", "n_removed", "kept", *own], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), *(column_of(batch, n) for n in own))
 
-    final = marked.join(repeats, marked["doc_id"] == repeats["hit_id"], "left").select("doc_id", "text", "hits", "repeats", *own)
+    final = marked.join(repeats, marked["doc_id"] == repeats["hit_id"], "left").select("doc_id", "text", "hits", "repeats", "_id", *own)
     schema = ", ".join([KEPT, *(f"{n} {rows.schema[n].dataType.simpleString()}" for n in own)])
     cut_rows = final.mapInArrow(cut, schema)
     return cut_rows.select("doc_id", "n_words", "n_removed", "kept", *(F.col(n).alias(c) for n, c in zip(own, carry, strict=True)))

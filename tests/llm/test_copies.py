@@ -232,6 +232,19 @@ def test_passages_that_a_document_holds_twice(spark):
     assert sorted((r["doc_id"], r["n_removed"]) for r in substring.remove_repeats(df).collect()) == [(1, 0), (2, 70), (2, 70)]
 
 
+def test_layout_does_not_matter(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    one, *others = ({r["doc_id"]: tuple(r) for r in substring.digest(docs.repartition(n)).collect()} for n in (1, 4, 64))
+    assert all(one == other for other in others)
+
+
+def test_largest_id_and_null_ids(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(2**63 - 1, long), (None, long), (None, long + " x"), (5, long)]
+    found = [(r["doc_id"], r["n_removed"]) for r in substring.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(found, key=repr) == sorted([(2**63 - 1, 60), (None, 60), (None, 60), (5, 0)], key=repr)
+
+
 def test_cut_keeps_other_columns(spark):
     long = " ".join(f"w{i}" for i in range(80))
     df = spark.createDataFrame([(1, long, "a", 5), (2, "start  " + long + " end", "b", 6), (3, long, "c", 7), (4, None, "d", 0)], "doc_id long, text string, kept string, n_chars long")
