@@ -133,14 +133,15 @@ def across(starts: np.ndarray, owners: np.ndarray, tags: np.ndarray) -> tuple[np
 def ball_pairs(fps: DataFrame, bits: int, radius: int, tagged: bool = False) -> DataFrame:
     """t, a, b: pairs of fingerprints of a table t at `radius` or fewer differing bits, by meet-in-the-middle ball hashing.
 
-    fps: t int, fp long (the lowest `bits` bits), distinct. Every fingerprint stands for all variants within half the
+    fps: t int, fp long (the lowest `bits` bits); equal rows count once. Every fingerprint stands for all variants within half the
     radius; two within the radius share one. The shuffle goes by a table and a variant's leading bits: a task sends all
     its fingerprints for one such value as one row, each fingerprint to every value that its variants can have, and
     the receiver enumerates the variants of that value, so a thousand variants cost some tens of numbers. Values
     that many fingerprints have are dealt by further bits. What shares a variant is verified.
 
-    A variant's owners are paired with the first of them, so every link is a path of at most two pairs. tagged: rows
-    have a tag long too, pairs are those of different tags, all of them, and come with tag_a and tag_b.
+    A variant's owners are paired with the first of them (in an order that is the same everywhere), so every link is a path of
+    at most two pairs. tagged: rows have a tag long too, pairs are those of different tags, all of them, and come with
+    tag_a and tag_b; a tag of 0 differs from every other, but for that of the same fingerprint.
     """
     half = radius // 2
     n = fps.groupBy("t").count().agg(F.max("count")).first()[0] or 0
@@ -166,7 +167,8 @@ def ball_pairs(fps: DataFrame, bits: int, radius: int, tagged: bool = False) ->
             yield from cut(*map(np.concatenate, (t, fp, tag)))
 
     def cut(t: np.ndarray, fp: np.ndarray, tag: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((fp, t))
+        order = np.lexsort((tag, fp, t))
+        order = order[[x for x, _ in _runs(t[order], fp[order], tag[order])]] if len(order) else order
         t, fp, tag = t[order], fp[order], tag[order]
         for mask in flips(lead, half):
             value = (fp >> np.uint64(tail)) ^ mask
@@ -207,7 +209,11 @@ def ball_pairs(fps: DataFrame, bits: int, radius: int, tagged: bool = False) ->
             return
         t, value, sub = key
         fp = np.concatenate([f for f, _ in parts])
-        tags = np.concatenate([g for _, g in parts]) if tagged else None
+        tags = np.concatenate([g for _, g in parts]) if tagged else np.zeros(len(fp), dtype=np.int64)
+        order = np.lexsort((tags, mix(fp)))
+        order = order[[x for x, _ in _runs(fp[order], tags[order])]]
+        fp, tags = fp[order], tags[order]
+        own_tags = np.where(tags == 0, -1 - np.arange(len(tags)), tags)
         used = np.bitwise_count((fp >> np.uint64(tail)) ^ np.uint64(value)).astype(np.int64)
         rest = tail
         if sub >= 0:
@@ -220,7 +226,7 @@ def ball_pairs(fps: DataFrame, bits: int, radius: int, tagged: bool = False) ->
             return np.unique(np.concatenate([found, *waiting]))
 
         for starts, owners in shared_variants(fp, used, rest, half):
-            a, b = (across if tagged else stars)(starts, owners, tags)
+            a, b = (across if tagged else stars)(starts, owners, own_tags)
             good = np.bitwise_count(fp[a] ^ fp[b]) <= radius
             waiting.append(np.unique(a[good] * len(fp) + b[good]))
             size += len(waiting[-1])
@@ -236,12 +242,12 @@ def ball_pairs(fps: DataFrame, bits: int, radius: int, tagged: bool = False) ->
     return dealt.mapInArrow(meet, "t int, a long, b long" + (", tag_a long, tag_b long" if tagged else "")).distinct()
 
 
-def _runs(*keys: np.ndarray) -> Iterator[tuple[int, int]]:
+def _runs(*keys: np.ndarray) -> list[tuple[int, int]]:
     """Where runs of equal keys start and end."""
-    if len(keys[0]):
-        new = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(keys[0])]
-        yield from zip(cuts[:-1], cuts[1:], strict=True)
+    if not len(keys[0]):
+        return []
+    cuts = [0, *(np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1).tolist(), len(keys[0])]
+    return [*zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
@@ -311,6 +317,10 @@ def set_fingerprints(sets: list[np.ndarray], tables: int, bits: int) -> np.ndarr
     return (on * (np.uint64(1) << np.arange(bits, dtype=np.uint64))).sum(axis=2, dtype=np.uint64)
 
 
+#: Tables of the first search.
+FIRST = 4
+
+
 def similar_copies(docs: DataFrame, least: float = 0.8, shingle: int = 5, tables: int = 24, bits: int = 48, radius: int = 4) -> DataFrame:
     """id (NULL_ID for null), cls, component_id (smallest id reachable over links) for every row of docs.
 
@@ -322,8 +332,9 @@ def similar_copies(docs: DataFrame, least: float = 0.8, shingle: int = 5, tables
     acos(2s / (1 + s)) / pi, so a table shows a pair of similarity 0.8 with 0.13, one of 0.9 with 0.44, and all 24 show
     0.96 and over 0.999 of them; sets of under ten shingles less (0.7 at 0.8). Each candidate is verified on the sets.
 
-    A variant's owners are first paired with one of them each. Where some candidate isn't linked, a second search pairs all
-    owners of a variant that are still in different components, so that no pair with a common variant is missed.
+    The first search takes FIRST tables, pairs a variant's owners with one of them each and so joins large groups by few pairs.
+    The second takes all tables and pairs all owners of a variant that are still in different components, so that no pair
+    with a common variant is missed, and a large group isn't compared with itself again.
 
     Null or empty text, or one of white space only: the empty set, one class. Null ids count as larger than every other.
     Repeated rows each give a row; an empty table gives no row.
@@ -339,31 +350,34 @@ def similar_copies(docs: DataFrame, least: float = 0.8, shingle: int = 5, tables
     rows = bounded_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     signed = written(rows.mapInArrow(sign, "id long, cls long, prints array<long>"), "fingerprints")
     classes = written(signed.groupBy("cls").agg(F.min("id").alias("least"), F.min("prints").alias("prints")), "classes")
-    prints = classes.select("cls", F.posexplode("prints").alias("t", "fp"))
 
     # The first search: equal fingerprints and the owners of a variant, each with the first.
+    prints = classes.select("cls", F.posexplode(F.slice("prints", 1, FIRST)).alias("t", "fp"))
     firsts = written(prints.groupBy("t", "fp").agg(F.min("cls").alias("first"), F.count("*").alias("n")), "first-owners")
     shared = firsts.where("n > 1").select(F.col("t").alias("u"), F.col("fp").alias("f"), "first")
     equal = prints.join(shared, (F.col("t") == F.col("u")) & (F.col("fp") == F.col("f"))).select(F.col("first").alias("a"), F.col("cls").alias("b"))
-    links = ball_pairs(firsts.select("t", "fp"), bits, radius)
+    links = ball_pairs(firsts.select("t", "fp"), bits, radius).toDF("t", "p", "q")
     side = lambda name: firsts.select(F.col("t").alias(f"t_{name}"), F.col("fp").alias(f"fp_{name}"), F.col("first").alias(name))
-    near = links.toDF("t", "p", "q").join(side("a"), (F.col("t") == F.col("t_a")) & (F.col("p") == F.col("fp_a"))).join(side("b"), (F.col("t") == F.col("t_b")) & (F.col("q") == F.col("fp_b"))).select("a", "b")
+    same = lambda name, fp: (F.col("t") == F.col(f"t_{name}")) & (F.col(fp) == F.col(f"fp_{name}"))
+    near = links.join(side("a"), same("a", "p")).join(side("b"), same("b", "q")).select("a", "b")
     tested = written(_ordered(equal.union(near)), "pairs")
     found = written(_verified(tested, classes, rows, least, shingle, bits), "similar")
 
-    # The second: owners of a variant in different components.
-    missed = written(tested.join(found, ["a", "b"], "left_anti"), "dissimilar")
-    if not missed.isEmpty():
-        groups = connected_components(found)
-        nodes = tested.select(F.col("a").alias("cls")).union(tested.select("b")).distinct()
-        nodes = nodes.join(groups, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("component", "cls").alias("tag"))
-        owners = written(prints.join(nodes, "cls").select("t", "fp", "tag", "cls"), "owners")
-        apart = ball_pairs(owners.select("t", "fp", "tag").distinct(), bits, radius, tagged=True)
-        side = lambda name: owners.select(F.col("t").alias(f"t_{name}"), F.col("fp").alias(f"fp_{name}"), F.col("tag").alias(f"of_{name}"), F.col("cls").alias(name))
-        same = lambda name, fp: (F.col("t") == F.col(f"t_{name}")) & (F.col(fp) == F.col(f"fp_{name}")) & (F.col(f"tag_{name}") == F.col(f"of_{name}"))
-        more = apart.toDF("t", "p", "q", "tag_a", "tag_b").join(side("a"), same("a", "p")).join(side("b"), same("b", "q")).select("a", "b")
-        more = written(_ordered(more).join(missed, ["a", "b"], "left_anti"), "pairs")
-        found = found.union(_verified(more, classes, rows, least, shingle, bits))
+    # The second: owners of a variant in different components. Tag 0 is a class without another.
+    groups = connected_components(found).withColumnRenamed("node", "cls")
+    tag = F.coalesce(F.when(F.col("component") == 0, 1).otherwise(F.col("component")), F.lit(0)).alias("tag")
+    tags = written(classes.join(groups, "cls", "left").select("cls", tag, "prints"), "tagged")
+    prints = tags.select("cls", "tag", F.posexplode("prints").alias("t", "fp"))
+    apart = written(ball_pairs(prints.select("t", "fp", "tag"), bits, radius, tagged=True).toDF("t", "p", "q", "tag_a", "tag_b"), "apart")
+    side = lambda name: prints.select(F.col("t").alias(f"t_{name}"), F.col("fp").alias(f"fp_{name}"), F.col("tag").alias(f"of_{name}"), F.col("cls").alias(name))
+    same = lambda name, fp: (F.col("t") == F.col(f"t_{name}")) & (F.col(fp) == F.col(f"fp_{name}")) & (F.col(f"tag_{name}") == F.col(f"of_{name}"))
+    more = apart.join(side("a"), same("a", "p")).join(side("b"), same("b", "q")).select("a", "b")
+    alone = prints.where("tag = 0").groupBy("t", "fp").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high")
+    alone = alone.select(F.col("t").alias("u"), F.col("fp").alias("f"))
+    alone = written(prints.where("tag = 0").join(alone, (F.col("t") == F.col("u")) & (F.col("fp") == F.col("f"))).select("t", "fp", "cls"), "alone")
+    more = more.union(alone.select("t", "fp", F.col("cls").alias("a")).join(alone.select("t", "fp", F.col("cls").alias("b")), ["t", "fp"]).select("a", "b"))
+    more = written(_ordered(more).join(tested, ["a", "b"], "left_anti"), "pairs")
+    found = found.union(_verified(more, classes, rows, least, shingle, bits))
     groups = connected_components(found)
     joined = classes.join(groups, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("component", "cls").alias("root"))
     roots = joined.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
