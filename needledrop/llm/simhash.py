@@ -361,7 +361,7 @@ def similar_copies(docs: DataFrame, least: float = 0.8, shingle: int = 5, tables
     same = lambda name, fp: (F.col("t") == F.col(f"t_{name}")) & (F.col(fp) == F.col(f"fp_{name}"))
     near = links.join(side("a"), same("a", "p")).join(side("b"), same("b", "q")).select("a", "b")
     tested = written(_ordered(equal.union(near)), "pairs")
-    found = written(_verified(tested, classes, rows, least, shingle, bits), "similar")
+    found = written(_verified(tested, classes, rows, least, shingle), "similar")
 
     # The second: owners of a variant in different components. Tag 0 is a class without another.
     groups = connected_components(found).withColumnRenamed("node", "cls")
@@ -377,7 +377,7 @@ def similar_copies(docs: DataFrame, least: float = 0.8, shingle: int = 5, tables
     alone = written(prints.where("tag = 0").join(alone, (F.col("t") == F.col("u")) & (F.col("fp") == F.col("f"))).select("t", "fp", "cls"), "alone")
     more = more.union(alone.select("t", "fp", F.col("cls").alias("a")).join(alone.select("t", "fp", F.col("cls").alias("b")), ["t", "fp"]).select("a", "b"))
     more = written(_ordered(more).join(tested, ["a", "b"], "left_anti"), "pairs")
-    found = found.union(_verified(more, classes, rows, least, shingle, bits))
+    found = found.union(_verified(more, classes, rows, least, shingle))
     groups = connected_components(found)
     joined = classes.join(groups, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("component", "cls").alias("root"))
     roots = joined.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
@@ -389,16 +389,11 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, least: float, shingle: int, bits: int) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, least: float, shingle: int) -> DataFrame:
     """The pairs (classes a, b) whose sets have a Jaccard similarity of `least` or more.
 
-    Pairs whose fingerprints differ in over 0.3 of all bits (0.15 at a similarity of 0.8, 0.5 of unrelated sets) go first.
-    The sets are made anew, for the classes of the pairs left.
+    The sets are made anew, for the classes of the pairs.
     """
-    one = classes.select(F.col("cls").alias("m"), F.col("prints").alias("x"))
-    two = classes.select(F.col("cls").alias("n"), F.col("prints").alias("y"))
-    differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, d: total + d)
-    pairs = written(pairs.join(one, F.col("a") == F.col("m")).join(two, F.col("b") == F.col("n")).where(differ <= 0.3 * bits * F.size("x")).select("a", "b"), "candidates")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = classes.join(nodes, F.col("cls") == F.col("node"), "left_semi").select(F.col("least").alias("wanted")).distinct()
 
