@@ -31,32 +31,44 @@ def is_lossy(codec: Column) -> Column:
     return codec.isin(*LOSSY) | codec.startswith("adpcm_")
 
 
+def squeezed(raw: Column) -> Column:
+    """Lower case without white space."""
+    return F.regexp_replace(F.lower(raw), r"\s+", "")
+
+
 def rate_hz(raw: Column) -> Column:
-    """Hz from 44.1, 44100, 44k, 44.1khz or 44100hz; null if it is none of these or not above zero."""
-    x = F.lower(raw)
-    number = F.regexp_extract(x, r"^([0-9]+(?:\.[0-9]+)?)(khz|hz|k)?$", 1).try_cast("double")
-    unit = F.regexp_extract(x, r"^([0-9]+(?:\.[0-9]+)?)(khz|hz|k)?$", 2)
+    """Hz from 44.1, 44100, 44k, 44.1khz or 44100hz (half to even); null if it is none of these or not above zero."""
+    x = squeezed(raw)
+    pattern = r"^([0-9]+(?:\.[0-9]+)?)(khz|hz|k)?$"
+    number = F.regexp_extract(x, pattern, 1).try_cast("double")
+    unit = F.regexp_extract(x, pattern, 2)
     hz = F.when(unit.isin("k", "khz"), number * 1000).when(unit == "hz", number).when(number < 1000, number * 1000).otherwise(number)
-    whole = F.round(hz).cast("int")
+    whole = F.bround(hz).cast("int")
     return F.when(whole > 0, whole)
 
 
 def depth(raw: Column) -> Column:
-    """16, 24, 32f ... from 24bit, 24b, 32f, float, double; null if it is none of these."""
-    x = F.lower(raw)
-    number = F.regexp_extract(x, r"^0*([1-9][0-9]*)(?:bits?|b)?$", 1)
-    return F.when(x.isin("32f", "f32", "flt", "float", "float32"), "32f").when(x.isin("64f", "f64", "dbl", "double", "float64"), "64f").when(number != "", number)
+    """16, 24, 32f ... from 24bit, 24b, f32, dblp; null if it is none of these, of more than three digits or zero."""
+    x = squeezed(raw)
+    number = F.regexp_extract(x, r"^([0-9]{1,3})(?:bits?|b)?$", 1).try_cast("int")
+    names = F.when(x.isin("32f", "f32", "flt", "fltp", "float32"), "32f").when(x.isin("64f", "f64", "dbl", "dblp", "double", "float64"), "64f")
+    return names.when(number > 0, number.cast("string"))
 
 
 def canonical_profile(raw: Column) -> Column:
-    """RATE/DEPTH of a profile in any spelling; null if it is no profile."""
-    x = F.regexp_replace(F.translate(F.lower(raw), "_", "/"), r"\s+", "")
-    left = F.regexp_extract(x, r"^([0-9][0-9.a-z]*)[/:-]([0-9a-z]+)$", 1)
-    right = F.regexp_extract(x, r"^([0-9][0-9.a-z]*)[/:-]([0-9a-z]+)$", 2)
-    rate, bits = rate_hz(left), depth(right)
+    """RATE/DEPTH of a profile in any spelling, its parts split by / : - _ or packed (4410016); null if it is no profile."""
+    x = F.translate(squeezed(raw), "_", "/")
+    split, packed = r"^([^/:-]+)[/:-]([^/:-]+)$", r"^([0-9]+(?:\.[0-9]+)?(?:khz|k)?)([0-9]{2,3}f?)$"
+    part = lambda n: F.coalesce(F.nullif(F.regexp_extract(x, split, n), F.lit("")), F.regexp_extract(x, packed, n))
+    rate, bits = rate_hz(part(1)), depth(part(2))
     return F.when(rate.isNotNull() & bits.isNotNull(), F.concat(rate.cast("string"), F.lit("/"), bits))
 
 
+def profile_in(text: Column) -> Column:
+    """The first profile that a text names (Recode to 44.1k/16), canonical; null if none."""
+    return canonical_profile(F.regexp_extract(text, r"(?i)([0-9]+(?:[.][0-9]+)?(?:k(?:hz)?)?[/:-][0-9]{1,3}f?)", 1))
+
+
 def profile_key(raw: Column) -> Column:
     """A number to sort profiles by: depth first (float as ten times its bits), then rate."""
     rate, bits = F.split_part(raw, F.lit("/"), F.lit(1)), F.lower(F.split_part(raw, F.lit("/"), F.lit(2)))

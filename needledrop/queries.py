@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from needledrop.functions import parsing_queries, path_queries
-from needledrop.operators import catalog_queries, maintenance_queries, signal_queries
+from needledrop.functions import media_queries, parsing_queries, path_queries
+from needledrop.operators import catalog_queries, files_queries, maintenance_queries, signal_queries
 from needledrop.plans import planning_queries
 from needledrop.streaming import queue_queries
 
-MODULES = (catalog_queries, path_queries, parsing_queries, maintenance_queries, signal_queries, planning_queries, queue_queries)
+MODULES = (catalog_queries, files_queries, path_queries, media_queries, parsing_queries, maintenance_queries, signal_queries, planning_queries, queue_queries)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
