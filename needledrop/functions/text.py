@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +30,23 @@ def compact(x: Column) -> Column:
     return F.translate(F.lower(x), " " + DASHES, "")
 
 
+@cache
+def _marked_letters() -> tuple[str, str]:
+    """Lower-case letters of the Latin, Greek and Cyrillic blocks that are a letter with marks, and these letters."""
+    pairs = [(c, unicodedata.normalize("NFD", c)) for c in map(chr, (*range(0xC0, 0x530), *range(0x1E00, 0x2000))) if c == c.lower()]
+    pairs = [(c, d[0]) for c, d in pairs if len(d) > 1 and all(unicodedata.combining(m) for m in d[1:])]
+    return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
+
+
+def unmarked_text(x: str) -> str:
+    return x.lower().translate(str.maketrans(*_marked_letters()))
+
+
+def unmarked(x: Column) -> Column:
+    """Lower case, letters without their marks."""
+    return F.translate(F.regexp_replace(F.lower(x), r"\p{Mn}+", ""), *_marked_letters())
+
+
 def is_lossy(codec: Column) -> Column:
     return codec.isin(*LOSSY) | codec.startswith("adpcm_")
 

@@ -5,6 +5,7 @@ albums has the columns of sources.bind.albums. Every function takes and returns
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -110,6 +111,7 @@ VIEWS: dict[str, tuple[dict, str, bool]] = {
     "encode_only": ({"encode": True}, "checked", True),
     "scan_failed": ({"failed": True}, "checked", True),
     "rarity_only": ({"rarity": True}, "checked", True),
+    "upscaled_replace": ({"replace": True, "recode": True}, "grade", False),
 }
 
 
@@ -133,11 +135,29 @@ def display(albums: DataFrame) -> DataFrame:
     )
 
 
-def page(albums: DataFrame, view: str = "default", number: int = 1, size: int = 15) -> DataFrame:
-    """A page of a view by offset. Only size * number rows are ever sorted to the end (a top-k heap in each task)."""
+def page(albums: DataFrame, view: str = "default", number: int = 1, size: int = 15, codec: str | None = None, profile: str | None = None) -> DataFrame:
+    """A page of a view by offset, of one codec or profile if given. Only size * number rows are ever sorted to the end (a
+    top-k heap in each task), by what the filters and the sort need; all else is worked out for the rows of the page.
+    """
     filters, key, descending = VIEWS[view]
-    rows = where(graded(albums), **filters).orderBy(*order(key, descending)).offset(size * (number - 1)).limit(size)
-    return display(rows)
+    keys = order(key, descending, codec is not None or profile is not None)
+    rows = where(graded(albums), **filters, codec=codec, profile=profile).orderBy(*keys).offset(size * (number - 1)).limit(size)
+    return display(graded(_page_rows(rows, albums)).orderBy(*keys))
+
+
+def _page_rows(rows: DataFrame, albums: DataFrame) -> DataFrame:
+    """The stored columns of a page, in one partition as after its limit: Spark doesn't move what is derived from them below it."""
+    return rows.select(*albums.columns).coalesce(1)
+
+
+def page_count(albums: DataFrame, view: str = "default", size: int = 15) -> int:
+    """How many pages a view has, one at least."""
+    return max(1, -(-where(graded(albums), **VIEWS[view][0]).count() // size))
+
+
+def nearest_page(albums: DataFrame, view: str, number: int, size: int = 15) -> DataFrame:
+    """The page of that number, or the first or the last where there is none."""
+    return page(albums, view, min(max(number, 1), page_count(albums, view, size)), size)
 
 
 def page_after(albums: DataFrame, cursor: tuple[int, str, str, int, int], size: int = 15, backward: bool = False) -> DataFrame:
@@ -150,7 +170,7 @@ def page_after(albums: DataFrame, cursor: tuple[int, str, str, int, int], size:
         test, same = test | (same & further), same & (k == F.lit(value))
     towards = [k.desc() if desc != backward else k.asc() for k, desc in zip(keys, down, strict=True)]
     rows = where(graded(albums)).where(test).orderBy(*towards).limit(size)
-    return display(rows)
+    return display(graded(_page_rows(rows, albums)).orderBy(*towards))
 
 
 def stats(albums: DataFrame, queue: DataFrame) -> DataFrame:
@@ -192,10 +212,13 @@ def query_tokens(query: str) -> list[str]:
 
 
 def token_hit(tokens: Sequence[str]) -> Column:
-    """Whether each token begins some word of artist or album."""
-    words = F.split(F.lower(F.concat_ws(" ", "artist", "album")), r"[^\p{L}\p{N}]+")
-    begins = lambda t: F.exists(words, lambda w: w.startswith(t))
-    return reduce(Column.__and__, map(begins, tokens), F.lit(True))
+    """Whether each token begins some word of artist or album, marks of letters aside.
+
+    A token of several words (ac-dc) is a phrase: its words stand side by side, the last one may go on.
+    """
+    words = F.concat(F.lit(" "), F.regexp_replace(text.unmarked(F.concat_ws(" ", "artist", "album")), r"[^\p{L}\p{N}]+", " "))
+    phrases = [" ".join(re.findall(r"[^\W_]+", text.unmarked_text(t))) for t in tokens]
+    return reduce(Column.__and__, (F.contains(words, F.lit(f" {p}")) for p in phrases if p), F.lit(True))
 
 
 def search(albums: DataFrame, query: str) -> DataFrame:

@@ -44,7 +44,7 @@ def canonical_sql(raw: str) -> str:
     unit = f"regexp_extract({left}, '^([0-9]+(?:\\.[0-9]+)?)(khz|hz|k)?$', 2)"
     hz = f"CAST(round(CASE WHEN {unit} IN ('k', 'khz') THEN {number} * 1000 WHEN {unit} = 'hz' THEN {number} WHEN {number} < 1000 THEN {number} * 1000 ELSE {number} END) AS INTEGER)"
     digits = f"regexp_extract({right}, '^0*([1-9][0-9]*)(?:bits?|b)?$', 1)"
-    bits = f"CASE WHEN {right} IN ('32f', 'f32', 'flt', 'float', 'float32') THEN '32f' WHEN {right} IN ('64f', 'f64', 'dbl', 'double', 'float64') THEN '64f' WHEN {digits} <> '' THEN {digits} END"
+    bits = f"CASE WHEN {right} IN ('32f', 'f32', 'flt', 'fltp', 'float32') THEN '32f' WHEN {right} IN ('64f', 'f64', 'dbl', 'dblp', 'double', 'float64') THEN '64f' WHEN {digits} <> '' THEN {digits} END"
     return f"CASE WHEN {hz} > 0 THEN CAST({hz} AS VARCHAR) || '/' || ({bits}) END"
 
 
@@ -93,6 +93,7 @@ FILTERED = {
     "encode_only": f"rarity = 0 AND {ENCODE_SQL}",
     "scan_failed": "rarity = 0 AND scan_failed = 1",
     "rarity_only": "rarity = 1",
+    "upscaled_replace": "rarity = 0 AND (needs_replacement = 1 OR needs_recode = 1)",
 }
 
 
@@ -184,6 +185,22 @@ for _name, _query in (("search_token_prefix", "cust 0000 01 vol"), ("search_fall
         lambda spark, d, q=_query: catalog.search(albums(spark, d), q).select(*_KEPT),
         f"WITH {GRADED} SELECT {', '.join(_KEPT)} FROM graded WHERE rarity = 0 AND ({_tokens_sql(_t)} OR (NOT EXISTS (SELECT 1 FROM graded WHERE {_tokens_sql(_t)}) AND {_like}))",
     )
+add("browse_of_codec", lambda spark, d: catalog.page(albums(spark, d), codec=" FLAC"), page_sql("default").replace("WHERE rarity = 0", "WHERE rarity = 0 AND codec_norm = 'flac'").replace("lower(artist) ASC", "lower(artist) DESC"))
+add("browse_last_page", lambda spark, d: catalog.nearest_page(albums(spark, d), "grade_first", 10**6), page_sql("grade_first").rsplit("OFFSET", 1)[0] + "OFFSET (SELECT CAST((count(*) - 1) // 15 * 15 AS BIGINT) FROM graded WHERE rarity = 0)")
+
+
+def _marked(spark, d):
+    """Albums with letters that have marks, alone or after their letter."""
+    k, artist = F.col("id"), F.replace("artist", F.lit("o"), F.lit("\u00f6"))
+    return albums(spark, d).withColumn("artist", F.when(k % 3 == 0, artist).when(k % 3 == 1, F.replace("artist", F.lit("C"), F.lit("C\u0327"))).otherwise(F.col("artist")))
+
+
+_PLAIN = "' ' || trim(regexp_replace(lower(artist || ' ' || album), '[^a-z0-9]+', ' ', 'g'))"
+add(
+    "search_marked_phrase",
+    lambda spark, d: catalog.search(_marked(spark, d), "\u00c7ust\u00f6mer-00000 vol").select("id"),
+    f"WITH {GRADED} SELECT id FROM graded WHERE rarity = 0 AND contains({_PLAIN}, ' customer 00000') AND contains({_PLAIN}, ' vol')",
+)
 add(
     "dedupe_artist_variants",
     lambda spark, d: catalog.one_of_variants(catalog.where(catalog.graded(albums(spark, d))).where(catalog.like_hit("vol"))).select(*_KEPT),

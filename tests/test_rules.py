@@ -135,3 +135,35 @@ def test_lyrics_of_every_song_outside_the_cache(spark, sf_dir):
             best[w["song_id"]] = max(near)
     assert {r["song_id"]: (r["updated_at"], r["cache_id"], r["status"]) for r in m.QUERIES["lyrics_asof_all"](spark, sf_dir).collect()} == best
     assert ids <= {r["cache_id"] for r in m.QUERIES["lyrics_window_upsert_all"](spark, sf_dir).collect()}
+
+
+def test_golden_profiles(spark):
+    """Spellings and what they mean, as literal rows."""
+    from needledrop.functions import text
+
+    rows = [
+        ("44.1/16", "44100/16"), ("44100/16", "44100/16"), ("44k/16", "44000/16"), ("48khz-24bit", "48000/24"), ("96000hz:24b", "96000/24"), ("96_24", "96000/24"), ("4410016", "44100/16"),
+        ("192000/32f", "192000/32f"), ("192/fltp", "192000/32f"), ("96/dblp", "96000/64f"), ("48/float", None), ("96/0", None), ("0/24", None), ("44.1", None), ("abc", None), ("", None),
+        (" 176.4 / 24 ", "176400/24"), ("48/1024", None), ("88.2/024", "88200/24"), (None, None),
+    ]
+    found = spark.createDataFrame(rows, "raw string, want string").select("raw", "want", text.canonical_profile("raw").alias("got")).collect()
+    assert [r for r in found if r["got"] != r["want"]] == []
+
+
+def test_pages_derive_after_the_top_k(spark, sf_dir):
+    """The default view sorts by stored columns: no grade, profile or codec is worked out below the top-k heap."""
+    from needledrop.operators import catalog
+    from needledrop.sources.bind import albums
+
+    plan = catalog.page(albums(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("TakeOrderedAndProject") :].split("\n", 1)[1]
+    assert "RLIKE" not in below and "regexp" not in below and "exists(" not in below
+
+
+def test_search_without_marks(spark):
+    from needledrop.operators import catalog
+
+    rows = [(1, "Björk", "Début"), (2, "AC-DC", "High Voltage"), (3, "ACME", "DC live"), (4, "Sigur Rós", "Von")]
+    df = spark.createDataFrame(rows, "id int, artist string, album string")
+    hits = lambda q: sorted(r["id"] for r in df.where(catalog.token_hit(catalog.query_tokens(q))).collect())
+    assert (hits("bjork deb"), hits("BJÖRK"), hits("ac-d"), hits("dc-l"), hits("ros vo"), hits("ork")) == ([1], [1], [2], [3], [4], [])
