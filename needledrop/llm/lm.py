@@ -391,28 +391,34 @@ PAIR_GATES = 9
 
 def pair_contexts(bit: np.ndarray, level: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The four contexts (rows) and the gate of each token's decision, from the decisions and levels before it in its text."""
-    inside = np.arange(len(bit)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    past = np.zeros(len(bit), dtype=np.int64)
-    for k in range(1, 17):
-        past[k:] |= np.where(inside[k:] >= k, bit[:-k], 0).astype(np.int64) << (k - 1)
-    before = np.zeros(len(bit), dtype=np.int64)
+    inside = (np.arange(len(bit)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
+    past = np.zeros(len(bit), dtype=np.uint16)
+    past[1:] = np.where(inside[1:] >= 1, bit[:-1], 0)
+    for k in (1, 2, 4, 8):  # twice as many decisions each time
+        older = np.where(inside[k:] >= k, past[:-k] << np.uint16(k), np.uint16(0))
+        past[k:] |= older
+    before = np.zeros(len(bit), dtype=np.int32)
     before[1:] = np.where(inside[1:] >= 1, level[:-1], 0)
-    some = np.bitwise_count(past.astype(np.uint64)).astype(np.int64)
-    return np.stack((level * 8 + (past & 7), past & 4095, level * 64 + before, some * 2 + (past & 1))), np.bitwise_count((past & 255).astype(np.uint64)).astype(np.int64)
+    some, last = np.bitwise_count(past).astype(np.int32), (past & 1).astype(np.int32)
+    level = level.astype(np.int32)
+    rows = np.stack((level * 8 + (past & 7), (past & 4095).astype(np.int32), level * 64 + before, some * 2 + last))
+    return rows, np.bitwise_count(past & np.uint16(255)).astype(np.int64)
 
 
-def pair_inputs(tables: list[np.ndarray], at: np.ndarray, bit: np.ndarray, without: np.ndarray) -> np.ndarray:
-    """Stretched predictions of each context's counts, less `without` occurrences of the decision itself."""
+def pair_inputs(tables: list[np.ndarray], at: np.ndarray, bit: np.ndarray, without: np.ndarray | int) -> np.ndarray:
+    """Stretched predictions of each context's counts, less `without` (0 or 1) occurrences of the decision itself."""
+    variant = (without * (bit + 1)).astype(np.int32)
     rows = []
     for table, place in zip(tables, at, strict=True):
-        n = table[place].astype(np.float32)
-        rows.append(evidence(np.maximum(n[:, 0] - (bit == 0) * without, 0), np.maximum(n[:, 1] - (bit == 1) * without, 0))[0])
+        zeros, ones = table[:, 0].astype(np.float32), table[:, 1].astype(np.float32)
+        made = np.concatenate([evidence(np.maximum(zeros - x, 0), np.maximum(ones - y, 0))[0] for x, y in ((0, 0), (1, 0), (0, 1))])
+        rows.append(made[variant * len(table) + place])
     return np.stack(rows)
 
 
 def _decisions(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Decisions, levels of the word before, and tokens of each row."""
-    flat = np.frombuffer(b"".join(blobs), dtype=np.uint8).astype(np.int64)
+    flat = np.frombuffer(b"".join(blobs), dtype=np.uint8)
     return flat & 1, flat >> 1, np.array([len(x) for x in blobs], dtype=np.int64)
 
 
@@ -445,7 +451,7 @@ def pair_model(features: DataFrame, n_tokens: int) -> tuple[list[np.ndarray], Mi
         for x, y in slices(n, 1 << 19):
             bit, level, lengths = _decisions(blobs[x:y])
             at, gate = pair_contexts(bit, level, lengths)
-            mixer.learn(pair_inputs(tables, at, bit, np.float32(1)), gate, gate, bit, np.ones(len(bit)))
+            mixer.learn(pair_inputs(tables, at, bit, 1), gate, gate, bit, np.ones(len(bit)))
         return pa.table({"seen": pa.array([n.sum()], pa.int64()), "values": pa.array([mixer.values().tolist()], pa.list_(pa.float64()))})
 
     # The learners' number, and who learns what in which order, depend on the texts alone.
@@ -498,9 +504,13 @@ def score(docs: DataFrame, folds: int = 10, bucket_bytes: int = BUCKET_BYTES, gr
         counts = np.bincount(at, weights=training, minlength=len(hashes)).astype("<u4")
         counts = counts << 1 | (np.bincount(at, weights=~training, minlength=len(hashes)) > 0)  # the lowest bit: held-out texts have it
         out = [(0, b, g, pack_sorted(hashes[own]), pack(counts[own]), pack(np.frombuffer(b"\n".join([words[i] for i in own.tolist()]), dtype=np.uint8))) for b, own in _cut(hashes, buckets)]
-        keys, at = _distinct(pair_keys(hashes, at, lengths)[1])
-        counts = np.bincount(at, weights=training, minlength=len(keys)).astype("<u4")
-        out += [(1, b, g, pack_sorted(keys[own] & PAIR_BITS), pack(counts[own]), None) for b, own in _pairs_cut(keys, buckets)]
+        places = _pair_places(pair_keys(hashes, at, lengths)[1], buckets)
+        every, (seen, counts) = _runs_of(places)[0], _runs_of(places[training])
+        known = np.zeros(len(every), dtype="<u4")
+        known[np.searchsorted(every, seen)] = counts
+        starts = np.flatnonzero(np.diff(every >> 40, prepend=-1))
+        for own, n in zip(np.split(every, starts[1:]), np.split(known, starts[1:]), strict=True):
+            out.append((1, int(own[0] >> 40), g, pack_sorted((own & int(PAIR_BITS)).astype("<u8")), pack(n), None))
         return pa.Table.from_batches([_rows(MET, out)])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -593,9 +603,9 @@ def score(docs: DataFrame, folds: int = 10, bucket_bytes: int = BUCKET_BYTES, gr
         texts = left.column("text").combine_chunks()
         lengths, hashes, at, _ = tokens_of(texts)
         before, keys = pair_keys(hashes, at, lengths)
-        keys, pair = _distinct(keys)
+        keys, pair = _distinct(_pair_places(keys, buckets))
         c, prices, c2 = np.zeros(len(hashes)), np.zeros((2, len(hashes))), np.zeros(len(keys))
-        mine = {(0, b): own for b, own in _cut(hashes, buckets)} | {(1, b): own for b, own in _pairs_cut(keys, buckets)}
+        mine = {(0, b): own for b, own in _cut(hashes, buckets)} | {(1, b): own for b, own in _pairs_cut(keys)}
         for kind, b, data, lp in zip(*(right.column(n).to_pylist() for n in ("kind", "b", "counts", "prices")), strict=True):
             own = mine[kind, b]
             if kind == 0:
@@ -628,7 +638,7 @@ def score(docs: DataFrame, folds: int = 10, bucket_bytes: int = BUCKET_BYTES, gr
             for x, y in slices(n, 1 << 20):
                 bit, level, lengths = _decisions(column_of(batch, "pairs").slice(x, y - x).to_pylist())
                 at, gate = pair_contexts(bit, level, lengths)
-                without = np.repeat(~np.array(column_of(batch, "held_out"))[x:y], lengths).astype(np.float32)
+                without = np.repeat(~np.array(column_of(batch, "held_out"))[x:y], lengths).astype(np.int32)
                 price = pair_mixer.log10(pair_inputs(tables, at, bit, without), gate, gate, bit)
                 scores[x:y] += np.add.reduceat(price, np.cumsum(lengths) - lengths)
             sizes = np.array(column_of(batch, "n_bytes"))
@@ -645,12 +655,23 @@ def score(docs: DataFrame, folds: int = 10, bucket_bytes: int = BUCKET_BYTES, gr
 PAIR_BITS = np.uint64((1 << 40) - 1)
 
 
-def _pairs_cut(keys: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
-    """As _cut, each bucket's in the order of the bits that are sent."""
-    b = ((keys >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(b << 40 | (keys & PAIR_BITS).astype(np.int64))
-    cuts = np.flatnonzero(np.diff(b[order], prepend=-1))
-    return [(int(b[own[0]]), own) for own in np.split(order, cuts[1:])] if len(keys) else []
+def _pair_places(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each pair, and below it the bits that are sent."""
+    return ((keys >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64) << 40 | (keys & PAIR_BITS).astype(np.int64)
+
+
+def _pairs_cut(places: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """As _cut, of distinct pair places: each bucket's in the order of the bits that are sent."""
+    order = np.argsort(places)
+    cuts = np.flatnonzero(np.diff(places[order] >> 40, prepend=-1))
+    return [(int(places[own[0]] >> 40), own) for own in np.split(order, cuts[1:])] if len(places) else []
+
+
+def _runs_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and how often each occurs."""
+    s = np.sort(values)
+    starts = np.flatnonzero(np.diff(s, prepend=s[0] - 1)) if len(s) else np.zeros(0, dtype=np.int64)
+    return s[starts], np.diff(np.append(starts, len(s)))
 
 
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

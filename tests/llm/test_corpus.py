@@ -194,7 +194,7 @@ def test_scores_against_brute_force(spark):
     spread = spark.createDataFrame([(i, bool(own), bytes(lv << 1 | b for b, lv in features)) for (i, _), own, (_, features) in zip(rows, held, want, strict=True)], "doc_id long, held_out boolean, pairs binary")
     tables, mixer = lm.pair_model(spread, 1)
     assert all((a == b).all() for a, b in zip(tables, flat, strict=True))
-    without = np.repeat(~np.array(held), lengths).astype(np.float32)
+    without = np.repeat(~np.array(held), lengths).astype(np.int32)
     prices = np.add.reduceat(mixer.log10(lm.pair_inputs(flat, at, bit, without), gate, gate, bit), np.cumsum(lengths) - lengths)
     for (i, _), (rest, _), price in zip(rows, want, prices.tolist(), strict=True):
         assert math.isclose(found[i]["score"], rest + price, rel_tol=1e-3, abs_tol=1e-3)
