@@ -158,29 +158,35 @@ LONGEST_KEY = 256
 
 
 class Store:
-    """Values by key for keys met before, emptied before keys and values together pass most_bytes."""
+    """Values by key for keys met before, emptied when keys and values together pass most_bytes."""
 
     def __init__(self, most_bytes: int):
         self.most, self.size, self.known = most_bytes, 0, {}
 
     def values(self, keys: list, learn: Callable[[list], dict]) -> list:
         """The value of each key; those not met before from learn(keys), which gives a dictionary."""
-        found = list(map(self.known.get, keys))
-        if None in found:
-            fresh = learn([*{k for k, v in zip(keys, found, strict=True) if v is None}])
-            found = [fresh[k] if v is None else v for k, v in zip(keys, found, strict=True)]
-            self.keep(fresh)
+        known = self.known
+        new = set(keys).difference(known)
+        if not new:
+            return list(map(known.__getitem__, keys))
+        fresh = learn([*new])
+        known.update(fresh)
+        found = list(map(known.__getitem__, keys))
+        self.settle(fresh)
         return found
 
-    def keep(self, fresh: dict) -> None:
-        some = {k: v for k, v in fresh.items() if len(k) <= LONGEST_KEY}
-        size = sum(map(len, some)) + sum(len(v) for v in some.values() if isinstance(v, bytes)) + ENTRY_BYTES * len(some)
-        if self.size + size > self.most:
+    def settle(self, fresh: dict) -> None:
+        """Long keys go; beyond the bound all others do as well, but for the fresh ones if these keep within it."""
+        for k in [k for k in fresh if len(k) > LONGEST_KEY]:
+            del self.known[k], fresh[k]
+        size = sum(map(len, fresh)) + sum(len(v) for v in fresh.values() if isinstance(v, bytes)) + ENTRY_BYTES * len(fresh)
+        self.size += size
+        if self.size > self.most:
             self.known.clear()
             self.size = 0
-        if size <= self.most:
-            self.known.update(some)
-            self.size += size
+            if size <= self.most:
+                self.known.update(fresh)
+                self.size = size
 
 
 class WordHashes:
