@@ -13,8 +13,12 @@ ITEMS = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that the cluster shares; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="needledrop-")
+    """A new folder in the one that the cluster shares; a local one only where none is set and the session is on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
+        base = "file://" + tempfile.mkdtemp(prefix="needledrop-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -29,13 +33,15 @@ def items(events: DataFrame) -> DataFrame:
     return events.select(F.col("user_id").alias("key"), kind.alias("kind"), F.unix_timestamp("ts").alias("at"), F.col("event_id").alias("item"))
 
 
-def stream_latest(spark: SparkSession, directory: str, pattern: str) -> DataFrame:
+def stream_latest(spark: SparkSession, directory: str, pattern: str, home: str | None = None) -> DataFrame:
     """latest() of all items in the files of a directory, taken as a stream in micro-batches until none is left.
 
     Each batch adds its own last items to a table; a batch that runs again after a failure overwrites what it wrote.
-    The read position is in the checkpoint, so a later call with the same folder would take new files only.
+    The read position and the table lie in the folder home (a new one if none is given), so a later call with the same
+    home takes new files only and gives the last items of all.
     """
-    target, state = folder(spark, "queue"), folder(spark, "queue-checkpoint")
+    home = home or folder(spark, "queue")
+    target, state = f"{home}/table", f"{home}/checkpoint"
 
     def put(batch: DataFrame, number: int) -> None:
         latest(items(batch)).write.mode("overwrite").parquet(f"{target}/batch={number}")

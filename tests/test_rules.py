@@ -167,3 +167,23 @@ def test_search_without_marks(spark):
     df = spark.createDataFrame(rows, "id int, artist string, album string")
     hits = lambda q: sorted(r["id"] for r in df.where(catalog.token_hit(catalog.query_tokens(q))).collect())
     assert (hits("bjork deb"), hits("BJÖRK"), hits("ac-d"), hits("dc-l"), hits("ros vo"), hits("ork")) == ([1], [1], [2], [3], [4], [])
+
+
+def test_stream_goes_on_where_it_was(spark, tmp_path):
+    """A second call with the same home takes the new file alone, and gives the last items of both."""
+    import datetime as dt
+
+    from needledrop.streaming import queue
+
+    def put(rows):
+        made = spark.createDataFrame([(i, dt.datetime(2024, 1, 1, h), u, t) for i, h, u, t in rows], queue.ITEMS)
+        made.coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+
+    home = f"file://{tmp_path}/home"
+    call = lambda: {r["key"]: (r["kind"], r["item"]) for r in queue.stream_latest(spark, f"file://{tmp_path}/in", "*.parquet", home).collect()}
+    put([(1, 1, 7, "signup"), (2, 2, 7, "click"), (3, 1, 8, "signup")])
+    assert call() == {7: ("changed", 2), 8: ("new", 3)}
+    put([(4, 5, 8, "click"), (5, 1, 9, "signup")])
+    assert call() == {7: ("changed", 2), 8: ("changed", 4), 9: ("new", 5)}
+    batches = spark.read.parquet(f"{home}/table").select("batch", "item").collect()
+    assert sorted(map(tuple, batches)) == [(0, 2), (0, 3), (1, 4), (1, 5)]
