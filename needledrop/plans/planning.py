@@ -193,8 +193,7 @@ def verdict(x: DataFrame) -> DataFrame:
     wide = ~F.col("brickwall") & (F.col("top") >= 90)
     strong = wide & (F.col("cutoff") <= 50) & (F.col("ratio") <= 0.25)
     middle = wide & (F.col("cutoff") <= 45) & (F.col("ratio") <= 0.7) & (F.col("span") <= 20)
-    own = likely_profile(x).select(F.col("id").alias("own"), "likely_profile", "profile_confidence", strong.alias("strong"), middle.alias("middle"), F.col("brickwall").alias("wall"), F.col("top").alias("axis"))
-    rows = score_card(x).join(own, F.col("id") == F.col("own"))
+    rows = _scored(likely_profile(x)).withColumns({"strong": strong, "middle": middle, "wall": F.col("brickwall"), "axis": F.col("top")})
     down = F.col("middle") & F.col("class").isin("S", "A", "B")
     s = F.when(down, F.greatest(F.col("score") - 12, F.lit(0))).otherwise(F.col("score"))
     again = F.when((s >= 95) & F.col("band").isin("hires-96-class", "hires-192-class"), "S").when(s >= 86, "A").when(s >= 70, "B").when(s >= 54, "C").when(s >= 38, "D").otherwise("F")
@@ -207,6 +206,11 @@ def score_card(x: DataFrame) -> DataFrame:
 
     x: id, cutoff, top, transition, stats, peak, dr, span, ratio, brickwall. Signed parts are added to 62.
     """
+    return _scored(x).select("id", "band", "score", "class", "confidence")
+
+
+def _scored(x: DataFrame) -> DataFrame:
+    """x with band, score, class and confidence (see score_card)."""
     rows = x.withColumn("band", F.when(promoted(), "hires-96-class").otherwise(band_class(F.col("cutoff"), F.col("top"))))
     peak, dr, band = F.col("peak"), F.col("dr"), F.col("band")
     hires = band.isin("hires-96-class", "hires-192-class")
@@ -233,11 +237,8 @@ def score_card(x: DataFrame) -> DataFrame:
     s = F.col("score")
     top_class = hires & ~F.col("brickwall") & ((s >= 95) | ((s >= 93) & (F.col("cutoff") >= 50) & (F.col("span") >= 30) & (F.col("ratio") <= 0.6)) | F.coalesce((s >= 90) & (dr >= 20), F.lit(False)))
     points = F.col("transition").cast("int") + F.col("stats").cast("int") + peak.isNotNull().cast("int") + 2 * dr.isNotNull().cast("int")
-    return rows.select(
-        "id", "band", "score",
-        F.when(top_class, "S").when(s >= 86, "A").when(s >= 70, "B").when(s >= 54, "C").when(s >= 38, "D").otherwise("F").alias("class"),
-        F.when(points >= 4, "HIGH").when(points >= 2, "MEDIUM").otherwise("LOW").alias("confidence"),
-    )
+    grade = F.when(top_class, "S").when(s >= 86, "A").when(s >= 70, "B").when(s >= 54, "C").when(s >= 38, "D").otherwise("F")
+    return rows.withColumns({"class": grade, "confidence": F.when(points >= 4, "HIGH").when(points >= 2, "MEDIUM").otherwise("LOW")})
 
 
 def size_labels(bytes_: Column) -> Column:
