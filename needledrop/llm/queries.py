@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from needledrop.llm import bpe, embedding_dedup, fertility, lm, mixing, simhash, substring, token_counts, warc, wavelet
+from needledrop.llm import bpe, clustering, embedding_dedup, fertility, lm, mixing, simhash, substring, token_counts, warc, wavelet
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -54,10 +58,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_docs(spark, sf_dir))
 
 
+def op11_centroid_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clusters(_vectors(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_mix_sources, op2_embedding_dedup, op3_wavelet_shards, op4_context_mixing, op5_fertility, op6_token_counts, op7_warc, op8_substring_dedup, op9_simhash, op10_bpe]
+    made = [op1_mix_sources, op2_embedding_dedup, op3_wavelet_shards, op4_context_mixing, op5_fertility, op6_token_counts, op7_warc, op8_substring_dedup, op9_simhash, op10_bpe, op11_centroid_screening]
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.SQL, "op2_embedding_dedup": embedding_dedup.SQL, "op7_warc": warc.SQL, "op8_substring_dedup": substring.SQL}
+    return {"op1_mix_sources": mixing.SQL, "op2_embedding_dedup": embedding_dedup.SQL, "op7_warc": warc.SQL, "op8_substring_dedup": substring.SQL, "op11_centroid_screening": clustering.SQL}
