@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from needledrop.llm import bpe, clustering, codebooks, embedding_dedup, fertility, lm, mixing, simhash, substring, token_counts, warc, wavelet
+from needledrop.llm import bpe, clustering, codebooks, embedding_dedup, fertility, hamming_search, lm, mixing, simhash, substring, token_counts, warc, wavelet
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,12 +62,16 @@ def op11_centroid_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.clusters(_vectors(spark, sf_dir))
 
 
+def op12_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming_search.nearest(_vectors(spark, sf_dir), F.col("vec_id") % 100 == 0)
+
+
 def op13_filtering_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codebooks.compressed(_vectors(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_mix_sources, op2_embedding_dedup, op3_wavelet_shards, op4_context_mixing, op5_fertility, op6_token_counts, op7_warc, op8_substring_dedup, op9_simhash, op10_bpe, op11_centroid_screening, op13_filtering_lloyd]
+    made = [op1_mix_sources, op2_embedding_dedup, op3_wavelet_shards, op4_context_mixing, op5_fertility, op6_token_counts, op7_warc, op8_substring_dedup, op9_simhash, op10_bpe, op11_centroid_screening, op12_multi_index, op13_filtering_lloyd]
     return {f.__name__: f for f in made}
 
 

@@ -16,10 +16,10 @@ from needledrop.llm.common import bounded_batches, column_of
 LARGEST = 2**63 - 1
 
 
-def finite(vectors: DataFrame, *others: Column, embedding: str = "embedding") -> tuple[DataFrame, str]:
+def finite(vectors: DataFrame, *others: Column, embedding: str = "embedding", zeros: bool = True) -> tuple[DataFrame, str]:
     """others and data (the vector's bytes) of the rows whose vector is there, not empty and all of finite components; the numbers' kind.
 
-    Vectors of floats stay floats; other numbers become doubles.
+    Vectors of floats stay floats; other numbers become doubles. zeros: whether vectors of zeros alone stay.
     """
     kind = "<f4" if isinstance(vectors.schema[embedding].dataType.elementType, T.FloatType) else "<f8"
     rows = bounded_batches(vectors).select(*others, F.col(embedding).cast(f"array<{'float' if kind == '<f4' else 'double'}>").alias("data"))
@@ -30,6 +30,9 @@ def finite(vectors: DataFrame, *others: Column, embedding: str = "embedding") ->
             flat, ends = lists.values.to_numpy(zero_copy_only=False).astype(kind, copy=False), lists.offsets.to_numpy()
             bad = np.concatenate(([0], np.cumsum(~np.isfinite(flat))))
             good = lists.is_valid().to_numpy(zero_copy_only=False) & (bad[ends[1:]] == bad[ends[:-1]]) & (ends[1:] > ends[:-1])
+            if not zeros:
+                some = np.concatenate(([0], np.cumsum(flat != 0)))
+                good &= some[ends[1:]] > some[ends[:-1]]
             places = (ends * flat.itemsize).astype(np.int32)
             data = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(places.tobytes()), pa.py_buffer(np.ascontiguousarray(flat).tobytes())])
             own = [batch.column(i) for i in range(batch.num_columns - 1)]
