@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from needledrop.llm.common import column_of, remove, written
-from needledrop.llm.vectors import SUMS, as_long, finite, floors, largest, matrix, means, narrowed, per_task, summed, total_long
+from needledrop.llm.vectors import SUMS, as_long, finite, floors, largest, matrix, means, narrowed, per_task, smallest, summed, total_long
 
 #: Products (vectors times centroids) that a task holds at a time.
 PRODUCTS = 1 << 21
@@ -93,11 +93,11 @@ def clusters(vectors: DataFrame, k: int = 16, rounds: int = 3, dim: int = 64, sc
     rows, kind = finite(vectors, F.col("vec_id").cast("long").alias("vec_id"))
     rows = written(rows.where(F.octet_length("data") == dim * np.dtype(kind).itemsize), "cluster-vectors")
     ticket = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")).cast("binary"), 256)
-    starts = rows.orderBy(ticket.asc_nulls_last(), "data").limit(k).collect()
+    starts = smallest(rows, F.coalesce(ticket, F.lit("~")), k)
     schema = "vec_id long, cluster int, distance long"
     if not starts:
         return vectors.sparkSession.createDataFrame([], f"{schema}, cluster_inertia long, inertia long, centroid_sha256 string")
-    centroids = floors(np.stack([np.frombuffer(r["data"], kind) for r in starts]).astype(np.float64), scale)
+    centroids = floors(np.stack([np.frombuffer(x, kind) for x in starts]).astype(np.float64), scale)
     k, shape = len(centroids), (len(centroids), dim + 1)
 
     def sums(batch: pa.RecordBatch, c: np.ndarray) -> np.ndarray:

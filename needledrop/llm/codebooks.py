@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from needledrop.llm.common import column_of, pack, remove, unpack, written
-from needledrop.llm.vectors import LARGEST, SUMS, as_long, finite, floors, largest, matrix, means, narrowed, per_task, summed, total_long, usual_length
+from needledrop.llm.common import NULL_ID, column_of, pack, remove, unpack, written
+from needledrop.llm.vectors import LARGEST, SUMS, as_long, finite, floors, largest, matrix, means, narrowed, per_task, smallest, summed, total_long, usual_length
 
 #: Vectors of a task that share trees: one tree for each part.
 CHUNK = 16_384
@@ -201,12 +201,12 @@ def compressed(vectors: DataFrame, parts: int = 4, entries: int = 256, rounds: i
     other = F.octet_length("data") != width if dim % parts == 0 else F.lit(True)
     odd = rows.where(other).select("vec_id", "label", F.lit(None).cast("string").alias("code"), F.lit(None).cast("long").alias("error"))
     usual = rows.where(~other)
-    starts = usual.orderBy(F.col("vec_id").asc_nulls_last(), "data").limit(entries).collect()
+    starts = smallest(usual, F.coalesce("vec_id", F.lit(NULL_ID)), entries)
     schema = "vec_id long, label string, code string, error long"
     books: list[np.ndarray] = []
     found = vectors.sparkSession.createDataFrame([], schema)
     if starts:
-        first = floors(np.stack([np.frombuffer(r["data"], kind) for r in starts]).astype(np.float64), scale)
+        first = floors(np.stack([np.frombuffer(x, kind) for x in starts]).astype(np.float64), scale)
         books, k, size = np.split(first, parts, axis=1), len(first), dim // parts
         shape = (parts * k, size + 1)
         grown = written(trees(usual, kind, parts, scale), "code-trees")
