@@ -150,8 +150,8 @@ def axis_khz(label: Column) -> Column:
     return F.filter(F.transform(found, khz), lambda x: x.between(8.0, 384.0))
 
 
-#: Half of the common sample rates, in kHz.
-TIERS = (22.05, 24.0, 44.1, 48.0, 88.2, 96.0)
+#: The tops of axes that profiles are told by, in kHz.
+TIERS = (22.05, 24.0, 48.0, 96.0)
 
 
 def nearest_tier(khz: Column) -> Column:

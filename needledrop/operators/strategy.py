@@ -132,24 +132,3 @@ def row_energy(values: Column, by: str = "contrast") -> Column:
     s, at = F.array_sort(values), 0.75 * (n - 1)
     low = F.floor(at).cast("int")
     return F.element_at(s, low + 1) + (at - low) * (F.element_at(s, F.least(low + 2, n)) - F.element_at(s, low + 1))
-
-
-def image_levels(rows: DataFrame) -> DataFrame:
-    """image, noise_floor, p90, span, threshold of images (image, row from the top, energy): what counts as sound in them.
-
-    The floor is the median of the top eighth (five rows at least).
-    """
-    n = F.count("*").over(Window.partitionBy("image"))
-    sized = rows.withColumn("_n", n)
-    top = F.col("row") < F.greatest(F.lit(5), F.floor(F.col("_n") / 8))
-    sums = sized.groupBy("image").agg(F.median(F.when(top, F.col("energy"))).alias("noise_floor"), F.percentile("energy", F.lit(0.9)).alias("p90"))
-    span = F.greatest(F.lit(0.0), F.col("p90") - F.col("noise_floor"))
-    return sums.select("image", "noise_floor", "p90", span.alias("span"), (F.col("noise_floor") + F.greatest(F.lit(2.0), span * 0.25)).alias("threshold"))
-
-
-def wall_strength(rows: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """image, wall: the steepest step between neighbouring rows from four above an image's cutoff row to nine below (0: none)."""
-    step = F.lead("energy").over(Window.partitionBy("image").orderBy("row")) - F.col("energy")
-    near = rows.withColumn("_step", step).join(cutoffs, "image").where("_step is not null and row >= cutoff_row - 4 and row < cutoff_row + 10")
-    found = near.groupBy("image").agg(F.max("_step").alias("_wall"))
-    return cutoffs.join(found, "image", "left").select("image", F.coalesce("_wall", F.lit(0.0)).alias("wall"))

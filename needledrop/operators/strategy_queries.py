@@ -102,22 +102,3 @@ add(
     lambda spark, d: _image(spark, d).select("image", F.col("row").cast("long").alias("row"), F.round(strategy.row_energy(F.col("x")), 6).alias("contrast"), F.round(strategy.row_energy(F.col("x"), "intensity"), 6).alias("intensity")),
     f"WITH {_IMAGE} SELECT image, row, round(list_aggregate(x, 'stddev_pop'), 6) AS contrast, round(list_aggregate(x, 'quantile_cont', 0.75), 6) AS intensity FROM e",
 )
-_ENERGY = f"{_IMAGE}, y AS (SELECT image, row, list_aggregate(x, 'stddev_pop') AS energy FROM e), z AS (SELECT *, count(*) OVER (PARTITION BY image) AS n FROM y)"
-
-
-def _energies(spark, d):
-    return _image(spark, d).select("image", "row", strategy.row_energy(F.col("x")).alias("energy"))
-
-
-add(
-    "image_levels",
-    lambda spark, d: strategy.image_levels(_energies(spark, d)).select("image", *(F.round(c, 6).alias(c) for c in ("noise_floor", "p90", "span", "threshold"))),
-    f"""WITH {_ENERGY}, s AS (SELECT image, median(energy) FILTER (row < greatest(5, n // 8)) AS floor, quantile_cont(energy, 0.9) AS p FROM z GROUP BY image)
-    SELECT image, round(floor, 6) AS noise_floor, round(p, 6) AS p90, round(greatest(0, p - floor), 6) AS span, round(floor + greatest(2.0, greatest(0, p - floor) * 0.25), 6) AS threshold FROM s""",
-)
-add(
-    "wall_strength",
-    lambda spark, d: strategy.wall_strength(_energies(spark, d), _image(spark, d).groupBy("image").agg((F.count("*") * 0.4).cast("int").alias("cutoff_row"))).withColumn("wall", F.round("wall", 6)),
-    f"""WITH {_ENERGY}, g AS (SELECT *, lead(energy) OVER (PARTITION BY image ORDER BY row) - energy AS step, CAST(trunc(n * 0.4) AS INTEGER) AS cut FROM z)
-    SELECT image, round(coalesce(max(step) FILTER (row >= cut - 4 AND row < cut + 10), 0), 6) AS wall FROM g GROUP BY image""",
-)
