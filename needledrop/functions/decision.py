@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Sample rates of the two families, and the reasons of an unsure measurement.
@@ -31,29 +31,31 @@ def rung(eff: Column, fam: Column) -> Column:
     return F.coalesce(*steps)
 
 
-def decide(cutoff: Column, rate: Column, confidence: Column, reason: Column, allow: Column, headroom: int = 500) -> Column:
-    """A struct of standard_family, fake_upscale, target_sr, decision and guarded.
+def decided(rows: DataFrame, cutoff: Column, rate: Column, confidence: Column, reason: Column, allow: Column, headroom: int = 500) -> DataFrame:
+    """rows with standard_family, fake_upscale, target_sr, decision and guarded.
 
     A rate above what the cutoff needs is a fake upscale, unless the measurement is unsure, or the next rung of the same
     family would hold much more than the cutoff. Last, no target exceeds the family's highest rate.
+
+    Every step is a projection of its own: what later ones use several times is worked out once.
     """
-    eff = effective(cutoff, headroom)
-    own, std = family(rate), standard_family(eff, rate)
-    step = rung(eff, std)
-    fake = F.coalesce(rate > step, F.lit(False))
-    unsure = fake & (F.coalesce(confidence, F.lit("")) == "low") & F.coalesce(reason, F.lit("")).isin(*UNSURE)
-    top = F.when(own == 48000, 192000).when(own == 44100, 176400)
-    middle = fake & ~unsure & F.coalesce((own == std) & (step < rate) & (rate <= top) & (eff / (step / 2) < 0.72), F.lit(False))
-    guarded = unsure | middle
-    lower = fake & ~guarded & F.coalesce(allow, F.lit(True))
-    target = F.when(lower, step).otherwise(rate)
-    capped = F.coalesce(target > top, F.lit(False))
-    return F.struct(
-        F.when(guarded, own).otherwise(std).cast("int").alias("standard_family"),
-        lower.alias("fake_upscale"),
-        F.when(capped, top).otherwise(target).cast("int").alias("target_sr"),
-        F.when(lower, "downgrade_fake_upscale").when(capped, "cap_highres_ceiling").otherwise("keep_source").alias("decision"),
-        (fake & ~lower).alias("guarded"),
+    c = F.col
+    r = rows.withColumns({"_eff": effective(cutoff, headroom), "_rate": rate, "_own": family(rate), "_low": (F.coalesce(confidence, F.lit("")) == "low") & F.coalesce(reason, F.lit("")).isin(*UNSURE), "_allow": F.coalesce(allow, F.lit(True))})
+    r = r.withColumn("_std", standard_family(c("_eff"), c("_rate")))
+    r = r.withColumns({"_step": rung(c("_eff"), c("_std")), "_top": F.when(c("_own") == 48000, 192000).when(c("_own") == 44100, 176400)})
+    r = r.withColumn("_fake", F.coalesce(c("_rate") > c("_step"), F.lit(False)))
+    middle = (c("_own") == c("_std")) & (c("_step") < c("_rate")) & (c("_rate") <= c("_top")) & (c("_eff") / (c("_step") / 2) < 0.72)
+    r = r.withColumn("_kept", c("_fake") & (c("_low") | F.coalesce(middle, F.lit(False))))
+    r = r.withColumn("_lower", c("_fake") & ~c("_kept") & c("_allow"))
+    r = r.withColumn("_target", F.when(c("_lower"), c("_step")).otherwise(c("_rate")))
+    r = r.withColumn("_capped", F.coalesce(c("_target") > c("_top"), F.lit(False)))
+    return r.select(
+        *(c(f"`{name}`") for name in rows.columns),
+        F.when(c("_kept"), c("_own")).otherwise(c("_std")).cast("int").alias("standard_family"),
+        c("_lower").alias("fake_upscale"),
+        F.when(c("_capped"), c("_top")).otherwise(c("_target")).cast("int").alias("target_sr"),
+        F.when(c("_lower"), "downgrade_fake_upscale").when(c("_capped"), "cap_highres_ceiling").otherwise("keep_source").alias("decision"),
+        (c("_fake") & ~c("_lower")).alias("guarded"),
     )
 
 

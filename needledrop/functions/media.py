@@ -54,21 +54,25 @@ def depth_label(raw: Column, container: Column, fmt: Column, codec: Column) -> C
     return F.when(dsd & (F.coalesce(whole(label), F.lit(0)) < 24), "24").otherwise(label)
 
 
-def codec_of(stream: Column, long_name: Column, tag: Column, profile: Column, path: Column) -> Column:
-    """The codec: the stream's name, else what the long name, the tag, the profile or the ending tell, else unknown{...}."""
-    name, long, low = text.codec_name(stream), F.lower(F.coalesce(long_name, F.lit(""))), F.lower(F.coalesce(profile, F.lit("")))
-    end = ending(path)
-    detail = F.concat_ws(",", *(F.nullif(text.trimmed(c), F.lit("")) for c in (tag, long_name, profile, end)))
+def codec_of(stream: Column, index: Column, long_name: Column, tag: Column, profile: Column, path: Column) -> Column:
+    """The codec of a file's stream: its name; else what its long name, tag or profile or the file's ending tell, else what
+    is known of it as unknown{tag=...;name=...;profile=...;ext=...}; empty if it is no stream (index: not a number) or nothing is known.
+    """
+    name, long, low = text.codec_name(stream), text.plain_word(long_name), text.plain_word(profile)
+    mark, hidden = text.plain_word(tag), F.element_at(F.split(path, "/"), -1).startswith(".")
+    end = F.when(hidden, "").otherwise(text.plain_word(ending(path)))
     guess = (
-        F.when(long.contains("mp3") | (F.lower(tag) == "0x0055") | (end == "mp3"), "mp3")
+        F.when(long.contains("mpeg_audio_layer_3") | (mark == "0x0055") | (end == "mp3"), "mp3")
         .when(long.contains("vorbis"), "vorbis")
         .when(long.contains("opus") | (end == "opus"), "opus")
-        .when(long.contains("aac") | low.contains("aac"), "aac")
-        .when(long.contains("windows media audio") | (end == "wma"), "wma")
-        .when(detail != "", F.concat(F.lit("unknown{"), detail, F.lit("}")))
-        .otherwise("")
+        .when(long.contains("advanced_audio_coding") | long.contains("aac") | low.contains("aac"), "aac")
+        .when(long.contains("windows_media_audio") | (end == "wma"), "wma")
     )
-    return F.when(F.coalesce(name, F.lit("")).isin("", "unknown", "none"), guess).otherwise(name)
+    told = lambda x, label, *nothing: F.when(~x.isin("", *nothing), F.concat(F.lit(f"{label}="), x))
+    details = F.array_compact(F.array(told(mark, "tag", "0x0000"), told(long, "name", "unknown", "n_a"), told(low, "profile", "unknown", "n_a")))
+    rest = F.when(F.size(details) > 0, F.concat(F.lit("unknown{"), F.concat_ws(";", details, told(end, "ext")), F.lit("}"))).otherwise("")
+    is_stream = F.coalesce(text.trimmed(index.cast("string")).rlike("^[0-9]+$"), F.lit(False))
+    return F.when(name != "", name).when(is_stream, F.coalesce(guess, rest)).otherwise("")
 
 
 def bitrate(stream: Column, container: Column) -> Column:
@@ -167,9 +171,3 @@ def row_khz(row: Column, rows: Column, most: Column) -> Column:
 def khz_row(khz: Column, rows: Column, most: Column) -> Column:
     bounded = F.greatest(F.lit(0.0), F.least(khz, most))
     return F.when((rows <= 1) | (most <= 0), 0).otherwise(((1 - bounded / most) * (rows - 1)).cast("int"))
-
-
-def next_run(minutes: Column, interval: Column) -> Column:
-    """HH:MM of the next multiple of the interval after that many minutes of a day."""
-    at = F.pmod((F.floor(minutes / interval) + 1) * interval, F.lit(1440))
-    return F.concat_ws(":", F.lpad(F.floor(at / 60).cast("string"), 2, "0"), F.lpad((at % 60).cast("string"), 2, "0"))

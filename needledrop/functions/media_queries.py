@@ -49,15 +49,21 @@ add(
     SELECT album_id, position, CAST(coalesce(map {{'s16': 16, 's24p': 24, 's32': 32, 'fltp': 32, 'dbl': 64}}[a], 0) AS INTEGER) AS bits, coalesce(map {{'s16': '16', 's24p': '24', 's32': '32', 'fltp': '32f', 'dbl': '64f'}}[a], '') AS label,
       CASE WHEN codec_name IN ('dsd_lsbf', 'dst') AND coalesce(TRY_CAST(label AS INTEGER), 0) < 24 THEN '24' ELSE label END AS depth FROM g""",
 )
-STREAMS = ("flac", "mp3float", "", "unknown", "libvorbis", "wmav2")
-LONGS = ("", "MP3 (MPEG audio layer 3)", "Opus Interactive", "AAC (Advanced)", "Windows Media Audio 2", "odd")
-PATHS = ("/a/b.mp3", "/a/b.opus", "/a/b.WMA", "/a/b", "/a/b.ogg")
+STREAMS = ("flac", "mpeg_layer_3", "", "Unknown ", "libvorbis", "wmav2", "n/a", "wmapro", "mp2")
+LONGS = ("", "MPEG audio layer 3", "Opus  Interactive", "AAC (Advanced)", "Windows Media Audio 2", "odd: one", "unknown")
+PATHS = ("/a/b.mp3", "/a/b.opus", "/a/b.WMA", "/a/b", "/a/.ogg", "/a/b.x y")
+MARKS = ("0x0055", "", "0x0000", "[1][0]")
 add(
     "codec_cascade",
-    lambda spark, d: tracks(spark, d).select("album_id", "position", media.codec_of(choose(STREAMS, F.col("part_id")), choose(LONGS, F.col("supp_id")), choose(("0x0055", ""), F.col("album_id")), choose(("", "AAC-LC"), F.col("position")), choose(PATHS, F.col("dr"))).alias("name")),
-    f"""WITH {TRACKS_SQL}, f AS (SELECT album_id, position, {_pick(STREAMS, "part_id")} AS s, {_pick(LONGS, "supp_id")} AS l, {_pick(("0x0055", ""), "album_id")} AS t, {_pick(("", "AAC-LC"), "position")} AS p, regexp_extract(lower({_pick(PATHS, "dr")}), '\\.([^./]+)$', 1) AS e FROM tracks)
-    SELECT album_id, position, CASE WHEN s = 'mp3float' THEN 'mp3' WHEN s = 'libvorbis' THEN 'vorbis' WHEN s = 'wmav2' THEN 'wma' WHEN s = 'flac' THEN 'flac' WHEN l ILIKE '%mp3%' OR t = '0x0055' OR e = 'mp3' THEN 'mp3' WHEN l ILIKE '%opus%' OR e = 'opus' THEN 'opus'
-      WHEN l ILIKE '%aac%' OR p ILIKE '%aac%' THEN 'aac' WHEN l ILIKE '%windows media audio%' OR e = 'wma' THEN 'wma' WHEN concat_ws(',', nullif(t, ''), nullif(l, ''), nullif(p, ''), e) <> '' THEN 'unknown{{' || concat_ws(',', nullif(t, ''), nullif(l, ''), nullif(p, ''), nullif(e, '')) || '}}' ELSE '' END AS name FROM f""",
+    lambda spark, d: tracks(spark, d).select(
+        "album_id", "position",
+        media.codec_of(choose(STREAMS, F.col("part_id")), choose(("0", " 1 ", "1", "x"), F.col("cutoff_hz")), choose(LONGS, F.col("supp_id")), choose(MARKS, F.col("album_id")), choose(("", "AAC-LC", "n/a", "Main"), F.col("position")), choose(PATHS, F.col("dr"))).alias("codec"),
+    ),
+    f"""WITH {TRACKS_SQL}, f AS (SELECT album_id, position, cutoff_hz % 4 <> 3 AS is_stream, {_pick(("flac", "mp3", "", "", "vorbis", "wma", "", "wmapro", "mp2"), "part_id")} AS s, {_pick(("", "mpeg_audio_layer_3", "opus_interactive", "aac_advanced_", "windows_media_audio_2", "odd_one", ""), "supp_id")} AS l,
+      {_pick(("0x0055", "", "", "_1_0_"), "album_id")} AS t, {_pick(("", "aac-lc", "", "main"), "position")} AS p, {_pick(("mp3", "opus", "wma", "", "", "x_y"), "dr")} AS e FROM tracks),
+    g AS (SELECT *, array_to_string(list_filter([CASE WHEN t <> '' THEN 'tag=' || t END, CASE WHEN l <> '' THEN 'name=' || CASE l WHEN 'odd_one' THEN 'odd_one' WHEN 'aac_advanced_' THEN 'aac_advanced_' ELSE l END END, CASE WHEN p <> '' THEN 'profile=' || p END], lambda x: x IS NOT NULL), ';') AS told FROM f)
+    SELECT album_id, position, CASE WHEN s <> '' THEN s WHEN NOT is_stream THEN '' WHEN l = 'mpeg_audio_layer_3' OR t = '0x0055' OR e = 'mp3' THEN 'mp3' WHEN l = 'opus_interactive' OR e = 'opus' THEN 'opus' WHEN l = 'aac_advanced_' OR p = 'aac-lc' THEN 'aac'
+      WHEN l = 'windows_media_audio_2' OR e = 'wma' THEN 'wma' WHEN told <> '' THEN 'unknown{{' || told || CASE WHEN e <> '' THEN ';ext=' || e ELSE '' END || '}}' ELSE '' END AS codec FROM g""",
 )
 add(
     "bitrates",
@@ -103,7 +109,6 @@ add(
 )
 add(
     "titles_and_runs",
-    lambda spark, d: albums(spark, d).select("id", media.title_case(F.lower("artist")).alias("title"), media.next_run(F.col("id") % 1440, F.lit(35)).alias("run")),
-    f"""WITH {ALBUMS_SQL}, f AS (SELECT id, artist, CAST((((id % 1440) // 35 + 1) * 35) % 1440 AS BIGINT) AS m FROM albums)
-    SELECT id, array_to_string(list_transform(string_split(lower(artist), ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') AS title, lpad(CAST(m // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(m % 60 AS VARCHAR), 2, '0') AS run FROM f""",
+    lambda spark, d: albums(spark, d).select("id", media.title_case(F.lower("artist")).alias("title")),
+    f"""WITH {ALBUMS_SQL} SELECT id, array_to_string(list_transform(string_split(lower(artist), ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') AS title FROM albums""",
 )

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+import unicodedata
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from needledrop.functions import grading
 from needledrop.functions.paths import index_seconds
-from needledrop.functions.text import norm
-
-#: Tags that tell the first release, in the order in which they are believed; then tags of any date.
-ORIGINAL_DATES = ("originaldate", "originalyear", "original_date", "original_year", "original_release_date", "original_release_year")
-ANY_DATES = ("date", "year", "releasedate", "release_date")
 
 
 def sheet_tracks(lines: DataFrame) -> DataFrame:
@@ -45,32 +44,61 @@ def report_totals(lines: DataFrame) -> DataFrame:
     return rows.groupBy("report").agg(F.max_by("total", "line_no").alias("total"))
 
 
-def aliases(name: Column) -> Column:
-    """The forms of a track's name: as it is, without extension, without a number before it."""
-    whole = F.regexp_replace(norm(F.element_at(F.split(name, "/"), -1)), r"\s+", " ")
-    plain = F.regexp_replace(whole, r"\.[a-z0-9]{2,4}$", "")
-    return F.array_distinct(F.array(whole, plain, F.regexp_replace(plain, r"^[0-9]+\s*[-._]\s*", "")))
+def plain_aliases(raw: str | None) -> list[str]:
+    """The forms of a track's name, each once: as it is, without extension, without a number or time before it and [ext] after
+    it, without both; each as it is and then without marks. Compatible letters and cases are one.
+    """
+    name = re.sub(r"\s+", " ", unicodedata.normalize("NFKC", (raw or "").rsplit("/", 1)[-1]).strip().casefold())
+    bare = re.sub(r"^\d+\s*[._-]\s*", "", re.sub(r"\s+\[\w+\]$", "", re.sub(r"^\d+:\d+\s+", "", name))).strip()
+    out: dict[str, None] = {}
+    for form in (name, name.rsplit(".", 1)[0].strip(), bare, bare.rsplit(".", 1)[0].strip()):
+        unmarked = "".join(c for c in unicodedata.normalize("NFKD", form) if unicodedata.category(c) != "Mn")
+        out.update(dict.fromkeys(x for x in (form, unmarked) if x))
+    return [*out]
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def aliases(names: pd.Series) -> pd.Series:
+    """plain_aliases() of each name: Unicode forms have no function in SQL."""
+    return names.map(plain_aliases)
+
+
+def plain(raw: str | None) -> str:
+    letters = unicodedata.normalize("NFKD", (raw or "").casefold())
+    return " ".join(re.sub("[^a-z0-9]+", " ", "".join(c for c in letters if not unicodedata.combining(c))).split())
+
+
+@F.pandas_udf(T.StringType())
+def plain_words(names: pd.Series) -> pd.Series:
+    """Names as words of a to z and 0 to 9 with single spaces: cases, marks and compatible letters are one, other signs part words."""
+    return names.map(plain)
 
 
 def match_names(wanted: DataFrame, known: DataFrame) -> DataFrame:
-    """wanted_id, known_id: for each wanted name of a group the known name with the same alias, else one that holds it or lies in it.
+    """wanted_id, known_id, by: for each wanted name of a group the known name with the same form (by alias), else one of which
+    a form holds one of its forms or lies in it (by part).
 
-    wanted: wanted_id, group, name; known: known_id, group, name. Of several the one with the longest alias, then the
-    smallest id. The part search is only for what has no equal alias, and only within a group.
+    wanted: wanted_id, group, name; known: known_id, group, name. A wanted name's forms are tried in their order, and against
+    each the known forms in theirs (by known_id, then form); of several known names with the same form the last one counts.
+    The part search is only for what has no equal form, and only within a group.
     """
-    w = wanted.select("wanted_id", F.col("group").alias("g"), F.explode(aliases(F.col("name"))).alias("alias"))
-    k = known.select("known_id", F.col("group").alias("h"), F.explode(aliases(F.col("name"))).alias("form"))
-    best = F.max(F.struct(F.length("form").alias("n"), (-F.col("known_id")).alias("o"))).alias("b")
-    exact = w.join(k, (F.col("g") == F.col("h")) & (F.col("alias") == F.col("form"))).groupBy("wanted_id").agg(best).select("wanted_id", (-F.col("b.o")).alias("known_id"), F.lit("alias").alias("by"))
+    w = wanted.select("wanted_id", F.col("group").alias("g"), F.posexplode(aliases(F.col("name"))).alias("turn", "alias"))
+    k = known.select("known_id", F.col("group").alias("h"), F.posexplode(aliases(F.col("name"))).alias("at", "form"))
+    k = k.groupBy("h", "form").agg(F.max("known_id").alias("known_id"), F.min(F.struct("known_id", "at")).alias("place"))
+    best = lambda *order: F.min_by("known_id", F.struct(*order)).alias("known_id")
+    exact = w.join(k, (F.col("g") == F.col("h")) & (F.col("alias") == F.col("form"))).groupBy("wanted_id").agg(best("turn")).withColumn("by", F.lit("alias"))
     left = w.join(exact.select(F.col("wanted_id").alias("done")), F.col("wanted_id") == F.col("done"), "left_anti")
-    part = left.join(k, (F.col("g") == F.col("h")) & (F.contains("alias", "form") | F.contains("form", "alias")) & (F.length("alias") > 0) & (F.length("form") > 0))
-    return exact.unionByName(part.groupBy("wanted_id").agg(best).select("wanted_id", (-F.col("b.o")).alias("known_id"), F.lit("part").alias("by")))
+    part = left.join(k, (F.col("g") == F.col("h")) & (F.contains("alias", "form") | F.contains("form", "alias")))
+    return exact.unionByName(part.groupBy("wanted_id").agg(best("turn", "place")).withColumn("by", F.lit("part")))
 
 
-def release_year(tags: Column, path: Column, first: Sequence[str] = ORIGINAL_DATES, other: Sequence[str] = ANY_DATES) -> Column:
-    """The year of a release from a map of tags: original dates, then the year before the album in the path, then any date."""
-    year = lambda x: F.regexp_extract(x, r"(?:^|[^0-9])((?:19|20)[0-9]{2})(?:[^0-9]|$)", 1)
-    found = [F.nullif(year(F.try_element_at(tags, F.lit(k))), F.lit("")) for k in first]
-    found.append(F.nullif(F.regexp_extract(path, r"/((?:19|20)[0-9]{2}) - [^/]*/[^/]*$", 1), F.lit("")))
-    found += [F.nullif(year(F.try_element_at(tags, F.lit(k))), F.lit("")) for k in other]
-    return F.coalesce(*found).cast("int")
+def graded_names(wanted: DataFrame, known: DataFrame) -> DataFrame:
+    """wanted_id, dr, grade as shown (N/A without a match): the dynamic range of the matched name (see match_names) and its
+    grade under the genre profile of the wanted one. wanted has profile, known has dr as text; text that is no number is no name.
+    """
+    numbers = known.withColumn("_dr", F.col("dr").try_cast("double")).where("_dr is not null")
+    found = match_names(wanted, numbers).select(F.col("wanted_id").alias("_w"), "known_id")
+    rows = wanted.join(found, F.col("wanted_id") == F.col("_w"), "left").join(numbers.select("known_id", "_dr"), "known_id", "left")
+    dr = F.col("_dr")
+    shown = F.when(dr == F.floor(dr), dr.cast("long").cast("string")).otherwise(dr.cast("string"))
+    return rows.select("wanted_id", F.coalesce(shown, F.lit("N/A")).alias("dr"), F.coalesce(grading.grade(dr, F.col("profile")), F.lit("N/A")).alias("grade"))

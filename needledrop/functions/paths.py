@@ -8,31 +8,42 @@ from pyspark.sql import functions as F
 from needledrop.functions.text import trimmed
 
 
-def album_key(path: Column) -> Column:
-    """A struct of artist, year_int and album from .../artist/YYYY - album/file."""
+def album_key(tags: Column, path: Column) -> Column:
+    """A struct of artist, year (four digits, 0000 if unknown), album and genre of a file; null without an artist or an album.
+
+    tags: a map of lower-case names (album_artist, artist, album, date, genre), null for none. The album's artist goes before
+    the track's; then Various Artists in a folder _VA, then the folder above the album's. The year is the first four digits
+    in the date, else in the album's folder; the album's folder without a leading year stands for a missing album.
+    """
+    tag = lambda k: F.nullif(F.try_element_at(tags, F.lit(k)), F.lit(""))
     parts = F.split(path, "/")
-    folder = F.try_element_at(parts, F.lit(-2))
-    year = F.regexp_extract(folder, r"^([0-9]{4}) - ", 1)
-    artist = F.try_element_at(parts, F.lit(-3))
-    return F.struct(
-        F.when(artist == "_VA", "Various Artists").otherwise(artist).alias("artist"),
-        F.coalesce(year.try_cast("int"), F.lit(0)).alias("year_int"),
-        F.regexp_replace(folder, r"^[0-9]{4} - ", "").alias("album"),
-    )
+    folder, above = (F.nullif(F.try_element_at(parts, F.lit(i)), F.lit("")) for i in (-2, -3))
+    four = lambda x: F.nullif(F.regexp_extract(x, "([0-9]{4})", 1), F.lit(""))
+    bare = F.nullif(F.regexp_extract(folder, r"^\s*[0-9]{4}\s*-\s*(.+)$", 1), F.lit(""))
+    artist = F.coalesce(tag("album_artist"), tag("artist"), F.when(above == "_VA", "Various Artists"), above)
+    album = F.coalesce(tag("album"), bare, folder)
+    key = F.struct(artist.alias("artist"), F.coalesce(four(tag("date")), four(folder), F.lit("0000")).alias("year"), album.alias("album"), tag("genre").alias("genre"))
+    return F.when(artist.isNotNull() & album.isNotNull(), key)
 
 
 def safe_component(name: Column) -> Column:
-    """A name as one part of a path: no slashes or control characters, single spaces, no dots at the ends; _ for nothing."""
-    x = F.regexp_replace(F.translate(name, "/\\:", "---"), r"\p{Cntrl}", "")
-    x = F.regexp_replace(trimmed(F.regexp_replace(x, r"\s+", " ")), r"^\.+|\.+$", "")
-    return F.when(x == "", "_").otherwise(x)
+    """A name as one part of a path: on one line, _ for slashes, no white space at the ends; unknown for nothing."""
+    x = trimmed(F.translate(F.coalesce(name, F.lit("")), "\n\r/", "  _"))
+    return F.when(x == "", "unknown").otherwise(x)
 
 
 def library_path(artist: Column, year: Column, album: Column) -> Column:
-    """index/artist/year - album, the index being the first letter or #."""
+    """index/artist/year - album; the index is the artist's first sign in upper case, _ unless a letter A to Z or a digit."""
     a = safe_component(artist)
-    index = F.upper(F.left(a, F.lit(1)))
-    return F.concat_ws("/", F.when(index.rlike("^[A-Z]$"), index).otherwise("#"), a, F.concat(F.when(year > 0, F.concat(year.cast("string"), F.lit(" - "))).otherwise(""), safe_component(album)))
+    first = F.translate(F.left(a, F.lit(1)), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    dated = F.when(year.cast("string").rlike("^[0-9]{4}$") & (year.try_cast("int") > 0), F.concat(year.cast("string"), F.lit(" - "))).otherwise("")
+    return F.concat_ws("/", F.when(first.rlike("^[A-Z0-9]$"), first).otherwise("_"), a, F.concat(dated, safe_component(album)))
+
+
+def library_path_for(source: Column, root: str, artist: Column, year: Column, album: Column) -> Column:
+    """Where an album goes: the same place below the target as its source has below root, else library_path."""
+    inside = F.when(source.startswith(root.rstrip("/") + "/"), F.nullif(F.substr(source, F.lit(len(root.rstrip("/")) + 2)), F.lit("")))
+    return F.coalesce(inside, library_path(artist, year, album))
 
 
 def index_seconds(mark: Column) -> Column:
@@ -73,10 +84,39 @@ def selected(grammar: str, n: int) -> list[int]:
 
 
 def cron(minutes: Column) -> Column:
-    """A cron schedule for an interval in minutes: within the hour, each so many hours, or daily."""
-    hours = F.floor(minutes / 60).cast("long")
+    """A cron schedule for an interval in minutes: within the hour, hourly, every so many hours, daily; null for any other."""
+    text = minutes.cast("string")
     return (
-        F.when(minutes < 60, F.concat(F.lit("*/"), F.greatest(minutes, F.lit(1)).cast("string"), F.lit(" * * * *")))
-        .when(minutes < 1440, F.concat(F.lit("0 */"), hours.cast("string"), F.lit(" * * *")))
-        .otherwise("0 3 * * *")
+        F.when((minutes >= 1) & (minutes < 60), F.concat(F.lit("*/"), text, F.lit(" * * * *")))
+        .when(minutes == 60, "0 * * * *")
+        .when(minutes == 1440, "0 0 * * *")
+        .when((minutes > 60) & (minutes < 1440) & (minutes % 60 == 0), F.concat(F.lit("0 */"), F.floor(minutes / 60).cast("string"), F.lit(" * * *")))
     )
+
+
+def longest_run(minutes: Column, given: Column) -> Column:
+    """Seconds that a run may take: as given, else two minutes less than the interval (all of it up to two minutes), 0 without one."""
+    seconds = minutes.cast("long") * 60
+    return F.when(given >= 1, given.cast("long")).when(F.coalesce(minutes, F.lit(0)) < 1, F.lit(0).cast("long")).when(seconds > 120, seconds - 120).otherwise(seconds)
+
+
+def next_run(schedule: Column, now: Column) -> Column:
+    """HH:MM of a schedule's next run after `now` (minutes of the day); null for schedules that cron() doesn't give."""
+    part = lambda pattern: F.regexp_extract(schedule, pattern, 1).try_cast("int")
+    hour, minute = F.floor(now / 60).cast("int"), (now % 60).cast("int")
+    by_minute, by_hour = part(r"^\*/([0-9]+) \* \* \* \*$"), part(r"^0 \*/([0-9]+) \* \* \*$")
+    later = (F.floor(minute / by_minute) + 1) * by_minute
+    clock = lambda h, m: F.concat(F.lpad(h.cast("string"), 2, "0"), F.lit(":"), F.lpad(m.cast("string"), 2, "0"))
+    then = (F.floor(hour / by_hour) + 1) * by_hour
+    return (
+        F.when(by_minute.between(1, 59), F.when(later >= 60, clock((hour + 1) % 24, F.lit(0))).otherwise(clock(hour, later)))
+        .when(schedule == "0 * * * *", clock((hour + 1) % 24, F.lit(0)))
+        .when(by_hour.between(1, 23), clock(F.when(then < 24, then).otherwise(0), F.lit(0)))
+        .when(schedule == "0 0 * * *", "00:00")
+    )
+
+
+def next_even_run(now: Column, minutes: Column) -> Column:
+    """HH:MM of the next multiple of an interval from `now` on (seconds since 1970, in UTC); other than 1 to 720 minutes count as 20."""
+    step = F.coalesce(F.when(minutes.between(1, 720), minutes), F.lit(20)).cast("long") * 60
+    return F.date_format(F.timestamp_seconds(F.ceil(now / step).cast("long") * step), "HH:mm")

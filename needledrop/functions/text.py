@@ -98,7 +98,18 @@ def profile_key(raw: Column) -> Column:
     return F.coalesce(F.when(there, number), F.lit(0)) * 1000.0 + F.coalesce(rate, F.lit(0.0))
 
 
+#: Names of one codec, and names that say nothing.
+SAME_CODEC = {"mpegaudio": "mp3", "mpeg_audio": "mp3", "mpeg_layer_3": "mp3", "mpeg1layer3": "mp3", "libvorbis": "vorbis", "wmav1": "wma", "wmav2": "wma", "wmavoice": "wma"}
+NO_CODEC = ("", "n/a", "none", "unknown")
+
+
 def codec_name(codec: Column) -> Column:
-    """Known aliases as one name; the rest as they are."""
-    x = norm(codec)
-    return F.when(x.isin("mp1", "mp2", "mp3float", "mpeg"), "mp3").when(x == "libvorbis", "vorbis").when(x.startswith("wma"), "wma").otherwise(x)
+    """Other names of a codec as one, empty for names that say nothing; the rest in lower case."""
+    x = norm(F.coalesce(codec, F.lit("")))
+    known = F.create_map(*(F.lit(v) for pair in SAME_CODEC.items() for v in pair))
+    return F.when(x.isin(*NO_CODEC), "").otherwise(F.coalesce(known[x], x))
+
+
+def plain_word(x: Column) -> Column:
+    """Lower case, white space and other signs as single low lines."""
+    return F.regexp_replace(F.regexp_replace(norm(F.coalesce(x, F.lit(""))), "[^a-z0-9._+-]", "_"), "_+", "_")

@@ -116,22 +116,28 @@ VIEWS: dict[str, tuple[dict, str, bool]] = {
 
 
 def display(albums: DataFrame) -> DataFrame:
-    """The cells of a page as they are shown."""
+    """The cells of a page as they are shown: codec, bitrate and profile as they are stored; an album's name is marked with
+    a star if it was recoded and one if it has lyrics; a failed one shows its notes, else what is recommended.
+    """
     dash = F.lit("-")
     dr = F.col("dynamic_range_score")
+    given = lambda c: F.nullif(c, F.lit(""))
+    star = lambda c: F.when(F.coalesce(c, F.lit(0)) > 0, "*").otherwise("")
     shown = F.when(dr.isNull(), dash).when(dr == F.floor(dr), dr.cast("long").cast("string")).otherwise(F.format_string("%.1f", dr))
-    marks = F.concat("album", F.when(F.col("last_recoded_at").isNotNull(), " *").otherwise(""), F.when(F.col("has_lyrics") == 1, " ~").otherwise(""))
+    advice = F.coalesce(given("recode_recommendation"), dash)
     return albums.select(
         "id",
         "artist",
-        marks.alias("album"),
+        F.concat("album", star("last_recoded_at"), star("has_lyrics")).alias("album"),
         F.when(F.col("year_int") == 0, dash).otherwise(F.col("year_int").cast("string")).alias("year"),
         F.coalesce("quality_grade", dash).alias("grade"),
         shown.alias("dr"),
-        F.coalesce(F.nullif("profile_norm", F.lit("")), dash).alias("profile"),
-        F.coalesce(F.nullif("codec_norm", F.lit("")), dash).alias("codec"),
-        F.when(F.col("scan_failed") == 1, F.coalesce("notes", dash)).otherwise(F.coalesce(F.nullif("recode_recommendation", F.lit("")), dash)).alias("recode"),
-        F.when(F.coalesce("last_checked_at", F.lit(0)) > 0, F.date_format(F.timestamp_seconds("last_checked_at"), "yyyy-MM-dd HH:mm")).otherwise(dash).alias("checked"),
+        F.coalesce(given("codec"), dash).alias("codec"),
+        F.coalesce(given("bitrate"), dash).alias("bitrate"),
+        F.coalesce(given("current_quality"), dash).alias("profile"),
+        F.when(F.coalesce("scan_failed", F.lit(0)) == 1, F.coalesce(given("notes"), advice)).otherwise(advice).alias("recode"),
+        F.when(F.col("scan_failed") == 1, "Y").otherwise(dash).alias("fail"),
+        F.when(F.coalesce("last_checked_at", F.lit(0)) != 0, F.date_format(F.timestamp_seconds("last_checked_at"), "yyyy-MM-dd HH:mm")).otherwise(dash).alias("checked"),
     )
 
 
@@ -214,11 +220,14 @@ def query_tokens(query: str) -> list[str]:
 def token_hit(tokens: Sequence[str]) -> Column:
     """Whether each token begins some word of artist or album, marks of letters aside.
 
-    A token of several words (ac-dc) is a phrase: its words stand side by side, the last one may go on.
+    A token of several words (ac-dc) is a phrase: its words stand side by side, the last one may go on. A token without
+    letters and digits (!!!) is a phrase of nothing, which nothing holds.
     """
     words = F.concat(F.lit(" "), F.regexp_replace(text.unmarked(F.concat_ws(" ", "artist", "album")), r"[^\p{L}\p{N}]+", " "))
     phrases = [" ".join(re.findall(r"[^\W_]+", text.unmarked_text(t))) for t in tokens]
-    return reduce(Column.__and__, (F.contains(words, F.lit(f" {p}")) for p in phrases if p), F.lit(True))
+    if not all(phrases):
+        return F.lit(False)
+    return reduce(Column.__and__, (F.contains(words, F.lit(f" {p}")) for p in phrases), F.lit(True))
 
 
 def search(albums: DataFrame, query: str) -> DataFrame:

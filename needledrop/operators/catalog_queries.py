@@ -66,13 +66,13 @@ LOSSY_SQL = f"(codec_norm IN ({names(text.LOSSY)}) OR starts_with(codec_norm, 'a
 ENCODE_SQL = f"last_recoded_at IS NULL AND scan_failed = 0 AND ((needs_recode = 1 AND NOT {LOSSY_SQL}) OR (needs_replacement = 1 AND codec_norm IN ('dts', 'dca')))"
 
 CELLS = """id, artist,
-  album || CASE WHEN last_recoded_at IS NOT NULL THEN ' *' ELSE '' END || CASE WHEN has_lyrics = 1 THEN ' ~' ELSE '' END AS album,
+  album || CASE WHEN last_recoded_at > 0 THEN '*' ELSE '' END || CASE WHEN has_lyrics > 0 THEN '*' ELSE '' END AS album,
   CASE WHEN year_int = 0 THEN '-' ELSE CAST(year_int AS VARCHAR) END AS year, coalesce(quality_grade, '-') AS grade,
   CASE WHEN dynamic_range_score IS NULL THEN '-' WHEN dynamic_range_score = floor(dynamic_range_score) THEN CAST(CAST(dynamic_range_score AS BIGINT) AS VARCHAR)
     ELSE printf('%.1f', dynamic_range_score) END AS dr,
-  coalesce(nullif(profile_norm, ''), '-') AS profile, coalesce(nullif(codec_norm, ''), '-') AS codec,
-  CASE WHEN scan_failed = 1 THEN coalesce(notes, '-') ELSE coalesce(nullif(recode_recommendation, ''), '-') END AS recode,
-  CASE WHEN coalesce(last_checked_at, 0) > 0 THEN strftime(make_timestamp(last_checked_at * 1000000), '%Y-%m-%d %H:%M') ELSE '-' END AS checked"""
+  coalesce(nullif(current_quality, ''), '-') AS profile, coalesce(nullif(codec, ''), '-') AS codec, coalesce(nullif(bitrate, ''), '-') AS bitrate,
+  CASE WHEN scan_failed = 1 THEN coalesce(nullif(notes, ''), nullif(recode_recommendation, ''), '-') ELSE coalesce(nullif(recode_recommendation, ''), '-') END AS recode,
+  CASE WHEN scan_failed = 1 THEN 'Y' ELSE '-' END AS fail, CASE WHEN last_checked_at <> 0 THEN strftime(make_timestamp(last_checked_at * 1000000), '%Y-%m-%d %H:%M') ELSE '-' END AS checked"""
 
 PROFILE_KEY_SQL = """(CASE WHEN instr(coalesce(current_quality, ''), '/') > 0 THEN CASE lower(split_part(current_quality, '/', 2)) WHEN '64f' THEN 640 WHEN '32f' THEN 320
   ELSE coalesce(TRY_CAST(regexp_extract(lower(split_part(current_quality, '/', 2)), '^([0-9]{2,})', 1) AS INTEGER) * 10, 0) END ELSE 0 END) * 1000.0::DOUBLE
@@ -185,6 +185,9 @@ for _name, _query in (("search_token_prefix", "cust 0000 01 vol"), ("search_fall
         lambda spark, d, q=_query: catalog.search(albums(spark, d), q).select(*_KEPT),
         f"WITH {GRADED} SELECT {', '.join(_KEPT)} FROM graded WHERE rarity = 0 AND ({_tokens_sql(_t)} OR (NOT EXISTS (SELECT 1 FROM graded WHERE {_tokens_sql(_t)}) AND {_like}))",
     )
+#: Signs alone match no word, so the text is looked for as it stands.
+add("search_signs", lambda spark, d: catalog.search(albums(spark, d), "#").select("id"), f"WITH {GRADED} SELECT id FROM graded WHERE rarity = 0 AND {_HAY} LIKE '%#%'")
+add("search_signs_and_word", lambda spark, d: catalog.search(albums(spark, d), "# 00012").select("id"), f"WITH {GRADED} SELECT id FROM graded WHERE rarity = 0 AND ({_HAY} LIKE '%#%00012%' OR contains(replace({_HAY}, ' ', ''), '#00012'))")
 add("browse_of_codec", lambda spark, d: catalog.page(albums(spark, d), codec=" FLAC"), page_sql("default").replace("WHERE rarity = 0", "WHERE rarity = 0 AND codec_norm = 'flac'").replace("lower(artist) ASC", "lower(artist) DESC"))
 add("browse_last_page", lambda spark, d: catalog.nearest_page(albums(spark, d), "grade_first", 10**6), page_sql("grade_first").rsplit("OFFSET", 1)[0] + "OFFSET (SELECT CAST((count(*) - 1) // 15 * 15 AS BIGINT) FROM graded WHERE rarity = 0)")
 
@@ -227,12 +230,12 @@ add(
     lambda spark, d: albums(spark, d).select("id", text.profile_key(F.coalesce("current_quality", F.lit(""))).alias("sort_key")),
     f"WITH {ALBUMS_SQL} SELECT id, {PROFILE_KEY_SQL} AS sort_key FROM albums",
 )
-CODEC_RAW = ("MP3", "libvorbis", "wmapro", " flac ", "mp3float", "aac", "", "wmav2", "dsd_lsbf", "mpeg")
+CODEC_RAW = ("MP3", "libvorbis", "wmapro", " flac ", "MPEGaudio", "aac", "", "wmav2", "dsd_lsbf", "mpeg1layer3", "mp2", "N/A", "wmavoice")
 add(
     "codec_resolve",
     lambda spark, d: table(spark, d, "supplier").select("s_suppkey", choose(CODEC_RAW, F.col("s_suppkey")).alias("raw")).select("s_suppkey", text.codec_name(F.col("raw")).alias("codec"), text.is_lossy(text.codec_name(F.col("raw"))).alias("lossy")),
-    f"""SELECT s_suppkey, codec, codec IN ({names(text.LOSSY)}) OR starts_with(codec, 'adpcm_') AS lossy FROM (SELECT s_suppkey, CASE WHEN x IN ('mp1', 'mp2', 'mp3float', 'mpeg') THEN 'mp3' WHEN x = 'libvorbis' THEN 'vorbis'
-  WHEN starts_with(x, 'wma') THEN 'wma' ELSE x END AS codec FROM (SELECT s_suppkey, {norm_sql(_raw_sql(CODEC_RAW, 's_suppkey'))} AS x FROM supplier))""",
+    f"""SELECT s_suppkey, codec, codec IN ({names(text.LOSSY)}) OR starts_with(codec, 'adpcm_') AS lossy FROM (SELECT s_suppkey, CASE WHEN x IN ('mpegaudio', 'mpeg1layer3') THEN 'mp3' WHEN x = 'libvorbis' THEN 'vorbis'
+  WHEN x IN ('wmav2', 'wmavoice') THEN 'wma' WHEN x = 'n/a' THEN '' ELSE x END AS codec FROM (SELECT s_suppkey, {norm_sql(_raw_sql(CODEC_RAW, 's_suppkey'))} AS x FROM supplier))""",
 )
 add(
     "dr_grade",

@@ -62,11 +62,16 @@ def folder_sums(files: DataFrame) -> DataFrame:
     return rows.groupBy("dir").agg(F.count_if("audio").alias("n_files"), F.max(F.when(F.col("audio"), F.col("mtime"))).alias("content_mtime"), F.coalesce(F.sum(F.when(F.col("payload"), F.col("size"))), F.lit(0)).alias("payload_bytes"))
 
 
-def pcm_bytes(tracks: DataFrame, channels: int = 2) -> DataFrame:
-    """album_id, bytes of its sound as PCM: all seconds, at rate and depth of the first track."""
-    first = F.min_by(F.struct("sr", "bits"), F.col("position"))
-    sums = tracks.groupBy("album_id").agg(F.sum("seconds").alias("seconds"), first.alias("f"))
-    return sums.select("album_id", (F.col("seconds") * F.col("f.sr") * channels * F.col("f.bits") / 8).cast("long").alias("bytes"))
+def pcm_bytes(tracks: DataFrame) -> DataFrame:
+    """album_id, bytes of its sound as PCM (half to even) and its seconds: all seconds, at rate, channels and depth of the first track.
+
+    Unknown channels are 2, an unknown depth 24; without a rate there are no bytes.
+    """
+    number = lambda c, other: F.coalesce(F.when(F.col(c).cast("string").rlike("^[0-9]+$"), F.col(c).try_cast("int")), F.lit(other)).alias(c)
+    first = F.min_by(F.struct(number("sr", 0), number("channels", 2), number("bits", 24)), F.col("position"))
+    sums = tracks.groupBy("album_id").agg(F.coalesce(F.sum("seconds"), F.lit(0)).cast("double").alias("seconds"), first.alias("f"))
+    bytes_ = F.col("seconds") * F.col("f.sr") * F.col("f.channels") * (F.col("f.bits") / 8)
+    return sums.select("album_id", F.bround(bytes_).cast("long").alias("bytes"), "seconds")
 
 
 def source_caps(tracks: DataFrame) -> DataFrame:

@@ -46,8 +46,11 @@ add(
 )
 add(
     "pcm_estimates",
-    lambda spark, d: files.pcm_bytes(tracks(spark, d)),
-    f"WITH {TRACKS_SQL} SELECT album_id, CAST(sum(seconds) * arg_min(sr, position) * 2 * arg_min(bits, position) / 8 AS BIGINT) AS bytes FROM tracks GROUP BY album_id",
+    lambda spark, d: files.pcm_bytes(
+        tracks(spark, d).withColumns({"channels": F.when(F.col("album_id") % 3 != 0, F.col("album_id") % 3).cast("string"), "bits": F.when(F.col("album_id") % 7 != 2, F.col("bits").cast("string")).otherwise("?"), "sr": F.when(F.col("album_id") % 19 != 4, F.col("sr")), "seconds": F.col("seconds") + F.col("peak_tenths") / 16})
+    ),
+    f"""WITH {TRACKS_SQL} SELECT album_id, CAST(round_even(sum(seconds + peak_tenths / 16.0::DOUBLE) * CASE WHEN album_id % 19 <> 4 THEN arg_min(sr, position) ELSE 0 END * CASE album_id % 3 WHEN 1 THEN 1 ELSE 2 END * (CASE WHEN album_id % 7 <> 2 THEN arg_min(bits, position) ELSE 24 END / 8.0::DOUBLE), 0) AS BIGINT) AS bytes,
+      sum(seconds + peak_tenths / 16.0::DOUBLE) AS seconds FROM tracks GROUP BY album_id""",
 )
 add(
     "source_caps",

@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: What an upsert does with each column of the catalog: always the new value, the new one unless null, or always the old.
-OVERWRITE = ("artist", "album", "dynamic_range_score", "needs_recode", "needs_replacement", "last_checked_at", "scan_failed", "notes")
-KEEP_IF_NULL = ("quality_grade", "codec", "current_quality", "genre_tag", "recode_recommendation", "source_path")
+OVERWRITE = ("artist", "album", "quality_score", "needs_recode", "needs_replacement", "last_checked_at", "scan_failed", "notes")
+KEEP_IF_NULL = (
+    "quality_grade", "grade_rank", "dynamic_range_score", "is_upscaled", "recommendation", "current_quality", "profile_norm", "bitrate", "codec", "codec_norm",
+    "genre_tag", "genre_profile", "recode_recommendation", "recode_source_profile", "source_path",
+)
 UNTOUCHED = ("rarity", "has_lyrics", "last_recoded_at")
 KEY = ("artist_lc", "album_lc", "year_int")
 
@@ -28,7 +31,8 @@ def last_for_key(rows: DataFrame, *by) -> DataFrame:
 def upsert(target: DataFrame, source: DataFrame) -> DataFrame:
     """target with the rows of source put in by (artist, album, year), under the policy of each column.
 
-    One full outer join on the key. Both sides have at most one row for a key (see last_for_key).
+    One full outer join on the key. Both sides have at most one row for a key (see last_for_key). A scan that found no
+    grade, dynamic range or profile leaves the old ones; its score, flags, notes and time always count.
     """
     s = source.select(*(F.col(c).alias(f"s_{c}") for c in source.columns))
     on = [F.col(c) == F.col(f"s_{c}") for c in KEY]

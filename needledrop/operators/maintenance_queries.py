@@ -20,9 +20,21 @@ def add(name: str, query: Query, sql: str | None = None) -> None:
         SQL[name] = sql
 
 
+#: Columns of the catalog that the bound tables don't have, made from keys.
+_MORE = {
+    "quality_score": "CASE WHEN id % 3 <> 0 THEN CAST(id % 100 AS DOUBLE) END",
+    "is_upscaled": "CAST(CASE WHEN id % 4 <> 0 THEN id % 2 END AS INT)",
+    "recommendation": "CASE WHEN id % 9 < 5 THEN 'Keep' WHEN id % 9 < 8 THEN 'Replace with Lossless Rip' END",
+    "recode_source_profile": "CASE WHEN id % 7 > 2 THEN '96000/24' END",
+}
 _COLUMNS = (*maintenance.KEY, *maintenance.OVERWRITE, *maintenance.KEEP_IF_NULL, *maintenance.UNTOUCHED)
 _NEW = {
     "artist": "upper(artist)",
+    "dynamic_range_score": "CASE WHEN id % 5 < 3 THEN dynamic_range_score + 1 END",
+    "quality_grade": "CASE WHEN id % 5 < 3 THEN quality_grade END",
+    "grade_rank": "CASE WHEN id % 5 < 3 THEN grade_rank END",
+    "bitrate": "CASE WHEN id % 2 = 0 THEN bitrate END",
+    "quality_score": "CASE WHEN id % 6 <> 0 THEN quality_score END",
     "current_quality": "CASE WHEN id % 4 = 0 THEN NULL ELSE current_quality END",
     "codec": "CASE WHEN id % 6 = 0 THEN NULL ELSE codec END",
     "last_checked_at": "last_checked_at + 1000",
@@ -32,7 +44,7 @@ _NEW = {
 
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Albums of even or third ids as the catalog; those of odd or third ids, changed, as what a scan found."""
-    rows = maintenance.keyed(catalog.graded(albums(spark, d)))
+    rows = maintenance.keyed(catalog.graded(albums(spark, d))).withColumns({c: F.expr(e) for c, e in _MORE.items()})
     target = maintenance.last_for_key(rows.where("id % 2 = 0 or id % 3 = 0"), F.col("id").desc())
     source = rows.where("id % 2 = 1 or id % 3 = 0").withColumns({c: F.expr(e) for c, e in _NEW.items()})
     return target.select("id", *_COLUMNS), maintenance.last_for_key(source, F.col("id").desc()).select(*_COLUMNS)
@@ -40,14 +52,14 @@ def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def _key_sql(test: str, new: bool) -> str:
     columns = ", ".join(f"{_NEW[c]} AS {c}" if new and c in _NEW else c for c in _COLUMNS if c not in ("artist_lc", "album_lc"))
-    return f"(SELECT * FROM (SELECT id, lower(artist) AS artist_lc, lower(album) AS album_lc, {columns}, row_number() OVER (PARTITION BY lower(artist), lower(album), year_int ORDER BY id DESC) AS _n FROM graded WHERE {test}) WHERE _n = 1)"
+    return f"(SELECT * FROM (SELECT id, lower(artist) AS artist_lc, lower(album) AS album_lc, {columns}, row_number() OVER (PARTITION BY lower(artist), lower(album), year_int ORDER BY id DESC) AS _n FROM more WHERE {test}) WHERE _n = 1)"
 
 
 _T, _S = _key_sql("id % 2 = 0 OR id % 3 = 0", False), _key_sql("id % 2 = 1 OR id % 3 = 0", True)
 add(
     "upsert_catalog",
     lambda spark, d: maintenance.upsert(*_sides(spark, d)).drop("id"),
-    f"WITH {GRADED}, t AS {_T}, s AS {_S} SELECT "
+    f"WITH {GRADED}, more AS (SELECT *, {', '.join(f'{e} AS {c}' for c, e in _MORE.items())} FROM graded), t AS {_T}, s AS {_S} SELECT "
     + ", ".join(
         [f"coalesce(t.{c}, s.{c}) AS {c}" for c in maintenance.KEY]
         + [f"CASE WHEN s.artist_lc IS NOT NULL THEN s.{c} ELSE t.{c} END AS {c}" for c in maintenance.OVERWRITE]

@@ -43,18 +43,32 @@ def rarity_upsert(albums: DataFrame, wanted: DataFrame, value: int) -> DataFrame
     return both.select(*KEY, F.coalesce("_set", "rarity").alias("rarity"))
 
 
-def recoded(albums: DataFrame, ids: DataFrame, now: int) -> DataFrame:
-    """albums after a recode of ids: no recode wanted, a note to rescan, the present profile kept as the source's, checked at 0, recoded now."""
+#: Fixed value: what an album that was just recoded waits for.
+PENDING = "Pending rescan"
+
+
+def recoded(albums: DataFrame, queue: DataFrame, ids: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
+    """The catalog and the queue after a recode of ids.
+
+    Their rows want no recode and wait for a rescan: the present profile is kept as the source's, checked at 0, not failed,
+    recoded now. Each of them stands in the queue as changed now, in place of what was there for its key (of several rows of
+    a key the one with the highest id).
+    """
     hit = F.col("_id").isNotNull()
     marked = albums.join(ids.select(F.col("id").alias("_id")).distinct(), F.col("id") == F.col("_id"), "left")
     changed = {
         "needs_recode": F.lit(0),
-        "recode_recommendation": F.lit("Pending rescan"),
+        "recode_recommendation": F.lit(PENDING),
         "recode_source_profile": F.coalesce(F.nullif(F.col("current_quality"), F.lit("")), F.col("recode_source_profile")),
         "last_checked_at": F.lit(0).cast("long"),
+        "scan_failed": F.lit(0),
         "last_recoded_at": F.lit(now).cast("long"),
     }
-    return marked.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in changed.items()}).drop("_id")
+    year = F.when(F.col("year_int").between(1000, 9999), F.col("year_int")).otherwise(0).alias("year_int")
+    fresh = last_for_key(keyed(marked.where(hit)).withColumn("year_int", year), F.col("id").desc())
+    fresh = fresh.select("artist", "artist_lc", "album", "album_lc", "year_int", "source_path", F.lit(now).cast("long").alias("album_mtime"), F.lit("changed").alias("scan_kind"), F.lit(now).cast("long").alias("enqueued_at"))
+    catalog = marked.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in changed.items()}).drop("_id")
+    return catalog, queue.join(fresh, list(KEY), "left_anti").unionByName(fresh)
 
 
 def removed(albums: DataFrame, queue: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -144,7 +158,7 @@ def lossy_decision(lossy: Column, grade: Column, recode: Column) -> Column:
 
 def actionable(recode: Column) -> Column:
     """Whether a recode text calls for work."""
-    return F.coalesce((recode != "") & (recode != "Keep as-is") & ~recode.startswith("Pending rescan"), F.lit(False))
+    return F.coalesce((recode != "") & (recode != "Keep as-is") & ~recode.startswith(PENDING), F.lit(False))
 
 
 def matches_target(tracks: DataFrame, targets: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from needledrop.operators import mutations
 from needledrop.operators.catalog_queries import Query
-from needledrop.operators.maintenance import keyed
+from needledrop.operators.maintenance import keyed, last_for_key
 from needledrop.sources.bind import ALBUMS_SQL, TRACKS_SQL, _pick, albums, choose, tracks
 
 QUERIES: dict[str, Query] = {}
@@ -45,15 +45,25 @@ add(
 
 
 def _after_recode(spark, d):
-    a = albums(spark, d).select("id", "needs_recode", "recode_recommendation", "current_quality", F.lit("old").alias("recode_source_profile"), "last_checked_at", "last_recoded_at")
-    return mutations.recoded(a, a.where("needs_recode = 1").select("id"), NOW)
+    a = albums(spark, d).withColumn("recode_source_profile", F.lit("old"))
+    waiting = keyed(a).where("id % 10 < 6").select("artist", "artist_lc", "album", "album_lc", "year_int", "source_path", F.lit(7).cast("long").alias("album_mtime"), F.lit("new").alias("scan_kind"), (F.col("id") % 1000).alias("enqueued_at"))
+    return mutations.recoded(a, last_for_key(waiting, F.col("enqueued_at"), F.col("source_path")), a.where("needs_recode = 1").select("id"), NOW)
 
 
+_RECODE_FIELDS = ("id", "needs_recode", "recode_recommendation", "current_quality", "recode_source_profile", "last_checked_at", "scan_failed", "last_recoded_at")
 add(
     "after_recode",
-    _after_recode,
+    lambda spark, d: _after_recode(spark, d)[0].select(*_RECODE_FIELDS),
     f"""WITH {ALBUMS_SQL} SELECT id, 0 AS needs_recode, CASE WHEN needs_recode = 1 THEN 'Pending rescan' ELSE recode_recommendation END AS recode_recommendation, current_quality, CASE WHEN needs_recode = 1 AND current_quality <> '' THEN current_quality ELSE 'old' END AS recode_source_profile,
-      CASE WHEN needs_recode = 1 THEN 0 ELSE last_checked_at END AS last_checked_at, CASE WHEN needs_recode = 1 THEN {NOW} ELSE last_recoded_at END AS last_recoded_at FROM albums""",
+      CASE WHEN needs_recode = 1 THEN 0 ELSE last_checked_at END AS last_checked_at, CASE WHEN needs_recode = 1 THEN 0 ELSE scan_failed END AS scan_failed, CASE WHEN needs_recode = 1 THEN {NOW} ELSE last_recoded_at END AS last_recoded_at FROM albums""",
+)
+add(
+    "after_recode_queue",
+    lambda spark, d: _after_recode(spark, d)[1],
+    f"""WITH {ALBUMS_SQL}, k AS (SELECT *, lower(artist) AS artist_lc, lower(album) AS album_lc FROM albums),
+    n AS (SELECT artist, artist_lc, album, album_lc, year_int, source_path, {NOW} AS album_mtime, 'changed' AS scan_kind, {NOW} AS enqueued_at, row_number() OVER (PARTITION BY artist_lc, album_lc, year_int ORDER BY id DESC) AS r FROM k WHERE needs_recode = 1),
+    q AS (SELECT artist, artist_lc, album, album_lc, year_int, source_path, 7 AS album_mtime, 'new' AS scan_kind, id % 1000 AS enqueued_at, row_number() OVER (PARTITION BY artist_lc, album_lc, year_int ORDER BY id % 1000, source_path) AS r FROM k WHERE id % 10 < 6)
+    SELECT * EXCLUDE (r) FROM n WHERE r = 1 UNION ALL SELECT * EXCLUDE (r) FROM q WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM n WHERE n.artist_lc = q.artist_lc AND n.album_lc = q.album_lc AND n.year_int = q.year_int)""",
 )
 
 

@@ -34,11 +34,21 @@ def magnitudes(samples: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(half - 1)), lambda k: F.sqrt(F.pow(part(k, cosines), F.lit(2.0)) + F.pow(part(k, sines), F.lit(2.0))))
 
 
-def spectra(windows: DataFrame, n: int = 64, threshold: float = -55.0, rate: int = 96_000, guard_hz: float = 24_000.0) -> DataFrame:
-    """id, cutoff_bin, cutoff_hz, guard_ratio, hf_present and drop_db of each window (id, samples array<double> of length n)."""
+def guard_hz(source_sr: Column) -> Column:
+    """Above which frequency a source of that rate has more than a CD or a studio recording holds; null for rates of neither family."""
+    return F.when(source_sr % 48000 == 0, 24_000.0).when(source_sr % 44100 == 0, 22_050.0)
+
+
+def spectra(windows: DataFrame, n: int = 64, threshold: float = -55.0, rate: int = 96_000, guard: Column | float = 24_000.0) -> DataFrame:
+    """id, cutoff_bin, cutoff_hz, guard_ratio, hf_present and drop_db of each window (id, samples array<double> of length n).
+
+    guard: from which frequency on a window counts as holding high ones (see guard_hz); without one, or from half the rate
+    on, there is no ratio and nothing is held.
+    """
     # Intermediate arrays are columns of their own: a projection each, not one expression repeated within another.
-    rows = windows.select("id", centred(F.col("samples"), n).alias("w"))
-    rows = rows.select("id", magnitudes(F.col("w"), n).alias("mag"))
+    start = guard if isinstance(guard, Column) else F.lit(guard)
+    rows = windows.select("id", start.cast("double").alias("start"), centred(F.col("samples"), n).alias("w"))
+    rows = rows.select("id", F.when(F.col("start") < rate / 2, F.col("start")).alias("start"), magnitudes(F.col("w"), n).alias("mag"))
     rows = rows.withColumn("peak", F.greatest(F.array_max("mag"), F.lit(1e-12)))
     rows = rows.withColumn("db", F.transform("mag", lambda m: 20 * F.log10(F.greatest(m / F.col("peak"), F.lit(1e-12)))))
     bins = F.sequence(F.lit(0), F.lit(n // 2))
@@ -46,16 +56,17 @@ def spectra(windows: DataFrame, n: int = 64, threshold: float = -55.0, rate: int
     step = rate / n
     energy = lambda x: F.aggregate(x, F.lit(0.0), lambda a, m: a + m * m)
     mean = lambda x: F.aggregate(x, F.lit(0.0), lambda a, m: a + m) / F.size(x)
-    first = math.ceil(guard_hz / step)
-    rows = rows.withColumns({"guard": F.slice("mag", first + 1, n // 2 + 1 - first), "guard_db": F.slice("db", first + 1, n // 2 + 1 - first), "cutoff_hz": F.col("cutoff_bin") * step})
-    rows = rows.withColumn("guard_ratio", F.when(energy(F.col("mag")) > 0, energy(F.col("guard")) / energy(F.col("mag"))).otherwise(0.0))
+    first = F.ceil(F.col("start") / step).cast("int")
+    part = lambda c: F.slice(c, first + 1, F.lit(n // 2 + 1) - first)
+    rows = rows.withColumns({"guard": part("mag"), "guard_db": part("db"), "cutoff_hz": F.col("cutoff_bin") * step})
+    rows = rows.withColumn("guard_ratio", F.when(F.col("guard").isNull(), F.lit(None)).when(energy(F.col("mag")) > 0, energy(F.col("guard")) / energy(F.col("mag"))).otherwise(0.0))
     share = F.size(F.filter("guard_db", lambda x: x >= -78.0)) / F.size("guard_db")
     present = (F.array_max("guard_db") >= -78.0) | (share >= 0.002) | (F.col("guard_ratio") >= 1e-4)
     near = lambda low, high: F.transform(F.filter(bins, lambda k: (k * step >= low) & (k * step < high)), lambda k: F.element_at("db", k + 1))
     f = F.col("cutoff_hz")
     rows = rows.withColumns({"below": near(F.greatest(f - 2000, F.lit(0.0)), F.greatest(f - 500, F.lit(0.0))), "above": near(F.least(f + 500, F.lit(rate / 2)), F.least(f + 2500, F.lit(rate / 2)))})
     drop = F.when((f > 3000) & (F.size("below") > 0) & (F.size("above") > 0), mean(F.col("below")) - mean(F.col("above")))
-    return rows.select("id", "cutoff_bin", "cutoff_hz", "guard_ratio", present.alias("hf_present"), drop.alias("drop_db"))
+    return rows.select("id", "cutoff_bin", "cutoff_hz", "guard_ratio", F.coalesce(present, F.lit(False)).alias("hf_present"), drop.alias("drop_db"))
 
 
 def fft_cutoffs(windows: DataFrame, threshold: float = -55.0) -> DataFrame:
@@ -86,21 +97,39 @@ def window_starts(seconds: Column, window: float = 8.0, most: int = 12) -> Colum
     return F.when(n == 1, F.array(usable * 0.5)).otherwise(many)
 
 
+def classified(segments: DataFrame) -> DataFrame:
+    """segments with kind (full-band, cutoff-limited, uncertain) and reason.
+
+    segments: track_id, segment, cutoff_hz, source_sr, target_sr, hf_present, drop_db, distance_hz. A segment without a cutoff
+    tells nothing; one that would keep its rate, or holds high frequencies, is full-band; else it speaks for a lower rate if
+    its cutoff looks like a wall and isn't close to what the lower rate holds.
+    """
+    told = lambda kind, reason: F.struct(F.lit(kind).alias("kind"), F.lit(reason).alias("reason"))
+    t = (
+        F.when(F.col("cutoff_hz").isNull() | F.col("source_sr").isNull(), told("uncertain", "no_cutoff"))
+        .when(~(F.col("target_sr") < F.col("source_sr")), told("full-band", "full_band_signal"))
+        .when(F.col("hf_present"), told("full-band", "hf_presence_guard"))
+        .when(F.col("distance_hz") <= 1500, told("uncertain", "boundary_ambiguity"))
+        .when(F.col("drop_db") >= 14, told("cutoff-limited", "brickwall_cutoff"))
+        .otherwise(told("uncertain", "gradual_rolloff"))
+    )
+    return segments.withColumn("_t", t).select(*segments.columns, "_t.*")
+
+
 def vote(segments: DataFrame) -> DataFrame:
     """track_id, majority_target, votes, full_band, cutoff_limited, required, share_near: the votes of a track's segments.
 
-    segments: track_id, segment, cutoff_hz, source_sr, target_sr, hf_present, drop_db, distance_hz. A segment speaks for a
-    lower rate if its cutoff looks like a wall; ties of targets go to the one seen first.
+    segments: see classified. Ties of targets go to the one seen first.
     """
     fake = F.col("target_sr") < F.col("source_sr")
-    kind = F.when(~fake, "full-band").when(F.col("hf_present"), "full-band").when(F.col("distance_hz") <= 1500, "uncertain").when(F.col("drop_db") >= 14, "cutoff-limited").otherwise("uncertain")
-    rows = segments.withColumn("kind", kind)
+    # A track has a dozen segments at most: dealt by track once, all sums of it are in one place, and what segments are made of is worked out before.
+    rows = classified(segments).select("track_id", "segment", "cutoff_hz", "source_sr", "target_sr", "kind").repartition("track_id")
     votes = rows.where((F.col("kind") == "cutoff-limited") & fake).groupBy("track_id", "target_sr").agg(F.count("*").alias("votes"), F.min("segment").alias("first"))
     best = votes.groupBy("track_id").agg(F.max(F.struct("votes", (-F.col("first")).alias("o"), "target_sr")).alias("b"))
     sums = rows.groupBy("track_id").agg(
         F.count("*").alias("n"), F.count_if(F.col("kind") == "full-band").alias("full_band"), F.count_if(F.col("kind") == "cutoff-limited").alias("cutoff_limited"), F.median("cutoff_hz").alias("middle"), F.collect_list("cutoff_hz").alias("cutoffs")
     )  # a track has a dozen segments at most
-    near = F.size(F.filter("cutoffs", lambda c: F.abs(c - F.col("middle")) <= 2500)) / F.size("cutoffs")
+    near = F.when(F.size("cutoffs") > 0, F.size(F.filter("cutoffs", lambda c: F.abs(c - F.col("middle")) <= 2500)) / F.size("cutoffs")).otherwise(0.0)
     required = F.greatest(F.lit(2), F.ceil(F.greatest("n", F.col("cutoff_limited") + F.col("full_band")) * 0.6).cast("int"))
     sums = sums.select("track_id", "full_band", "cutoff_limited", required.alias("required"), near.alias("share_near"))
     return sums.join(best.select(F.col("track_id").alias("t"), F.col("b.target_sr").alias("majority_target"), F.col("b.votes").alias("votes")), F.col("track_id") == F.col("t"), "left").drop("t")

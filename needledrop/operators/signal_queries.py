@@ -49,8 +49,8 @@ _DECISION_COLUMNS = """CAST(CASE WHEN guarded THEN own ELSE std END AS INTEGER)
 
 def _decided(spark: SparkSession, d: str) -> DataFrame:
     rows = _measured(spark, d)
-    verdict = decision.decide(F.col("cutoff_hz"), F.col("sr"), F.col("confidence"), F.col("reason"), F.lit(True))
-    return rows.withColumn("d", verdict).select("album_id", "position", "sr", "bits", "cutoff_hz", "confidence", "d.*")
+    made = decision.decided(rows, F.col("cutoff_hz"), F.col("sr"), F.col("confidence"), F.col("reason"), F.lit(True))
+    return made.select("album_id", "position", "sr", "bits", "cutoff_hz", "confidence", "standard_family", "fake_upscale", "target_sr", "decision", "guarded")
 
 
 add("recode_decision", lambda spark, d: _decided(spark, d).drop("bits", "confidence"), f"WITH {_DECIDED} SELECT album_id, position, sr, cutoff_hz, {_DECISION_COLUMNS} FROM decided")
@@ -124,9 +124,9 @@ _SPECTRA = f"""raw AS (SELECT vec_id AS id, list_transform(embedding, lambda x:
 add("dft_cutoff", lambda spark, d: signal.spectra(_windows(spark, d)).select("id", F.col("cutoff_bin").cast("long").alias("cutoff_bin"), "cutoff_hz"), f"WITH {_SPECTRA} SELECT id, cutoff_bin, cutoff_bin * 1500.0::DOUBLE AS cutoff_hz FROM q")
 add(
     "guard_band",
-    lambda spark, d: signal.spectra(_windows(spark, d)).select("id", F.round("guard_ratio", 6).alias("guard_ratio"), "hf_present"),
-    f"""WITH {_SPECTRA}, g AS (SELECT id, db, list_sum(list_transform(mag[17:33], lambda x: x * x)) / list_sum(list_transform(mag, lambda x: x * x)) AS r FROM q)
-  SELECT id, round(r, 6) AS guard_ratio, list_max(db[17:33]) >= -78 OR len(list_filter(db[17:33], lambda x: x >= -78)) / 17.0::DOUBLE >= 0.002::DOUBLE OR r >= 1e-4::DOUBLE AS hf_present FROM g""",
+    lambda spark, d: signal.spectra(_windows(spark, d), guard=signal.guard_hz(choose((96000, 88200, 50000, 44100), F.col("id")))).select("id", F.round("guard_ratio", 6).alias("guard_ratio"), "hf_present"),
+    f"""WITH {_SPECTRA}, f AS (SELECT id, CASE id % 4 WHEN 0 THEN 17 WHEN 2 THEN NULL ELSE 16 END AS a, mag, db FROM q), g AS (SELECT id, a, db[a:33] AS db, list_sum(list_transform(mag[a:33], lambda x: x * x)) / list_sum(list_transform(mag, lambda x: x * x)) AS r FROM f)
+  SELECT id, CASE WHEN a IS NOT NULL THEN round(r, 6) END AS guard_ratio, a IS NOT NULL AND (list_max(db) >= -78 OR len(list_filter(db, lambda x: x >= -78)) / CAST(34 - a AS DOUBLE) >= 0.002::DOUBLE OR r >= 1e-4::DOUBLE) AS hf_present FROM g""",
 )
 add(
     "shape_drop",
@@ -146,21 +146,29 @@ add(
 
 
 def _segments(spark: SparkSession, d: str) -> DataFrame:
+    """Tracks as segments of their album; some have no cutoff."""
     rows = _decided(spark, d)
     return rows.select(
-        F.col("album_id").alias("track_id"), F.col("position").alias("segment"), "cutoff_hz", F.col("sr").alias("source_sr"), "target_sr",
+        F.col("album_id").alias("track_id"), F.col("position").alias("segment"), F.when((F.col("cutoff_hz") % 13 != 0) & (F.col("album_id") % 40 != 7), F.col("cutoff_hz")).alias("cutoff_hz"), F.col("sr").alias("source_sr"), "target_sr",
         (F.col("cutoff_hz") % 11 == 0).alias("hf_present"), (F.col("cutoff_hz") % 30).cast("double").alias("drop_db"), F.abs(F.col("cutoff_hz") + 500 - F.col("target_sr") / 2).alias("distance_hz"),
     )
 
 
+add(
+    "segment_kinds",
+    lambda spark, d: signal.classified(_segments(spark, d)).groupBy("track_id", "kind", "reason").agg(F.count("*").alias("n")),
+    f"""WITH {_DECIDED}, t AS (SELECT album_id, cutoff_hz, sr, {_DECISION_COLUMNS} FROM decided), k AS (SELECT album_id AS track_id, CASE WHEN cutoff_hz % 13 = 0 OR album_id % 40 = 7 THEN 'no_cutoff' WHEN target_sr >= sr THEN 'full_band_signal' WHEN cutoff_hz % 11 = 0 THEN 'hf_presence_guard'
+  WHEN abs(cutoff_hz + 500 - target_sr / 2.0::DOUBLE) <= 1500 THEN 'boundary_ambiguity' WHEN cutoff_hz % 30 >= 14 THEN 'brickwall_cutoff' ELSE 'gradual_rolloff' END AS reason FROM t)
+  SELECT track_id, CASE WHEN reason IN ('full_band_signal', 'hf_presence_guard') THEN 'full-band' WHEN reason = 'brickwall_cutoff' THEN 'cutoff-limited' ELSE 'uncertain' END AS kind, reason, count(*) AS n FROM k GROUP BY ALL""",
+)
 add(
     "segment_votes",
     lambda spark, d: signal.vote(_segments(spark, d)).withColumn("share_near", F.round("share_near", 9)),
-    f"""WITH {_DECIDED}, t AS (SELECT album_id, position, cutoff_hz, sr, {_DECISION_COLUMNS} FROM decided), k AS (SELECT album_id AS track_id, position AS segment, cutoff_hz, target_sr,
-  CASE WHEN target_sr >= sr THEN 'full-band' WHEN cutoff_hz % 11 = 0 THEN 'full-band' WHEN abs(cutoff_hz + 500 - target_sr / 2.0::DOUBLE) <= 1500 THEN 'uncertain' WHEN cutoff_hz % 30 >= 14 THEN 'cutoff-limited' ELSE 'uncertain' END AS kind, target_sr < sr AS fake FROM t),
+    f"""WITH {_DECIDED}, t AS (SELECT album_id, position, cutoff_hz, sr, {_DECISION_COLUMNS} FROM decided), k AS (SELECT album_id AS track_id, position AS segment, CASE WHEN cutoff_hz % 13 <> 0 AND album_id % 40 <> 7 THEN cutoff_hz END AS cutoff_hz, target_sr,
+  CASE WHEN cutoff_hz % 13 = 0 OR album_id % 40 = 7 THEN 'uncertain' WHEN target_sr >= sr THEN 'full-band' WHEN cutoff_hz % 11 = 0 THEN 'full-band' WHEN abs(cutoff_hz + 500 - target_sr / 2.0::DOUBLE) <= 1500 THEN 'uncertain' WHEN cutoff_hz % 30 >= 14 THEN 'cutoff-limited' ELSE 'uncertain' END AS kind, target_sr < sr AS fake FROM t),
   v AS (SELECT track_id, target_sr, count(*) AS votes, min(segment) AS first FROM k WHERE kind = 'cutoff-limited' AND fake GROUP BY 1, 2), best AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY votes DESC, first) AS r FROM v),
   m AS (SELECT track_id, median(cutoff_hz) AS middle FROM k GROUP BY 1), s AS (SELECT k.track_id, count(*) AS n, count(*) FILTER (kind = 'full-band') AS full_band, count(*) FILTER (kind = 'cutoff-limited') AS cutoff_limited,
-  round(avg(CASE WHEN abs(cutoff_hz - middle) <= 2500 THEN 1.0::DOUBLE ELSE 0 END), 9) AS share_near FROM k JOIN m USING (track_id) GROUP BY 1)
+  round(coalesce(avg(CASE WHEN abs(cutoff_hz - middle) <= 2500 THEN 1.0::DOUBLE ELSE 0 END) FILTER (cutoff_hz IS NOT NULL), 0), 9) AS share_near FROM k JOIN m USING (track_id) GROUP BY 1)
   SELECT s.track_id, full_band, cutoff_limited, CAST(greatest(2, ceil(greatest(n, full_band + cutoff_limited) * 0.6::DOUBLE)) AS INTEGER) AS required, share_near, best.target_sr AS majority_target, best.votes FROM s LEFT JOIN best ON s.track_id = best.track_id AND best.r = 1""",
 )
 

@@ -17,10 +17,21 @@ def segment_seconds(window: Column) -> Column:
     return F.greatest(F.lit(6.0), F.least(F.lit(12.0), window.cast("double")))
 
 
-def segment_starts(seconds: Column, segment: Column, most: Column) -> Column:
-    """Where the segments of a track begin: the middle of what is usable for one, else evenly from 8 to 92 % of it."""
+#: How many segments an exact look takes, and how many of these a fast one.
+EXACT_SEGMENTS, FAST_SEGMENTS = 6, 4
+
+
+def segment_starts(seconds: Column, segment: Column, mode: Column) -> Column:
+    """Where the segments of a track begin: the middle of what is usable for one, else evenly from 8 to 92 % of it. A fast look
+    takes the first ones of an exact look.
+    """
+    starts = exact_segment_starts(seconds, segment)
+    return F.when(mode == "fast", F.slice(starts, 1, FAST_SEGMENTS)).otherwise(starts)
+
+
+def exact_segment_starts(seconds: Column, segment: Column) -> Column:
     usable = seconds - segment
-    n = F.least(most, F.greatest(F.lit(1), F.floor(seconds / F.greatest(segment, F.lit(1.0))).cast("int")))
+    n = F.least(F.lit(EXACT_SEGMENTS), F.greatest(F.lit(1), F.floor(seconds / F.greatest(segment, F.lit(1.0))).cast("int")))
     many = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.greatest(F.lit(0.0), F.least(usable * (0.08 + 0.84 * (i / (n - 1))), usable)))
     return F.when(seconds.isNull() | (usable <= 0), F.array(F.lit(0.0))).when(n <= 1, F.array(usable * 0.5)).otherwise(many)
 
@@ -66,11 +77,13 @@ def outcome(segments: DataFrame) -> DataFrame:
 
     A lower rate is taken if its votes are enough, nobody speaks for another rate or for the full band, and the cutoffs
     agree; far lower ones need all segments. A track that keeps its rate does so surely, or for want of agreement.
+    The reasons are fixed values.
     """
+    segments = segments.repartition("track_id")
     fake = F.col("target_sr") < F.col("source_sr")
-    limited = fake & ~F.col("hf_present") & (F.col("distance_hz") > 1500) & (F.col("drop_db") >= 14)
+    limited = F.col("cutoff_hz").isNotNull() & fake & ~F.col("hf_present") & (F.col("distance_hz") > 1500) & (F.col("drop_db") >= 14)
     flags = segments.groupBy("track_id").agg(
-        F.count("*").alias("n"), F.bool_or(fake & (F.col("distance_hz") <= 1500)).alias("ambiguous"), F.bool_or("hf_present").alias("hf"), F.max("source_sr").alias("source"),
+        F.count("*").alias("n"), F.coalesce(F.bool_or(F.col("cutoff_hz").isNotNull() & fake & (F.col("distance_hz") <= 1500)), F.lit(False)).alias("ambiguous"), F.bool_or("hf_present").alias("hf"), F.max("source_sr").alias("source"),
         F.collect_list("cutoff_hz").alias("cutoffs"), F.collect_list(F.when(limited, F.col("target_sr"))).alias("targets"),
     )
     all_votes = signal.vote(segments).withColumnRenamed("track_id", "_t")
@@ -89,10 +102,10 @@ def outcome(segments: DataFrame) -> DataFrame:
     low = F.lit("low")
     made = (
         F.when(F.size("cutoffs") == 0, row(low, "fallback_due_to_no_signal"))
-        .when(downgrade, row(F.when((votes >= three) & (share >= 0.75) & (statistical != "low"), "high").otherwise("medium"), F.when(share >= 0.75, "consistent_cutoff").otherwise("majority_cutoff"), True))
+        .when(downgrade, row(F.when((votes >= three) & (share >= 0.75) & (statistical != "low"), "high").otherwise("medium"), F.when(share >= 0.75, "accepted_by_consistency").otherwise("accepted_by_majority_vote"), True))
         .when(inconsistent, row(low, "fallback_due_to_family_inconsistency"))
         .when(F.col("ambiguous") & ~F.col("hf") & (F.col("full_band") == 0), row(low, "fallback_due_to_boundary_ambiguity"))
-        .when(keep, row(F.when((F.col("full_band") >= three) & (share >= 0.6), "high").otherwise("medium"), "keep_source_stable"))
+        .when(keep, row(F.when((F.col("full_band") >= three) & (share >= 0.6), "high").otherwise("medium"), F.when((share >= 0.6) | F.col("hf"), "accepted_by_consistency").otherwise("accepted_by_majority_vote")))
         .otherwise(row(low, "fallback_due_to_disagreement"))
     )
     return r.select("track_id", made.alias("m")).select("track_id", "m.*")

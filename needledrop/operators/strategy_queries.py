@@ -20,7 +20,7 @@ def add(name: str, query: Query, sql: str) -> None:
 
 def _starts(spark, d):
     t = tracks(spark, d).withColumn("segment", strategy.segment_seconds(F.col("dr")))
-    starts = strategy.segment_starts(F.when(F.col("position") % 5 != 0, F.col("seconds").cast("double")), F.col("segment"), F.when(F.col("album_id") % 2 == 0, 4).otherwise(6))
+    starts = strategy.segment_starts(F.when(F.col("position") % 5 != 0, F.col("seconds").cast("double")), F.col("segment"), F.when(F.col("album_id") % 2 == 0, "fast").otherwise("exact"))
     return t.select("album_id", "position", strategy.windows_for_mode(F.col("dr"), choose(("fast", "exact"), F.col("part_id"))).alias("windows"), F.posexplode(starts).alias("i", "start")).withColumn("start", F.round("start", 6))
 
 
@@ -28,8 +28,8 @@ add(
     "segment_starts",
     _starts,
     f"""WITH {TRACKS_SQL}, s AS (SELECT album_id, position, CASE WHEN part_id % 2 = 1 THEN greatest(dr * 2, 24) ELSE dr END AS windows, CASE WHEN position % 5 <> 0 THEN seconds::DOUBLE END AS dur, greatest(6.0::DOUBLE, least(12.0::DOUBLE, dr::DOUBLE)) AS seg, CASE WHEN album_id % 2 = 0 THEN 4 ELSE 6 END AS most FROM tracks),
-    n AS (SELECT *, CASE WHEN dur IS NULL OR dur - seg <= 0 THEN 0 ELSE CAST(least(most, greatest(1, floor(dur / seg))) AS INTEGER) END AS k FROM s), x AS (SELECT *, CAST(unnest(range(greatest(k, 1))) AS INTEGER) AS i FROM n)
-    SELECT album_id, position, windows, i, round(CASE WHEN k = 0 THEN 0.0::DOUBLE WHEN k = 1 THEN (dur - seg) * 0.5 ELSE (dur - seg) * (0.08::DOUBLE + 0.84::DOUBLE * (CAST(i AS DOUBLE) / (k - 1))) END, 6) AS start FROM x""",
+    n AS (SELECT *, CASE WHEN dur IS NULL OR dur - seg <= 0 THEN 0 ELSE CAST(least(6, greatest(1, floor(dur / seg))) AS INTEGER) END AS k FROM s), x AS (SELECT *, CAST(unnest(range(greatest(k, 1))) AS INTEGER) AS i FROM n)
+    SELECT album_id, position, windows, i, round(CASE WHEN k = 0 THEN 0.0::DOUBLE WHEN k = 1 THEN (dur - seg) * 0.5 ELSE (dur - seg) * (0.08::DOUBLE + 0.84::DOUBLE * (CAST(i AS DOUBLE) / (k - 1))) END, 6) AS start FROM x WHERE i < most""",
 )
 
 
@@ -51,21 +51,21 @@ add(
     lambda spark, d: strategy.window_summary(tracks(spark, d).select(F.col("album_id").alias("track_id"), "cutoff_hz", (F.col("bitrate_bps") / 1000.0).alias("energy_ratio"), F.col("dr").alias("drop_db"), (F.col("part_id") % 4 == 0).alias("hf_present"), F.col("peak_tenths").alias("hf_peak_db"))),
     f"WITH {TRACKS_SQL} SELECT album_id AS track_id, median(cutoff_hz) AS cutoff_hz, median(bitrate_bps / 1000.0::DOUBLE) AS energy_ratio, median(dr) AS drop_db, count(*) FILTER (part_id % 4 = 0) AS hf_windows, bool_or(part_id % 4 = 0) AS hf_any, max(peak_tenths) AS hf_peak_db FROM tracks GROUP BY 1",
 )
-_VOTES = f"""{_DECIDED}, tt AS (SELECT album_id, position, cutoff_hz, sr, {_DECISION_COLUMNS} FROM decided), kk AS (SELECT album_id AS track_id, position AS segment, cutoff_hz, target_sr, sr, target_sr < sr AS fake, cutoff_hz % 11 = 0 AS hf, abs(cutoff_hz + 500 - target_sr / 2.0::DOUBLE) <= 1500 AS near, cutoff_hz % 30 >= 14 AS steep FROM tt)"""
+_VOTES = f"""{_DECIDED}, tt AS (SELECT album_id, position, cutoff_hz, sr, {_DECISION_COLUMNS} FROM decided), kk AS (SELECT album_id AS track_id, position AS segment, CASE WHEN cutoff_hz % 13 <> 0 AND album_id % 40 <> 7 THEN cutoff_hz END AS cutoff_hz, target_sr, sr, target_sr < sr AS fake, cutoff_hz % 11 = 0 AS hf, abs(cutoff_hz + 500 - target_sr / 2.0::DOUBLE) <= 1500 AS near, cutoff_hz % 30 >= 14 AS steep FROM tt)"""
 add(
     "segment_outcome",
     lambda spark, d: strategy.outcome(_segments(spark, d)),
-    f"""WITH {_VOTES}, cc AS (SELECT *, CASE WHEN NOT fake OR hf THEN 'full' WHEN near THEN '?' WHEN steep THEN 'cut' ELSE '?' END AS kind FROM kk),
+    f"""WITH {_VOTES}, cc AS (SELECT *, CASE WHEN cutoff_hz IS NULL THEN '?' WHEN NOT fake OR hf THEN 'full' WHEN near THEN '?' WHEN steep THEN 'cut' ELSE '?' END AS kind FROM kk),
     vv AS (SELECT track_id, target_sr, count(*) AS votes, min(segment) AS first FROM cc WHERE kind = 'cut' GROUP BY 1, 2), bb AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY votes DESC, first) AS r FROM vv),
     oo AS (SELECT track_id, max(target_sr) FILTER (r = 1) AS best, coalesce(max(votes) FILTER (r = 1), 0) AS votes, count(*) FILTER (r > 1) > 0 AS mixed, coalesce(max(votes) FILTER (r > 1), 0) >= 2 AS minor FROM bb GROUP BY 1),
-    mm AS (SELECT track_id, median(cutoff_hz) AS middle, (max(cutoff_hz) - min(cutoff_hz)) / greatest(median(cutoff_hz), 1.0::DOUBLE) AS spread, count(*) AS n, max(sr) AS source, bool_or(fake AND near) AS ambiguous, bool_or(hf) AS hf, count(*) FILTER (kind = 'full') AS fb, count(*) FILTER (kind = 'cut') AS cl FROM cc GROUP BY 1),
-    ss AS (SELECT mm.*, best, coalesce(votes, 0) AS votes, coalesce(mixed, false) AS mixed, coalesce(minor, false) AS minor, (SELECT avg(CASE WHEN abs(cutoff_hz - mm.middle) <= 2500 THEN 1.0::DOUBLE ELSE 0 END) FROM cc WHERE cc.track_id = mm.track_id) AS share, greatest(2, ceil(greatest(n, fb + cl) * 0.6::DOUBLE)) AS req,
-      CASE WHEN n < least(2, n) OR middle <= 0 THEN 'low' WHEN n >= 4 AND spread <= 0.12 THEN 'high' WHEN n >= 3 AND spread <= 0.25 THEN 'medium' ELSE 'low' END AS stat FROM mm LEFT JOIN oo USING (track_id)),
+    mm AS (SELECT track_id, median(cutoff_hz) AS middle, (max(cutoff_hz) - min(cutoff_hz)) / greatest(median(cutoff_hz), 1.0::DOUBLE) AS spread, count(*) AS n, count(cutoff_hz) AS m, max(sr) AS source, coalesce(bool_or(fake AND near) FILTER (cutoff_hz IS NOT NULL), false) AS ambiguous, bool_or(hf) AS hf, count(*) FILTER (kind = 'full') AS fb, count(*) FILTER (kind = 'cut') AS cl FROM cc GROUP BY 1),
+    ss AS (SELECT mm.*, best, coalesce(votes, 0) AS votes, coalesce(mixed, false) AS mixed, coalesce(minor, false) AS minor, (SELECT avg(CASE WHEN abs(cutoff_hz - mm.middle) <= 2500 THEN 1.0::DOUBLE ELSE 0 END) FROM cc WHERE cc.track_id = mm.track_id AND cutoff_hz IS NOT NULL) AS share, greatest(2, ceil(greatest(n, fb + cl) * 0.6::DOUBLE)) AS req,
+      CASE WHEN m < least(2, n) OR middle <= 0 THEN 'low' WHEN m >= 4 AND spread <= 0.12 THEN 'high' WHEN m >= 3 AND spread <= 0.25 THEN 'medium' ELSE 'low' END AS stat FROM mm LEFT JOIN oo USING (track_id)),
     ww AS (SELECT *, votes >= req AND NOT mixed AND NOT minor AND NOT ambiguous AND NOT hf AND fb = 0 AND share >= 0.6 AND (NOT coalesce(source / best >= 2.5, false) OR (votes = n AND share >= 0.75 AND stat <> 'low')) AS down FROM ss)
-    SELECT track_id, CASE WHEN down THEN CASE WHEN votes >= greatest(3, req) AND share >= 0.75 AND stat <> 'low' THEN 'high' ELSE 'medium' END WHEN mixed OR (ambiguous AND NOT hf AND fb = 0) THEN 'low'
+    SELECT track_id, CASE WHEN m = 0 THEN 'low' WHEN down THEN CASE WHEN votes >= greatest(3, req) AND share >= 0.75 AND stat <> 'low' THEN 'high' ELSE 'medium' END WHEN mixed OR (ambiguous AND NOT hf AND fb = 0) THEN 'low'
         WHEN fb >= req OR hf OR (votes = 0 AND share >= 0.6) OR (votes >= req AND fb > 0) THEN CASE WHEN fb >= greatest(3, req) AND share >= 0.6 THEN 'high' ELSE 'medium' END ELSE 'low' END AS confidence,
-      CASE WHEN down THEN CASE WHEN share >= 0.75 THEN 'consistent_cutoff' ELSE 'majority_cutoff' END WHEN mixed THEN 'fallback_due_to_family_inconsistency' WHEN ambiguous AND NOT hf AND fb = 0 THEN 'fallback_due_to_boundary_ambiguity'
-        WHEN fb >= req OR hf OR (votes = 0 AND share >= 0.6) OR (votes >= req AND fb > 0) THEN 'keep_source_stable' ELSE 'fallback_due_to_disagreement' END AS reason, down AS allow FROM ww""",
+      CASE WHEN m = 0 THEN 'fallback_due_to_no_signal' WHEN down THEN CASE WHEN share >= 0.75 THEN 'accepted_by_consistency' ELSE 'accepted_by_majority_vote' END WHEN mixed THEN 'fallback_due_to_family_inconsistency' WHEN ambiguous AND NOT hf AND fb = 0 THEN 'fallback_due_to_boundary_ambiguity'
+        WHEN fb >= req OR hf OR (votes = 0 AND share >= 0.6) OR (votes >= req AND fb > 0) THEN CASE WHEN share >= 0.6 OR hf THEN 'accepted_by_consistency' ELSE 'accepted_by_majority_vote' END ELSE 'fallback_due_to_disagreement' END AS reason, m > 0 AND down AS allow FROM ww""",
 )
 add(
     "earliest_sure",

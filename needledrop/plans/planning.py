@@ -7,11 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from needledrop.functions import grading, text
+from needledrop.functions import grading, parsing, text
 
 #: Clean profiles and lossy variants that a data set has of each source.
 CLEAN = ("44100/16", "48000/24")
-VARIANTS = ("mp3_128", "mp3_192", "mp3_320", "aac_128", "aac_256", "opus_128", "vorbis_160")
+VARIANTS = ("mp3_128_upscaled", "mp3_192_upscaled", "mp3_320_upscaled", "aac_128_upscaled", "aac_256_upscaled", "opus_96_upscaled", "opus_160_upscaled")
 
 
 def album_summary(tracks: DataFrame) -> DataFrame:
@@ -57,25 +57,38 @@ def loudness(tracks: DataFrame) -> DataFrame:
 
 
 def dataset_matrix(sources: DataFrame, existing: DataFrame, force: bool = False) -> DataFrame:
-    """id, variant for each source and each variant it needs, less those that exist: clean ones only below its own rate."""
-    clean = F.filter(F.array(*[F.lit(c) for c in CLEAN]), lambda c: F.split_part(c, F.lit("/"), F.lit(1)).cast("int") < F.col("sr"))
+    """id, variant for each source (id, sr, bits) and each variant it needs, less those that exist: clean ones only below its
+    own profile, by rate, at the same rate by depth.
+    """
+    part = lambda c, i: F.split_part(c, F.lit("/"), F.lit(i)).cast("int")
+    clean = F.filter(F.array(*[F.lit(c) for c in CLEAN]), lambda c: (part(c, 1) < F.col("sr")) | ((part(c, 1) == F.col("sr")) & (part(c, 2) < F.col("bits"))))
     wanted = sources.select("id", F.explode(F.concat(clean, F.array(*[F.lit(v) for v in VARIANTS]))).alias("variant"))
     return wanted if force else wanted.join(existing, ["id", "variant"], "left_anti")
 
 
-def preflight(tracks: DataFrame, target_sr: int, target_bits: int) -> DataFrame:
-    """album_id, position, error for each track that can't be converted: lossy, unknown, an upscale, or a target taken."""
-    order = Window.partitionBy("album_id", "target").orderBy("position")
-    rows = tracks.withColumn("target", F.concat(F.lit("track-"), (F.col("part_id") % 40).cast("string"), F.lit(".flac"))).withColumn("n", F.row_number().over(order))
-    codec = text.norm(F.col("codec"))
+def preflight(tracks: DataFrame, target_sr: int, target_bits: int, lossy_allowed: bool = False) -> DataFrame:
+    """album_id, position, path, error for each track (path, codec, sr, bits as text or number) that can't be converted to FLAC.
+
+    Errors in their order, one for each track: its target's path is another's already, no codec, a lossy one (unless
+    allowed), no rate, no depth, a target above the source. DSD has a depth of 24 at least. The texts are fixed values.
+    """
+    target = F.regexp_replace("path", r"\.[^.]*$", "")
+    first = F.first("path").over(Window.partitionBy("album_id", target).orderBy("position"))
+    number = lambda c: F.coalesce(F.when(F.col(c).cast("string").rlike("^[0-9]+$"), F.col(c).try_cast("int")), F.lit(0))
+    codec = text.norm(F.coalesce("codec", F.lit("")))
+    dsd = codec.startswith("dsd") | (codec == "dst")
+    rows = tracks.withColumns({"_first": first, "_codec": codec, "_sr": number("sr"), "_bits": F.when(dsd, F.greatest(number("bits"), F.lit(24))).otherwise(number("bits"))})
+    said = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
+    path, profile = F.col("path"), F.concat(F.col("_sr").cast("string"), F.lit("/"), F.col("_bits").cast("string"))
     error = (
-        F.when(codec == "", "unknown codec")
-        .when(text.is_lossy(codec), "lossy source")
-        .when(F.lit(target_sr) > F.col("sr"), "upscales rate")
-        .when(F.lit(target_bits) > F.col("bits"), "upscales depth")
-        .when(F.col("n") > 1, "target taken")
+        F.when(F.col("_first") != path, said("target collision: '", F.col("_first"), "' and '", path, "' both map to '", target, ".flac'"))
+        .when(F.col("_codec") == "", said(path, ": unable to detect codec"))
+        .when(F.lit(not lossy_allowed) & text.is_lossy(F.col("_codec")), said(path, ": lossy source codec '", F.col("_codec"), "' is not allowed for FLAC replace workflow"))
+        .when(F.col("_sr") <= 0, said(path, ": unable to detect sample rate"))
+        .when(F.col("_bits") <= 0, said(path, ": unable to detect bit depth"))
+        .when((F.lit(target_sr) > F.col("_sr")) | (F.lit(target_bits) > F.col("_bits")), said(path, f": target '{target_sr}/{target_bits}' is higher than source '", profile, "' (upscale blocked)"))
     )
-    return rows.select("album_id", "position", error.alias("error")).where("error is not null")
+    return rows.select("album_id", "position", "path", error.alias("error")).where("error is not null")
 
 
 def split_plan(tracks: DataFrame) -> DataFrame:
@@ -143,15 +156,28 @@ def corpus_check(found: DataFrame, expected: DataFrame) -> DataFrame:
 def release_scores(candidates: DataFrame) -> DataFrame:
     """query_id, release_id, score of the best candidate of each query that has the very title and artist.
 
-    The best is chosen first (the earlier one of equals), and refused afterwards if its title, artist or year is wrong.
+    candidates: query_id, place, release_id (text), title, artist, date, wanted_title, wanted_artist, wanted_year, source_score.
+    Names compare as plain words (see parsing.plain_words); artists also by their words in any order, or one within the other.
+    The best is chosen first (the earlier one of equals; one of less than 0 never), and refused afterwards if its title or
+    artist is wrong, or its year is known to be another one.
     """
-    exact = F.col("title") == F.col("wanted_title")
-    part = F.contains("title", "wanted_title") | F.contains("wanted_title", "title")
-    artist = (F.col("artist") == F.col("wanted_artist")) | F.contains("artist", "wanted_artist") | F.contains("wanted_artist", "artist")
-    year = F.col("year") == F.col("wanted_year")
-    score = F.when(exact, 120).when(part, 40).otherwise(0) + F.when(artist, 80).otherwise(0) + F.when(year, 20).otherwise(-40) + F.floor(F.least(F.greatest("source_score", F.lit(0)), F.lit(100)) / 5).cast("int") + F.when(exact & artist, 30).otherwise(0)
-    rows = candidates.withColumns({"score": score, "ok": exact & artist & year})
-    best = rows.groupBy("query_id").agg(F.max(F.struct("score", (-F.col("place")).alias("o"), "release_id", "ok")).alias("b"))
+    sides = {f"_{c}": parsing.plain_words(F.col(c)) for c in ("title", "artist", "wanted_title", "wanted_artist")}
+    rows = candidates.where("trim(coalesce(release_id, '')) <> ''").withColumns(sides)
+    year = lambda c: F.nullif(F.regexp_extract(F.coalesce(F.col(c).cast("string"), F.lit("")), "^([12][0-9]{3})", 1), F.lit(""))
+    within = lambda a, b: F.contains(a, b) | F.contains(b, a)
+    bag = lambda c: F.array_join(F.array_sort(F.split(c, " ")), " ")
+    title, artist, want, by = F.col("_title"), F.col("_artist"), F.col("_wanted_title"), F.col("_wanted_artist")
+    rows = rows.withColumns({"_y": year("date"), "_w": year("wanted_year")})
+    exact = (want != "") & (title == want)
+    same = (by != "") & (within(artist, by) | (bag(artist) == bag(by)))
+    other_year = F.coalesce(F.col("_y") != F.col("_w"), F.lit(False))
+    given = F.coalesce(F.when(F.trim(F.col("source_score").cast("string")).rlike("^[+-]?[0-9]+$"), F.trim(F.col("source_score").cast("string")).try_cast("int")), F.lit(0))
+    score = (
+        F.when(exact, 120).when((want != "") & within(title, want), 40).otherwise(0) + F.when(same, 80).otherwise(0) + F.when(F.col("_y") == F.col("_w"), 20).when(other_year, -40).otherwise(0)
+        + F.floor(F.least(F.greatest(given, F.lit(0)), F.lit(100)) / 5).cast("int") + F.when(exact & same, 30).otherwise(0)
+    )
+    rows = rows.withColumns({"score": score, "ok": exact & same & ~other_year}).where("score > -1")
+    best = rows.groupBy("query_id").agg(F.max_by(F.struct("release_id", "score", "ok"), F.struct("score", -F.col("place"))).alias("b"))
     return best.where("b.ok").select("query_id", F.col("b.release_id").alias("release_id"), F.col("b.score").alias("score"))
 
 

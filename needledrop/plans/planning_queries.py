@@ -57,22 +57,33 @@ add(
 
 
 def _matrix(spark: SparkSession, d: str) -> DataFrame:
-    rows = tracks(spark, d).where("position = 1").select(F.col("album_id").alias("id"), "sr")
-    existing = rows.select("id", choose(("mp3_128", "aac_256", "44100/16", "opus_128"), F.col("id")).alias("variant"))
+    rows = tracks(spark, d).where("position = 1").select(F.col("album_id").alias("id"), "sr", "bits")
+    existing = rows.select("id", choose(("mp3_128_upscaled", "aac_256_upscaled", "44100/16", "opus_96_upscaled"), F.col("id")).alias("variant"))
     return planning.dataset_matrix(rows, existing)
 
 
 add(
     "dataset_matrix",
     _matrix,
-    f"""WITH {TRACKS_SQL}, s AS (SELECT album_id AS id, sr FROM tracks WHERE position = 1), v AS (SELECT unnest([{names((*planning.CLEAN, *planning.VARIANTS))}]) AS variant)
-  SELECT id, variant FROM s, v WHERE (NOT contains(variant, '/') OR TRY_CAST(split_part(variant, '/', 1) AS INTEGER) < sr) AND variant <> list_extract(['mp3_128', 'aac_256', '44100/16', 'opus_128'], CAST(id % 4 + 1 AS BIGINT))""",
+    f"""WITH {TRACKS_SQL}, s AS (SELECT album_id AS id, sr, bits FROM tracks WHERE position = 1), v AS (SELECT unnest([{names((*planning.CLEAN, *planning.VARIANTS))}]) AS variant)
+  SELECT id, variant FROM s, v WHERE (NOT contains(variant, '/') OR TRY_CAST(split_part(variant, '/', 1) AS INTEGER) < sr OR (TRY_CAST(split_part(variant, '/', 1) AS INTEGER) = sr AND TRY_CAST(split_part(variant, '/', 2) AS INTEGER) < bits)) AND variant <> list_extract(['mp3_128_upscaled', 'aac_256_upscaled', '44100/16', 'opus_96_upscaled'], CAST(id % 4 + 1 AS BIGINT))""",
 )
+def _to_convert(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("part_id")
+    path = F.concat(F.lit("/a/"), F.col("album_id").cast("string"), F.lit("/t"), (k % 40).cast("string"), choose((".wav", ".x.dsf", ".m4a"), k))
+    t = tracks(spark, d).withColumns({"path": path, "codec": F.when(k % 17 == 0, "dsd_lsbf").otherwise(F.col("codec")), "sr": F.when(k % 23 != 0, F.col("sr").cast("string")).otherwise("N/A"), "bits": F.when(k % 17 == 0, 1).when(k % 29 != 0, F.col("bits")).otherwise(0)})
+    return planning.preflight(t, 88200, 24)
+
+
 add(
     "preflight",
-    lambda spark, d: planning.preflight(tracks(spark, d), 88200, 24),
-    f"""WITH {TRACKS_SQL}, x AS (SELECT *, {norm_sql('codec')} AS c, row_number() OVER (PARTITION BY album_id, part_id % 40 ORDER BY position) AS n FROM tracks),
-  y AS (SELECT album_id, position, CASE WHEN c = '' THEN 'unknown codec' WHEN {_LOSSY.format('c')} THEN 'lossy source' WHEN 88200 > sr THEN 'upscales rate' WHEN 24 > bits THEN 'upscales depth' WHEN n > 1 THEN 'target taken' END AS error FROM x) SELECT * FROM y WHERE error IS NOT NULL""",
+    _to_convert,
+    f"""WITH {TRACKS_SQL}, s AS (SELECT album_id, position, '/a/' || album_id || '/t' || (part_id % 40) AS stem, CASE part_id % 3 WHEN 0 THEN '.wav' WHEN 1 THEN '.x.dsf' ELSE '.m4a' END AS e, CASE WHEN part_id % 17 = 0 THEN 'dsd_lsbf' ELSE {norm_sql('codec')} END AS c,
+    CASE WHEN part_id % 23 <> 0 THEN sr ELSE 0 END AS sr, CASE WHEN part_id % 17 = 0 THEN 24 WHEN part_id % 29 <> 0 THEN bits ELSE 0 END AS bits, chr(39) AS q FROM tracks),
+  x AS (SELECT *, stem || e AS path, stem || replace(replace(replace(e, '.wav', ''), '.dsf', ''), '.m4a', '') AS target FROM s), y AS (SELECT *, first_value(path) OVER (PARTITION BY album_id, target ORDER BY position) AS first FROM x),
+  z AS (SELECT album_id, position, path, CASE WHEN first <> path THEN 'target collision: ' || q || first || q || ' and ' || q || path || q || ' both map to ' || q || target || '.flac' || q WHEN c = '' THEN path || ': unable to detect codec'
+    WHEN {_LOSSY.format('c')} THEN path || ': lossy source codec ' || q || c || q || ' is not allowed for FLAC replace workflow' WHEN sr = 0 THEN path || ': unable to detect sample rate' WHEN bits = 0 THEN path || ': unable to detect bit depth'
+    WHEN 88200 > sr OR 24 > bits THEN path || ': target ' || q || '88200/24' || q || ' is higher than source ' || q || sr || '/' || bits || q || ' (upscale blocked)' END AS error FROM y) SELECT * FROM z WHERE error IS NOT NULL""",
 )
 _SPLIT = f"""{TRACKS_SQL}, st AS (SELECT album_id, position, round(coalesce(sum(seconds) OVER (PARTITION BY album_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (cutoff_hz % 75) / 75.0::DOUBLE, 6) AS start FROM tracks)"""
 add("cue_split", lambda spark, d: planning.split_plan(tracks(spark, d)).drop("in_order"), f"WITH {_SPLIT} SELECT album_id, position, start, round(lead(start) OVER (PARTITION BY album_id ORDER BY position) - start, 6) AS duration FROM st")
@@ -133,9 +144,9 @@ def _releases(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     return planning.release_scores(
         p.select(
-            F.floor(k / 5).cast("long").alias("query_id"), (k % 5).alias("place"), k.alias("release_id"), F.when(k % 3 == 0, F.concat("p_name", F.lit(" live"))).otherwise(F.col("p_name")).alias("title"),
-            F.col("p_name").alias("wanted_title"), F.col("p_brand").alias("artist"), F.when(k % 4 == 0, "someone else").otherwise(F.col("p_brand")).alias("wanted_artist"),
-            (F.lit(1990) + k % 2).alias("year"), F.lit(1990).alias("wanted_year"), (k % 130 - 10).alias("source_score"),
+            F.floor(k / 5).cast("long").alias("query_id"), (k % 5).alias("place"), F.when(k % 31 != 0, k.cast("string")).otherwise(" ").alias("release_id"), F.when(k % 3 == 0, F.concat("p_name", F.lit(" (Live)"))).when(k % 3 == 1, F.upper("p_name")).otherwise(F.col("p_name")).alias("title"),
+            F.col("p_name").alias("wanted_title"), F.when(k % 7 == 0, F.lit("Nobody")).otherwise(F.concat("p_brand", F.lit(", Ensemble"))).alias("artist"), F.when(k % 4 == 0, "someone else").otherwise(F.concat(F.lit("Ensemble: "), "p_brand")).alias("wanted_artist"),
+            choose(("1990-05-01", "1991", "", "n/a"), k).alias("date"), F.when(k % 10 < 8, F.lit("1990")).alias("wanted_year"), F.when(k % 9 != 0, (k % 130 - 10).cast("string")).otherwise("x").alias("source_score"),
         )
     )
 
@@ -143,9 +154,9 @@ def _releases(spark: SparkSession, d: str) -> DataFrame:
 add(
     "release_candidates",
     _releases,
-    """WITH x AS (SELECT p_partkey // 5 AS query_id, p_partkey % 5 AS place, p_partkey AS release_id, p_partkey % 3 <> 0 AS exact, p_partkey % 4 <> 0 AS artist, p_partkey % 2 = 0 AS yr, p_partkey % 130 - 10 AS src FROM part),
-  s AS (SELECT *, CASE WHEN exact THEN 120 ELSE 40 END + CASE WHEN artist THEN 80 ELSE 0 END + CASE WHEN yr THEN 20 ELSE -40 END + least(greatest(src, 0), 100) // 5 + CASE WHEN exact AND artist THEN 30 ELSE 0 END AS score FROM x),
-  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place) AS k FROM s) SELECT query_id, release_id, CAST(score AS INTEGER) AS score FROM r WHERE k = 1 AND exact AND artist AND yr""",
+    """WITH x AS (SELECT p_partkey // 5 AS query_id, p_partkey % 5 AS place, p_partkey AS k, p_partkey % 3 <> 0 AS exact, p_partkey % 4 <> 0 AND p_partkey % 7 <> 0 AS artist, CASE p_partkey % 4 WHEN 0 THEN 1990 WHEN 1 THEN 1991 END AS y, CASE WHEN p_partkey % 10 < 8 THEN 1990 END AS w, CASE WHEN p_partkey % 9 <> 0 THEN p_partkey % 130 - 10 ELSE 0 END AS src FROM part WHERE p_partkey % 31 <> 0),
+  s AS (SELECT *, CASE WHEN exact THEN 120 ELSE 40 END + CASE WHEN artist THEN 80 ELSE 0 END + CASE WHEN y = w THEN 20 WHEN y <> w THEN -40 ELSE 0 END + least(greatest(src, 0), 100) // 5 + CASE WHEN exact AND artist THEN 30 ELSE 0 END AS score FROM x),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place) AS n FROM s WHERE score > -1) SELECT query_id, CAST(k AS VARCHAR) AS release_id, CAST(score AS INTEGER) AS score FROM r WHERE n = 1 AND exact AND artist AND NOT coalesce(y <> w, false)""",
 )
 
 

@@ -49,7 +49,8 @@ def albums(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 15 == 0, F.unix_timestamp("o_orderdate")).alias("last_recoded_at"),
         F.when(k % 13 != 0, F.unix_timestamp("o_orderdate")).alias("last_checked_at"),
         F.when(k % 5 == 0, F.lit("Recode to 44100/16")).when(k % 9 == 0, F.lit("")).alias("recode_recommendation"),
-        F.when(k % 17 == 0, F.lit("probe failed")).alias("notes"),
+        F.when(k % 34 == 0, F.lit("probe failed")).when(k % 17 == 0, F.lit("")).alias("notes"),
+        F.when(k % 8 != 0, F.concat((k % 320).cast("string"), F.lit("k"))).when(k % 16 == 0, F.lit("")).alias("bitrate"),
         F.concat(F.lit("/music/"), F.col("c_nationkey").cast("string"), F.lit("/"), F.col("c_name"), F.lit("/"), k.cast("string")).alias("source_path"),
     )
 
@@ -96,7 +97,8 @@ ALBUMS_SQL = f"""albums AS (
     CASE WHEN o_orderkey % 15 = 0 THEN CAST(epoch(o_orderdate) AS BIGINT) END AS last_recoded_at,
     CASE WHEN o_orderkey % 13 <> 0 THEN CAST(epoch(o_orderdate) AS BIGINT) END AS last_checked_at,
     CASE WHEN o_orderkey % 5 = 0 THEN 'Recode to 44100/16' WHEN o_orderkey % 9 = 0 THEN '' END AS recode_recommendation,
-    CASE WHEN o_orderkey % 17 = 0 THEN 'probe failed' END AS notes,
+    CASE WHEN o_orderkey % 34 = 0 THEN 'probe failed' WHEN o_orderkey % 17 = 0 THEN '' END AS notes,
+    CASE WHEN o_orderkey % 8 <> 0 THEN CAST(o_orderkey % 320 AS VARCHAR) || 'k' WHEN o_orderkey % 16 = 0 THEN '' END AS bitrate,
     '/music/' || CAST(c_nationkey AS VARCHAR) || '/' || c_name || '/' || CAST(o_orderkey AS VARCHAR) AS source_path
   FROM orders JOIN customer ON o_custkey = c_custkey
 )"""

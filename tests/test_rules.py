@@ -39,9 +39,9 @@ def test_decisions(spark):
         (70000, 192000, None, None, 48000, False, 192000), (29898, 192000, "high", None, 48000, False, 192000), (4738, 192000, *unsure, 48000, False, 192000),
         (4738, 384000, *unsure, 48000, False, 192000), (4738, 705600, *unsure, 44100, False, 176400), (None, 2822400, None, None, None, False, 176400),
     ]
-    d = decision.decide(F.col("cutoff"), F.col("sr"), F.col("confidence"), F.col("reason"), F.lit(None).cast("boolean"))
-    found = values(spark, [r[:4] for r in rows], "cutoff int, sr int, confidence string, reason string", d["standard_family"], d["fake_upscale"], d["target_sr"])
-    assert found == [r[4:] for r in rows]
+    df = spark.createDataFrame([(i, *r[:4]) for i, r in enumerate(rows)], "i int, cutoff int, sr int, confidence string, reason string")
+    found = decision.decided(df, F.col("cutoff"), F.col("sr"), F.col("confidence"), F.col("reason"), F.lit(None).cast("boolean")).orderBy("i")
+    assert [tuple(r) for r in found.select("standard_family", "fake_upscale", "target_sr").collect()] == [r[4:] for r in rows]
 
 
 def test_advice(spark):
