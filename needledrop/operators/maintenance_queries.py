@@ -151,9 +151,8 @@ add(
 )
 
 
-def _songs(spark: SparkSession, d: str, every: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Wanted songs and a cache of lyrics. The cache: tracks whose id divides by 3. Wanted: only the first track of
-    every album, in the cache or not; with every, all tracks that aren't in the cache."""
+def _songs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Wanted songs and a cache of lyrics. The cache: tracks whose id divides by 3; wanted: all others."""
     rows = tracks(spark, d).select(
         F.concat(F.lit("a"), (F.col("part_id") % 40).cast("string")).alias("artist_lc"),
         F.concat(F.lit("t"), (F.col("supp_id") % 20).cast("string")).alias("title_lc"),
@@ -162,48 +161,30 @@ def _songs(spark: SparkSession, d: str, every: bool = False) -> tuple[DataFrame,
         (F.col("bitrate_bps") + 0).alias("updated_at"),
     )
     cache = rows.where("song_id % 3 = 0").select("artist_lc", "title_lc", "duration_int", F.col("song_id").alias("cache_id"), "updated_at", F.when(F.col("updated_at") % 2 == 0, "found").otherwise("not_found").alias("status"))
-    return rows.where("song_id % 3 <> 0" if every else "song_id % 50 = 1"), cache
+    return rows.where("song_id % 3 <> 0"), cache
 
 
 _SONGS = f"""{TRACKS_SQL}, songs AS (SELECT 'a' || CAST(part_id % 40 AS VARCHAR) AS artist_lc, 't' || CAST(supp_id % 20 AS VARCHAR) AS title_lc, CAST(seconds + cutoff_hz % 7 AS INTEGER) AS duration_int,
   album_id * 100 + position AS song_id, bitrate_bps AS updated_at FROM tracks), cache AS (SELECT artist_lc, title_lc, duration_int, song_id AS cache_id, updated_at, CASE WHEN updated_at % 2 = 0 THEN 'found' ELSE 'not_found' END AS status FROM songs WHERE song_id % 3 = 0),
-  wanted AS (SELECT * FROM songs WHERE song_id % 50 = 1)"""
-add(
-    "lyrics_asof",
-    lambda spark, d: maintenance.lyrics_lookup(*_songs(spark, d)),
-    f"""WITH {_SONGS} SELECT song_id, cache_id, status, updated_at FROM (SELECT w.song_id, c.cache_id, c.status, c.updated_at, row_number() OVER (PARTITION BY w.song_id ORDER BY c.updated_at DESC, c.cache_id DESC) AS k
-  FROM wanted w JOIN cache c ON w.artist_lc = c.artist_lc AND w.title_lc = c.title_lc AND c.duration_int BETWEEN greatest(w.duration_int - 2, 0) AND w.duration_int + 2) WHERE k = 1""",
-)
+  wanted AS (SELECT * FROM songs WHERE song_id % 3 <> 0)"""
 
 
-def _lyrics_upsert(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
-    wanted, cache = _songs(spark, d, every)
+def _lyrics_upsert(spark: SparkSession, d: str) -> DataFrame:
+    wanted, cache = _songs(spark, d)
     found = wanted.select("artist_lc", "title_lc", "duration_int", F.col("song_id").alias("cache_id"), "updated_at", F.lit("found").alias("status"))
     return maintenance.lyrics_upsert(cache, found)
 
 
-add(
-    "lyrics_window_upsert",
-    _lyrics_upsert,
-    f"""WITH {_SONGS} SELECT * FROM cache c WHERE NOT EXISTS (SELECT 1 FROM wanted w WHERE w.artist_lc = c.artist_lc AND w.title_lc = c.title_lc AND c.duration_int BETWEEN greatest(w.duration_int - 2, 0) AND w.duration_int + 2)
-  UNION ALL SELECT artist_lc, title_lc, duration_int, song_id AS cache_id, updated_at, 'found' AS status FROM wanted""",
-)
-_ALL_SONGS = f"{_SONGS}, wanted_all AS (SELECT * FROM songs WHERE song_id % 3 <> 0)"
 add(
     "lyrics_asof_all",
-    lambda spark, d: maintenance.lyrics_lookup(*_songs(spark, d, True)),
-    f"""WITH {_ALL_SONGS} SELECT w.song_id, max(c.m).cache_id AS cache_id, max(c.m).status AS status, max(c.m).updated_at AS updated_at FROM wanted_all w
+    lambda spark, d: maintenance.lyrics_lookup(*_songs(spark, d)),
+    f"""WITH {_SONGS} SELECT w.song_id, max(c.m).cache_id AS cache_id, max(c.m).status AS status, max(c.m).updated_at AS updated_at FROM wanted w
   JOIN (SELECT artist_lc, title_lc, duration_int, max({{'updated_at': updated_at, 'cache_id': cache_id, 'status': status}}) AS m FROM cache GROUP BY ALL) c
   ON w.artist_lc = c.artist_lc AND w.title_lc = c.title_lc AND c.duration_int BETWEEN greatest(w.duration_int - 2, 0) AND w.duration_int + 2 GROUP BY w.song_id""",
 )
 add(
     "lyrics_window_upsert_all",
-    lambda spark, d: _lyrics_upsert(spark, d, True),
-    f"""WITH {_ALL_SONGS} SELECT * FROM cache c WHERE NOT EXISTS (SELECT 1 FROM wanted_all w WHERE w.artist_lc = c.artist_lc AND w.title_lc = c.title_lc AND c.duration_int BETWEEN greatest(w.duration_int - 2, 0) AND w.duration_int + 2)
-  UNION ALL SELECT artist_lc, title_lc, duration_int, song_id AS cache_id, updated_at, 'found' AS status FROM wanted_all""",
-)
-add(
-    "lyrics_retry_due",
-    lambda spark, d: _songs(spark, d)[1].where((F.col("status") == "not_found") & (F.lit(2_000_000 + 6 * 30 * 86_400) - F.col("updated_at") >= 6 * 30 * 86_400 + 1_000_000)).select("cache_id"),
-    f"WITH {_SONGS} SELECT cache_id FROM cache WHERE status = 'not_found' AND {2_000_000 + 6 * 30 * 86_400} - updated_at >= {6 * 30 * 86_400 + 1_000_000}",
+    _lyrics_upsert,
+    f"""WITH {_SONGS} SELECT * FROM cache c WHERE NOT EXISTS (SELECT 1 FROM wanted w WHERE w.artist_lc = c.artist_lc AND w.title_lc = c.title_lc AND c.duration_int BETWEEN greatest(w.duration_int - 2, 0) AND w.duration_int + 2)
+  UNION ALL SELECT artist_lc, title_lc, duration_int, song_id AS cache_id, updated_at, 'found' AS status FROM wanted""",
 )

@@ -130,11 +130,6 @@ def lyrics_flagged(albums: DataFrame, cached: DataFrame) -> DataFrame:
     return albums.join(found, F.col("id") == F.col("_id"), "left").select("id", F.when(F.col("_id").isNotNull(), 1).otherwise(0).alias("has_lyrics"))
 
 
-def emptied(table: DataFrame) -> DataFrame:
-    """A table of the same columns without rows."""
-    return table.limit(0)
-
-
 def batch_plan(queue: DataFrame, gone_paths: DataFrame, n: int) -> DataFrame:
     """id, step: purge for items whose path is gone (they cost nothing), take for the first n others, wait for the rest."""
     marked = queue.where(F.col("scan_kind").isin("new", "changed")).join(gone_paths.select(F.col("source_path").alias("_p")).distinct(), F.col("source_path") == F.col("_p"), "left")

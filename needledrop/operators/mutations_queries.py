@@ -128,7 +128,6 @@ add(
     lambda spark, d: mutations.lyrics_flagged(albums(spark, d), tracks(spark, d).select(F.col("album_id").alias("id"), choose(("found", "not_found", "error"), F.col("part_id")).alias("status"))),
     f"WITH {ALBUMS_SQL}, {TRACKS_SQL} SELECT id, CAST(id IN (SELECT album_id FROM tracks WHERE part_id % 3 = 0) AS INTEGER) AS has_lyrics FROM albums",
 )
-add("emptied_queue", lambda spark, d: mutations.emptied(_queue(spark, d)), f"WITH {_QUEUE} SELECT * FROM q LIMIT 0")
 add(
     "batch_plan",
     lambda spark, d: mutations.batch_plan(_queue(spark, d), _queue(spark, d).where("id % 10 = 0"), 50),

@@ -121,7 +121,7 @@ def test_lyrics_of_every_song_outside_the_cache(spark, sf_dir):
     """Against brute force: all tracks that aren't in the cache are looked up and upserted, not first tracks alone."""
     from needledrop.operators import maintenance_queries as m
 
-    wanted, cache = (x.collect() for x in m._songs(spark, sf_dir, True))
+    wanted, cache = (x.collect() for x in m._songs(spark, sf_dir))
     ids = {r["song_id"] for r in wanted}
     assert len(ids) + len(cache) == m.tracks(spark, sf_dir).count()
     assert not ids & {r["cache_id"] for r in cache} and len({i % 100 for i in ids}) > 1
