@@ -50,9 +50,23 @@ def farthest(x: np.ndarray, n_lists: int, per_vector: int, seed: int) -> tuple[n
 
 def unit_rows(data: list[bytes], kind: str) -> np.ndarray:
     x = np.stack([np.frombuffer(b, kind) for b in data]).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)  # so that no square over- or underflows
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+#: Below this many dimensions every vector stands in all of FEW_LISTS lists, so that no pair can be missed.
+EXACT_BELOW, FEW_LISTS = 8, 2
+
+
+def lists_of(dim: int, n_lists: int, per_vector: int) -> tuple[int, int]:
+    """How many lists vectors of that length have, and in how many of them each stands.
+
+    In few dimensions linked vectors can be farthest out on wholly different directions, as many directions lie between
+    them. There each stands in every list: linked vectors are in each other's window in all of them.
+    """
+    return (FEW_LISTS, FEW_LISTS) if dim < EXACT_BELOW else (n_lists, per_vector)
+
+
 def _classes(vectors: DataFrame) -> tuple[DataFrame, str]:
     """vec_id, node (a 64-bit name of label and vector, null if it links with nothing), label, data for every row."""
     kind = "<f4" if isinstance(vectors.schema["embedding"].dataType, T.ArrayType) and isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else "<f8"
@@ -64,8 +78,7 @@ def _classes(vectors: DataFrame) -> tuple[DataFrame, str]:
                 x = None
                 if label is not None and row.is_valid and row.values is not None and row.values.null_count == 0 and len(row.values):
                     x = row.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                    n = float(np.linalg.norm(x))
-                    x = x if np.isfinite(n) and n > 0 else None
+                    x = x if np.isfinite(x).all() and x.any() else None
                 if x is None:
                     nodes.append(None)
                     data.append(None)
@@ -83,7 +96,7 @@ LISTS = "label string, dim int, list int, node long, copies long, value float, l
 
 
 def sorted_lists(classes: DataFrame, kind: str, n_lists: int, per_vector: int, seed: int) -> DataFrame:
-    """Each vector in the lists of the per_vector directions on which its projection is farthest out."""
+    """Each vector in the lists of the directions on which its projection is farthest out (see lists_of)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,7 +106,7 @@ def sorted_lists(classes: DataFrame, kind: str, n_lists: int, per_vector: int, s
                 at = np.flatnonzero(sizes == size)
                 dim = size // np.dtype(kind).itemsize
                 for some in np.array_split(at, -(-len(at) * DIRECTIONS // PRODUCTS)):
-                    top, values = farthest(unit_rows([data[i] for i in some], kind).astype(np.float32), n_lists, per_vector, seed)
+                    top, values = farthest(unit_rows([data[i] for i in some], kind).astype(np.float32), *lists_of(dim, n_lists, per_vector), seed)
                     top, k = top.astype("<i4"), top.shape[1]
                     take = pa.array(np.repeat(some, k))
                     own = batch.take(take)
@@ -202,7 +215,8 @@ def near_copies(vectors: DataFrame, least: float = 0.93, n_lists: int | None = N
     vectors can be apart); pairs with `collisions` or more are verified. With 1,024 lists and 12 for each vector two
     unit vectors of 64 dimensions at cosine 0.93 collide at least twice in all of 4,000 trials, and about 1 % of unrelated
     pairs do. Lists grow in number with the largest label (from 100,000 vectors on; 16 for each vector then), so that
-    their length stays; a task projects on 1,024 at a time. A list over BLOCK vectors is cut into blocks, and each
+    their length stays; a task projects on 1,024 at a time. In fewer than EXACT_BELOW dimensions every vector stands in a few
+    lists, all of them, and no link is missed. A list over BLOCK vectors is cut into blocks, and each
     pair of blocks is a task's group of its own. Tasks return a sum for each vector and links that join the same
     vectors, never one row for each link.
 
