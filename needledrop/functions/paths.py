@@ -58,8 +58,10 @@ def clipped(text: Column, most: int) -> Column:
 
 
 def unsorted_name(name: Column) -> Column:
-    """Last, First as First Last."""
-    return F.regexp_replace(name, r"^([^,]+), ([^,]+)$", "$2 $1")
+    """Last, First as First Last; without white space at the ends."""
+    x = trimmed(name)
+    part = lambda i: trimmed(F.regexp_extract(x, r"^([^,]+)\s*,\s*([^,].+)$", i))
+    return F.when(x.rlike(r"^[^,]+\s*,\s*[^,].+$"), F.concat(part(2), F.lit(" "), part(1))).otherwise(x)
 
 
 def plain_lyrics(text: Column) -> Column:
@@ -120,3 +122,24 @@ def next_even_run(now: Column, minutes: Column) -> Column:
     """HH:MM of the next multiple of an interval from `now` on (seconds since 1970, in UTC); other than 1 to 720 minutes count as 20."""
     step = F.coalesce(F.when(minutes.between(1, 720), minutes), F.lit(20)).cast("long") * 60
     return F.date_format(F.timestamp_seconds(F.ceil(now / step).cast("long") * step), "HH:mm")
+
+
+def path_candidates(raw: Column) -> Column:
+    """The paths that a path out of a shell may mean, in the order in which they are tried: as it is, with quotes unescaped, with a quote for a last backslash."""
+    quoted = F.when(raw.endswith("\\"), F.concat(F.left(raw, F.length(raw) - 1), F.lit("'")))
+    return F.array_distinct(F.array_compact(F.array(raw, F.replace(raw, F.lit("\\'"), F.lit("'")), quoted)))
+
+
+def album_identity(tags: Column, folder: Column) -> Column:
+    """A struct of artist, album and year that artwork of an album folder is looked for by.
+
+    tags: a map of the first track's names (album_artist, artist, album), null for none. The folder's name gives the year (YYYY - name) and what
+    tags leave out; the folder above it an artist, turned round if it is sorted by surname.
+    """
+    tag = lambda k: F.nullif(trimmed(F.try_element_at(tags, F.lit(k))), F.lit(""))
+    parts = F.split(F.rtrim(folder, F.lit("/")), "/")
+    name, above = F.element_at(parts, -1), F.nullif(F.try_element_at(parts, F.lit(-2)), F.lit(""))
+    dated = r"^([12][0-9]{3})\s*-\s*(.+)$"
+    year, rest = F.regexp_extract(name, dated, 1), F.nullif(trimmed(F.regexp_extract(name, dated, 2)), F.lit(""))
+    artist = F.coalesce(tag("album_artist"), tag("artist"), unsorted_name(F.nullif(trimmed(F.when(above != ".", above)), F.lit(""))), F.lit(""))
+    return F.struct(artist.alias("artist"), F.coalesce(tag("album"), F.when(year != "", F.coalesce(rest, F.lit(""))), trimmed(name)).alias("album"), year.alias("year"))

@@ -166,17 +166,20 @@ def nearest_page(albums: DataFrame, view: str, number: int, size: int = 15) -> D
     return page(albums, view, min(max(number, 1), page_count(albums, view, size)), size)
 
 
-def page_after(albums: DataFrame, cursor: tuple[int, str, str, int, int], size: int = 15, backward: bool = False) -> DataFrame:
-    """The page after (or before) a row of the default view, by its key: checked down, artist, album, year and id up."""
+def page_after(albums: DataFrame, cursor: tuple[int, str, str, int, int], size: int = 15, backward: bool = False, descending: bool = True, artist_descending: bool = False, **filters) -> DataFrame:
+    """The page after (or before) a row of a view sorted by time of the last check, in the view's order, by that row's key.
+
+    The key: checked (down or up), artist (up, or down as in filtered views), album, year and id up. filters: see where.
+    """
     keys = [SORTS["checked"](), F.lower("artist"), F.lower("album"), F.coalesce("year_int", F.lit(0)), F.col("id")]
-    down = [True, False, False, False, False]
+    down = [descending, artist_descending, False, False, False]
     test, same = F.lit(False), F.lit(True)
     for k, desc, value in zip(keys, down, cursor, strict=True):
         further = (k < F.lit(value)) if desc != backward else (k > F.lit(value))
         test, same = test | (same & further), same & (k == F.lit(value))
-    towards = [k.desc() if desc != backward else k.asc() for k, desc in zip(keys, down, strict=True)]
-    rows = where(graded(albums)).where(test).orderBy(*towards).limit(size)
-    return display(graded(_page_rows(rows, albums)).orderBy(*towards))
+    turned = lambda back: [k.desc() if desc != back else k.asc() for k, desc in zip(keys, down, strict=True)]
+    rows = where(graded(albums), **filters).where(test).orderBy(*turned(backward)).limit(size)
+    return display(graded(_page_rows(rows, albums)).orderBy(*turned(False)))
 
 
 def stats(albums: DataFrame, queue: DataFrame) -> DataFrame:
@@ -191,6 +194,32 @@ def inventory(albums: DataFrame, column: str) -> DataFrame:
     return rows.groupBy("value").agg(F.count("*").alias("n")).unionByName(rows.agg(F.count("*").alias("n")).select(F.lit("__all__").alias("value"), "n"))
 
 
+def inventory_order(column: str) -> list[Column]:
+    """The order of an inventory: all first, then by value; profiles that are one by depth (float as ten times its bits) and rate
+    downwards, then others, those without any last.
+    """
+    v = F.col("value")
+    first = F.when(v == "__all__", 0).otherwise(1).asc()
+    if column != "profile_norm":
+        return [first, v.asc()]
+    there, bits = F.instr(v, "/") > 0, F.lower(F.trim(F.substring_index(v, "/", -1)))
+    depth = F.when(bits == "64f", 640).when(bits == "32f", 320).when(bits.rlike("^[0-9][0-9]"), F.regexp_extract(bits, "^([0-9]+)", 1).try_cast("int") * 10).otherwise(0)
+    rate = F.coalesce(F.regexp_extract(v, r"^([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double"), F.lit(0.0))
+    return [first, F.when(v == UNKNOWN, 3).when(there, 0).otherwise(2).asc(), F.when(there, depth).otherwise(0).desc(), F.when(there, rate).otherwise(0.0).desc(), v.asc()]
+
+
+def ordered_inventory(albums: DataFrame, column: str) -> DataFrame:
+    """inventory() in its order, with the place of each value from 1 on. There are as many rows as values."""
+    order = inventory_order(column)
+    return inventory(albums, column).withColumn("place", F.row_number().over(Window.orderBy(*order))).orderBy(*order)
+
+
+def inspectable() -> Column:
+    """Whether a row's tracks can be looked at: no recode wanted, not failed, no rescan pending."""
+    pending = F.lower(F.coalesce("recode_recommendation", F.lit(""))).contains("pending rescan")
+    return (F.coalesce("needs_recode", F.lit(0)) != 1) & (F.coalesce("scan_failed", F.lit(0)) != 1) & ~pending
+
+
 def grade_shares(albums: DataFrame) -> DataFrame:
     """Whole percents of each grade, half up."""
     rows = where(graded(albums)).select(F.coalesce("quality_grade", F.lit("-")).alias("grade")).groupBy("grade").agg(F.count("*").alias("n"))

@@ -119,19 +119,26 @@ CURSOR = (900_000_000, "customer#000000100", "3-medium vol 7", 1998, 1234)
 _KEYS = ("coalesce(last_checked_at, 0)", "lower(artist)", "lower(album)", "coalesce(year_int, 0)", "id")
 
 
-def _keyset_sql(backward: bool) -> str:
+def _keyset_sql(backward: bool, descending: bool = True, artist_descending: bool = False, test: str = "rarity = 0") -> str:
     values = [f"'{v}'" if isinstance(v, str) else str(v) for v in CURSOR]
-    down = [True, False, False, False, False]
+    down = [descending, artist_descending, False, False, False]
     tests = []
     for i in range(5):
         same = [f"{_KEYS[j]} = {values[j]}" for j in range(i)]
         tests.append("(" + " AND ".join([*same, f"{_KEYS[i]} {'<' if down[i] != backward else '>'} {values[i]}"]) + ")")
     order = ", ".join(f"{k} {'DESC' if x != backward else 'ASC'}" for k, x in zip(_KEYS, down, strict=True))
-    return f"WITH {GRADED} SELECT {CELLS} FROM graded WHERE rarity = 0 AND ({' OR '.join(tests)}) ORDER BY {order} LIMIT 15"
+    return f"WITH {GRADED} SELECT {CELLS} FROM graded WHERE {test} AND ({' OR '.join(tests)}) ORDER BY {order} LIMIT 15"
 
 
 add("page_keyset_next", lambda spark, d: catalog.page_after(albums(spark, d), CURSOR), _keyset_sql(False))
 add("page_keyset_prev", lambda spark, d: catalog.page_after(albums(spark, d), CURSOR, backward=True), _keyset_sql(True))
+for _back in (False, True):
+    for _down, _artist in ((False, False), (True, True)):
+        add(
+            f"page_keyset_{'prev' if _back else 'next'}_{'of_codec' if _artist else 'ascending'}",
+            lambda spark, d, b=_back, x=_down, y=_artist: catalog.page_after(albums(spark, d), CURSOR, backward=b, descending=x, artist_descending=y, **({"codec": "flac"} if y else {"failed": True})),
+            _keyset_sql(_back, _down, _artist, "rarity = 0 AND " + ("codec_norm = 'flac'" if _artist else "scan_failed = 1")),
+        )
 
 _KEPT = ("id", "artist", "album", "quality_grade", "codec_norm", "profile_norm")
 
@@ -156,6 +163,19 @@ for _column in ("codec_norm", "profile_norm"):
         lambda spark, d, c=_column: catalog.inventory(albums(spark, d), c),
         f"WITH {GRADED} SELECT coalesce(nullif({_column}, ''), '~unknown') AS value, count(*) AS n FROM graded WHERE rarity = 0 GROUP BY 1 UNION ALL SELECT '__all__', count(*) FROM graded WHERE rarity = 0",
     )
+_FIRST = "CASE WHEN value = '__all__' THEN 0 ELSE 1 END"
+_PLACES = {
+    "codec_norm": f"{_FIRST}, value",
+    "profile_norm": f"""{_FIRST}, CASE WHEN value = '~unknown' THEN 3 WHEN contains(value, '/') THEN 0 ELSE 2 END, CASE WHEN NOT contains(value, '/') THEN 0 WHEN ends_with(value, '/64f') THEN 640 WHEN ends_with(value, '/32f') THEN 320 ELSE TRY_CAST(split_part(value, '/', 2) AS INTEGER) * 10 END DESC,
+  CASE WHEN contains(value, '/') THEN TRY_CAST(split_part(value, '/', 1) AS DOUBLE) ELSE 0 END DESC, value""",
+}
+for _column, _places in _PLACES.items():
+    add(
+        f"inventory_order_{_column.removesuffix('_norm')}",
+        lambda spark, d, c=_column: catalog.ordered_inventory(albums(spark, d), c),
+        f"WITH {GRADED}, i AS (SELECT coalesce(nullif({_column}, ''), '~unknown') AS value, count(*) AS n FROM graded WHERE rarity = 0 GROUP BY 1 UNION ALL SELECT '__all__', count(*) FROM graded WHERE rarity = 0) SELECT value, n, row_number() OVER (ORDER BY {_places}) AS place FROM i",
+    )
+add("inspectable_rows", lambda spark, d: albums(spark, d).where(catalog.inspectable()).select("id"), f"WITH {ALBUMS_SQL} SELECT id FROM albums WHERE needs_recode <> 1 AND scan_failed <> 1 AND NOT coalesce(recode_recommendation ILIKE '%pending rescan%', false)")
 add(
     "stats_row",
     lambda spark, d: catalog.stats(albums(spark, d), table(spark, d, "events")),

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from needledrop.functions import grading, parsing, text
+from needledrop.functions import grading, parsing, sizes, text
 
 #: Clean profiles and lossy variants that a data set has of each source.
 CLEAN = ("44100/16", "48000/24")
@@ -53,7 +53,18 @@ def loudness(tracks: DataFrame) -> DataFrame:
     """album_id, loudness of the album as the mean of its tracks by duration, and the gain to -23 in 1/256 dB."""
     rows = tracks.where("seconds > 0").groupBy("album_id").agg(F.sum(F.col("peak_tenths") * F.col("seconds")).alias("weighted"), F.sum("seconds").alias("seconds"))
     mean = F.round(F.col("weighted") / F.col("seconds") / 10 - 14, 4)
-    return rows.select("album_id", mean.alias("loudness"), F.round((F.lit(-23) - mean) * 256).cast("long").alias("fixed_gain"))
+    return rows.select("album_id", mean.alias("loudness"), sizes.fixed_gain(F.lit(-23) - mean).alias("fixed_gain"))
+
+
+def track_gains(tracks: DataFrame, album_gain: DataFrame) -> DataFrame:
+    """album_id, position, gain in dB to -23 and in 1/256 dB, peak as a factor, of tracks (loudness, peak_db; null: not measured).
+
+    A track without a loudness has its album's gain (album_id, gain_db), one without a peak the factor 1.
+    """
+    a = album_gain.select(F.col("album_id").alias("_a"), "gain_db")
+    gain = F.coalesce(F.round(F.lit(-23) - F.col("loudness"), 3), F.col("gain_db"))
+    rows = tracks.join(a, F.col("album_id") == F.col("_a"), "left").withColumn("gain", gain)
+    return rows.select("album_id", "position", "gain", sizes.fixed_gain(F.col("gain")).alias("fixed_gain"), F.coalesce(sizes.linear_gain(F.col("peak_db")), F.lit(1.0)).alias("peak"))
 
 
 def dataset_matrix(sources: DataFrame, existing: DataFrame, force: bool = False) -> DataFrame:
@@ -267,17 +278,6 @@ def _scored(x: DataFrame) -> DataFrame:
     return rows.withColumns({"class": grade, "confidence": F.when(points >= 4, "HIGH").when(points >= 2, "MEDIUM").otherwise("LOW")})
 
 
-def size_labels(bytes_: Column) -> Column:
-    """Bytes with one decimal (half up, in whole numbers) and a unit by powers of 1024."""
-    out = F.concat(bytes_.cast("string"), F.lit("b"))
-    for power, name in enumerate(("Kb", "Mb", "Gb", "Tb"), 1):
-        unit = 1024**power
-        tenths = F.floor((bytes_ * 20 + unit) / (2 * unit)).cast("long")
-        text_ = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(name))
-        out = F.when(bytes_ >= unit, text_).otherwise(out)
-    return out
-
-
 #: The remarks on a spectrogram's figures. %s is the cutoff in kHz.
 LOW_PASS, CEILING, WIDE_BAND = "Strong low-pass signature; likely lossy or low-rate source.", "Bandwidth is near CD/48k ceiling.", "Bandwidth supports a high-resolution source class."
 WALL_HIGH = "Brickwall-like cutoff around %s kHz with weak ultrasonic content; likely upsampled/fake hi-res."

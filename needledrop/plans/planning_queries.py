@@ -203,12 +203,6 @@ add(
   CASE WHEN NOT down THEN class WHEN s2 >= 95 AND hires THEN 'S' WHEN s2 >= 86 THEN 'A' WHEN s2 >= 70 THEN 'B' WHEN s2 >= 54 THEN 'C' WHEN s2 >= 38 THEN 'D' ELSE 'F' END AS class,
   CASE points WHEN 2 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS profile_confidence FROM z""",
 )
-add(
-    "size_labels",
-    lambda spark, d: tracks(spark, d).select("album_id", "position", planning.size_labels((F.col("bitrate_bps") * F.col("seconds") / 8).cast("long")).alias("label")),
-    f"WITH {TRACKS_SQL}, z AS (SELECT album_id, position, CAST(trunc(CAST(bitrate_bps * seconds AS DOUBLE) / 8) AS BIGINT) AS b FROM tracks), t AS (SELECT *, CASE WHEN b >= 1073741824 THEN 1073741824 WHEN b >= 1048576 THEN 1048576 WHEN b >= 1024 THEN 1024 END AS u FROM z), "
-    "w AS (SELECT *, (b * 20 + u) // (2 * u) AS k FROM t) SELECT album_id, position, CASE WHEN u IS NULL THEN CAST(b AS VARCHAR) || 'b' ELSE CAST(k // 10 AS VARCHAR) || '.' || CAST(k % 10 AS VARCHAR) || CASE u WHEN 1024 THEN 'Kb' WHEN 1048576 THEN 'Mb' ELSE 'Gb' END END AS label FROM w",
-)
 add(
     "fingerprint",
     lambda spark, d: tracks(spark, d).groupBy("album_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", "position", "bitrate_bps", "cutoff_hz"))), ";"), 256).alias("fingerprint")),

@@ -5,8 +5,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from needledrop.functions import media, parsing, paths, text, years
-from needledrop.operators import catalog, maintenance, mutations, signal, strategy, transfer
+from needledrop.functions import media, parsing, paths, routing, sizes, text, years
+from needledrop.operators import catalog, logs, maintenance, mutations, reports, signal, strategy, transfer
 from needledrop.operators.files import pcm_bytes
 from needledrop.plans import planning
 
@@ -204,3 +204,75 @@ def test_bytes_of_sound(spark):
     rows = [(1, 1, "44100", "1", "16", 10.0), (1, 2, "96000", "6", "32", 0.00001), (2, 1, "N/A", "2", "24", 5.0), (3, 1, "48000", "?", "", 1.0)]
     found = {r["album_id"]: (r["bytes"], round(r["seconds"], 6)) for r in pcm_bytes(spark.createDataFrame(rows, "album_id long, position int, sr string, channels string, bits string, seconds double")).collect()}
     assert found == {1: (882_001, 10.00001), 2: (0, 5.0), 3: (288_000, 1.0)}
+
+
+def test_sizes(spark):
+    for n, want in (("0", "0b"), ("1023", "1023b"), ("1024", "1Kb"), ("1536", "1.5Kb"), ("2047", "2Kb"), (str(150 * 1024 + 512), "150Kb"), ("104857600", "100Mb"), ("x", "0b"), (str(5 * 2**40 + 2**39), "5.5Tb"), (str(3000 * 2**40), "3000Tb")):
+        assert one(spark, sizes.transfer_size(F.lit(n))) == want
+    for n, want in ((0, "0B"), (-5, "0B"), (1023, "1023B"), (1024, "1.00K"), (1280, "1.25K"), (20 * 1024, "20.0K"), (200 * 1024, "200K"), (5 * 2**30, "5.00G"), (5000 * 2**40, "5000T")):
+        assert one(spark, sizes.short_size(F.lit(n))) == want
+    assert one(spark, sizes.one_line(F.lit("a\tb\r\nc"))) == "a b  c"
+    assert [one(spark, sizes.linear_gain(F.lit(x))) for x in (0.0, -6.0, -1.5)] == [1.0, 0.501187, 0.841395]
+    assert [one(spark, sizes.fixed_gain(F.lit(x))) for x in (1.0, -1.0, 0.001, -0.002, -0.0019)] == [256, -256, 0, -1, 0]
+    assert [one(spark, sizes.short_number(F.lit(x).cast("double"))) for x in (7, 7.5, 7.256, 7.996, None)] == ["7", "7.5", "7.26", "8", "-"]
+
+
+def test_routes(spark):
+    """Every case of what is installed and known, with what must come out."""
+    rows, want = [], []
+    for sox in (True, False):
+        for ffmpeg in (True, False):
+            for formats in ([], ["FLAC"], ["flac", "ffmpeg"], ["ffmpeg"], ["opus", "m4a", "vorbis", "aifc", "flac"]):
+                for codec, known in (("flac", "flac" in [f.lower() for f in formats]), ("x.aif", "aifc" in formats), ("libvorbis", "vorbis" in formats), ("alac", "m4a" in formats), ("opus", False), ("", False), ("other", False)):
+                    low = [f.lower() for f in formats]
+                    bridge, writes = sox and ffmpeg and "ffmpeg" in low, sox and "flac" in low
+                    reads = sox and known
+                    decoder = "sox" if reads else "sox(ffmpeg-in)" if bridge else "ffmpeg" if ffmpeg else "none"
+                    encoder = "sox" if writes and reads else "sox(ffmpeg-in)" if writes and bridge else "ffmpeg" if ffmpeg else "none"
+                    rows.append((len(rows), codec, "/a/b.other", sox, ffmpeg, formats))
+                    want.append((decoder, encoder, "sox" if sox and encoder.startswith("sox") else "ffmpeg", "ffmpeg" if sox and encoder == "sox(ffmpeg-in)" else "autodetect"))
+    df = spark.createDataFrame(rows, "i int, codec string, path string, sox boolean, ffmpeg boolean, formats array<string>")
+    assert [tuple(r)[1:] for r in routing.routes(df).select("i", "decoder", "encoder", "backend", "input").orderBy("i").collect()] == want
+    for raw, codec in (("A.OGA", "ogg"), ("vorbis", "ogg"), ("x.alac", "m4a"), ("y.dca", "dts"), ("z.adts", "aac"), ("MP3", "mp3"), ("a.b", "a.b"), (None, "")):
+        assert one(spark, routing.container_codec(F.lit(raw))) == codec
+    assert one(spark, routing.codec_of_file(F.lit(""), F.lit("/m/x.Flac"))) == "flac"
+
+
+def test_logs(spark):
+    lines = [("a", 1, "Input True Peak: +1.5 dBTP"), ("a", 2, "Input True Peak: -9"), ("b", 1, "Input True Peak: none"), ("b", 2, "\x1b[31mArt: OK | x\x1b[0m"), ("b", 3, "\x1b[1;33m[x] Art: WARN | y\x1b[0m"), ("c", 1, "Art: ERROR | z"), ("d", 1, "-3")]
+    df = spark.createDataFrame(lines, "log string, line_no int, text string")
+    assert {r["log"]: r["peak"] for r in logs.true_peaks(df).collect()} == {"a": 1.5, "b": None}
+    assert {r["log"]: r["art"] for r in logs.art_lines(df).collect()} == {"b": "Art: WARN | y", "c": "Art: ERROR | z"}
+    counts, failed = logs.walk(spark.createDataFrame([("a", 1), ("b", 0), ("c", 2)], "dir string, code int"), df)
+    assert tuple(counts.first()) == (3, 1, 2)
+    assert {r["dir"]: r["line"] for r in failed.collect()} == {"a": "a | Art: ERROR | album processing failed", "c": "c | Art: ERROR | z"}
+
+
+def test_album_reports(spark):
+    tracks = spark.createDataFrame([(1, 9.0), (1, 8.0), (1, None), (2, None), (3, 12.0)], "album_id long, dr double")
+    albums = spark.createDataFrame([(1, "audiophile", 8.0, "C"), (2, "standard", None, "-"), (3, "standard", 11.6, "S")], "album_id long, profile string, db_dr double, db_class string")
+    assert {r["album_id"]: tuple(r)[1:] for r in reports.album_report(tracks, albums).collect()} == {
+        1: (3, 2, 8, "C", "B", "album-level scoring preset audiophile changed class B -> C at DR 8", False),
+        2: (1, 0, None, "-", "-", "", False),
+        3: (1, 1, 12, "S", "S", "", False),
+    }
+    fields = reports.flattened(spark.createDataFrame([(1, '{"recodeTo": "44100/16", "fakeUpscale": true, "drTotal": 9, "grade": "B", "tracks": {"a": 1}}'), (2, "oops"), (3, '{"recodeTo": "x", "grade": "A"}')], "id int, json string"))
+    assert {r["id"]: (r["recodeTo"], r["fakeUpscale"], r["drTotal"], r["genreProfile"], r["ok"]) for r in fields.collect()} == {1: ("44100/16", "1", "9", "standard", True), 2: ("", "0", "", "standard", False), 3: ("x", "0", "", "standard", False)}
+
+
+def test_order_of_profiles(spark):
+    rows = [album(id=i, current_quality=q) for i, q in enumerate(("44100/16", "96000/24", "192000/24", "48000/32f", "mixed", "", "48000/64f", None, "44100/16"))]
+    found = catalog.ordered_inventory(spark.createDataFrame(rows, ALBUM), "profile_norm").collect()
+    assert [(r["value"], r["n"]) for r in found] == [("__all__", 9), ("48000/64f", 1), ("48000/32f", 1), ("192000/24", 1), ("96000/24", 1), ("44100/16", 2), ("mixed", 1), ("~unknown", 2)]
+
+
+def test_pages_before_and_after_a_row_join(spark):
+    rows = [album(id=i, artist="abc"[i % 3], album=f"x{i % 2}", last_checked_at=100 * (i % 4)) for i in range(30)]
+    df = spark.createDataFrame(rows, ALBUM)
+    for down, artist in ((True, False), (False, False), (True, True), (False, True)):
+        key = lambda r, down=down, artist=artist: (-r[1] if down else r[1], [-ord(c) if artist else ord(c) for c in r[2]], r[3], r[4], r[0])
+        view = [r[0] for r in sorted(((i, 100 * (i % 4), "abc"[i % 3], f"x{i % 2}", 1999) for i in range(30)), key=key)]
+        i = view[11]
+        cursor = (100 * (i % 4), "abc"[i % 3], f"x{i % 2}", 1999, i)
+        page = lambda back, down=down, artist=artist, cursor=cursor: [r["id"] for r in catalog.page_after(df, cursor, 7, back, down, artist).collect()]
+        assert page(False) == view[12:19] and page(True) == view[4:11]
