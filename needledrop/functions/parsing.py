@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from needledrop.functions import grading
 from needledrop.functions.paths import index_seconds
+from needledrop.functions.text import trimmed
 
 
 def sheet_tracks(lines: DataFrame) -> DataFrame:
@@ -30,18 +32,60 @@ def sheet_tracks(lines: DataFrame) -> DataFrame:
     return out.select("sheet", "file", "track", "title", "performer", index_seconds(F.col("mark")).alias("start"))
 
 
-def report_tracks(lines: DataFrame) -> DataFrame:
-    """report, name, dr for each track line of a range report (report, line_no, text)."""
-    pattern = r"^\s*DR([0-9]+)\s+-?[0-9.]+ dB\s+-?[0-9.]+ dB\s+[0-9:]+\s+(.*\S)\s*$"
-    rows = lines.select("report", F.regexp_extract("text", pattern, 2).alias("name"), F.regexp_extract("text", pattern, 1).try_cast("int").alias("dr"))
-    return rows.where("dr is not null")
+def _first_match(text: Column, patterns: Sequence[tuple[str, int, int]]) -> tuple[Column, Column]:
+    """The number and the name that the first matching pattern has in its groups (pattern, group of the number, group of the name; 0: none)."""
+    number = F.coalesce(*(F.nullif(F.regexp_extract(text, p, n), F.lit("")) for p, n, _ in patterns))
+    name = F.coalesce(*(F.when(F.regexp_extract(text, p, n) != "", F.regexp_extract(text, p, k) if k else F.lit("")) for p, n, k in patterns))
+    return number.try_cast("double"), name
+
+
+#: The lines of range reports. A track: number and name of it; a total; a property.
+NUMBER = r"(\d+(?:\.\d+)?)"
+TRACK_LINES = (
+    (rf"^\s*(\d+\.\s*.+?):\s*DR\s*{NUMBER}\s*$", 2, 1),
+    (rf"^\s*DR{NUMBER}\s+[-+]?\d+(?:\.\d+)?\s+dB\s+[-+]?\d+(?:\.\d+)?\s+dB\s+(.+?)\s*$", 1, 2),
+    (rf"^\s*DR{NUMBER}\s+\S+\s+\S+\s+(.+?)\s*$", 1, 2),
+)
+TOTAL_LINES = ((rf"(?i)^\s*DR\s*=\s*{NUMBER}\s*$", 1, 0), (rf"(?i)Official DR value:\s*DR{NUMBER}", 1, 0), (rf"(?i)Total DR:\s*DR?{NUMBER}", 1, 0), (rf"(?i)Album DR:\s*DR?{NUMBER}", 1, 0))
+PROPERTIES = {"rate": r"(?i)Sampling rate:\s*(\d+)\s*Hz", "kbps": r"(?i)Average bitrate:\s*(\d+)\s*kbs", "bits": r"(?i)Bits per sample:\s*(\d+)\s*bit"}
+
+
+def song_name(raw: Column) -> Column:
+    """A track's name in a report without folders, time before and format after it, with single spaces."""
+    x = F.element_at(F.split(trimmed(raw), "/"), -1)
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"^\d+:\d{2}(?::\d{2})?\s+", ""), r"\s+\[[^\]]+\]$", ""), r"\s+", " ")
+
+
+def report_tracks(lines: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """report, name, dr for each track of a range report (report, line_no, text); of several lines of a name the last counts.
+
+    files: report, file of the album's files. A name that is a file's in any case, as it is or without a number before it,
+    becomes the file's.
+    """
+    dr, name = _first_match(F.col("text"), TRACK_LINES)
+    rows = lines.select("report", "line_no", dr.alias("dr"), song_name(name).alias("name")).where("dr is not null")
+    if files is not None:
+        f = files.groupBy(F.col("report").alias("_r"), F.lower("file").alias("_key")).agg(F.max("file").alias("_file"))
+        for key in (F.lower("name"), F.lower(trimmed(F.regexp_replace("name", r"^\d+\.\s*", "")))):
+            rows = rows.withColumn("_wanted", key).join(f, (F.col("report") == F.col("_r")) & (F.col("_wanted") == F.col("_key")), "left")
+            rows = rows.select("report", "line_no", "dr", F.coalesce("_file", "name").alias("name"))
+    return rows.groupBy("report", "name").agg(F.max_by("dr", "line_no").alias("dr"))
 
 
 def report_totals(lines: DataFrame) -> DataFrame:
-    """report, total of each report: the last line with an official value."""
-    total = F.regexp_extract("text", r"(?i)^\s*official DR value:\s*DR([0-9]+)\s*$", 1).try_cast("int")
-    rows = lines.withColumn("total", total).where("total is not null")
-    return rows.groupBy("report").agg(F.max_by("total", "line_no").alias("total"))
+    """report, total, rate, kbps, bits of each report: the last line of each kind; reports without a total can't be read."""
+    total, _ = _first_match(F.col("text"), TOTAL_LINES)
+    values = {"total": total} | {name: F.nullif(F.regexp_extract("text", p, 1), F.lit("")).try_cast("int") for name, p in PROPERTIES.items()}
+    rows = lines.select("report", "line_no", *(v.alias(k) for k, v in values.items()))
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("line_no"))).alias(c)
+    return rows.groupBy("report").agg(*map(last, values)).where("total is not null")
+
+
+def newest_reports(files: DataFrame) -> DataFrame:
+    """dir, path of the range report that was written last in each folder (files: dir, path, mtime; names like dr14*.txt), the first by name of equals."""
+    name = F.element_at(F.split("path", "/"), -1)
+    reports = files.where(name.rlike(r"^dr14.*\.txt$"))
+    return reports.groupBy("dir").agg(F.min_by("path", F.struct(-F.col("mtime"), F.col("path"))).alias("path"))
 
 
 def plain_aliases(raw: str | None) -> list[str]:

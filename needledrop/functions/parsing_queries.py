@@ -46,16 +46,37 @@ add(
 
 
 def _report(spark: SparkSession, d: str) -> DataFrame:
-    t = tracks(spark, d)
-    lines = F.array(
-        F.concat(F.lit("DR"), F.col("dr").cast("string"), F.lit("   -0.10 dB   -12.30 dB   3:45  "), _two(F.col("position")), F.lit("-Part "), F.col("part_id").cast("string"), F.lit(".flac")),
-        F.concat(F.lit("Official DR value: DR"), (F.col("dr") + 1).cast("string")),
-    )
-    return t.select(F.col("album_id").alias("report"), "position", F.posexplode(lines).alias("at", "text")).select("report", (F.col("position") * 10 + F.col("at")).alias("line_no"), "text")
+    """Lines of reports of three kinds, one for each track, with totals and properties between them."""
+    t, k, dr = tracks(spark, d), F.col("part_id"), F.col("dr").cast("string")
+    name = F.concat(F.lit("Part "), k.cast("string"), F.lit(".flac"))
+    track = F.when(k % 3 == 0, F.concat(F.lit("  "), F.col("position").cast("string"), F.lit(". "), name, F.lit(":  DR "), dr, F.lit(".5"))).when(k % 3 == 1, F.concat(F.lit("DR"), dr, F.lit("  -0.10 dB  -12.30 dB  3:45 /x/"), name, F.lit(" [flac] "))).otherwise(F.concat(F.lit("DR"), dr, F.lit(" a b 3:45  "), name))
+    total = F.when(k % 5 == 0, F.concat(F.lit(" dr = "), dr)).when(k % 5 == 1, F.concat(F.lit("x official dr value: DR"), dr, F.lit(".25"))).when(k % 5 == 2, F.concat(F.lit("Total DR: DR"), dr)).when(k % 5 == 3, F.concat(F.lit("Album DR:D"), dr)).otherwise(F.lit("DR x"))
+    prop = F.when(k % 4 == 0, F.concat(F.lit("Sampling rate: "), F.col("sr").cast("string"), F.lit(" Hz"))).when(k % 4 == 1, F.lit("average bitrate:320kbs")).when(k % 4 == 2, F.concat(F.lit("  Bits per sample:  "), F.col("bits").cast("string"), F.lit(" bit"))).otherwise(F.lit("--"))
+    return t.select(F.col("album_id").alias("report"), "position", F.posexplode(F.array(track, total, prop)).alias("at", "text")).select("report", (F.col("position") * 10 + F.col("at")).alias("line_no"), "text")
 
 
-add("report_tracks", lambda spark, d: parsing.report_tracks(_report(spark, d)), f"WITH {TRACKS_SQL} SELECT album_id AS report, lpad(CAST(position AS VARCHAR), 2, '0') || '-Part ' || CAST(part_id AS VARCHAR) || '.flac' AS name, dr FROM tracks")
-add("report_totals", lambda spark, d: parsing.report_totals(_report(spark, d)), f"WITH {TRACKS_SQL} SELECT album_id AS report, max_by(dr, position) + 1 AS total FROM tracks GROUP BY 1")
+def _report_files(spark: SparkSession, d: str) -> DataFrame:
+    return tracks(spark, d).where("part_id % 2 = 0").select(F.col("album_id").alias("report"), F.concat(F.lit("PART "), F.col("part_id").cast("string"), F.lit(".FLAC")).alias("file"))
+
+
+add(
+    "report_tracks",
+    lambda spark, d: parsing.report_tracks(_report(spark, d), _report_files(spark, d)),
+    f"""WITH {TRACKS_SQL}, l AS (SELECT album_id AS report, position, CASE WHEN part_id % 3 = 0 THEN dr + 0.5::DOUBLE ELSE dr::DOUBLE END AS dr, CASE WHEN part_id % 2 = 0 THEN 'PART ' || part_id || '.FLAC' WHEN part_id % 3 = 0 THEN position || '. Part ' || part_id || '.flac'
+    WHEN part_id % 3 = 1 THEN 'Part ' || part_id || '.flac' ELSE 'Part ' || part_id || '.flac' END AS name FROM tracks) SELECT report, name, arg_max(dr, position) AS dr FROM l GROUP BY 1, 2""",
+)
+add(
+    "report_totals",
+    lambda spark, d: parsing.report_totals(_report(spark, d)),
+    f"""WITH {TRACKS_SQL} SELECT album_id AS report, arg_max(CASE part_id % 5 WHEN 1 THEN dr + 0.25::DOUBLE ELSE dr::DOUBLE END, position) FILTER (part_id % 5 < 4) AS total, arg_max(sr, position) FILTER (part_id % 4 = 0) AS rate, CAST(max(CASE WHEN part_id % 4 = 1 THEN 320 END) AS INTEGER) AS kbps, arg_max(bits, position) FILTER (part_id % 4 = 2) AS bits
+    FROM tracks GROUP BY 1 HAVING count(*) FILTER (part_id % 5 < 4) > 0""",
+)
+add(
+    "newest_reports",
+    lambda spark, d: parsing.newest_reports(tracks(spark, d).select(F.col("album_id").alias("dir"), F.concat_ws("/", F.col("album_id").cast("string"), F.concat(choose(("dr14", "DR14", "dr14-", "x"), F.col("part_id")), F.col("position").cast("string"), choose((".txt", ".log", ".txt"), F.col("supp_id")))).alias("path"), (F.col("cutoff_hz") % 3).alias("mtime"))),
+    f"""WITH {TRACKS_SQL}, f AS (SELECT album_id AS dir, album_id || '/' || CASE part_id % 4 WHEN 0 THEN 'dr14' ELSE 'dr14-' END || position || '.txt' AS path, cutoff_hz % 3 AS mtime FROM tracks WHERE part_id % 4 IN (0, 2) AND supp_id % 3 <> 1)
+    SELECT dir, arg_min(path, (-mtime, path)) AS path FROM f GROUP BY dir""",
+)
 
 
 def _name_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -260,15 +260,21 @@ def token_hit(tokens: Sequence[str]) -> Column:
 
 
 def search(albums: DataFrame, query: str) -> DataFrame:
-    """Rows that the words of the query begin; if none in the whole catalog do, rows that hold it as text."""
+    """Rows that the words of the query begin; if none in the whole catalog do, rows that hold it as text.
+
+    Whether any row does is asked with a limit, so each task stops at its first one.
+    """
     hit = token_hit(query_tokens(query))
-    any_hit = albums.agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("any_hit"))
+    any_hit = albums.where(hit).select(F.lit(1).alias("_one")).limit(1).agg((F.count("*") > 0).alias("any_hit"))
     rows = where(graded(albums)).crossJoin(any_hit)  # one row
     return rows.where(hit | (~F.col("any_hit") & like_hit(query))).drop("any_hit")
 
 
 def one_of_variants(albums: DataFrame) -> DataFrame:
-    """One row for each artist (spaces and dashes aside), album and year: a dashed name first, the last checked, the highest id."""
+    """One row for each artist (spaces and dashes aside), album and year: a dashed name first, the last checked, the highest id.
+
+    Derive columns (see graded) after it: all columns of albums go through its shuffle and sort.
+    """
     dashed = F.when(F.col("artist").rlike(f"[{text.DASHES}]"), 0).otherwise(1)
     first = Window.partitionBy(text.compact(F.col("artist")), F.lower("album"), F.coalesce("year_int", F.lit(0))).orderBy(dashed, SORTS["checked"]().desc(), F.col("id").desc())
     return albums.withColumn("_first", F.row_number().over(first)).where("_first = 1").drop("_first")

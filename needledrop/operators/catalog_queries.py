@@ -226,7 +226,7 @@ add(
 )
 add(
     "dedupe_artist_variants",
-    lambda spark, d: catalog.one_of_variants(catalog.where(catalog.graded(albums(spark, d))).where(catalog.like_hit("vol"))).select(*_KEPT),
+    lambda spark, d: catalog.graded(catalog.one_of_variants(albums(spark, d).where("rarity = 0").where(catalog.like_hit("vol")))).select(*_KEPT),
     f"""WITH {GRADED}, r AS (SELECT *, row_number() OVER (PARTITION BY translate(lower(artist), ' {text.DASHES}', ''), lower(album), coalesce(year_int, 0)
   ORDER BY CASE WHEN regexp_matches(artist, '[{text.DASHES}]') THEN 0 ELSE 1 END, coalesce(last_checked_at, 0) DESC, id DESC) AS k FROM graded WHERE rarity = 0 AND contains({_HAY}, 'vol'))
 SELECT {', '.join(_KEPT)} FROM r WHERE k = 1""",

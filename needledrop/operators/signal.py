@@ -77,13 +77,14 @@ def fft_cutoffs(windows: DataFrame, threshold: float = -55.0) -> DataFrame:
         import pandas as pd
 
         for frame in batches:
-            bins = []
-            for samples in frame["samples"]:
-                x = np.asarray(samples, dtype=float)
-                mag = np.abs(np.fft.rfft((x - x.mean()) * np.hanning(len(x)))) if len(x) > 1 else np.zeros(1)
-                db = 20 * np.log10(np.maximum(mag / max(mag.max(), 1e-12), 1e-12))
-                at = np.flatnonzero(db >= threshold)
-                bins.append(int(at[-1]) if len(at) else 0)
+            bins, lengths = np.zeros(len(frame), dtype=np.int32), frame["samples"].map(len).to_numpy()
+            for n in np.unique(lengths[lengths > 1]):  # windows of one length at a time
+                at = np.flatnonzero(lengths == n)
+                x = np.stack(frame["samples"].iloc[at].to_list()).astype(float)
+                mag = np.abs(np.fft.rfft((x - x.mean(axis=1, keepdims=True)) * np.hanning(n), axis=1))
+                db = 20 * np.log10(np.maximum(mag / np.maximum(mag.max(axis=1, keepdims=True), 1e-12), 1e-12))
+                loud = db >= threshold
+                bins[at] = np.where(loud.any(axis=1), loud.shape[1] - 1 - loud[:, ::-1].argmax(axis=1), 0)
             yield pd.DataFrame({"id": frame["id"], "cutoff_bin": bins})
 
     return windows.select("id", "samples").mapInPandas(run, "id long, cutoff_bin int")

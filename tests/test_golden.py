@@ -276,3 +276,24 @@ def test_pages_before_and_after_a_row_join(spark):
         cursor = (100 * (i % 4), "abc"[i % 3], f"x{i % 2}", 1999, i)
         page = lambda back, down=down, artist=artist, cursor=cursor: [r["id"] for r in catalog.page_after(df, cursor, 7, back, down, artist).collect()]
         assert page(False) == view[12:19] and page(True) == view[4:11]
+
+
+def test_range_reports(spark):
+    lines = [
+        "  1. Song One:  DR 12.5", "DR9   -0.10 dB   -12.30 dB   3:45 02. Song Two.flac [flac]", "DR7 x y 1:02:03 /a/b/Three  x", "DR8 x y three  X", "Official DR value: DR11", "DR = 10", "Total DR: 9", "Album DR: D8", "Sampling rate: 44100 Hz", "Average bitrate: 900kbs", "bits per sample: 24 bit", "DRx",
+    ]
+    df = spark.createDataFrame([("r", i, x) for i, x in enumerate(lines)] + [("none", 1, "nothing")], "report string, line_no int, text string")
+    files = spark.createDataFrame([("r", "SONG ONE"), ("r", "02. song two.FLAC"), ("other", "three x")], "report string, file string")
+    assert {r["name"]: r["dr"] for r in parsing.report_tracks(df, files).collect()} == {"SONG ONE": 12.5, "02. song two.FLAC": 9.0, "Three x": 7.0, "three X": 8.0}
+    assert [tuple(r) for r in parsing.report_totals(df).collect()] == [("r", 8.0, 44100, 900, 24)]
+    found = spark.createDataFrame([("d", "d/dr14.txt", 1), ("d", "d/dr14_b.txt", 5), ("d", "d/dr14_a.txt", 5), ("d", "d/x.txt", 9), ("e", "e/DR14.txt", 1)], "dir string, path string, mtime long")
+    assert [tuple(r) for r in parsing.newest_reports(found).collect()] == [("d", "d/dr14_a.txt")]
+
+
+def test_artwork_and_identities(spark):
+    schema = "dir string, sidecar string, embedded string, local_width int, local_height int, fetch boolean, least int, remote string, remote_width int, remote_height string"
+    rows = [("a", "f.jpg", "1.flac", 300, 400, True, 500, "r", 600, "700"), ("b", "f.jpg", None, 300, 400, True, 500, "r", 600, "300"), ("c", None, "1.flac", 300, 400, False, 500, "r", 900, "900"), ("d", None, None, None, None, True, 500, "r", 1, "?"), ("e", None, None, 0, 0, True, 500, None, 1, "1"), ("f", "f.jpg", None, 0, 400, True, 500, "r", 900, "900")]
+    assert {r["dir"]: (r["source"], r["fetched"]) for r in logs.chosen_art(spark.createDataFrame(rows, schema)).collect()} == {"a": ("r", True), "b": ("sidecar:f.jpg", True), "c": ("embedded:1.flac", False), "d": ("r", True), "e": (None, True), "f": ("sidecar:f.jpg", False)}
+    for tags, folder, want in (({}, "/m/Young , Neil/1972 - Harvest/", ("Neil Young", "Harvest", "1972")), ({"artist": " X "}, "/m/Y/19 - Z", ("X", "19 - Z", "")), ({"album_artist": "A", "artist": "B", "album": "C"}, "/m/Y/1990-D", ("A", "C", "1990")), (None, "D", ("", "D", ""))):
+        df = spark.createDataFrame([(tags, folder)], "t map<string,string>, f string")
+        assert tuple(df.select(paths.album_identity(F.col("t"), F.col("f")).alias("i")).first()["i"]) == want
