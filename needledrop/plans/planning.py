@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -238,6 +237,40 @@ def verdict(x: DataFrame) -> DataFrame:
     return rows.select("id", label.alias("label"), "band", s.alias("score"), F.when(down, again).otherwise(F.col("class")).alias("class"), "profile_confidence")
 
 
+#: What a score starts from, and its parts: factor, points, reason.
+BASE_SCORE = 62
+PARTS = {
+    "low band": ("band_class", -20, "Bandwidth suggests low-rate/lossy ceiling."),
+    "96 band": ("band_class", 8, "Bandwidth supports hi-res 96k class."),
+    "192 band": ("band_class", 10, "Bandwidth supports top hi-res class."),
+    "other band": ("band_class", 0, "Bandwidth is neutral for quality score."),
+    "transition": ("transition_found", 6, "Stable transition detected in spectral energy profile."),
+    "no transition": ("transition_found", -4, "No stable transition detected in spectral energy profile."),
+    "stats": ("stats_window", 3, "Stats panel detected; OCR context is more reliable."),
+    "no stats": ("stats_window", -2, "Stats panel missing; reduce confidence slightly."),
+    "no peak": ("peak_amplitude_db", -2, "No OCR peak value detected."),
+    "over": ("peak_amplitude_db", -25, "OCR suggests overs/clipping risk."),
+    "hot": ("peak_amplitude_db", -10, "Peak near 0 dB implies hot limiting."),
+    "headroom": ("peak_amplitude_db", 10, "Healthy headroom preserved."),
+    "some headroom": ("peak_amplitude_db", 3, "Slight headroom benefit."),
+    "no range": ("dynamic_range_db", -5, "No OCR dynamic-range value detected."),
+    "wide": ("dynamic_range_db", 20, "Very wide dynamics."),
+    "healthy": ("dynamic_range_db", 10, "Healthy dynamics."),
+    "moderate": ("dynamic_range_db", -5, "Moderate compression."),
+    "heavy": ("dynamic_range_db", -20, "Heavy compression."),
+    "neither": ("ocr_mastering_stats", -2, "Both mastering metrics missing; apply conservative downgrade."),
+    "true cd": ("cd_authenticity", 35, "Cutoff aligns with Redbook Nyquist ceiling and no fake-hires signature."),
+    "wall": ("brickwall_signature", -35, "Hard cutoff near CD band with weak ultrasonic energy (upsample risk)."),
+    "deep": ("ultrasonic_extent", 10, "High-frequency energy reaches deep into ultrasonic band."),
+    "aligned": ("axis_aligned_hires", 8, "Cutoff remains close to the detected hi-res Nyquist ceiling."),
+    "span": ("spectral_dynamic_span", 8, "Wide spectral contrast suggests non-trivial high-band structure."),
+    "ratio": ("high_band_ratio", 4, "High-band energy ratio is plausible for native hi-res texture."),
+    "cd in hires": ("cd_band_in_hires_frame", 14, "CD-band ceiling presented on hi-res axis without hard fake-hires signature."),
+}
+#: What classes are called.
+CLASS_LABELS = {"S": "Reference", "A": "Excellent", "B": "Good", "C": "Fair", "D": "Limited", "F": "Poor"}
+
+
 def score_card(x: DataFrame) -> DataFrame:
     """id, band, score (0 to 100), class and confidence of a spectrogram's figures.
 
@@ -246,31 +279,51 @@ def score_card(x: DataFrame) -> DataFrame:
     return _scored(x).select("id", "band", "score", "class", "confidence")
 
 
+def score_breakdown(x: DataFrame) -> DataFrame:
+    """id, raw_score, score, label and parts (factor, points, reason, in their order) of a spectrogram's figures (see score_card).
+
+    The raw score is the sum of 62 and all parts, at most 69 or 85 where both levels are missing; the score keeps within 0 to 100.
+    """
+    label = F.create_map(*(F.lit(v) for pair in CLASS_LABELS.items() for v in pair))[F.col("class")]
+    return _scored(x).select("id", F.col("capped").alias("raw_score"), "score", label.alias("label"), "parts")
+
+
+def _parts() -> Column:
+    """The parts of a score as an array of (factor, points, reason), from the figures and the band."""
+    peak, dr, band, wall = F.col("peak"), F.col("dr"), F.col("band"), F.col("brickwall")
+    hires = band.isin("hires-96-class", "hires-192-class") & ~wall
+    cd, top, cutoff = band == "cd-or-48k", F.col("top"), F.col("cutoff")
+
+    def first(*cases: tuple[Column | None, str]) -> Column:
+        """The part of the first case that holds (None: any)."""
+        made = [F.struct(*(F.lit(v).alias(n) for v, n in zip(PARTS[name], ("factor", "points", "reason"), strict=True))) for _, name in cases]
+        return F.coalesce(*(one if test is None else F.when(test, one) for (test, _), one in zip(cases, made, strict=True)))
+
+    return F.array_compact(
+        F.array(
+            first((band == "low-bandwidth", "low band"), (band == "hires-96-class", "96 band"), (band == "hires-192-class", "192 band"), (None, "other band")),
+            first((F.col("transition"), "transition"), (None, "no transition")),
+            first((F.col("stats"), "stats"), (None, "no stats")),
+            first((peak.isNull(), "no peak"), (peak > 0.2, "over"), (peak >= -0.2, "hot"), (peak <= -2, "headroom"), (None, "some headroom")),
+            first((dr.isNull(), "no range"), (dr >= 14, "wide"), (dr >= 10, "healthy"), (dr >= 7, "moderate"), (None, "heavy")),
+            first((peak.isNull() & dr.isNull(), "neither")),
+            first((~wall & cd & (cutoff >= 0.75 * top), "true cd")),
+            first((wall, "wall"), (hires & (top >= 90) & (cutoff >= 50), "deep"), (hires & (top >= 44) & (cutoff >= 0.88 * top), "aligned"), (cd & (top >= 90) & (cutoff >= 18), "cd in hires")),
+            first((hires & (F.col("span") >= 30), "span")),
+            first((hires & F.col("ratio").between(0.25, 1.4), "ratio")),
+        )
+    )
+
+
 def _scored(x: DataFrame) -> DataFrame:
-    """x with band, score, class and confidence (see score_card)."""
+    """x with band, parts, score, class and confidence (see score_card)."""
     rows = x.withColumn("band", F.when(promoted(), "hires-96-class").otherwise(band_class(F.col("cutoff"), F.col("top"))))
     peak, dr, band = F.col("peak"), F.col("dr"), F.col("band")
     hires = band.isin("hires-96-class", "hires-192-class")
-    cd_true = ~F.col("brickwall") & (band == "cd-or-48k") & (F.col("cutoff") >= 0.75 * F.col("top"))
-    bonus = (
-        F.when((F.col("top") >= 90) & (F.col("cutoff") >= 50), 10).when((F.col("top") >= 44) & (F.col("cutoff") >= 0.88 * F.col("top")), 8).otherwise(0)
-        + F.when(F.col("span") >= 30, 8).otherwise(0)
-        + F.when(F.col("ratio").between(0.25, 1.4), 4).otherwise(0)
-    )
-    parts = [
-        F.when(band == "low-bandwidth", -20).when(band == "hires-96-class", 8).when(band == "hires-192-class", 10).otherwise(0),
-        F.when(F.col("transition"), 6).otherwise(-4),
-        F.when(F.col("stats"), 3).otherwise(-2),
-        F.when(peak.isNull(), -2).when(peak > 0.2, -25).when(peak >= -0.2, -10).when(peak <= -2, 10).otherwise(3),
-        F.when(dr.isNull(), -5).when(dr >= 14, 20).when(dr >= 10, 10).when(dr >= 7, -5).otherwise(-20),
-        F.when(peak.isNull() & dr.isNull(), -2).otherwise(0),
-        F.when(cd_true, 35).otherwise(0),
-        F.when(F.col("brickwall"), -35).when(hires, bonus).when((band == "cd-or-48k") & (F.col("top") >= 90) & (F.col("cutoff") >= 18), 14).otherwise(0),
-    ]
-    rows = rows.withColumn("raw", reduce(Column.__add__, parts, F.lit(62)))
+    rows = rows.withColumn("parts", _parts()).withColumn("raw", F.aggregate("parts", F.lit(BASE_SCORE), lambda a, p: a + p["points"]))
     none = peak.isNull() & dr.isNull()
-    capped = F.when(none & (band == "cd-or-48k"), F.least("raw", F.lit(69))).when(none & hires, F.least("raw", F.lit(85))).otherwise(F.col("raw"))
-    rows = rows.withColumn("score", F.greatest(F.lit(0), F.least(F.lit(100), capped)))
+    rows = rows.withColumn("capped", F.when(none & (band == "cd-or-48k"), F.least("raw", F.lit(69))).when(none & hires, F.least("raw", F.lit(85))).otherwise(F.col("raw")))
+    rows = rows.withColumn("score", F.greatest(F.lit(0), F.least(F.lit(100), F.col("capped"))))
     s = F.col("score")
     top_class = hires & ~F.col("brickwall") & ((s >= 95) | ((s >= 93) & (F.col("cutoff") >= 50) & (F.col("span") >= 30) & (F.col("ratio") <= 0.6)) | F.coalesce((s >= 90) & (dr >= 20), F.lit(False)))
     points = F.col("transition").cast("int") + F.col("stats").cast("int") + peak.isNotNull().cast("int") + 2 * dr.isNotNull().cast("int")

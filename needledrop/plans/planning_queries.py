@@ -189,6 +189,28 @@ add(
     lambda spark, d: planning.score_card(_figures(spark, d)),
     f"WITH {_CARD} SELECT id, band, score, class, confidence FROM card",
 )
+
+
+def _part(*cases: tuple[str, str]) -> str:
+    one = lambda n: "{'factor': '%s', 'points': %d, 'reason': '%s'}" % planning.PARTS[n]  # noqa: E731, UP031
+    return "CASE " + " ".join(f"WHEN {test} THEN {one(n)}" for test, n in cases) + " END"
+
+
+_ALL_PARTS = ", ".join(
+    (
+        _part(("band = 'low-bandwidth'", "low band"), ("band = 'hires-96-class'", "96 band"), ("band = 'hires-192-class'", "192 band"), ("true", "other band")), _part(("transition", "transition"), ("true", "no transition")), _part(("stats", "stats"), ("true", "no stats")),
+        _part(("peak IS NULL", "no peak"), ("peak > 0.2::DOUBLE", "over"), ("peak >= -0.2::DOUBLE", "hot"), ("peak <= -2", "headroom"), ("true", "some headroom")), _part(("dr IS NULL", "no range"), ("dr >= 14", "wide"), ("dr >= 10", "healthy"), ("dr >= 7", "moderate"), ("true", "heavy")),
+        _part(("peak IS NULL AND dr IS NULL", "neither")), _part(("NOT brick AND band = 'cd-or-48k' AND cutoff >= 0.75::DOUBLE * top", "true cd")),
+        _part(("brick", "wall"), ("hires AND top >= 90 AND cutoff >= 50", "deep"), ("hires AND top >= 44 AND cutoff >= 0.88::DOUBLE * top", "aligned"), ("band = 'cd-or-48k' AND top >= 90 AND cutoff >= 18", "cd in hires")),
+        _part(("NOT brick AND hires AND span >= 30", "span")), _part(("NOT brick AND hires AND ratio BETWEEN 0.25::DOUBLE AND 1.4::DOUBLE", "ratio")),
+    )
+)
+add(
+    "score_parts",
+    lambda spark, d: planning.score_breakdown(_figures(spark, d)).select("id", "raw_score", "score", "label", F.posexplode("parts").alias("at", "p")).select("id", "raw_score", "score", "label", "at", "p.*"),
+    f"""WITH {_CARD}, p AS (SELECT *, list_filter([{_ALL_PARTS}], lambda x: x IS NOT NULL) AS parts FROM card), u AS (SELECT *, unnest(range(len(parts))) AS i, unnest(parts) AS x FROM p)
+  SELECT id, CAST(CASE WHEN peak IS NULL AND dr IS NULL AND band = 'cd-or-48k' THEN least(raw, 69) WHEN peak IS NULL AND dr IS NULL AND hires THEN least(raw, 85) ELSE raw END AS INTEGER) AS raw_score, score, map {{'S': 'Reference', 'A': 'Excellent', 'B': 'Good', 'C': 'Fair', 'D': 'Limited', 'F': 'Poor'}}[class] AS label, CAST(i AS INTEGER) AS at, x.factor AS factor, x.points AS points, x.reason AS reason FROM u""",
+)
 add(
     "verdict",
     lambda spark, d: planning.verdict(_figures(spark, d)),

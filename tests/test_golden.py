@@ -297,3 +297,14 @@ def test_artwork_and_identities(spark):
     for tags, folder, want in (({}, "/m/Young , Neil/1972 - Harvest/", ("Neil Young", "Harvest", "1972")), ({"artist": " X "}, "/m/Y/19 - Z", ("X", "19 - Z", "")), ({"album_artist": "A", "artist": "B", "album": "C"}, "/m/Y/1990-D", ("A", "C", "1990")), (None, "D", ("", "D", ""))):
         df = spark.createDataFrame([(tags, folder)], "t map<string,string>, f string")
         assert tuple(df.select(paths.album_identity(F.col("t"), F.col("f")).alias("i")).first()["i"]) == want
+
+
+def test_parts_of_a_score(spark):
+    schema = "id int, cutoff double, top double, transition boolean, stats boolean, peak double, dr double, span double, ratio double, brickwall boolean"
+    rows = [(1, 60.0, 96.0, True, True, -3.0, 15.0, 34.0, 0.5, False), (2, 21.8, 96.0, True, False, None, None, 18.0, 0.18, True), (3, 20.3, 22.05, True, False, None, None, 24.0, 0.0, False)]
+    found = {r["id"]: (r["raw_score"], r["score"], r["label"], [(p["factor"], p["points"]) for p in r["parts"]]) for r in planning.score_breakdown(spark.createDataFrame(rows, schema)).collect()}
+    assert found == {
+        1: (133, 100, "Reference", [("band_class", 10), ("transition_found", 6), ("stats_window", 3), ("peak_amplitude_db", 10), ("dynamic_range_db", 20), ("ultrasonic_extent", 10), ("spectral_dynamic_span", 8), ("high_band_ratio", 4)]),
+        2: (22, 22, "Poor", [("band_class", 0), ("transition_found", 6), ("stats_window", -2), ("peak_amplitude_db", -2), ("dynamic_range_db", -5), ("ocr_mastering_stats", -2), ("brickwall_signature", -35)]),
+        3: (69, 69, "Fair", [("band_class", 0), ("transition_found", 6), ("stats_window", -2), ("peak_amplitude_db", -2), ("dynamic_range_db", -5), ("ocr_mastering_stats", -2), ("cd_authenticity", 35)]),
+    }
