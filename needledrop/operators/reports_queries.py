@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from needledrop.functions import paths, routing, sizes, text
-from needledrop.operators import logs, reports
+from needledrop.operators import fingerprints, logs, reports
 from needledrop.operators.catalog_queries import Query, canonical_sql, grade_sql
 from needledrop.plans import planning
 from needledrop.sources.bind import ALBUMS_SQL, PROFILES, TRACKS_SQL, _pick, albums, choose, table, tracks
@@ -221,3 +221,18 @@ add(
     _folders,
     f"""WITH {ALBUMS_SQL} SELECT id, CASE WHEN id % 5 = 0 THEN 'AA' WHEN id % 5 = 1 THEN artist WHEN id % 3 = 0 THEN 'First Last' || id ELSE artist END AS artist, CASE WHEN id % 4 = 0 THEN album WHEN id % 2 = 0 AND year_int = 0 THEN '0 - ' || album ELSE album END AS album, CASE WHEN id % 2 = 0 AND year_int > 0 THEN CAST(year_int AS VARCHAR) ELSE '' END AS year FROM albums""",
 )
+
+
+def _settings(spark, d):
+    """Analyses of albums: most settings are the same for all, some differ."""
+    k = F.col("id")
+    fixed = {name: F.lit(f"{i}.5") for i, name in enumerate(fingerprints.SETTINGS)}
+    return albums(spark, d).select("id", fingerprints.config_fingerprint(fixed | {"ruleset": choose(("v1", "v2"), k), "headroom_hz": k % 5 * 100, "fp_mode": choose(("fast", "exact", "auto"), k)}).alias("fingerprint"))
+
+
+_SETTING = {"ruleset": _pick(("v1", "v2"), "id"), "headroom_hz": "CAST(id % 5 * 100 AS VARCHAR)", "fp_mode": _pick(("fast", "exact", "auto"), "id")}
+add(
+    "config_fingerprint",
+    _settings,
+    f"WITH {ALBUMS_SQL} SELECT id, sha256(concat_ws(chr(10), '{fingerprints.CONFIG_VERSION}', " + ", ".join(f"'{name}=' || " + _SETTING.get(name, f"'{i}.5'") for i, name in enumerate(fingerprints.SETTINGS)) + ")) AS fingerprint FROM albums",
+)

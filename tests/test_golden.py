@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from needledrop.functions import media, parsing, paths, routing, sizes, text, years
-from needledrop.operators import catalog, logs, maintenance, mutations, reports, signal, strategy, transfer
+from needledrop.operators import catalog, fingerprints, logs, maintenance, mutations, reports, signal, strategy, transfer
 from needledrop.operators.files import pcm_bytes
 from needledrop.plans import planning
 
@@ -308,3 +310,34 @@ def test_parts_of_a_score(spark):
         2: (22, 22, "Poor", [("band_class", 0), ("transition_found", 6), ("stats_window", -2), ("peak_amplitude_db", -2), ("dynamic_range_db", -5), ("ocr_mastering_stats", -2), ("brickwall_signature", -35)]),
         3: (69, 69, "Fair", [("band_class", 0), ("transition_found", 6), ("stats_window", -2), ("peak_amplitude_db", -2), ("dynamic_range_db", -5), ("ocr_mastering_stats", -2), ("cd_authenticity", 35)]),
     }
+
+
+def test_fingerprints_of_files(spark, tmp_path):
+    """Against a plain reading; only the ends of files are read."""
+    import hashlib
+
+    sizes_of = {"a/1.flac": 10, "a/sub/2.flac": 70_000, "a/é.flac": 0, "b/1.flac": 200_000}
+    for i, (name, n) in enumerate(sizes_of.items()):
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(bytes(range(256)) * (n // 256) + bytes([i]) * (n % 256))
+
+    def plain(album, sample):
+        h = hashlib.sha256(b"source-fingerprint-v1\0" + str(sample).encode() + b"\0")
+        for path in sorted(str(tmp_path / n) for n in sizes_of if n.startswith(f"{album}/")):
+            data, stat = open(path, "rb").read(), os.stat(path)
+            h.update(b"\0".join((os.path.relpath(path, tmp_path / album).encode(), str(stat.st_size).encode(), str(stat.st_mtime_ns).encode(), b"")))
+            h.update(hashlib.blake2b(data[:sample], digest_size=16).digest() + hashlib.blake2b(data[-sample:] if len(data) > sample else b"", digest_size=16).digest())
+        return h.hexdigest()
+
+    rows = [(n.split("/", 1)[0], f"file://{tmp_path}/{n}" if n.startswith("b") else str(tmp_path / n), n.split("/", 1)[1]) for n in sizes_of]
+    df = spark.createDataFrame(rows, "album string, path string, name string").repartition(3)
+    for sample in (16, 65_536):
+        found = {r["album"]: r["fingerprint"] for r in fingerprints.source_fingerprints(df, sample).collect()}
+        assert found == {album: plain(album, sample) for album in ("a", "b")}
+    before = {r["name"]: r["head"] for r in fingerprints.file_ends(df, 16).collect()}
+    big = tmp_path / "b/1.flac"
+    data = bytearray(big.read_bytes())
+    data[100_000] ^= 1  # neither end
+    big.write_bytes(data)
+    assert {r["name"]: r["head"] for r in fingerprints.file_ends(df, 16).collect()} == before
