@@ -18,11 +18,10 @@ def add(name: str, query: Query, sql: str) -> None:
     QUERIES[name], SQL[name] = query, sql
 
 
-_BYTES = F.floor(F.pow(F.lit(1.7), F.col("position") % 8 * 6 + F.col("part_id") % 8)).cast("long") + F.col("part_id")
 _UNIT = "CASE WHEN b >= 1099511627776 THEN 4 WHEN b >= 1073741824 THEN 3 WHEN b >= 1048576 THEN 2 WHEN b >= 1024 THEN 1 ELSE 0 END"
 add(
     "size_labels",
-    lambda spark, d: tracks(spark, d).select("album_id", "position", sizes.transfer_size(_BYTES).alias("label"), sizes.short_size(_BYTES).alias("short")),
+    lambda spark, d: tracks(spark, d).select("album_id", "position", (F.floor(F.pow(F.lit(1.7), F.col("position") % 8 * 6 + F.col("part_id") % 8)).cast("long") + F.col("part_id")).alias("b")).select("album_id", "position", sizes.transfer_size(F.col("b")).alias("label"), sizes.short_size(F.col("b")).alias("short")),
     f"""WITH {TRACKS_SQL}, z AS (SELECT album_id, position, CAST(floor(pow(1.7::DOUBLE, position % 8 * 6 + part_id % 8)) AS BIGINT) + part_id AS b FROM tracks), u AS (SELECT *, {_UNIT} AS p, CAST(pow(1024, {_UNIT}) AS BIGINT) AS u FROM z),
   t AS (SELECT *, b // u AS whole, ((b % u) * 10 + u // 2) // u AS tenth, b / CAST(u AS DOUBLE) AS x FROM u), r AS (SELECT *, CASE WHEN tenth >= 10 THEN whole + 1 ELSE whole END AS w, CASE WHEN tenth >= 10 THEN 0 ELSE tenth END AS f FROM t)
   SELECT album_id, position, CASE WHEN p = 0 THEN b || 'b' ELSE CASE WHEN w >= 100 OR f = 0 THEN w || '' ELSE w || '.' || f END || list_extract(['Kb', 'Mb', 'Gb', 'Tb'], p) END AS label,
