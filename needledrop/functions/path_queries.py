@@ -78,13 +78,3 @@ add(
     SELECT s_suppkey, schedule, CASE WHEN schedule IS NOT NULL THEN lpad(CAST(soon // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(soon % 60 AS VARCHAR), 2, '0') END AS next,
       CAST(CASE WHEN given >= 1 THEN given WHEN m < 1 THEN 0 WHEN m > 2 THEN m * 60 - 120 ELSE m * 60 END AS BIGINT) AS longest, strftime(make_timestamp(((clock + step - 1) // step) * step * 1000000), '%H:%M') AS even FROM n""",
 )
-add(
-    "backup_due",
-    lambda spark, d: table(spark, d, "events").select("event_id", F.lit(1_707_000_000).alias("now"), F.unix_timestamp("ts").alias("mtime"), F.explode(F.create_map(F.lit("daily"), F.lit(86_400), F.lit("weekly"), F.lit(604_800), F.lit("monthly"), F.lit(2_592_000))).alias("period", "age")).where("now - mtime >= age").groupBy("period").agg(F.count("*").alias("due")),
-    "SELECT period, count(*) AS due FROM events, (VALUES ('daily', 86400), ('weekly', 604800), ('monthly', 2592000)) p(period, age) WHERE 1707000000 - CAST(floor(epoch(ts)) AS BIGINT) >= age GROUP BY period",
-)
-add(
-    "replacement_target",
-    lambda spark, d: tracks(spark, d).select("album_id", "position", F.concat(F.col("sr").cast("string"), F.when(F.col("bits") == 16, "/16").when(F.col("bits") >= 24, "/24").otherwise("/16")).alias("target"), choose(("16", "24"), F.col("position")).alias("hint")),
-    f"WITH {TRACKS_SQL} SELECT album_id, position, CAST(sr AS VARCHAR) || CASE WHEN bits = 16 THEN '/16' WHEN bits >= 24 THEN '/24' ELSE '/16' END AS target, list_extract(['16', '24'], CAST(position % 2 + 1 AS BIGINT)) AS hint FROM tracks",
-)

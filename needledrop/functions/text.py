@@ -89,6 +89,26 @@ def profile_in(text: Column) -> Column:
     return canonical_profile(F.regexp_extract(text, r"(?i)([0-9]+(?:[.][0-9]+)?(?:k(?:hz)?)?[/:-][0-9]{1,3}f?)", 1))
 
 
+def replacement_profile(p: Column) -> Column:
+    """What a canonical profile is replaced by: its rate with 16 bits, 24 for 24 and more and for floats; null stays null."""
+    bits = F.split_part(p, F.lit("/"), F.lit(2))
+    deep = bits.isin("32f", "64f") | F.coalesce(bits.try_cast("int") >= 24, F.lit(False))
+    return F.concat(F.split_part(p, F.lit("/"), F.lit(1)), F.when(deep, "/24").otherwise("/16"))
+
+
+def recode_target(recode: Column, codec: Column, current: Column, source: Column, replace: Column) -> Column:
+    """The profile that an album is to be made: the one that its recode text names; for a surround codec that is to be replaced
+    that of its first source, else its present one, as a replacement (current, source: canonical profiles). Null if there is none.
+    """
+    surround = (F.coalesce(replace, F.lit(0)) == 1) & norm(F.coalesce(codec, F.lit(""))).isin("dts", "dca")
+    return F.coalesce(profile_in(recode), F.when(surround, F.coalesce(replacement_profile(source), replacement_profile(current))))
+
+
+def is_number(x: Column) -> Column:
+    """Whether a text is a plain number: digits with an optional minus and decimals."""
+    return F.coalesce(x.rlike(r"^-?[0-9]+([.][0-9]+)?$"), F.lit(False))
+
+
 def profile_key(raw: Column) -> Column:
     """A number to sort profiles by: depth first (float as ten times its bits), then rate."""
     rate, bits = F.split_part(raw, F.lit("/"), F.lit(1)), F.lower(F.split_part(raw, F.lit("/"), F.lit(2)))

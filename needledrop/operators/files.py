@@ -74,6 +74,16 @@ def pcm_bytes(tracks: DataFrame) -> DataFrame:
     return sums.select("album_id", F.bround(bytes_).cast("long").alias("bytes"), "seconds")
 
 
+def decoding_hints(tracks: DataFrame, sheets: DataFrame) -> DataFrame:
+    """path, has_sheet, by_ffmpeg of tracks (path, seconds as far as they are known): whether a cue sheet (sheets: path) lies in the same folder, and whether to decode by
+    ffmpeg at once, for a dear format or an unknown length.
+    """
+    dirs = sheets.where(media.ending(F.col("path")) == "cue").select(folder(F.col("path")).alias("_dir")).distinct()
+    rows = tracks.join(dirs, folder(F.col("path")) == F.col("_dir"), "left")
+    dear = media.ending(F.col("path")).isin(*media.DEAR_ENDINGS)
+    return rows.select("path", F.col("_dir").isNotNull().alias("has_sheet"), (dear | F.coalesce(F.col("seconds") <= 0, F.lit(True))).alias("by_ffmpeg"))
+
+
 def source_caps(tracks: DataFrame) -> DataFrame:
     """album_id, lowest rate and depth above zero (depth 24 without one), highest cutoff, whether codecs differ."""
     above = lambda c: F.when(F.col(c) > 0, F.col(c))

@@ -128,3 +128,17 @@ add(
     lambda spark, d: files.cells(table(spark, d, "supplier").select("s_suppkey", F.array_join(F.slice(F.array(*(F.lit(x) for x in "abcde")), 1, (F.col("s_suppkey") % 5 + 1).cast("int")), "\t").alias("line")), 3).drop("line"),
     "SELECT s_suppkey, 'a' AS c1, CASE WHEN s_suppkey % 5 >= 1 THEN 'b' ELSE '' END AS c2, list_extract(['', '', 'c', 'c d', 'c d e'], CAST(s_suppkey % 5 + 1 AS BIGINT)) AS c3 FROM supplier",
 )
+
+
+def _hints(spark, d):
+    path = lambda end: F.concat(F.lit("/m/"), F.col("album_id").cast("string"), F.lit("/"), F.col("position").cast("string"), end)
+    t = tracks(spark, d)
+    return files.decoding_hints(t.select(path(choose((".flac", ".WV", ".m4a"), F.col("part_id"))).alias("path"), F.when(F.col("supp_id") % 7 != 0, F.col("seconds") - 20).alias("seconds")), t.where("album_id % 3 = 0").select(path(choose((".CUE", ".txt"), F.col("part_id"))).alias("path")))
+
+
+add(
+    "decoding_hints",
+    _hints,
+    f"""WITH {TRACKS_SQL}, s AS (SELECT DISTINCT album_id FROM tracks WHERE album_id % 3 = 0 AND part_id % 2 = 0) SELECT '/m/' || t.album_id || '/' || position || list_extract(['.flac', '.WV', '.m4a'], CAST(part_id % 3 + 1 AS BIGINT)) AS path, s.album_id IS NOT NULL AS has_sheet,
+      part_id % 3 = 1 OR supp_id % 7 = 0 OR seconds <= 20 AS by_ffmpeg FROM tracks t LEFT JOIN s ON t.album_id = s.album_id""",
+)

@@ -13,7 +13,7 @@ RANKS = {"F": 1, "C": 2, "B": 3, "A": 4, "S": 5}
 
 
 def _number(c: str) -> Column:
-    return F.when(F.col(c).rlike(r"^-?[0-9]+(\.[0-9]+)?$"), F.col(c).try_cast("double"))
+    return F.when(text.is_number(F.col(c)), F.col(c).try_cast("double"))
 
 
 def coerced(raw: DataFrame, now: int) -> DataFrame:
@@ -145,6 +145,39 @@ def cache_state(now: DataFrame, cached: DataFrame) -> DataFrame:
     return now.join(c, F.col("path") == F.col("_path"), "left").select("path", F.when(same & (F.col("_config") == F.col("config")), "hit").when(same, "partial").otherwise("miss").alias("state"))
 
 
+def analysed_before(now: DataFrame, cached: DataFrame) -> DataFrame:
+    """path, known of each path: whether its last analysis still holds, so that a run that asks for no details can end at once.
+
+    now: path, ruleset, mode, source, config, details (boolean); cached: path, ruleset, mode, source, config, target (a
+    profile, empty if it wasn't finished), done (boolean); at most one row for a path. Empty fingerprints hold for nothing.
+    """
+    c = cached.select(*(F.col(x).alias(f"_{x}") for x in ("path", "ruleset", "mode", "source", "config", "target", "done")))
+    same = [F.col(x) == F.col(f"_{x}") for x in ("ruleset", "mode", "source", "config")]
+    given = [F.col(x) != "" for x in ("_source", "_config", "_target")]
+    known = ~F.col("details") & F.col("_done")
+    for test in (*same, *given):
+        known = known & test
+    return now.join(c, F.col("path") == F.col("_path"), "left").select("path", F.coalesce(known, F.lit(False)).alias("known"))
+
+
+#: After how many seconds each backup is made anew.
+BACKUPS = {"daily": 86_400, "weekly": 604_800, "monthly": 2_592_000}
+
+
+def backups_due(libraries: DataFrame, backups: DataFrame, now: int, force: bool = False) -> DataFrame:
+    """library, period, step of each library that is sound (library, sound) and each period: keep, make or replace its backup.
+
+    backups: library, period, mtime (null: unknown), valid. One that isn't valid is replaced whatever its age, a valid one if it
+    is as old as its period or that is forced. Libraries that aren't sound get none, so good backups stay.
+    """
+    periods = F.explode(F.create_map(*(F.lit(x) for pair in BACKUPS.items() for x in pair)))
+    rows = libraries.where("sound").select("library", periods.alias("period", "_age"))
+    b = backups.select(F.col("library").alias("_l"), F.col("period").alias("_p"), F.coalesce("mtime", F.lit(0)).alias("_mtime"), F.col("valid").alias("_valid"))
+    rows = rows.join(b, (F.col("library") == F.col("_l")) & (F.col("period") == F.col("_p")), "left")
+    fresh = F.col("_valid") & F.lit(not force) & (F.lit(now) - F.col("_mtime") < F.col("_age"))
+    return rows.select("library", "period", F.when(F.col("_l").isNull(), "make").when(fresh, "keep").otherwise("replace").alias("step"))
+
+
 def lossy_decision(lossy: Column, grade: Column, recode: Column) -> Column:
     """recommendation, recode text, whether replacing is called for, of an album: lossy ones of grade C or F are replaced."""
     poor = lossy & grade.isin("C", "F")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from needledrop.functions import text
 from needledrop.operators import mutations
-from needledrop.operators.catalog_queries import Query
+from needledrop.operators.catalog_queries import Query, canonical_sql
 from needledrop.operators.maintenance import keyed, last_for_key
-from needledrop.sources.bind import ALBUMS_SQL, TRACKS_SQL, _pick, albums, choose, tracks
+from needledrop.sources.bind import ALBUMS_SQL, TRACKS_SQL, _pick, albums, choose, table, tracks
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -161,3 +162,58 @@ add(
     lambda spark, d: mutations.run_counters(albums(spark, d).select(F.when(F.col("scan_failed") == 1, "fail").when(F.col("needs_recode") == 1, "warn").otherwise("ok").alias("status"))),
     f"WITH {ALBUMS_SQL} SELECT count(*) FILTER (scan_failed <> 1 AND needs_recode <> 1) AS ok, count(*) FILTER (scan_failed <> 1 AND needs_recode = 1) AS warn, count(*) FILTER (scan_failed = 1) AS fail, count(*) AS total, count(*) FILTER (scan_failed = 1) > 0 AS failed FROM albums",
 )
+MODES = ("fast", "exact", "")
+
+
+def _analysed(spark, d):
+    a, k = albums(spark, d), F.col("id")
+    now = a.select(k.alias("path"), F.lit("v3").alias("ruleset"), choose(MODES, k).alias("mode"), (k % 5).cast("string").alias("source"), (k % 7).cast("string").alias("config"), (k % 11 == 0).alias("details"))
+    cached = a.where("id % 6 <> 5").select(k.alias("path"), choose(("v3", "v3", "v3", "v2"), k).alias("ruleset"), choose(MODES, k + F.when(k % 8 == 0, 1).otherwise(0)).alias("mode"), F.when(k % 10 != 0, (k % 5).cast("string")).otherwise("").alias("source"), F.when(k % 9 != 0, (k % 7).cast("string")).alias("config"), F.when(k % 13 != 0, "44100/16").otherwise("").alias("target"), (k % 17 != 0).alias("done"))
+    return mutations.analysed_before(now, cached)
+
+
+add(
+    "analysed_before",
+    _analysed,
+    f"WITH {ALBUMS_SQL} SELECT id AS path, id % 11 <> 0 AND id % 6 <> 5 AND id % 4 <> 3 AND id % 8 <> 0 AND id % 10 <> 0 AND id % 9 <> 0 AND id % 13 <> 0 AND id % 17 <> 0 AS known FROM albums",
+)
+
+
+def _backups(spark, d):
+    """Suppliers' libraries, with backups made at the times of events."""
+    made = table(spark, d, "events").groupBy((F.col("user_id") % 100 + 1).alias("library"), F.col("event_type")).agg(F.max(F.unix_timestamp("ts")).alias("mtime"), F.min("event_id").alias("k"))
+    backups = made.where("event_type in ('click', 'view', 'signup')").select("library", F.when(F.col("event_type") == "click", "daily").when(F.col("event_type") == "view", "weekly").otherwise("monthly").alias("period"), F.when(F.col("k") % 9 != 0, F.col("mtime") - F.col("k") % 40 * 86_400).alias("mtime"), (F.col("k") % 4 != 0).alias("valid"))
+    return mutations.backups_due(table(spark, d, "supplier").select(F.col("s_suppkey").alias("library"), (F.col("s_suppkey") % 6 != 0).alias("sound")), backups, 1_706_700_000)
+
+
+add(
+    "backup_due",
+    _backups,
+    """WITH m AS (SELECT user_id % 100 + 1 AS library, CASE event_type WHEN 'click' THEN 'daily' WHEN 'view' THEN 'weekly' ELSE 'monthly' END AS period, CAST(floor(epoch(max(ts))) AS BIGINT) AS mtime, min(event_id) AS k FROM events WHERE event_type IN ('click', 'view', 'signup') GROUP BY 1, 2, event_type),
+    p AS (SELECT s_suppkey AS library, period, age FROM supplier, (VALUES ('daily', 86400), ('weekly', 604800), ('monthly', 2592000)) v(period, age) WHERE s_suppkey % 6 <> 0)
+    SELECT p.library, p.period, CASE WHEN k IS NULL THEN 'make' WHEN k % 4 <> 0 AND 1706700000 - CASE WHEN k % 9 <> 0 THEN mtime - k % 40 * 86400 ELSE 0 END < age THEN 'keep' ELSE 'replace' END AS step FROM p LEFT JOIN m ON p.library = m.library AND p.period = m.period""",
+)
+CELLS = ("12", "-3.5", "1.", "+4", "1e5", "", " 7", "0007")
+add(
+    "plain_numbers",
+    lambda spark, d: table(spark, d, "customer").select("c_custkey", choose(CELLS, F.col("c_custkey")).alias("x")).where(text.is_number(F.col("x"))),
+    f"WITH c AS (SELECT c_custkey, {_pick(CELLS, 'c_custkey')} AS x FROM customer) SELECT c_custkey, x FROM c WHERE x IN ('12', '-3.5', '0007')",
+)
+SOURCES = ("", "96 kHz/32f", "88.2/20", "x", "48000/64f", "192/24")
+HINTS = ("Recode to 44.1k/16", "Keep as-is", "", "to 96-24 soon")
+
+
+def _targets(spark, d):
+    k = F.col("id")
+    # The profiles are columns of their own first: worked out once, not once for each use.
+    rows = albums(spark, d).select(k, choose(HINTS, F.floor(k / 3)).alias("recode"), choose(("dts", " DCA", "flac"), k).alias("codec"), text.canonical_profile(F.col("current_quality")).alias("current"), text.canonical_profile(choose(SOURCES, F.floor(k / 7))).alias("source"), "needs_replacement")
+    return rows.select(k, text.recode_target(F.col("recode"), F.col("codec"), F.col("current"), F.col("source"), F.col("needs_replacement")).alias("target"), text.replacement_profile(F.col("current")).alias("replacement"))
+
+
+add(
+    "replacement_target",
+    _targets,
+    f"""WITH {ALBUMS_SQL}, c AS (SELECT id, needs_replacement = 1 AND id % 3 <> 2 AS surround, {_pick(("44100/16", "", "", "96000/24"), "id // 3")} AS named, {_pick(("", "96000/24", "88200/16", "", "48000/24", "192000/24"), "id // 7")} AS source, {canonical_sql("current_quality")} AS p FROM albums),
+    r AS (SELECT *, split_part(p, '/', 1) || CASE WHEN split_part(p, '/', 2) IN ('24', '32', '32f', '64f') THEN '/24' ELSE '/16' END AS replacement FROM c)
+    SELECT id, coalesce(nullif(named, ''), CASE WHEN surround THEN coalesce(nullif(source, ''), replacement) END) AS target, replacement FROM r""",
+)

@@ -341,3 +341,19 @@ def test_fingerprints_of_files(spark, tmp_path):
     data[100_000] ^= 1  # neither end
     big.write_bytes(data)
     assert {r["name"]: r["head"] for r in fingerprints.file_ends(df, 16).collect()} == before
+
+
+def test_replacements_backups_and_known_analyses(spark):
+    for p, want in (("44100/16", "44100/16"), ("88200/20", "88200/16"), ("96000/24", "96000/24"), ("96000/32f", "96000/24"), ("48000/64f", "48000/24"), (None, None)):
+        assert one(spark, text.replacement_profile(F.lit(p))) == want
+    for row, want in ((("Recode to 48/24", "flac", "44100/16", None, 0), "48000/24"), (("", "dts", "48000/24", "96000/32f", 1), "96000/24"), (("", "DCA ", "48000/32", None, 1), "48000/24"), (("Keep as-is", "dts", "48000/24", None, 0), None), (("", "flac", "48000/24", None, 1), None)):
+        assert one(spark, text.recode_target(*map(F.lit, row))) == want
+    libraries = spark.createDataFrame([("a", True), ("b", False)], "library string, sound boolean")
+    backups = spark.createDataFrame([("a", "daily", 1_000_000 - 86_399, True), ("a", "weekly", 1_000_000 - 604_800, True), ("a", "monthly", 999_999, False), ("b", "daily", 1, True)], "library string, period string, mtime long, valid boolean")
+    steps = lambda force: {r["period"]: r["step"] for r in mutations.backups_due(libraries, backups, 1_000_000, force).collect()}
+    assert steps(False) == {"daily": "keep", "weekly": "replace", "monthly": "replace"} and set(steps(True).values()) == {"replace"}
+    assert {r["step"] for r in mutations.backups_due(libraries, backups.limit(0), 5).collect()} == {"make"}
+    schema = "path string, ruleset string, mode string, source string, config string"
+    cached = spark.createDataFrame([("a", "r", "m", "s", "c", "44100/16", True), ("b", "r", "m", "s", "c", "", True), ("c", "r", "m", "", "c", "x", True), ("d", "r", "m", "s", "c", "x", False), ("e", "q", "m", "s", "c", "x", True)], f"{schema}, target string, done boolean")
+    now = spark.createDataFrame([(p, "r", "m", "" if p == "c" else "s", "c", p == "f") for p in "abcdefg"] + [("a2", "r", "m", "s", "c", False)], f"{schema}, details boolean")
+    assert {r["path"] for r in mutations.analysed_before(now, cached).where("known").collect()} == {"a"}
