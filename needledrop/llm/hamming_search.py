@@ -337,6 +337,8 @@ def nearest(vectors: DataFrame, wanted: Column, k: int = 10, first_radius: int =
     if wide.limit(1).count():
         first, second = near, search(wide)
         near = second.unionByName(first.join(second.select("query"), "query", "left_anti"))
+    for used in (classes, queries, wide):
+        remove(used)
     own = F.array_position("near", F.struct(F.lit(0.0).alias("score"), F.col("query_id").alias("vec_id")))
     answers = asking.select(F.col("vec_id").alias("query_id"), "node").join(near.withColumnRenamed("query", "node"), "node")
     others = F.slice(F.filter("near", lambda _, i: i + 1 != F.col("_own")), 1, k)
