@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from needledrop.functions.media import axis_khz, khz_row, nearest_tier, row_khz
 from needledrop.operators import strategy
-from needledrop.streaming.queue import folder
+from needledrop.streaming.queue import drop, folder
 
 #: Columns that a row without sound has no part in: the left quarter of an image.
 LEFT = 0.25
@@ -126,7 +126,10 @@ def labelled(names: DataFrame, links: DataFrame) -> DataFrame:
         jump = hung.select(F.col("name").alias("_name"), F.col("label").alias("_label"))
         after = hung.join(jump, F.col("label") == F.col("_name")).select("name", F.col("_label").alias("label"))
         now, before, turn = kept(after, f"round-{turn}"), now, turn + 1
-        if not now.join(before.withColumnRenamed("label", "_old"), "name").where("label <> _old").limit(1).count():
+        same = not now.join(before.withColumnRenamed("label", "_old"), "name").where("label <> _old").limit(1).count()
+        drop(spark, f"{home}/round-{turn - 2}" if turn > 1 else f"{home}/start")
+        if same:
+            drop(spark, f"{home}/links")
             return now
 
 

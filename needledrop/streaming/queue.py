@@ -22,6 +22,12 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, wherever it is; nothing may read it any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def latest(items: DataFrame) -> DataFrame:
     """key, kind, at, item of the last item of each key (by time, then id). Partial results of it can be merged by it."""
     last = F.max(F.struct("at", "item", "kind")).alias("m")

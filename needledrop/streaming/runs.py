@@ -15,7 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from needledrop.operators import maintenance
 from needledrop.operators.maintenance import KEY
-from needledrop.streaming.queue import folder
+from needledrop.streaming.queue import drop, folder
 
 #: Columns of the queue, of the catalog as a run needs it, and of a listing (see maintenance.classify).
 QUEUE = "artist_lc string, album_lc string, year_int int, source_path string, album_mtime long, scan_kind string, enqueued_at long"
@@ -107,8 +107,7 @@ class Home:
         return max((int(n.removeprefix("batch=")) for n in names if n.startswith("batch=")), default=None)
 
     def drop(self, name: str, number: int) -> None:
-        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/batch={number}")
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        drop(self.spark, f"{self.path}/{name}/batch={number}")
 
 
 def stream_runs(arrivals: DataFrame, queue: DataFrame, catalog: DataFrame, budget: int, home: str | None = None) -> Run:
