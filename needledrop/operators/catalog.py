@@ -115,6 +115,42 @@ VIEWS: dict[str, tuple[dict, str, bool]] = {
 }
 
 
+#: Other names of views, of sort keys and of classes.
+VIEW_NAMES = {
+    "grade": "grade_first", "grades": "grade_first", "grade-first": "grade_first", "replace": "replace_queue", "queue": "replace_queue", "replace-or-upscaled": "replace_queue", "replace_or_upscaled": "replace_queue",
+    "codecs": "codec_inventory", "codec": "codec_inventory", "encodings": "encoding_inventory", "encoding": "encoding_inventory", "profile": "encoding_inventory", "profiles": "encoding_inventory",
+    "upscaled-replace": "upscaled_replace", "upscaled": "upscaled_replace", "upscaledreplace": "upscaled_replace", "encode": "encode_only", "enc": "encode_only", "upscaled-only": "encode_only", "upscaled_only": "encode_only",
+    "scan-failed": "scan_failed", "failed": "scan_failed", "mixed-first": "scan_failed", "mixed_first": "scan_failed", "mixed": "scan_failed", "rarity": "rarity_only", "rarities": "rarity_only", "rarity-only": "rarity_only",
+}
+SORT_NAMES = {
+    "last": "checked", "last_checked": "checked", "last_checked_at": "checked", "quality_score": "score", "dynamic_range": "dr", "dynamic-range": "dr", "dynamicrange": "dr", "dynamic_range_score": "dr", "quality_grade": "grade",
+    "artist_lc": "artist", "album_lc": "album", "year_int": "year", "replacement": "replace", "needs_replacement": "replace", "failed": "fail", "scan_failed": "fail", "current": "curr", "profile": "curr", "current_quality": "curr",
+}
+CLASS_NAMES = {"sb": "s-b", "cf": "c-f"}
+
+
+def _named(raw: str, names: dict[str, str], known) -> str:
+    name = names.get(raw.lower(), raw.lower())
+    if name not in known:
+        raise ValueError(f"{raw!r} is none of {', '.join(known)}")
+    return name
+
+
+def view_named(raw: str) -> str:
+    """The view that a name in any case stands for."""
+    return _named(raw, VIEW_NAMES, VIEWS)
+
+
+def sort_named(raw: str) -> str:
+    """The sort key that a name in any case stands for."""
+    return _named(raw, SORT_NAMES, SORTS)
+
+
+def class_named(raw: str) -> str:
+    """The class filter (all, s-b, c-f) that a name in any case stands for."""
+    return _named(raw, CLASS_NAMES, ("all", *CLASSES))
+
+
 def display(albums: DataFrame) -> DataFrame:
     """The cells of a page as they are shown: codec, bitrate and profile as they are stored; an album's name is marked with
     a star if it was recoded and one if it has lyrics; a failed one shows its notes, else what is recommended.
@@ -145,7 +181,7 @@ def page(albums: DataFrame, view: str = "default", number: int = 1, size: int =
     """A page of a view by offset, of one codec or profile if given. Only size * number rows are ever sorted to the end (a
     top-k heap in each task), by what the filters and the sort need; all else is worked out for the rows of the page.
     """
-    filters, key, descending = VIEWS[view]
+    filters, key, descending = VIEWS[view_named(view)]
     keys = order(key, descending, codec is not None or profile is not None)
     rows = where(graded(albums), **filters, codec=codec, profile=profile).orderBy(*keys).offset(size * (number - 1)).limit(size)
     return display(graded(_page_rows(rows, albums)).orderBy(*keys))
@@ -158,7 +194,7 @@ def _page_rows(rows: DataFrame, albums: DataFrame) -> DataFrame:
 
 def page_count(albums: DataFrame, view: str = "default", size: int = 15) -> int:
     """How many pages a view has, one at least."""
-    return max(1, -(-where(graded(albums), **VIEWS[view][0]).count() // size))
+    return max(1, -(-where(graded(albums), **VIEWS[view_named(view)][0]).count() // size))
 
 
 def nearest_page(albums: DataFrame, view: str, number: int, size: int = 15) -> DataFrame:

@@ -112,6 +112,8 @@ def add(name: str, query: Query, sql: str | None = None) -> None:
 
 for _view in catalog.VIEWS:
     add(f"browse_{_view}", lambda spark, d, v=_view: catalog.page(albums(spark, d), v), page_sql(_view))
+for _alias, _view in (("Grades", "grade_first"), ("upscaled-only", "encode_only"), ("mixed", "scan_failed")):
+    add(f"browse_by_alias_{_alias.lower().replace('-', '_')}", lambda spark, d, v=_alias: catalog.page(albums(spark, d), v), page_sql(_view))
 add("page_offset", lambda spark, d: catalog.page(albums(spark, d), "grade_first", 3), page_sql("grade_first", 3))
 
 #: A place in the default view: checked, artist, album, year, id.

@@ -357,3 +357,12 @@ def test_replacements_backups_and_known_analyses(spark):
     cached = spark.createDataFrame([("a", "r", "m", "s", "c", "44100/16", True), ("b", "r", "m", "s", "c", "", True), ("c", "r", "m", "", "c", "x", True), ("d", "r", "m", "s", "c", "x", False), ("e", "q", "m", "s", "c", "x", True)], f"{schema}, target string, done boolean")
     now = spark.createDataFrame([(p, "r", "m", "" if p == "c" else "s", "c", p == "f") for p in "abcdefg"] + [("a2", "r", "m", "s", "c", False)], f"{schema}, details boolean")
     assert {r["path"] for r in mutations.analysed_before(now, cached).where("known").collect()} == {"a"}
+
+
+def test_names_of_views():
+    assert [catalog.view_named(x) for x in ("Default", "GRADES", "queue", "codec", "profile", "upscaled", "enc", "mixed-first", "rarities")] == list(catalog.VIEWS)[:2] + ["replace_queue", "codec_inventory", "encoding_inventory", "upscaled_replace", "encode_only", "scan_failed", "rarity_only"]
+    assert [catalog.sort_named(x) for x in ("last", "Dynamic-Range", "profile", "failed", "year_int")] == ["checked", "dr", "curr", "fail", "year"]
+    assert [catalog.class_named(x) for x in ("ALL", "SB", "c-f")] == ["all", "s-b", "c-f"]
+    for bad in (catalog.view_named, catalog.sort_named, catalog.class_named):
+        with pytest.raises(ValueError, match="nonsense"):
+            bad("nonsense")
