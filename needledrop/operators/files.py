@@ -47,9 +47,13 @@ def folders_with_audio(files: DataFrame) -> DataFrame:
     return walked(files).where(media.is_audio(F.col("path"))).select(folder(F.col("path")).alias("dir")).distinct()
 
 
-def changed_folders(files: DataFrame, since: int) -> DataFrame:
-    """Folders (dir) with audio changed after a time."""
-    return folders_with_audio(files.where(F.col("mtime") > since))
+def changed_folders(files: DataFrame, since: int, folders: DataFrame | None = None) -> DataFrame:
+    """Folders (dir) with audio changed after a time, and those of folders (dir, mtime) that were themselves changed, outside pruned ones."""
+    by_file = folders_with_audio(files.where(F.col("mtime") > since))
+    if folders is None:
+        return by_file
+    pruned = F.lower("dir").rlike("/(" + "|".join(PRUNED) + ")(/|$)")
+    return by_file.union(folders.where((F.col("mtime") > since) & ~pruned).select("dir")).distinct()
 
 
 def folder_sums(files: DataFrame) -> DataFrame:

@@ -37,7 +37,11 @@ def _probed(spark, d):
 
 add("scan_audio_files", lambda spark, d: files.audio_files(_files(spark, d), _probed(spark, d)).select("path"), f"WITH {_FILES} SELECT DISTINCT path FROM g WHERE audio OR path IN ({_PROBED})")
 add("walk_audio_folders", lambda spark, d: files.folders_with_audio(_files(spark, d)), f"WITH {_FILES} SELECT DISTINCT dir FROM g WHERE audio AND path NOT LIKE '%/before-recode/%'")
-add("changed_folders", lambda spark, d: files.changed_folders(_files(spark, d), 1_700_080_000), f"WITH {_FILES} SELECT DISTINCT dir FROM g WHERE audio AND path NOT LIKE '%/before-recode/%' AND mtime > 1700080000")
+add(
+    "changed_folders",
+    lambda spark, d: files.changed_folders(_files(spark, d), 1_700_080_000, _files(spark, d).groupBy(files.folder(F.col("path")).alias("dir")).agg((F.min("mtime") + 75_000).alias("mtime"))),
+    f"WITH {_FILES} SELECT DISTINCT dir FROM g WHERE audio AND path NOT LIKE '%/before-recode/%' AND mtime > 1700080000 UNION SELECT dir FROM g WHERE dir NOT LIKE '%/before-recode' GROUP BY dir HAVING min(mtime) + 75000 > 1700080000",
+)
 add(
     "folder_sums",
     lambda spark, d: files.folder_sums(_files(spark, d)),

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from needledrop.functions import media, parsing, paths, routing, sizes, text, years
-from needledrop.operators import catalog, fingerprints, logs, maintenance, mutations, reports, signal, strategy, transfer
+from needledrop.operators import catalog, files, fingerprints, logs, maintenance, mutations, reports, signal, strategy, transfer
 from needledrop.operators.files import pcm_bytes
 from needledrop.plans import planning
 
@@ -366,3 +366,18 @@ def test_names_of_views():
     for bad in (catalog.view_named, catalog.sort_named, catalog.class_named):
         with pytest.raises(ValueError, match="nonsense"):
             bad("nonsense")
+
+
+def test_what_changed_since_a_mark(spark, tmp_path):
+    """Files newer than the mark by their own metadata, and folders that are newer themselves."""
+    for i, name in enumerate(("a/1.flac", "b/2.flac", "b/before-recode/3.flac", "c/4.txt")):
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"x")
+        os.utime(path, (1_600_000_000 + i * 1000,) * 2)
+    root, mark = f"file://{tmp_path}", "2020-09-13T12:35:00"  # 1_600_000_500
+    found = files.listing(spark, root, mark)
+    assert sorted(r["path"].rsplit("/", 1)[1] for r in found.collect()) == ["2.flac", "3.flac", "4.txt"]
+    assert files.listing(spark, root).count() == 4
+    dirs = spark.createDataFrame([("/m/x", 9), ("/m/y", 1), ("/m/before-recode", 9), ("/m/before-recode/z", 9)], "dir string, mtime long")
+    assert sorted(r["dir"] for r in files.changed_folders(spark.createDataFrame([("/m/y/1.flac", 9), ("/m/q/1.txt", 9)], "path string, mtime long"), 5, dirs).collect()) == ["/m/x", "/m/y"]
