@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from needledrop.functions import grading
 from needledrop.functions.paths import index_seconds
-from needledrop.functions.text import trimmed
+from needledrop.functions.text import once, trimmed
 
 
 def sheet_tracks(lines: DataFrame) -> DataFrame:
@@ -32,11 +32,10 @@ def sheet_tracks(lines: DataFrame) -> DataFrame:
     return out.select("sheet", "file", "track", "title", "performer", index_seconds(F.col("mark")).alias("start"))
 
 
-def _first_match(text: Column, patterns: Sequence[tuple[str, int, int]]) -> tuple[Column, Column]:
-    """The number and the name that the first matching pattern has in its groups (pattern, group of the number, group of the name; 0: none)."""
-    number = F.coalesce(*(F.nullif(F.regexp_extract(text, p, n), F.lit("")) for p, n, _ in patterns))
-    name = F.coalesce(*(F.when(F.regexp_extract(text, p, n) != "", F.regexp_extract(text, p, k) if k else F.lit("")) for p, n, k in patterns))
-    return number.try_cast("double"), name
+def _first_match(text: Column, patterns: Sequence[tuple[str, int, int]]) -> Column:
+    """number and name that the first matching pattern has in its groups (pattern, group of the number, group of the name; 0: none)."""
+    of = lambda p, n, k: F.struct(F.regexp_extract(text, p, n).try_cast("double").alias("number"), (F.regexp_extract(text, p, k) if k else F.lit("")).alias("name"))
+    return F.coalesce(*(F.when(text.rlike(p), of(p, n, k)) for p, n, k in patterns))
 
 
 #: The lines of range reports. A track: number and name of it; a total; a property.
@@ -62,8 +61,10 @@ def report_tracks(lines: DataFrame, files: DataFrame | None = None) -> DataFrame
     files: report, file of the album's files. A name that is a file's in any case, as it is or without a number before it,
     becomes the file's.
     """
-    dr, name = _first_match(F.col("text"), TRACK_LINES)
-    rows = lines.select("report", "line_no", dr.alias("dr"), song_name(name).alias("name")).where("dr is not null")
+    # Each line's match is worked out once, as a row of its own: a filter on it would be put before it and repeat it.
+    match = F.explode_outer(F.transform(F.array("text"), lambda t: _first_match(t, TRACK_LINES))).alias("match")
+    rows = lines.select("report", "line_no", match).where("match.number is not null")
+    rows = rows.select("report", "line_no", F.col("match.number").alias("dr"), song_name(F.col("match.name")).alias("name"))
     if files is not None:
         f = files.groupBy(F.col("report").alias("_r"), F.lower("file").alias("_key")).agg(F.max("file").alias("_file"))
         for key in (F.lower("name"), F.lower(trimmed(F.regexp_replace("name", r"^\d+\.\s*", "")))):
@@ -74,8 +75,8 @@ def report_tracks(lines: DataFrame, files: DataFrame | None = None) -> DataFrame
 
 def report_totals(lines: DataFrame) -> DataFrame:
     """report, total, rate, kbps, bits of each report: the last line of each kind; reports without a total can't be read."""
-    total, _ = _first_match(F.col("text"), TOTAL_LINES)
-    values = {"total": total} | {name: F.nullif(F.regexp_extract("text", p, 1), F.lit("")).try_cast("int") for name, p in PROPERTIES.items()}
+    total = once(F.col("text"), lambda t: _first_match(t, TOTAL_LINES))
+    values = {"total": total["number"]} | {name: F.nullif(F.regexp_extract("text", p, 1), F.lit("")).try_cast("int") for name, p in PROPERTIES.items()}
     rows = lines.select("report", "line_no", *(v.alias(k) for k, v in values.items()))
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("line_no"))).alias(c)
     return rows.groupBy("report").agg(*map(last, values)).where("total is not null")
