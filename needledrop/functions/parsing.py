@@ -7,6 +7,7 @@ import unicodedata
 from collections.abc import Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,23 +90,27 @@ def newest_reports(files: DataFrame) -> DataFrame:
     return reports.groupBy("dir").agg(F.min_by("path", F.struct(-F.col("mtime"), F.col("path"))).alias("path"))
 
 
+_EXTENSION, _TIME, _NUMBER = re.compile(r"\s+\[\w+\]$"), re.compile(r"^\d+:\d+\s+"), re.compile(r"^\d+\s*[._-]\s*")
+
+
 def plain_aliases(raw: str | None) -> list[str]:
     """The forms of a track's name, each once: as it is, without extension, without a number or time before it and [ext] after
     it, without both; each as it is and then without marks. Compatible letters and cases are one.
     """
-    name = re.sub(r"\s+", " ", unicodedata.normalize("NFKC", (raw or "").rsplit("/", 1)[-1]).strip().casefold())
-    bare = re.sub(r"^\d+\s*[._-]\s*", "", re.sub(r"\s+\[\w+\]$", "", re.sub(r"^\d+:\d+\s+", "", name))).strip()
-    out: dict[str, None] = {}
-    for form in (name, name.rsplit(".", 1)[0].strip(), bare, bare.rsplit(".", 1)[0].strip()):
-        unmarked = "".join(c for c in unicodedata.normalize("NFKD", form) if unicodedata.category(c) != "Mn")
-        out.update(dict.fromkeys(x for x in (form, unmarked) if x))
-    return [*out]
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def aliases(names: pd.Series) -> pd.Series:
+    raw = (raw or "").rsplit("/", 1)[-1]
+    ascii_only = raw.isascii()  # such names have neither marks nor compatible letters
+    name = " ".join((raw if ascii_only else unicodedata.normalize("NFKC", raw)).casefold().split())
+    bare = _NUMBER.sub("", _EXTENSION.sub("", _TIME.sub("", name))).strip()
+    forms = (name, name.rsplit(".", 1)[0].strip(), bare, bare.rsplit(".", 1)[0].strip())
+    if not ascii_only:
+        forms = tuple(x for f in forms for x in (f, "".join(c for c in unicodedata.normalize("NFKD", f) if unicodedata.category(c) != "Mn")))
+    return [x for x in dict.fromkeys(forms) if x]
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def aliases(names: pa.Array) -> pa.Array:
     """plain_aliases() of each name: Unicode forms have no function in SQL."""
-    return names.map(plain_aliases)
+    return pa.array(map(plain_aliases, names.to_pylist()), pa.list_(pa.string()))
 
 
 def plain(raw: str | None) -> str:
@@ -129,12 +134,12 @@ def match_names(wanted: DataFrame, known: DataFrame) -> DataFrame:
     """
     w = wanted.select("wanted_id", F.col("group").alias("g"), F.posexplode(aliases(F.col("name"))).alias("turn", "alias"))
     k = known.select("known_id", F.col("group").alias("h"), F.posexplode(aliases(F.col("name"))).alias("at", "form"))
-    k = k.groupBy("h", "form").agg(F.max("known_id").alias("known_id"), F.min(F.struct("known_id", "at")).alias("place"))
-    best = lambda *order: F.min_by("known_id", F.struct(*order)).alias("known_id")
-    exact = w.join(k, (F.col("g") == F.col("h")) & (F.col("alias") == F.col("form"))).groupBy("wanted_id").agg(best("turn")).withColumn("by", F.lit("alias"))
+    # Plain columns, not structures, wherever they do: such aggregates go by hash, without a sort of all forms.
+    k = k.groupBy("h", "form").agg(F.max("known_id").alias("known_id"), F.min("known_id").alias("first"), F.min_by("at", "known_id").alias("at"))
+    exact = w.join(k, (F.col("g") == F.col("h")) & (F.col("alias") == F.col("form"))).groupBy("wanted_id").agg(F.min_by("known_id", "turn").alias("known_id")).withColumn("by", F.lit("alias"))
     left = w.join(exact.select(F.col("wanted_id").alias("done")), F.col("wanted_id") == F.col("done"), "left_anti")
     part = left.join(k, (F.col("g") == F.col("h")) & (F.contains("alias", "form") | F.contains("form", "alias")))
-    return exact.unionByName(part.groupBy("wanted_id").agg(best("turn", "place")).withColumn("by", F.lit("part")))
+    return exact.unionByName(part.groupBy("wanted_id").agg(F.min_by("known_id", F.struct("turn", "first", "at")).alias("known_id")).withColumn("by", F.lit("part")))
 
 
 def graded_names(wanted: DataFrame, known: DataFrame) -> DataFrame:
