@@ -130,7 +130,56 @@ def across(starts: np.ndarray, owners: np.ndarray, tags: np.ndarray) -> tuple[np
     return np.concatenate(left), np.concatenate(right)
 
 
-def ball_pairs(fps: DataFrame, bits: int, radius: int, tagged: bool = False) -> DataFrame:
+def low_bits(d: np.ndarray, n: np.ndarray, most: int) -> np.ndarray:
+    """The lowest n (at most `most`) set bits of each d."""
+    out = np.zeros_like(d)
+    for k in range(most):
+        low = d & (~d + np.uint64(1))
+        out |= np.where(n > k, low, np.uint64(0))
+        d = d ^ low
+    return out
+
+
+def meeting(p: np.ndarray, q: np.ndarray, tail: int, step: int, half: int) -> np.ndarray:
+    """The bits above the lowest `tail - step` of one variant that both p and q have, for pairs within twice `half`.
+
+    Of the bits above `tail` that differ, p flips as few as leave q within half, then of the next `step` bits. So the bits
+    above `tail` don't depend on step.
+    """
+    p, q = np.minimum(p, q), np.maximum(p, q)
+    top = p >> np.uint64(tail)
+    d = top ^ (q >> np.uint64(tail))
+    many = np.bitwise_count(d).astype(np.int64)
+    spent = np.maximum(many - half, 0)
+    top = top ^ low_bits(d, spent, half)
+    if not step:
+        return top
+    mask = np.uint64((1 << step) - 1)
+    sub = (p >> np.uint64(tail - step)) & mask
+    d = sub ^ ((q >> np.uint64(tail - step)) & mask)
+    spent = np.maximum(np.bitwise_count(d).astype(np.int64) - (half - many + spent), 0)
+    return top << np.uint64(step) | sub ^ low_bits(d, spent, half)
+
+
+#: Fingerprints on the sides of a tile, at most: those that are held, and those that come one after another.
+HELD, PASSING = 256, 512
+
+
+def tiles_of(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """Pairs a, b (ordered by a) as tiles: what is held, what passes, and for each of the latter its partners among the former."""
+    held_side = np.unique(a)
+    for c in range(0, len(held_side), HELD):
+        some = held_side[c : c + HELD]
+        x, y = np.searchsorted(a, some[0]), np.searchsorted(a, some[-1], side="right")
+        order = x + np.lexsort((a[x:y], b[x:y]))
+        passing = _runs(b[order])
+        for e in range(0, len(passing), PASSING):
+            runs = passing[e : e + PASSING]
+            partners = [a[order[i:j]] for i, j in runs]
+            yield np.unique(np.concatenate(partners)), b[order[[i for i, _ in runs]]], partners
+
+
+def ball_pairs(fps: DataFrame, bits: int, radius: int, tagged: bool = False, tiled: bool = False) -> DataFrame:
     """t, a, b: pairs of fingerprints of a table t at `radius` or fewer differing bits, by meet-in-the-middle ball hashing.
 
     fps: t int, fp long (the lowest `bits` bits); equal rows count once. Every fingerprint stands for all variants within half the
@@ -140,8 +189,13 @@ def ball_pairs(fps: DataFrame, bits: int, radius: int, tagged: bool = False) ->
     that many fingerprints have are dealt by further bits. What shares a variant is verified.
 
     A variant's owners are paired with the first of them (in an order that is the same everywhere), so every link is a path of
-    at most two pairs. tagged: rows have a tag long too, pairs are those of different tags, all of them, and come with
-    tag_a and tag_b; a tag of 0 differs from every other, but for that of the same fingerprint.
+    at most two pairs. tagged: rows have a tag long too, pairs are those of different tags, all of them; a tag of 0
+    differs from every other, but for that of the same fingerprint.
+
+    tiled: instead of a row for each pair t, tile, side, fp, tag, places: a row for each fingerprint of a tile, so that the rows
+    are at most the tables and leading values times the fingerprints for groups within a tile's size, whatever the
+    number of pairs. Side 0 is held, its place is in places (int32); side 1 has the places of its partners. A pair is
+    in one tile only, that of the variant given by meeting(). Without tags, not every variant's star is whole then.
     """
     half = radius // 2
     n = fps.groupBy("t").count().agg(F.max("count")).first()[0] or 0
@@ -151,6 +205,8 @@ def ball_pairs(fps: DataFrame, bits: int, radius: int, tagged: bool = False) ->
     hot = fps.groupBy("t", F.shiftrightunsigned("fp", tail).alias("lead")).count().where(F.col("count") > HOT)
     hot = {(r["t"], r["lead"]) for r in hot.collect()}  # at most one for each HOT fingerprints
     names = ["t", "lead", "sub", "fps", "tags"]
+    if tagged and not tiled:
+        raise ValueError("pairs of tags come as tiles")
     schema = "t int, lead long, sub int, fps binary, tags binary"
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,18 +284,28 @@ def ball_pairs(fps: DataFrame, bits: int, radius: int, tagged: bool = False) ->
         for starts, owners in shared_variants(fp, used, rest, half):
             a, b = (across if tagged else stars)(starts, owners, own_tags)
             good = np.bitwise_count(fp[a] ^ fp[b]) <= radius
+            if tiled:
+                good &= meeting(fp[a], fp[b], tail, tail - rest, half) == np.uint64(value if sub < 0 else value << SPLIT_BITS | sub)
             waiting.append(np.unique(a[good] * len(fp) + b[good]))
             size += len(waiting[-1])
             if size > 1 << 21:
                 found, waiting, size = settled(), [], 0
         found = settled()
+        if tiled:
+            for k, (low, high, partners) in enumerate(tiles_of(*np.divmod(found, len(fp)))):
+                both = np.concatenate((low, high))
+                places = [np.int32(i).tobytes() for i in low] + [p.astype("<i4").tobytes() for p in partners]
+                columns = [np.full(len(both), t, np.int32), [f"{t}.{value}.{sub}.{k}"] * len(both), np.repeat(np.array([0, 1], np.int32), (len(low), len(high))), fp[both].view(np.int64), tags[both], places]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["t", "tile", "side", "fp", "tag", "places"])
+            return
         for at in range(0, len(found), 100_000):
             a, b = np.divmod(found[at : at + 100_000], len(fp))
-            columns = [pa.array(np.full(len(a), t, np.int32)), pa.array(fp[a].view(np.int64)), pa.array(fp[b].view(np.int64))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(tags[a]), pa.array(tags[b])] if tagged else columns, names=["t", "a", "b", "tag_a", "tag_b"][: 5 if tagged else 3])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), t, np.int32)), pa.array(fp[a].view(np.int64)), pa.array(fp[b].view(np.int64))], names=["t", "a", "b"])
 
     dealt = fps.mapInArrow(deal, schema).repartition(partitions_for(fps), "t", "lead", "sub").sortWithinPartitions("t", "lead", "sub")
-    return dealt.mapInArrow(meet, "t int, a long, b long" + (", tag_a long, tag_b long" if tagged else "")).distinct()
+    if tiled:
+        return dealt.mapInArrow(meet, "t int, tile string, side int, fp long, tag long, places binary")
+    return dealt.mapInArrow(meet, "t int, a long, b long").distinct()
 
 
 def _runs(*keys: np.ndarray) -> list[tuple[int, int]]:
@@ -334,7 +400,9 @@ def similar_copies(docs: DataFrame, least: float = 0.8, shingle: int = 5, tables
 
     The first search takes FIRST tables, pairs a variant's owners with one of them each and so joins large groups by few pairs.
     The second takes all tables and pairs all owners of a variant that are still in different components, so that no pair
-    with a common variant is missed, and a large group isn't compared with itself again.
+    with a common variant is missed, and a large group isn't compared with itself again. Candidates are never rows: both
+    searches give tiles, with a row for each class in a tile, whose sets are compared where they meet; a tile returns
+    as many links as join its classes. The second search's links join the components of the first.
 
     Null or empty text, or one of white space only: the empty set, one class. Null ids count as larger than every other.
     Repeated rows each give a row; an empty table gives no row.
@@ -351,72 +419,109 @@ def similar_copies(docs: DataFrame, least: float = 0.8, shingle: int = 5, tables
     signed = written(rows.mapInArrow(sign, "id long, cls long, prints array<long>"), "fingerprints")
     classes = written(signed.groupBy("cls").agg(F.min("id").alias("least"), F.min("prints").alias("prints")), "classes")
 
-    # The first search: equal fingerprints and the owners of a variant, each with the first.
+    # The first search: equal fingerprints and the owners of a variant, each with the first. Tag 0 is a class without another.
     prints = classes.select("cls", F.posexplode(F.slice("prints", 1, FIRST)).alias("t", "fp"))
     firsts = written(prints.groupBy("t", "fp").agg(F.min("cls").alias("first"), F.count("*").alias("n")), "first-owners")
-    shared = firsts.where("n > 1").select(F.col("t").alias("u"), F.col("fp").alias("f"), "first")
-    equal = prints.join(shared, (F.col("t") == F.col("u")) & (F.col("fp") == F.col("f"))).select(F.col("first").alias("a"), F.col("cls").alias("b"))
-    links = ball_pairs(firsts.select("t", "fp"), bits, radius).toDF("t", "p", "q")
-    side = lambda name: firsts.select(F.col("t").alias(f"t_{name}"), F.col("fp").alias(f"fp_{name}"), F.col("first").alias(name))
-    same = lambda name, fp: (F.col("t") == F.col(f"t_{name}")) & (F.col(fp) == F.col(f"fp_{name}"))
-    near = links.join(side("a"), same("a", "p")).join(side("b"), same("b", "q")).select("a", "b")
-    tested = written(_ordered(equal.union(near)), "pairs")
-    found = written(_verified(tested, classes, rows, least, shingle), "similar")
-
-    # The second: owners of a variant in different components. Tag 0 is a class without another.
-    groups = connected_components(found).withColumnRenamed("node", "cls")
+    chunks = F.ceil(F.col("n") / PASSING)
+    shared = firsts.where("n > 1").select(F.col("t").alias("u"), F.col("fp").alias("f"), "first", chunks.alias("chunks"))
+    tile = lambda kind, *names: F.concat_ws(".", F.lit(kind), *names).alias("tile")
+    row = lambda side, cls, tag: (F.lit(side).alias("side"), F.col(cls).alias("cls"), F.lit(tag).cast("long").alias("tag"), F.lit(None).cast("binary").alias("places"))
+    one = shared.select("u", "f", "first", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")).select(tile("equal", "u", "f", "chunk"), *row(0, "first", 0))
+    others = prints.join(shared, (F.col("t") == F.col("u")) & (F.col("fp") == F.col("f"))).where("cls <> first")
+    others = others.select(tile("equal", "u", "f", F.pmod(F.xxhash64("cls"), "chunks")), *row(1, "cls", 0))
+    near = ball_pairs(firsts.select("t", "fp"), bits, radius, tiled=True)
+    near = near.join(firsts.select(F.col("t").alias("u"), F.col("fp").alias("f"), "first"), (F.col("t") == F.col("u")) & (F.col("fp") == F.col("f"))).select("tile", "side", F.col("first").alias("cls"), "tag", "places")
+    found = written(_joined(written(near.union(one).union(others), "tiles"), classes, rows, least, shingle), "similar")
+
+    # The second: owners of a variant in different components.
+    groups = written(connected_components(found).withColumnRenamed("node", "cls"), "groups")
     tag = F.coalesce(F.when(F.col("component") == 0, 1).otherwise(F.col("component")), F.lit(0)).alias("tag")
     tags = written(classes.join(groups, "cls", "left").select("cls", tag, "prints"), "tagged")
     prints = tags.select("cls", "tag", F.posexplode("prints").alias("t", "fp"))
-    apart = written(ball_pairs(prints.select("t", "fp", "tag"), bits, radius, tagged=True).toDF("t", "p", "q", "tag_a", "tag_b"), "apart")
-    side = lambda name: prints.select(F.col("t").alias(f"t_{name}"), F.col("fp").alias(f"fp_{name}"), F.col("tag").alias(f"of_{name}"), F.col("cls").alias(name))
-    same = lambda name, fp: (F.col("t") == F.col(f"t_{name}")) & (F.col(fp) == F.col(f"fp_{name}")) & (F.col(f"tag_{name}") == F.col(f"of_{name}"))
-    more = apart.join(side("a"), same("a", "p")).join(side("b"), same("b", "q")).select("a", "b")
-    alone = prints.where("tag = 0").groupBy("t", "fp").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high")
-    alone = alone.select(F.col("t").alias("u"), F.col("fp").alias("f"))
-    alone = written(prints.where("tag = 0").join(alone, (F.col("t") == F.col("u")) & (F.col("fp") == F.col("f"))).select("t", "fp", "cls"), "alone")
-    more = more.union(alone.select("t", "fp", F.col("cls").alias("a")).join(alone.select("t", "fp", F.col("cls").alias("b")), ["t", "fp"]).select("a", "b"))
-    more = written(_ordered(more).join(tested, ["a", "b"], "left_anti"), "pairs")
-    found = found.union(_verified(more, classes, rows, least, shingle))
-    groups = connected_components(found)
+    apart = written(ball_pairs(prints.select("t", "fp", "tag"), bits, radius, tagged=True, tiled=True), "apart")
+    owners = prints.select(F.col("t").alias("u"), F.col("fp").alias("f"), F.col("tag").alias("g"), "cls")
+    apart = apart.join(owners, (F.col("t") == F.col("u")) & (F.col("fp") == F.col("f")) & (F.col("tag") == F.col("g"))).select("tile", "side", "cls", "tag", "places")
+    # Those without another that have a fingerprint in common: chunks, each with itself and the later ones.
+    chunks = F.ceil(F.col("n") / HELD)
+    alone = prints.where("tag = 0").groupBy("t", "fp").agg(F.count("*").alias("n")).where("n > 1").select(F.col("t").alias("u"), F.col("fp").alias("f"), chunks.alias("chunks"))
+    alone = prints.where("tag = 0").join(alone, (F.col("t") == F.col("u")) & (F.col("fp") == F.col("f"))).select("t", "fp", "cls", F.pmod(F.xxhash64("cls"), "chunks").alias("chunk"))
+    one = alone.select(tile("alone", "t", "fp", "chunk"), *row(0, "cls", 0))
+    others = alone.select("t", "fp", "cls", F.explode(F.sequence(F.lit(0), "chunk")).alias("k")).select(tile("alone", "t", "fp", "k"), *row(1, "cls", 0))
+    more = _joined(written(apart.union(one).union(others), "tiles"), classes, rows, least, shingle)
+    groups = connected_components(groups.select(F.col("cls").alias("a"), F.col("component").alias("b")).union(more))
     joined = classes.join(groups, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("component", "cls").alias("root"))
     roots = joined.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
     of_class = joined.join(roots, F.col("root") == F.col("r")).select(F.col("cls").alias("c"), "component_id")
     return signed.join(of_class, F.col("cls") == F.col("c")).select("id", "cls", "component_id")
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+class Forest:
+    """Which of some nodes hang together."""
+
+    def __init__(self):
+        self.up: dict = {}
 
+    def root(self, node):
+        while (up := self.up.get(node, node)) != node:
+            self.up[node] = node = self.up.get(up, up)
+        return node
 
-def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, least: float, shingle: int) -> DataFrame:
-    """The pairs (classes a, b) whose sets have a Jaccard similarity of `least` or more.
+    def join(self, a, b) -> bool:
+        """Whether the two were apart."""
+        a, b = self.root(a), self.root(b)
+        self.up[a] = b
+        return a != b
 
-    The sets are made anew, for the classes of the pairs.
+
+def overlaps(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many elements of a sorted set each of the others has."""
+    if not len(one):
+        return np.zeros(len(others), dtype=np.int64)
+    flat = np.concatenate(others)
+    hits = np.append(0, np.cumsum(one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat))
+    ends = np.cumsum([len(x) for x in others])
+    return hits[ends] - hits[np.append(0, ends[:-1])]
+
+
+def _joined(tiles: DataFrame, classes: DataFrame, rows: DataFrame, least: float, shingle: int) -> DataFrame:
+    """a, b: classes whose sets have a Jaccard similarity of `least` or more, as many pairs of a tile as join all that such pairs join.
+
+    tiles: tile string, side, cls, tag, places (see ball_pairs; null: all); classes of one tag other than 0 hang together
+    already. The sets are made anew, for the classes of the tiles.
     """
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = classes.join(nodes, F.col("cls") == F.col("node"), "left_semi").select(F.col("least").alias("wanted")).distinct()
+    wanted = classes.join(tiles.select(F.col("cls").alias("node")).distinct(), F.col("cls") == F.col("node"), "left_semi").select(F.col("least").alias("wanted")).distinct()
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t, shingle) for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kept, forest = None, {}, Forest()
         for batch in batches:
-            keep = []
-            for x, y in zip(column_of(batch, "one"), column_of(batch, "two"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= least * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            links = []
+            for tile, side, cls, tag, places, shingles in zip(*(column_of(batch, c).to_pylist() for c in ("tile", "side", "cls", "tag", "places")), column_of(batch, "shingles"), strict=True):
+                if tile != now:
+                    now, kept, forest = tile, {}, Forest()
+                own, of = np.frombuffer(shingles.as_buffer(), "<u8"), tag or cls
+                if side == 0:
+                    kept.setdefault(None if places is None else int.from_bytes(places, "little"), []).append((cls, of, own))
+                    continue
+                root = forest.root(of)
+                some = [x for p in ([None] if places is None else np.frombuffer(places, "<i4").tolist()) for x in kept.get(p, ()) if x[0] != cls and forest.root(x[1]) != root]
+                if not some:
+                    continue
+                both = overlaps(own, [x[2] for x in some])
+                for (other, its, s), n in zip(some, both.tolist(), strict=True):
+                    if n >= least * (len(own) + len(s) - n) and forest.join(of, its):
+                        links.append((other, cls))
+            a, b = zip(*links, strict=True) if links else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     made = rows.join(wanted, F.col("id") == F.col("wanted"), "left_semi").select("text").mapInArrow(sets_of, "node long, shingles binary")
     sets = written(made.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
-    one = sets.select(F.col("node").alias("m"), F.col("shingles").alias("one"))
-    two = sets.select(F.col("node").alias("n"), F.col("shingles").alias("two"))
-    met = pairs.join(one, F.col("a") == F.col("m")).join(two, F.col("b") == F.col("n")).select("a", "b", "one", "two")
-    return met.mapInArrow(verify, "a long, b long")
+    met = tiles.join(sets, F.col("cls") == F.col("node")).select("tile", "side", "cls", "tag", "places", "shingles")
+    return met.repartition(partitions_for(rows), "tile").sortWithinPartitions("tile", "side").mapInArrow(compare, "a long, b long")
 
 
 def keep_one(docs: DataFrame, least: float = 0.8) -> DataFrame:

@@ -112,3 +112,57 @@ def test_fingerprints_of_sets():
             # Within a word the bits of its bytes, lowest first.
             bits += [2 * int((h >> np.uint64(b) & np.uint64(1)).sum()) > len(s) for b in range(64)]
         assert row == [sum(x << i for i, x in enumerate(bits[48 * t : 48 * t + 48])) for t in range(3)]
+
+
+def test_rows_follow_documents_not_pairs(spark, monkeypatch):
+    """A large group most of whose pairs lie about the similarity: no table and no list of links grows with its pairs."""
+    random.seed(21)
+    base, rows = [f"b{i}" for i in range(146)], []
+    for i in range(700):
+        copy = list(base)
+        for at in random.sample(range(146), random.randint(1, 3)):
+            copy[at] = f"n{i}.{at}"
+        rows.append((i, " ".join(copy)))
+    most = {}
+    written, components = simhash.written, simhash.connected_components
+
+    def counted(df, name):
+        out = written(df, name)
+        most[name] = max(most.get(name, 0), out.count())
+        return out
+
+    def linked(links):
+        most["links"] = max(most.get("links", 0), links.count())
+        return components(links)
+
+    monkeypatch.setattr(simhash, "written", counted)
+    monkeypatch.setattr(simhash, "connected_components", linked)
+    found = {r["id"]: r["component_id"] for r in simhash.similar_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert most["links"] <= 4 * simhash.FIRST * len(rows), most
+    assert max(most.values()) <= 3 * 24 * len(rows), most
+    sets = [simhash.shingle_set(t) for _, t in rows]
+    fps = simhash.set_fingerprints(sets, 24, 48)
+    low = np.arange(len(rows))
+    for i, a in enumerate(sets):
+        for j in np.flatnonzero((np.bitwise_count(fps[i] ^ fps[:i]) <= 4).any(axis=1)):
+            if low[i] != low[j] and (both := len(np.intersect1d(a, sets[j]))) >= 0.8 * (len(a) + len(sets[j]) - both):
+                low[low == max(low[i], low[j])] = min(low[i], low[j])
+    assert found == {i: int(x) for i, x in enumerate(low)}
+
+
+def test_each_pair_is_in_one_tile(spark):
+    """Of hot leading values too; equal tags don't meet, those of tag 0 do."""
+    rng = np.random.default_rng(4)
+    fps = np.unique(np.bitwise_xor.reduce(np.where(rng.random((600, 5)) < 0.7, np.uint64(1) << rng.integers(0, 24, (600, 5)).astype(np.uint64), np.uint64(0)), axis=1))
+    tags = rng.integers(0, 4, len(fps))
+    want = {(int(a), int(b)) for i, a in enumerate(fps) for j, b in enumerate(fps) if a < b and int(a ^ b).bit_count() <= 4 and (tags[i] != tags[j] or tags[i] == 0)}
+    table = spark.createDataFrame([(0, int(f), int(g)) for f, g in zip(fps, tags)], "t int, fp long, tag long")
+    for hot in (10, 1 << 16):
+        simhash.HOT, old = hot, simhash.HOT
+        try:
+            tiles = simhash.ball_pairs(table, 24, 4, tagged=True, tiled=True).collect()
+        finally:
+            simhash.HOT = old
+        held = {(r["tile"], bytes(r["places"])): r["fp"] for r in tiles if r["side"] == 0}
+        met = [tuple(sorted((r["fp"], held[r["tile"], bytes(r["places"][k : k + 4])]))) for r in tiles if r["side"] == 1 for k in range(0, len(r["places"]), 4)]
+        assert len(met) == len(set(met)) and set(met) == want
