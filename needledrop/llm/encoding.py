@@ -13,26 +13,31 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from needledrop.llm.common import Store, vocabulary_file
 
-#: A space or line feed with white space at its side: the plain cut isn't safe everywhere in such a text.
-NEAR = re.compile(r"[ \n](?:\s|(?<=\s[ \n]))")
+#: In a text without these no space or line feed has white space at its side: the plain cut is safe everywhere in it.
+NEAR = ["  ", " \n", "\n ", "\n\n", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
+#: A chunk without white space but one space before it.
+WORD = re.compile(r" ?\S+")
 SPACE = re.compile(r"(?<=\S) (?=\S)")
 LINE = re.compile(r"(?<=\S)\n(?=\S)")
 MARKS = "\x01\x02\x03\x04\x05\x06"
 
 
+def marked(text: str, mark: str) -> str:
+    """The text with a mark at every safe boundary."""
+    if any(c in text for c in NEAR):
+        return SPACE.sub(mark + " ", LINE.sub(f"{mark}\n{mark}", text))
+    return text.replace(" ", mark + " ").replace("\n", f"{mark}\n{mark}")
+
+
 def chunks(text: str) -> list[str]:
     """The text cut at every safe boundary; joined they are the text."""
     mark = next((m for m in MARKS if m not in text), None)
-    if mark is None:
-        return [text]
-    if NEAR.search(text):
-        text = SPACE.sub(mark + " ", LINE.sub(f"{mark}\n{mark}", text))
-    else:
-        text = text.replace(" ", mark + " ").replace("\n", f"{mark}\n{mark}")
-    return text.split(mark)
+    return [text] if mark is None else marked(text, mark).split(mark)
 
 
 def pieces(text: str, most: int) -> Iterator[str]:
@@ -84,8 +89,7 @@ class ChunkEncoder:
         known, encode = {}, self.library.encode_batch_fast
         plain, others = [], []
         for c in new:
-            words = c.split()
-            (plain if self.line is not None and len(words) == 1 and len(c) - len(words[0]) == (c[0] == " ") else others).append(c)
+            (plain if self.line is not None and WORD.fullmatch(c) else others).append(c)
         for at in range(0, len(plain), 25_600):
             groups = [plain[i : i + 256] for i in range(at, min(at + 25_600, len(plain)), 256)]
             for group, e in zip(groups, encode(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
@@ -106,3 +110,18 @@ class ChunkEncoder:
 
     def values(self, parts: list[str]) -> list:
         return self.store.values(parts, self.learn)
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as bytes. Arrow cuts the texts and numbers their chunks, so that Python meets each distinct one once."""
+        mark = next((m for m in MARKS if not any(m in t for t in texts)), None) if self.cuts else None
+        if mark is None:
+            rows = pa.array([self.chunks(t) for t in texts], pa.list_(pa.large_string()))
+        else:
+            rows = pc.split_pattern(pa.array([marked(t, mark) for t in texts], pa.large_string()), pattern=mark)
+        met = rows.flatten().dictionary_encode()
+        distinct = met.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = pa.array(self.values(distinct), pa.large_binary()).take(met.indices)
+        ends = np.cumsum(np.asarray(pc.binary_length(ids)))
+        stops = np.append(0, ends)[np.asarray(rows.offsets)].tolist()
+        data = ids.buffers()[2].to_pybytes() if stops[-1] else b""
+        return [data[a:b] for a, b in zip(stops[:-1], stops[1:], strict=True)]

@@ -26,9 +26,9 @@ def build(tokens: np.ndarray, levels: int) -> list[tuple[int, np.ndarray]]:
     out = []
     for level in reversed(range(levels)):
         ones = (tokens >> level) & 1 != 0
-        zeros = tokens[~ones]
+        zeros = tokens.take(np.flatnonzero(~ones))
         out.append((len(zeros), np.packbits(ones)))
-        tokens = np.concatenate((zeros, tokens[ones]))
+        tokens = np.concatenate((zeros, tokens.take(np.flatnonzero(ones))))
     return out
 
 
@@ -195,8 +195,8 @@ class Shard:
             bits = [self._read(level, chunk)[1] for chunk in range(len(self.before[level]))]
             ones = np.unpackbits(np.concatenate(bits), count=self.n).view(bool) if bits else np.zeros(0, dtype=bool)
             zeros, up = self.zeros[level], np.empty_like(values)
-            up[~ones] = values[:zeros]
-            up[ones] = values[zeros:] | values.dtype.type(1 << (self.levels - 1 - level))
+            up[np.flatnonzero(~ones)] = values[:zeros]
+            up[np.flatnonzero(ones)] = values[zeros:] | values.dtype.type(1 << (self.levels - 1 - level))
             values = up
         return values
 
@@ -240,13 +240,9 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.jso
             sizes = np.array(pa.compute.binary_length(column_of(batch, "text")), dtype=np.int64)
             for a, b in slices(sizes, batch_bytes):
                 if b - a == 1 and sizes[a] > batch_bytes:
-                    rows = [b"".join(x for p in encoder.pieces(texts[a], batch_bytes) for x in encoder.values(encoder.chunks(p)))]
+                    rows = [b"".join(x for p in encoder.pieces(texts[a], batch_bytes) for x in encoder.texts([p]))]
                 else:
-                    cut = [encoder.chunks(t) for t in texts[a:b]]
-                    flat, ends, rows, at = encoder.values([c for row in cut for c in row]), np.cumsum([len(row) for row in cut]).tolist(), [], 0
-                    for stop in ends:
-                        rows.append(b"".join(flat[at:stop]))
-                        at = stop
+                    rows = encoder.texts(texts[a:b])
                 for d, row in zip(ids[a:b], rows, strict=True):
                     lists += (row, end)
                     held_docs.append((d, k := len(row) // width + 1))

@@ -101,6 +101,21 @@ def test_wavelet_archive(spark, sf_dir, library, odd):
     assert wavelet.archive(odd.limit(0)).count() == 0
 
 
+def test_each_distinct_chunk_of_texts_is_looked_up_once(library):
+    """Ids are the library's, whatever the texts hold; words that repeat within and across texts are asked for once."""
+    random.seed(4)
+    signs = [" ", " ", "\n", "\t", " a", " b'", "1", ".", "é", " 中", "<|endoftext|>", "\x1c", "\x01", "\x85", "\u2028", "\u3000", "'s"]
+    mixed = ["".join(random.choice(signs) for _ in range(random.randint(0, 30))) for _ in range(300)]
+    encoder = encoding.ChunkEncoder("byte_bpe_50k.json", "<u2")
+    ids = lambda rows: [np.frombuffer(x, "<u2").tolist() for x in rows]
+    for texts in (ODD[1:], mixed, *([t] for t in mixed), ["some words some words\nsome words", "some words"] * 50, [""], ["", " ", ""]):
+        asked, values = [], encoder.store.values
+        encoder.store.values = lambda keys, learn: asked.extend(keys) or values(keys, learn)  # noqa: B023
+        assert ids(encoder.texts(texts)) == [ids_of(library, t) for t in texts]
+        encoder.store.values = values
+        assert len(asked) == len(set(asked))
+
+
 def test_wavelet_queries():
     rng = np.random.default_rng(5)
     for n, top in ((0, 1), (1, 1), (1000, 40), (5000, 50_257)):
