@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from needledrop.functions import grading
 from needledrop.functions.paths import index_seconds
 from needledrop.functions.text import once, trimmed
+from needledrop.operators.partitions import parts
 
 
 def sheet_tracks(lines: DataFrame) -> DataFrame:
@@ -124,22 +125,53 @@ def plain_words(names: pd.Series) -> pd.Series:
     return names.map(plain)
 
 
+def with_aliases(rows: DataFrame) -> DataFrame:
+    """rows with forms, the plain_aliases() of name: as SQL for names of ASCII alone, else those in odd_forms (see odd_aliases)."""
+    name = F.regexp_replace(F.lower(F.substring_index(F.coalesce("name", F.lit("")), "/", -1)), r"[\t-\r\x1c-\x1f ]+", " ")
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("_name", _TIME.pattern, ""), _EXTENSION.pattern, ""), _NUMBER.pattern, "")
+    stem = lambda c: F.trim(F.regexp_replace(c, r"\.[^.]*$", ""))
+    rows = rows.withColumn("_name", F.trim(name)).withColumn("_bare", F.trim(bare))
+    forms = F.array_remove(F.array_distinct(F.array("_name", stem("_name"), "_bare", stem("_bare"))), "")
+    return rows.withColumn("forms", F.coalesce("odd_forms", forms)).drop("_name", "_bare", "odd_forms")
+
+
+def odd_aliases(name: Column) -> Column:
+    """The plain_aliases() of a name with other letters than ASCII; null for all others, whose forms SQL makes."""
+    odd = F.octet_length(name) != F.char_length(name)
+    return F.when(odd, aliases(F.when(odd, name)))
+
+
+def _matched(wanted: DataFrame, known: DataFrame, keep: Sequence[str], carry: Sequence[str], how: str) -> DataFrame:
+    """wanted_id, the columns keep of wanted, known_id, by and the columns carry of known for each wanted name (see match_names);
+    with how "left" null where no name is found. An id names one row.
+
+    Names are dealt by group once, before their forms are made, and meet there: no form is shuffled, and each is made once.
+    Within a group each form of a wanted name is held against each known form.
+    """
+    w = wanted.select("wanted_id", F.col("group").alias("g"), *keep, "name", odd_aliases(F.col("name")).alias("odd_forms"))
+    k = known.select("known_id", F.col("group").alias("h"), *carry, "name", odd_aliases(F.col("name")).alias("odd_forms"))
+    n = max(parts(w), parts(k))
+    # Outer, as Spark would otherwise look for empty arrays first, and for that make all forms once more before the shuffle.
+    w = with_aliases(w.repartition(n, "g")).select("wanted_id", "g", *keep, F.posexplode_outer("forms").alias("turn", "alias"))
+    k = with_aliases(k.repartition(n, "h")).select("known_id", "h", *carry, F.posexplode_outer("forms").alias("at", "form"))
+    # Plain columns, not structures, wherever they do: such aggregates go by hash, without a sort of all forms.
+    k = k.groupBy("h", "form").agg(F.max("known_id").alias("known_id"), F.min("known_id").alias("first"), F.min_by("at", "known_id").alias("at"), *(F.max_by(c, "known_id").alias(c) for c in carry))
+    pairs = w.join(k, (F.col("g") == F.col("h")) & (F.contains("alias", "form") | F.contains("form", "alias")), how)
+    place = F.when(F.col("form").isNotNull(), F.struct(F.col("alias") != F.col("form"), "turn", "first", "at"))  # null: not matched
+    best = pairs.groupBy("g", "wanted_id", *keep).agg(F.min_by(F.struct("known_id", (F.col("alias") == F.col("form")).alias("same"), *carry), place).alias("best"))
+    by = F.when(F.col("best.same"), "alias").when(~F.col("best.same"), "part")
+    return best.select("wanted_id", *keep, "best.known_id", by.alias("by"), *(F.col(f"best.{c}") for c in carry))
+
+
 def match_names(wanted: DataFrame, known: DataFrame) -> DataFrame:
     """wanted_id, known_id, by: for each wanted name of a group the known name with the same form (by alias), else one of which
     a form holds one of its forms or lies in it (by part).
 
     wanted: wanted_id, group, name; known: known_id, group, name. A wanted name's forms are tried in their order, and against
     each the known forms in theirs (by known_id, then form); of several known names with the same form the last one counts.
-    The part search is only for what has no equal form, and only within a group.
+    Names are only held against those of their group.
     """
-    w = wanted.select("wanted_id", F.col("group").alias("g"), F.posexplode(aliases(F.col("name"))).alias("turn", "alias"))
-    k = known.select("known_id", F.col("group").alias("h"), F.posexplode(aliases(F.col("name"))).alias("at", "form"))
-    # Plain columns, not structures, wherever they do: such aggregates go by hash, without a sort of all forms.
-    k = k.groupBy("h", "form").agg(F.max("known_id").alias("known_id"), F.min("known_id").alias("first"), F.min_by("at", "known_id").alias("at"))
-    exact = w.join(k, (F.col("g") == F.col("h")) & (F.col("alias") == F.col("form"))).groupBy("wanted_id").agg(F.min_by("known_id", "turn").alias("known_id")).withColumn("by", F.lit("alias"))
-    left = w.join(exact.select(F.col("wanted_id").alias("done")), F.col("wanted_id") == F.col("done"), "left_anti")
-    part = left.join(k, (F.col("g") == F.col("h")) & (F.contains("alias", "form") | F.contains("form", "alias")))
-    return exact.unionByName(part.groupBy("wanted_id").agg(F.min_by("known_id", F.struct("turn", "first", "at")).alias("known_id")).withColumn("by", F.lit("part")))
+    return _matched(wanted, known, [], [], "inner")
 
 
 def graded_names(wanted: DataFrame, known: DataFrame) -> DataFrame:
@@ -147,8 +179,7 @@ def graded_names(wanted: DataFrame, known: DataFrame) -> DataFrame:
     grade under the genre profile of the wanted one. wanted has profile, known has dr as text; text that is no number is no name.
     """
     numbers = known.withColumn("_dr", F.col("dr").try_cast("double")).where("_dr is not null")
-    found = match_names(wanted, numbers).select(F.col("wanted_id").alias("_w"), "known_id")
-    rows = wanted.join(found, F.col("wanted_id") == F.col("_w"), "left").join(numbers.select("known_id", "_dr"), "known_id", "left")
     dr = F.col("_dr")
     shown = F.when(dr == F.floor(dr), dr.cast("long").cast("string")).otherwise(dr.cast("string"))
+    rows = _matched(wanted, numbers, ["profile"], ["_dr"], "left")
     return rows.select("wanted_id", F.coalesce(shown, F.lit("N/A")).alias("dr"), F.coalesce(grading.grade(dr, F.col("profile")), F.lit("N/A")).alias("grade"))

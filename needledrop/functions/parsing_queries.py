@@ -80,7 +80,7 @@ add(
 
 
 def _name_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    t = tracks(spark, d)
+    t = tracks(spark, d, by_size=True)
     key = F.col("album_id") * 100 + F.col("position")
     known = t.select(key.alias("known_id"), F.col("album_id").alias("group"), F.concat(_two(F.col("position")), F.lit(" - Part "), F.col("part_id").cast("string"), F.lit(".flac")).alias("name"), F.when(F.col("position") == 5, "n/a").when(F.col("position") % 2 == 0, F.concat(F.col("dr").cast("string"), F.lit(".5"))).otherwise(F.col("dr").cast("string")).alias("dr"))
     wanted = t.select(key.alias("wanted_id"), F.col("album_id").alias("group"), F.when(F.col("position") % 2 == 0, F.concat(F.lit("PART "), F.col("part_id").cast("string"))).otherwise(F.concat(F.lit("Part "), F.col("part_id").cast("string"), F.lit(" (live)"))).alias("name"), choose(PROFILES, F.col("supp_id")).alias("profile"))
